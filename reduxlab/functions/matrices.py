@@ -45,6 +45,11 @@ class SparseRows:
         where = np.repeat(self.pointers[:-1][rows] - pointers[:-1], lengths) + np.arange(pointers[-1])
         return SparseRows(pointers, self.idx[where], self.val[where])
 
+    def to_matrix(self, width):
+        out = np.zeros((len(self), width))
+        out[np.repeat(np.arange(len(self)), np.diff(self.pointers)), self.idx] = self.val
+        return out
+
     def _slices(self, width):
         step = max(1, _SLICE_VALUES // max(width, 1))
         start = 0
@@ -94,6 +99,9 @@ class DenseRows:
     def take(self, rows):
         return DenseRows(self.matrix[rows])
 
+    def to_matrix(self, width):
+        return self.matrix
+
     def dot(self, weights):
         return self.matrix @ weights
 

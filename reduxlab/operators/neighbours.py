@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances
 from ..functions.columns import largest_by_count
-from ..functions.matrices import dense
+from ..functions.matrices import feature_columns, read_rows
 from . import blocks
 
 _FOUND = pa.schema(
@@ -18,8 +18,9 @@ _FOUND = pa.schema(
 class _Best:
     """The k nearest rows seen so far for a slice of queries, by (distance, id)."""
 
-    def __init__(self, ids, vectors, k, metric, skip_self):
-        self.ids, self.vectors, self.k, self.metric, self.skip_self = ids, vectors, k, metric, skip_self
+    def __init__(self, ids, rows, width, k, metric, skip_self):
+        self.ids, self.rows, self.width = ids, rows, width
+        self.k, self.metric, self.skip_self = k, metric, skip_self
         self.query = np.empty(0, dtype=np.int64)
         self.dist = np.empty(0)
         self.found = np.empty(0, dtype=np.int64)
@@ -27,14 +28,15 @@ class _Best:
         self.bound = np.full(len(ids), np.inf)
 
     def see(self, ids, vectors, labels):
-        near, noise = distances.approximate(self.metric, self.vectors, vectors)
+        mine = self.rows.to_matrix(self.width)
+        near, noise = distances.approximate(self.metric, mine, vectors)
         if self.skip_self:
             near[self.ids[:, None] == ids[None, :]] = np.inf
         limit = self.bound
         if len(ids) > self.k:
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
         q, b = np.nonzero((near <= (limit + noise)[:, None]) & np.isfinite(near))
-        exact = distances.aligned_pairs(self.metric, self.vectors, vectors, q, b)
+        exact = distances.aligned_pairs(self.metric, mine, vectors, q, b)
         query = np.concatenate([self.query, q])
         dist = np.concatenate([self.dist, exact])
         found = np.concatenate([self.found, ids[b]])
@@ -62,34 +64,43 @@ class _Best:
         )
 
 
-def nearest(queries, base, k, metric="auto", skip_self=False, **sizes):
-    """(id, neighbour, label, dist, rank) for the k nearest `base` rows of every query."""
+def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, width=None, **sizes):
+    """(id, neighbour, label, dist, rank) for the k nearest `base` rows of every query.
+
+    Sparse rows of `width` features are filled in only for the slice being compared.
+    """
     metric = distances.resolve(metric)
+    columns = feature_columns(sparse)
     label = F.col("label").cast("int") if "label" in base.columns else F.lit(0)
-    base = base.select(F.col("id").cast("long"), "features", label.alias("label"))
-    queries = queries.select(F.col("id").cast("long"), "features")
+    base = base.select(F.col("id").cast("long"), *columns, label.alias("label"))
+    queries = queries.select(F.col("id").cast("long"), *columns)
+    if sparse and width is None:
+        raise ValueError("sparse rows need their width")
 
     def work(batches, held):
-        ids = held["id"].to_numpy()
-        vectors = dense(held["features"].combine_chunks()) if len(ids) else np.empty((0, 0))
         best = None
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows or not held.num_rows:
                 continue
+            rows = read_rows(batch, sparse)
+            dims = width if sparse else rows.matrix.shape[1]
+            step = max(1, min(4096, distances.SLICE_VALUES // dims))
             if best is None:
-                best = [
-                    _Best(ids[at], vectors[at], k, metric, skip_self)
-                    for at in distances.row_slices(len(ids), 4096)
-                ]
-            seen, rows = batch.column("id").to_numpy(), dense(batch.column("features"))
-            labels = batch.column("label").to_numpy()
-            for at in range(0, len(seen), 4096):
-                for part in best:
-                    part.see(seen[at : at + 4096], rows[at : at + 4096], labels[at : at + 4096])
-        for part in best or []:
-            yield part.batch()
-
-    found = blocks.against(base, queries, ["features"], work, _FOUND, **sizes)
+                ids, known = held["id"].to_numpy(), read_rows(held.combine_chunks().to_batches()[0], sparse)
+                best = []
+                for at in range(0, len(ids), step):
+                    part = np.arange(at, min(at + step, len(ids)))
+                    best.append(_Best(ids[part], known.take(part), dims, k, metric, skip_self))
+            seen, labels = batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            for at in range(0, len(seen), step):
+                part = np.arange(at, min(at + step, len(seen)))
+                vectors = rows.take(part).to_matrix(dims)
+                for slice_best in best:
+                    slice_best.see(seen[part], vectors, labels[part])
+        for slice_best in best or []:
+            yield slice_best.batch()
+
+    found = blocks.against(base, queries, columns, work, _FOUND, **sizes)
     # At most k candidates per query and task reach this window.
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -119,13 +130,16 @@ class NearestNeighbours:
         self.n_neighbors, self.metric = n_neighbors, metric
         distances.resolve(metric)
         self.base = None
+        self.sparse, self.width = False, None
 
-    def fit(self, df):
-        self.base = df.select("id", "features", "label")
+    def fit(self, df, sparse=False, width=None):
+        self.base = df.select("id", *feature_columns(sparse), "label")
+        self.sparse, self.width = sparse, width
         return self
 
     def predict(self, df):
-        return vote(nearest(df, self.base, self.n_neighbors, self.metric))
+        found = nearest(df, self.base, self.n_neighbors, self.metric, sparse=self.sparse, width=self.width)
+        return vote(found)
 
     def params(self):
         return {"n_neighbors": self.n_neighbors, "metric": self.metric}
