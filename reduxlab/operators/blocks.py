@@ -45,14 +45,16 @@ def against(streamed, held, vectors, work, arrow_schema, small_bytes=SMALL_SIDE_
     _, streamed_bytes = stored_bytes(streamed, vectors)
     left_blocks = int(streamed_bytes // block_bytes) + 1
     right_blocks = int(held_bytes // block_bytes) + 1
-    left = _blocks(streamed, left_blocks, right_blocks, "lb", "rb")
-    right = _blocks(held, right_blocks, left_blocks, "rb", "lb")
     left_names, right_names = streamed.columns, held.columns
+    left = _blocks(streamed, left_blocks, right_blocks, "lb", "rb")
+    # Other column names keep a table apart from itself when both sides are the same.
+    held_names = [f"held_{c}" for c in right_names]
+    right = _blocks(held, right_blocks, left_blocks, "rb", "lb").toDF(*held_names, "rb", "lb")
 
     def meet(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
         if not left_table.num_rows or not right_table.num_rows:
             return arrow_schema.empty_table()
-        made = list(work(iter(left_table.select(left_names).to_batches()), right_table.select(right_names)))
+        made = list(work(iter(left_table.select(left_names).to_batches()), right_table.select(held_names).rename_columns(right_names)))
         return pa.Table.from_batches(made, arrow_schema)
 
     return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, schema)

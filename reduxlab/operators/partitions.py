@@ -5,13 +5,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import folds
 from ..functions.matrices import dense
 from .spectral import column_means
 
-_SEEDS = pa.schema([("restart", pa.int32()), ("key", pa.float64()), ("id", pa.int64()), ("features", pa.list_(pa.float64()))])
+_DRAWS = pa.schema(
+    [
+        ("restart", pa.int32()),
+        ("choice", pa.int32()),
+        ("draw", pa.int32()),
+        ("left_over", pa.float64()),
+        ("key", pa.float64()),
+        ("id", pa.int64()),
+        ("features", pa.list_(pa.float64())),
+    ]
+)
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -37,47 +48,84 @@ def _rows(df):
     return df.select(F.col("id").cast("long"), "features")
 
 
+def _draw_fold(shared, restarts, draws, seed, turn):
+    """Per restart and candidate: the squared distances left if it is chosen, and the next draws."""
+
+    def fold(batches):
+        centers, candidates = shared.value
+        choices = 1 if candidates is None else candidates.shape[1]
+        best, left = {}, np.zeros((restarts, choices))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column("id").to_numpy(), dense(batch.column("features"))
+            for r in range(restarts):
+                # Exponential draws: divided by a weight, the smallest is a weighted choice.
+                waits = [
+                    -np.log(row_uniforms(ids, seed, (turn * restarts + r) * draws + d)) for d in range(draws)
+                ]
+                gap = np.full(len(x), np.inf)
+                if centers is not None and centers.shape[1]:
+                    gap = square_distances(x, centers[r]).min(axis=1)
+                for c in range(choices):
+                    weight = None
+                    if candidates is not None:
+                        weight = np.minimum(gap, square_distances(x, candidates[r, c : c + 1])[:, 0])
+                        left[r, c] += weight.sum()
+                    for d in range(draws):
+                        key = waits[d]
+                        if weight is not None:
+                            # Copies of a center are not drawn while other rows remain.
+                            key = np.where(weight > 1e-12, key / np.maximum(weight, 1e-300), np.finfo(float).max)
+                        low = np.flatnonzero(key == key.min())
+                        at = low[ids[low].argmin()]
+                        if (r, c, d) not in best or (key[at], ids[at]) < best[r, c, d][:2]:
+                            best[r, c, d] = (key[at], ids[at], x[at])
+        rows = [
+            {
+                "restart": r, "choice": c, "draw": d, "left_over": float(left[r, c]), "key": float(key),
+                "id": int(row_id), "features": vector.tolist(),
+            }
+            for (r, c, d), (key, row_id, vector) in best.items()
+        ]
+        yield pa.RecordBatch.from_pylist(rows, schema=_DRAWS)
+
+    return fold
+
+
+def _draw(df, centers, candidates, restarts, draws, seed, turn):
+    choices = 1 if candidates is None else candidates.shape[1]
+    shared = df.sparkSession.sparkContext.broadcast((centers, candidates))
+    found = (
+        df.coalesce(folds.task_limit(df))
+        .mapInArrow(_draw_fold(shared, restarts, draws, seed, turn), from_arrow_schema(_DRAWS))
+        .groupBy("restart", "choice", "draw")
+        .agg(F.min_by("features", F.struct("key", "id")).alias("features"), F.sum("left_over").alias("left_over"))
+        .orderBy("restart", "choice", "draw")
+        .collect()
+    )
+    shared.destroy()
+    vectors = np.array([row["features"] for row in found]).reshape(restarts, choices, draws, -1)
+    left = np.array([row["left_over"] for row in found]).reshape(restarts, choices, draws)[:, :, 0]
+    return vectors, left
+
+
 def seed_centers(df, n_clusters, restarts, seed):
-    """k-means++ for several restarts: every round is one pass that draws one row per restart.
+    """k-means++ with several candidates per center, for all restarts at once.
 
-    A row is drawn with probability proportional to its squared distance to the centers so far:
-    the smallest of exponential draws divided by the distances.
+    A round is one pass. It measures the squared distances left over under every candidate for
+    the current center and already draws the next candidates for each possible choice.
     """
-    centers = None
-    for turn in range(n_clusters):
-
-        def draw(batches, centers=centers, turn=turn):
-            best = [None] * restarts
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, x = batch.column("id").to_numpy(), dense(batch.column("features"))
-                for r in range(restarts):
-                    key = -np.log(row_uniforms(ids, seed, r * n_clusters + turn))
-                    if centers is not None:
-                        gap = square_distances(x, centers[r]).min(axis=1)
-                        # Copies of a center cannot be drawn while other rows remain.
-                        key = np.where(gap > 1e-12, key / np.maximum(gap, 1e-300), np.finfo(float).max)
-                    order = np.lexsort((ids, key))[0]
-                    if best[r] is None or (key[order], ids[order]) < best[r][:2]:
-                        best[r] = (key[order], ids[order], x[order])
-            rows = [
-                {"restart": r, "key": float(b[0]), "id": int(b[1]), "features": b[2].tolist()}
-                for r, b in enumerate(best)
-                if b is not None
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_SEEDS)
-
-        found = (
-            _rows(df)
-            .coalesce(folds.task_limit(df))
-            .mapInArrow(draw, "restart int, key double, id long, features array<double>")
-            .groupBy("restart")
-            .agg(F.min_by("features", F.struct("key", "id")).alias("features"))
-            .collect()
-        )
-        drawn = np.array([row["features"] for row in sorted(found, key=lambda row: row["restart"])])[:, None, :]
-        centers = drawn if centers is None else np.concatenate([centers, drawn], axis=1)
+    df = _rows(df)
+    draws = 2 + int(np.log(n_clusters))
+    first, _ = _draw(df, None, None, restarts, 1, seed, 0)
+    candidates = first[:, 0]
+    centers = np.empty((restarts, 0, candidates.shape[2]))
+    for turn in range(1, n_clusters + 1):
+        following, left = _draw(df, centers, candidates, restarts, draws, seed, turn)
+        pick = np.arange(restarts), left.argmin(axis=1)
+        centers = np.concatenate([centers, candidates[pick][:, None, :]], axis=1)
+        candidates = following[pick]
     return centers
 
 

@@ -148,6 +148,9 @@ class RandomizedPCA(RandomizedSVD):
     name = "pca"
     centre = True
 
+    def __init__(self, n_components=None, seed=42, n_iter=7):
+        super().__init__(n_components, seed, n_iter)
+
 
 class CosineTransform(Reducer):
     """First DCT-II coefficients: along the features, or over rows and columns of images."""

@@ -54,31 +54,33 @@ class RankCuts:
             raise ValueError(f"more than {MAX_GROUPS} groups: this column is not a class label")
         return {row["g"]: row["n"] for row in rows}
 
-    def at(self, wanted):
-        """{group: rank} -> {group: Cutoff}; ranks below 1 give no cutoff."""
-        wanted = [(g, rank) for g, rank in wanted.items() if rank >= 1]
-        if not wanted:
-            return {}
+    def at(self, *wanted):
+        """Every argument {group: rank} -> {group: Cutoff}; ranks below 1 give no cutoff."""
+        pairs = {(g, rank) for ranks in wanted for g, rank in ranks.items() if rank >= 1}
+        found = self._find(sorted(pairs, key=repr)) if pairs else {}
+        cuts = [{g: found[g, rank] for g, rank in ranks.items() if rank >= 1} for ranks in wanted]
+        return cuts if len(cuts) > 1 else cuts[0]
+
+    def _find(self, pairs):
         schema = f"g {dict(self.counts.dtypes)['g']}, rank long"
-        ranks = F.broadcast(self.spark.createDataFrame(wanted, schema))
+        ranks = F.broadcast(self.spark.createDataFrame(pairs, schema))
         upto = F.sum("n").over(W.partitionBy("g").orderBy("prefix"))
         boundary = (
             self.counts.withColumn("upto", upto)
             .join(ranks, "g")
             .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-            .select("g", "prefix", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("nth"))
+            .select("g", "prefix", "rank", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("nth"))
         )
-        # One row per group, so never larger than `wanted`.
-        boundary = F.broadcast(boundary)
-        place = F.row_number().over(W.partitionBy("g").orderBy("key", "id"))
+        place = F.row_number().over(W.partitionBy("g", "prefix", "rank").orderBy("key", "id"))
+        # The broadcast side has one row per pair.
         found = (
             self.keyed.withColumn("prefix", F.substring("key", 1, _PREFIX))
-            .join(boundary, ["g", "prefix"])
+            .join(F.broadcast(boundary), ["g", "prefix"])
             .withColumn("place", place)
             .filter(F.col("place") == F.col("nth"))
-            .select("g", "key", "id")
+            .select("g", "rank", "key", "id")
         )
-        return {row["g"]: Cutoff(row["g"], row["key"], row["id"]) for row in found.collect()}
+        return {(row["g"], row["rank"]): Cutoff(row["g"], row["key"], row["id"]) for row in found.collect()}
 
 
 def _within(cut_key, cut_id, seed, id_col):
@@ -156,12 +158,11 @@ def split_table(df, train_size=None, test_size=0.2, seed=42, label_col="label",
         if stratify:
             in_train = proportional_shares(sizes, train)
             in_test = proportional_shares({g: sizes[g] - in_train[g] for g in sizes}, test)
-            first = cuts.at(in_train)
-            second = cuts.at({g: in_train[g] + in_test[g] for g in sizes})
+            first, second = cuts.at(in_train, {g: in_train[g] + in_test[g] for g in sizes})
     if not stratify:
         label_col = None
         with RankCuts(df, seed, None, id_col) as cuts:
-            first, second = cuts.at({0: train}), cuts.at({0: train + test})
+            first, second = cuts.at({0: train}, {0: train + test})
     marked = _assign(df, seed, label_col, id_col, first, second, ("train", "test", "none"))
     return marked if train + test == n else marked.filter(F.col("split") != "none")
 

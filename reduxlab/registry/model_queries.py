@@ -60,9 +60,9 @@ def clean_conversations(spark, sf_dir):
 
 
 def text_loader(spark, sf_dir):
-    """The prepared text corpus: TF-IDF on train, subsample, max-abs scaling."""
+    """The prepared text corpus: TF-IDF fitted on train, max-abs scaling."""
     docs = _documents(spark, sf_dir).withColumnRenamed("source", "label")
-    out = loaders.prepare_text(docs, SEED, 300, 100, True, VOCABULARY, remove=(), stop_words=STOP_WORDS)
+    out = loaders.prepare_text(docs, SEED, max_features=VOCABULARY, remove=(), stop_words=STOP_WORDS)
     return _weights(out.df)
 
 
@@ -80,16 +80,16 @@ def _multilabel(spark, sf_dir):
 
 
 def multilabel_loader(spark, sf_dir):
-    out = loaders.prepare_multilabel(_multilabel(spark, sf_dir), 100, SEED, 60, 20).df
+    out = loaders.prepare_multilabel(_multilabel(spark, sf_dir), 100, SEED).df
     return out.select("id", "label", "split", F.explode(F.arrays_zip("idx", "val")).alias("e")).select(
         "id", "label", "split", F.col("e.idx").alias("idx"), rounded(F.col("e.val")).alias("val")
     )
 
 
 def image_loader(spark, sf_dir):
-    """The prepared image table: rescale, split, subsample both sides, standardise."""
+    """The prepared image table: rescale, split, standardise per pixel."""
     out = loaders.prepare_images(
-        embeddings(spark, sf_dir), SEED, 200, 50, True, train_size=300, test_size=100, image_shape=(8, 8)
+        embeddings(spark, sf_dir), SEED, train_size=None, test_size=0.2, image_shape=(8, 8)
     )
     return out.df.select("id", "split", F.posexplode("features").alias("pos", "value")).withColumn(
         "value", rounded(F.col("value"))
@@ -99,9 +99,7 @@ def image_loader(spark, sf_dir):
 def colour_loader(spark, sf_dir):
     """Given train and test parts of colour images, normalised per channel."""
     df = embeddings(spark, sf_dir)
-    out = loaders.prepare_colour_images(
-        df.filter("id % 4 != 0"), df.filter("id % 4 = 0"), SEED, 200, 50, image_shape=(4, 4, 4)
-    )
+    out = loaders.prepare_colour_images(df.filter("id % 4 != 0"), df.filter("id % 4 = 0"), SEED, image_shape=(4, 4, 4))
     return out.df.select("id", "split", F.posexplode("features").alias("pos", "value")).withColumn(
         "value", rounded(F.col("value"))
     )
@@ -298,13 +296,6 @@ def terms_ctes(train="doc_id % 5 <> 0", limit=VOCABULARY, min_df=2):
         weights AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw)"""
 
 
-def _limited(source, train, test):
-    """CTE `drawn`: both sides subsampled, the test side with the next seed."""
-    return f"""drawn AS (
-        (SELECT * FROM {source} WHERE split = 'train' ORDER BY md5(concat('{SEED}:', id)), id LIMIT {train})
-        UNION ALL (SELECT * FROM {source} WHERE split = 'test' ORDER BY md5(concat('{SEED + 1}:', id)), id LIMIT {test}))"""
-
-
 _PATTERN = "((i * 7 + j * 3) % 11 - 5) / 20.0::DOUBLE"
 
 
@@ -387,26 +378,24 @@ ORACLES = {
             '(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)')), chr(10)) AS text FROM k)
         SELECT conv_id, turn, md5(text) AS digest FROM q""",
     "text_loader": f"""WITH {terms_ctes()},
-        sides AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents),
-        {_limited('sides', 300, 100)},
-        kept AS (SELECT w.*, split FROM weights w JOIN drawn USING (id)),
-        peak AS (SELECT idx, max(w) AS m FROM kept WHERE split = 'train' GROUP BY idx)
+        kept AS (SELECT w.*, id % 5 <> 0 AS train FROM weights w),
+        peak AS (SELECT idx, max(w) AS m FROM kept WHERE train GROUP BY idx)
         SELECT id, idx::INTEGER AS idx, {r6('w / coalesce(m, 1)')} AS val FROM kept LEFT JOIN peak USING (idx)""",
     "multilabel_loader": f"""WITH cells AS (SELECT user_id AS id, (props->>'$.k')::INTEGER AS idx, sum(value) AS val FROM events GROUP BY 1, 2),
         firsts AS (SELECT user_id AS id, min(list_position({EVENT_TYPES!r}, event_type) - 1)::INTEGER AS label
             FROM events WHERE value > 150 GROUP BY user_id),
-        joint AS (SELECT * FROM firsts ORDER BY md5(concat('{SEED}:', id)), id LIMIT 80),
-        {split_ctes('joint', 'least(total - 20, 60)', '20')},
-        kept AS (SELECT c.*, p.label, p.split FROM cells c JOIN parts p USING (id)),
+        smallest AS (SELECT min(n) AS few FROM (SELECT count(*) AS n FROM firsts GROUP BY label)),
+        grouped AS (SELECT id, label AS true_label, CASE WHEN few < 2 THEN 0 ELSE label END AS label FROM firsts, smallest),
+        {split_ctes('grouped', 'total - CAST(ceil(total * 0.2) AS BIGINT)', 'CAST(ceil(total * 0.2) AS BIGINT)')},
+        kept AS (SELECT c.*, true_label AS label, p.split FROM cells c JOIN parts p USING (id) JOIN grouped USING (id)),
         peak AS (SELECT idx, max(abs(val)) AS m FROM kept WHERE split = 'train' GROUP BY idx)
         SELECT id, label, split, idx, {r6('val / CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE m END')} AS val FROM kept LEFT JOIN peak USING (idx)""",
-    "image_loader": f"""WITH {E}, {UNPACKED}, {split_ctes('e', '300', '100')}, {_limited('parts', 200, 50)},
-        p AS (SELECT id, split, pos, x / 255 AS x FROM u JOIN drawn USING (id)),
+    "image_loader": f"""WITH {E}, {UNPACKED}, {SPLIT_E},
+        p AS (SELECT id, split, pos, x / 255 AS x FROM u JOIN parts USING (id)),
         s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS sd FROM p WHERE split = 'train' GROUP BY pos)
         SELECT id, split, pos::INTEGER AS pos, {r6('(x - m) / sd')} AS value FROM p JOIN s USING (pos)""",
-    "colour_loader": f"""WITH {E}, {UNPACKED}, sides AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM e),
-        {_limited('sides', 200, 50)},
-        p AS (SELECT id, split, pos, x / 255 AS x FROM u JOIN drawn USING (id)),
+    "colour_loader": f"""WITH {E}, {UNPACKED},
+        p AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'test' ELSE 'train' END AS split, pos, x / 255 AS x FROM u),
         s AS (SELECT pos % 4 AS ch, avg(x) AS m, stddev_pop(x) + 1e-8 AS sd FROM p WHERE split = 'train' GROUP BY ch)
         SELECT id, split, pos::INTEGER AS pos, {r6('(x - m) / sd')} AS value FROM p JOIN s ON pos % 4 = ch""",
     "svm_gradient_step": _slope_sql("u", UNPACKED),

@@ -217,7 +217,7 @@ def silhouette(spark, sf_dir):
     df = planted(embeddings(spark, sf_dir), 1.0).withColumn(
         "cluster", F.when(F.col("id") == 3, -1).otherwise(F.col("label"))
     )
-    return geometry.silhouette(df, sample_size=400, seed=SEED).select(F.round("silhouette", 6).alias("silhouette"))
+    return geometry.silhouette(df, seed=SEED).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 def _methods(spark, sf_dir):
@@ -231,14 +231,14 @@ def _methods(spark, sf_dir):
 
 def distance_preservation(spark, sf_dir):
     kept = geometry.distance_preservation(
-        _methods(spark, sf_dir), ["gaussian_rp", "sparse_rp", "dct"], sample_size=450, seed=SEED
+        _methods(spark, sf_dir), ["gaussian_rp", "sparse_rp", "dct"], seed=SEED
     )
     return kept.select("method", F.round("distance_preservation", 6).alias("distance_preservation"))
 
 
 def distortion_histogram(spark, sf_dir):
     return geometry.distance_distortion(
-        _methods(spark, sf_dir), ["gaussian_rp", "sparse_rp", "dct"], sample_size=300, seed=SEED
+        _methods(spark, sf_dir), ["gaussian_rp", "sparse_rp", "dct"], seed=SEED
     ).select("method", "bin", F.round("bin_start", 6).alias("bin_start"), F.round("bin_end", 6).alias("bin_end"), "n")
 
 
@@ -449,17 +449,17 @@ ORACLES = {
     + " FROM g GROUP BY 1",
     "silhouette": f"""WITH {E}, s AS (SELECT id, CASE WHEN id = 3 THEN -1 ELSE label END AS cluster,
             list_transform(range(64), lambda i: features[i + 1] + CASE WHEN i = label THEN 1 ELSE 0 END) AS f FROM e
-            ORDER BY md5(concat('{SEED}:', id)), id LIMIT 400),
+            ORDER BY md5(concat('{SEED}:', id)), id LIMIT 2000),
         d AS (SELECT a.id, a.cluster AS own, b.cluster AS other, sum(list_distance(a.f, b.f)) AS total, count(*) AS n
             FROM s a, s b GROUP BY ALL),
         w AS (SELECT id, max(n) FILTER (own = other) AS size,
                 max(CASE WHEN n > 1 THEN total / (n - 1) END) FILTER (own = other) AS a, min(total / n) FILTER (own <> other) AS b
             FROM d GROUP BY id)
         SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM w""",
-    "distance_preservation": f"""{_methods_sql(450)}
+    "distance_preservation": f"""{_methods_sql(1000)}
         SELECT 'gaussian_rp' AS method, round(corr(d0, d1), 6) AS distance_preservation FROM pairs
         UNION ALL SELECT 'sparse_rp', round(corr(d0, d2), 6) FROM pairs UNION ALL SELECT 'dct', round(corr(d0, d3), 6) FROM pairs""",
-    "distortion_histogram": f"""{_methods_sql(300)},
+    "distortion_histogram": f"""{_methods_sql(600)},
         r AS (SELECT 'gaussian_rp' AS method, d1 / d0 AS r FROM pairs WHERE d0 > 1e-12 UNION ALL
               SELECT 'sparse_rp', d2 / d0 FROM pairs WHERE d0 > 1e-12 UNION ALL SELECT 'dct', d3 / d0 FROM pairs WHERE d0 > 1e-12),
         lim AS (SELECT method, min(r) AS lo, max(r) AS hi FROM r GROUP BY method),
