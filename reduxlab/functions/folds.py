@@ -17,12 +17,18 @@ from pyspark.sql import functions as F
 DRIVER_BYTES = 128 << 20
 BROADCAST_BYTES = 512 << 20
 TASKS_PER_CORE = 4
+# What all tasks of one pass may hand on together, before the number of tasks is cut.
+STATE_BYTES = 256 << 30
+MIN_TASKS = 256
 _CHUNK = 8192
 _CHUNK_SCHEMA = "chunk int, salt int, state array<double>"
 
 
-def task_limit(df):
-    return TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+def task_limit(df, length=0):
+    """Tasks of a pass: a few per core, fewer when each of them returns a large state."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    affordable = STATE_BYTES // (8 * max(1, length))
+    return int(max(min(cores, MIN_TASKS), min(TASKS_PER_CORE * cores, affordable)))
 
 
 def share(df, value, size_bytes, what):
@@ -43,14 +49,14 @@ def _chunk_batch(chunks, salts, states):
     )
 
 
-def _per_task_chunks(df, fold, fan_in):
+def _per_task_chunks(df, fold, fan_in, length):
     def run(batches):
         state = np.asarray(fold(batches), dtype=np.float64).ravel()
         salt = TaskContext.get().partitionId() % fan_in
         for number, start in enumerate(range(0, len(state), _CHUNK)):
             yield _chunk_batch([number], [salt], [state[start : start + _CHUNK]])
 
-    return df.coalesce(task_limit(df)).mapInArrow(run, _CHUNK_SCHEMA)
+    return df.coalesce(task_limit(df, length)).mapInArrow(run, _CHUNK_SCHEMA)
 
 
 def _add_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +68,10 @@ def _add_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield _chunk_batch([key[0].as_py()], [0], [total])
 
 
-def folded_table(df, fold):
+def folded_table(df, fold, length):
     """Summed state as rows (pos, value), wholly inside Spark."""
-    fan_in = max(2, int(task_limit(df) ** 0.5))
-    chunks = _per_task_chunks(df, fold, fan_in)
+    fan_in = max(2, int(task_limit(df, length) ** 0.5))
+    chunks = _per_task_chunks(df, fold, fan_in, length)
     level = chunks.groupBy("chunk", "salt").applyInArrow(_add_chunks, _CHUNK_SCHEMA)
     total = level.groupBy("chunk").applyInArrow(_add_chunks, _CHUNK_SCHEMA)
     return total.select("chunk", F.posexplode("state").alias("offset", "value")).select(
@@ -76,12 +82,12 @@ def folded_table(df, fold):
 def folded(df, fold, length):
     """Summed state as a NumPy vector of `length` values on the driver."""
     total = np.zeros(length)
-    if task_limit(df) * length * 8 <= DRIVER_BYTES:
-        parts = _per_task_chunks(df, fold, 1).toArrow()
+    if task_limit(df, length) * length * 8 <= DRIVER_BYTES:
+        parts = _per_task_chunks(df, fold, 1, length).toArrow()
         for number, state in zip(parts["chunk"].to_pylist(), parts["state"]):
             piece = state.values.to_numpy()
             total[number * _CHUNK : number * _CHUNK + len(piece)] += piece
         return total
-    table = folded_table(df, fold).toArrow()
+    table = folded_table(df, fold, length).toArrow()
     total[table["pos"].to_numpy()] = table["value"].to_numpy()
     return total

@@ -97,11 +97,26 @@ def pair_distances(batches, held, vectors):
                 yield [distances.euclidean(_matrix(part, v), points[v])[once] for v in vectors]
 
 
-def distance_moments(df, methods, original="original", **sizes):
+def paired_sample(original, reduced, sample_size, seed=42):
+    """id, `original` and one vector column per entry of `reduced`, for a sample of the rows.
+
+    The sample is drawn before the tables are joined, so only its rows travel.
+    """
+    chosen = subsample(original.select("id", F.col("features").alias("original")), sample_size, seed)
+    if sample_size is not None:
+        # At most `sample_size` rows.
+        ids = F.broadcast(chosen.select("id"))
+        reduced = {name: df.join(ids, "id", "left_semi") for name, df in reduced.items()}
+    for name, df in reduced.items():
+        chosen = chosen.join(df.select("id", F.col("features").alias(name)), "id")
+    return chosen
+
+
+def distance_moments(df, methods, **sizes):
     """Per method: number of pairs, means, variances and covariance of the two distances."""
 
     def work(batches, held):
-        for base, *others in pair_distances(batches, held, [original, *methods]):
+        for base, *others in pair_distances(batches, held, ["original", *methods]):
             for method, reduced in zip(methods, others):
                 m1, m2 = base.mean(), reduced.mean()
                 yield _table(
@@ -119,13 +134,13 @@ def distance_moments(df, methods, original="original", **sizes):
                     ],
                 )
 
-    return blocks.against(df, df, [original, *methods], work, _MOMENTS, **sizes)
+    return blocks.against(df, df, ["original", *methods], work, _MOMENTS, **sizes)
 
 
-def distance_preservation(df, methods, original="original", sample_size=1000, seed=42, **sizes):
+def distance_preservation(original, reduced, sample_size=1000, seed=42, **sizes):
     """Per method, Pearson's correlation of pair distances before and after reduction."""
-    sample = subsample(df.select("id", original, *methods), sample_size, seed)
-    parts = distance_moments(sample, methods, original, **sizes)
+    methods = list(reduced)
+    parts = distance_moments(paired_sample(original, reduced, sample_size, seed), methods, **sizes)
     n = F.col("n")
 
     def spread(own, left, right):
@@ -137,10 +152,11 @@ def distance_preservation(df, methods, original="original", sample_size=1000, se
     return parts.groupBy("method").agg((spread("c12", "m1", "m2") / both).alias("distance_preservation"))
 
 
-def distance_distortion(df, methods, original="original", sample_size=600, seed=42, bins=50, **sizes):
+def distance_distortion(original, reduced, sample_size=600, seed=42, bins=50, **sizes):
     """Per method, a histogram of reduced / original distance over equal bins."""
-    sample = subsample(df.select("id", original, *methods), sample_size, seed)
-    columns = [original, *methods]
+    methods = list(reduced)
+    sample = paired_sample(original, reduced, sample_size, seed)
+    columns = ["original", *methods]
 
     def ratios(batches, held):
         for base, *others in pair_distances(batches, held, columns):
@@ -184,7 +200,7 @@ def distance_distortion(df, methods, original="original", sample_size=600, seed=
                 )
 
     counted = blocks.against(sample, sample, columns, count, _BINS, **sizes)
-    edges = df.sparkSession.createDataFrame(
+    edges = original.sparkSession.createDataFrame(
         [(m, lo, hi) for m, (lo, hi) in limits.items()], "method string, lo double, hi double"
     )
     return (

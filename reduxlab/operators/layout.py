@@ -1,5 +1,6 @@
 """Dense and sparse forms, image layouts, feature memory, and unique column names."""
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,13 +77,30 @@ def feature_memory(df, sparse=False, value_bytes=4):
     return df.agg(F.count("*").alias("n"), (size / F.lit(float(1 << 20))).alias("memory_mb"))
 
 
-def occurrence_number(df, order_col, name_col, span=100_000):
-    """How often the name has appeared so far, counting along a unique whole-number order.
+MAX_SPANS = 10_000
 
-    The order is cut into spans: occurrences are counted per span, summed over the spans before,
-    and numbered inside a span, so a name holding most of the rows is still cut into pieces.
+
+def _cut_by_order(df, order_col, span_rows):
+    """Add `_span`, the number of an equal share of the rows along `order_col`."""
+    spans = min(MAX_SPANS, df.count() // span_rows + 1)
+    if spans == 1:
+        return df.withColumn("_span", F.lit(0.0))
+    shares = [i / spans for i in range(1, spans)]
+    edges = sorted(set(df.approxQuantile(order_col, shares, 1 / (4 * spans))))
+    splits = [float("-inf"), *edges, float("inf")]
+    return Bucketizer(splits=splits, inputCol="_order", outputCol="_span").transform(
+        df.withColumn("_order", F.col(order_col).cast("double"))
+    ).drop("_order")
+
+
+def occurrence_number(df, order_col, name_col, span_rows=100_000):
+    """How often the name has appeared so far along a unique order.
+
+    The rows are cut into spans of similar size: occurrences are counted per span, summed over
+    the spans before, and numbered inside a span, so a name holding most of the rows is still
+    cut into pieces.
     """
-    cut = df.withColumn("_span", F.floor(F.col(order_col) / span))
+    cut = _cut_by_order(df, order_col, span_rows)
     before = F.sum("n").over(W.partitionBy(name_col).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
     offsets = (
         cut.groupBy(name_col, "_span")

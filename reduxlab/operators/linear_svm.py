@@ -1,4 +1,4 @@
-"""Linear support vector machines: squared hinge by L-BFGS, hinge by averaged local SGD.
+"""Linear support vector machines: squared hinge by Newton steps, hinge by averaged local SGD.
 
 All one-vs-rest problems share every pass over the table; the driver holds (d + 1) x K numbers.
 """
@@ -30,20 +30,31 @@ def _targets(batch, classes):
     return signs
 
 
-def _squared_hinge_fold(shared, classes, cost, sparse):
+# Second derivatives of all classes are summed while they have at most this many entries.
+CURVATURE_VALUES = 4_000_000
+
+
+def _squared_hinge_fold(shared, classes, cost, sparse, curved=False):
     def fold(batches):
         weights = shared.value
-        slopes, loss = np.zeros_like(weights), 0.0
+        size, k = weights.shape
+        slopes, losses = np.zeros_like(weights), np.zeros(k)
+        curvature = np.zeros((k, size, size)) if curved else np.zeros(0)
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows, signs = read_rows(batch, sparse), _targets(batch, classes)
             short = np.maximum(0.0, 1.0 - signs * (rows.dot(weights[:-1]) + weights[-1]))
             pull = -2.0 * cost * signs * short
-            slopes[:-1] += rows.transposed_dot(pull, len(weights) - 1)
+            slopes[:-1] += rows.transposed_dot(pull, size - 1)
             slopes[-1] += pull.sum(axis=0)
-            loss += cost * float((short * short).sum())
-        return np.append(slopes.ravel(), loss)
+            losses += cost * (short * short).sum(axis=0)
+            if curved:
+                x = np.hstack([rows.to_matrix(size - 1), np.ones((len(rows), 1))])
+                for c in range(k):
+                    active = x[short[:, c] > 0]
+                    curvature[c] += 2.0 * cost * (active.T @ active)
+        return np.concatenate([slopes.ravel(), losses, curvature.ravel()])
 
     return fold
 
@@ -52,22 +63,26 @@ def _training_columns(sparse):
     return [*feature_columns(sparse), "label"]
 
 
-def squared_hinge(df, weights, classes, cost=1.0, sparse=False):
-    """Objective 1/2 |w, b|^2 + C sum max(0, 1 - y f)^2 over all classes, and its gradient."""
+def squared_hinge(df, weights, classes, cost=1.0, sparse=False, curved=False):
+    """Per class 1/2 |w, b|^2 + C sum max(0, 1 - y f)^2, its gradient and, if wanted, curvature."""
+    size, k = weights.shape
     shared = folds.share(df, weights, weights.nbytes, "weights")
-    fold = _squared_hinge_fold(shared, classes, cost, sparse)
-    state = folds.folded(df.select(*_training_columns(sparse)), fold, weights.size + 1)
+    fold = _squared_hinge_fold(shared, classes, cost, sparse, curved)
+    length = weights.size + k + (k * size * size if curved else 0)
+    state = folds.folded(df.select(*_training_columns(sparse)), fold, length)
     shared.destroy()
-    return 0.5 * float((weights * weights).sum()) + state[-1], state[:-1].reshape(weights.shape) + weights
+    slopes = state[: weights.size].reshape(weights.shape) + weights
+    losses = state[weights.size : weights.size + k] + 0.5 * (weights * weights).sum(axis=0)
+    curvature = state[weights.size + k :].reshape(k, size, size) + np.eye(size) if curved else None
+    return losses, slopes, curvature
 
 
 def squared_hinge_table(df, weights, classes, cost=1.0, sparse=False):
     """The loss part of that gradient as rows (i, class, slope); i = d is the intercept."""
     shared = folds.share(df, weights, weights.nbytes, "weights")
-    summed = folds.folded_table(
-        df.select(*_training_columns(sparse)), _squared_hinge_fold(shared, classes, cost, sparse)
-    )
     size = len(classes)
+    fold = _squared_hinge_fold(shared, classes, cost, sparse)
+    summed = folds.folded_table(df.select(*_training_columns(sparse)), fold, weights.size + size)
     return summed.filter(F.col("pos") < weights.size).select(
         F.floor(F.col("pos") / size).cast("int").alias("i"),
         (F.col("pos") % size).cast("int").alias("cls"),
@@ -75,10 +90,38 @@ def squared_hinge_table(df, weights, classes, cost=1.0, sparse=False):
     )
 
 
-def minimise(evaluate, start, max_iter, tol, memory=10):
-    """L-BFGS with step halving; `evaluate` costs one pass over the data."""
+def newton(evaluate, start, max_iter, tol):
+    """Newton steps for every class at once; a pass gives loss, gradient and curvature.
+
+    The loss is piecewise quadratic, so full steps nearly always hold; a class whose loss does
+    not fall halves its own step.
+    """
+    point = start
+    losses, slope, curvature = evaluate(point)
+    limit = tol * max(1.0, float(np.linalg.norm(slope)))
+    for _ in range(max_iter):
+        if np.linalg.norm(slope) <= limit:
+            break
+        step = np.stack([np.linalg.solve(curvature[c], slope[:, c]) for c in range(len(losses))], axis=1)
+        descent, length = (slope * step).sum(axis=0), np.ones(len(losses))
+        while True:
+            trial = point - step * length
+            new_losses, new_slope, new_curvature = evaluate(trial)
+            uphill = new_losses > losses - 1e-4 * length * descent + 1e-12 * np.abs(losses)
+            if not uphill.any():
+                break
+            length[uphill] /= 2
+            if length.min() < 1e-8:
+                return point
+        point, losses, slope, curvature = trial, new_losses, new_slope, new_curvature
+    return point
+
+
+def quasi_newton(evaluate, start, max_iter, tol, memory=10):
+    """L-BFGS with step halving, for widths whose curvature is too large to hold."""
     point = start
-    value, slope = evaluate(point)
+    losses, slope, _ = evaluate(point)
+    value = losses.sum()
     limit = tol * max(1.0, float(np.linalg.norm(slope)))
     steps, changes = [], []
     for _ in range(max_iter):
@@ -98,8 +141,8 @@ def minimise(evaluate, start, max_iter, tol, memory=10):
         descent = float((slope * direction).sum())
         while True:
             trial = point - length * direction
-            trial_value, trial_slope = evaluate(trial)
-            if trial_value <= value - 1e-4 * length * descent or length < 1e-12:
+            trial_losses, trial_slope, _ = evaluate(trial)
+            if trial_losses.sum() <= value - 1e-4 * length * descent or length < 1e-12:
                 break
             length /= 2
         if length < 1e-12:
@@ -107,12 +150,12 @@ def minimise(evaluate, start, max_iter, tol, memory=10):
         s, y = trial - point, trial_slope - slope
         if float((s * y).sum()) > 1e-12 * float((y * y).sum()):
             steps, changes = (steps + [s])[-memory:], (changes + [y])[-memory:]
-        point, value, slope = trial, trial_value, trial_slope
+        point, value, slope = trial, trial_losses.sum(), trial_slope
     return point
 
 
 def decide(df, weights, classes, sparse=False):
-    """id, prediction: the class with the largest decision value, the first one on ties."""
+    """Add `prediction`, the class with the largest decision value (the first one on ties)."""
     shared = folds.share(df, (weights, classes), weights.nbytes, "weights")
 
     def label_of(rows):
@@ -131,7 +174,7 @@ def decide(df, weights, classes, sparse=False):
         return label_of(read_rows(pa.RecordBatch.from_arrays([idx, val], columns), True))
 
     predict = predict_sparse if sparse else predict_one
-    return df.select("id", predict(*columns).alias("prediction"))
+    return df.withColumn("prediction", predict(*columns)).drop(*columns)
 
 
 class _LinearClassifier:
@@ -169,11 +212,11 @@ class SquaredHingeSVM(_LinearClassifier):
         try:
             self.classes = class_values(rows)
             width = width or _width(rows, sparse)
+            start = np.zeros((width + 1, len(self.classes)))
+            curved = start.size * len(start) <= CURVATURE_VALUES
+            minimise = newton if curved else quasi_newton
             self.weights = minimise(
-                lambda w: squared_hinge(rows, w, self.classes, self.C, sparse),
-                np.zeros((width + 1, len(self.classes))),
-                self.max_iter,
-                self.tol,
+                lambda w: squared_hinge(rows, w, self.classes, self.C, sparse, curved), start, self.max_iter, self.tol
             )
         finally:
             rows.unpersist()

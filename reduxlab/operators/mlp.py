@@ -223,7 +223,7 @@ class NeuralNetwork:
         self.weights = state[0] if best_weights is None else best_weights
 
     def predict(self, df, with_logits=False):
-        """id, prediction (and logits on request)."""
+        """Add `prediction` (and `logits` on request) in place of the features."""
         df, sparse = self._rows(df, "idx" in df.columns, self.input_dim)
         if sparse != self.sparse:
             raise ModelError("rows must have the form, dense or sparse, that the network was trained on")
@@ -258,7 +258,7 @@ def predict(df, weights, shapes, sparse=False, with_logits=False):
     def run_sparse(idx: pa.Array, val: pa.Array) -> pa.Array:
         return logits_of(idx, val)
 
-    scored = df.select("id", (run_sparse if sparse else run_dense)(*columns).alias("logits"))
+    scored = df.withColumn("logits", (run_sparse if sparse else run_dense)(*columns)).drop(*columns)
     best = (F.array_position("logits", F.array_max("logits")) - 1).cast("int")
     out = scored.withColumn("prediction", best)
     return out if with_logits else out.drop("logits")
@@ -266,7 +266,7 @@ def predict(df, weights, shapes, sparse=False, with_logits=False):
 
 def loss_table(df, weights, shapes, sparse=False):
     """One row: cross-entropy sum, hits, rows - the running totals of training and validation."""
-    scored = predict(df, weights, shapes, sparse, with_logits=True).join(df.select("id", "label"), "id")
+    scored = predict(df, weights, shapes, sparse, with_logits=True)
     total = F.aggregate("logits", F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max("logits")))
     loss = F.log(total) + F.array_max("logits") - F.get("logits", F.col("label"))
     return scored.agg(

@@ -1,14 +1,23 @@
-"""Exact nearest neighbours: a join that keeps k rows per query, the vote, and the graph."""
+"""Exact nearest neighbours: a join that keeps k rows per query, the vote, and the graph.
+
+Three ways, chosen by counted sizes, give the same rows:
+
+* a small base is broadcast and every query is finished where it lies, without a shuffle;
+* few queries are broadcast, the base is streamed, and each task's k candidates are merged;
+* otherwise both sides meet in cells around pivots, and cells that the triangle inequality
+  rules out for a query are never sent to it (`cells.py`).
+"""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import distances
 from ..functions.columns import largest_by_count
 from ..functions.matrices import feature_columns, read_rows
-from . import blocks
+from . import blocks, cells
 
 _FOUND = pa.schema(
     [("id", pa.int64()), ("neighbour", pa.int64()), ("label", pa.int32()), ("dist", pa.float64())]
@@ -64,45 +73,83 @@ class _Best:
         )
 
 
-def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, width=None, **sizes):
+class _Search:
+    """Compares blocks of queries with blocks of the base inside a task."""
+
+    def __init__(self, k, metric, skip_self, sparse, width):
+        self.k, self.metric, self.skip_self, self.sparse, self.width = k, metric, skip_self, sparse, width
+
+    def _parts(self, table):
+        """(ids, labels, rows, width) of slices whose filled-in form stays small."""
+        batches = table.combine_chunks().to_batches() if isinstance(table, pa.Table) else [table]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = read_rows(batch, self.sparse)
+            width = self.width if self.sparse else rows.matrix.shape[1]
+            step = max(1, min(4096, distances.SLICE_VALUES // width))
+            ids = batch.column("id").to_numpy()
+            labels = batch.column("label").to_numpy() if "label" in batch.schema.names else None
+            for start in range(0, len(ids), step):
+                at = np.arange(start, min(start + step, len(ids)))
+                yield ids[at], None if labels is None else labels[at], rows.take(at), width
+
+    def _start(self, ids, rows, width):
+        return _Best(ids, rows, width, self.k, self.metric, self.skip_self)
+
+    def stream_base(self, base_batches, queries):
+        """Candidates for all held queries from the base rows of this task."""
+        best = [self._start(ids, rows, width) for ids, _, rows, width in self._parts(queries)]
+        for batch in base_batches:
+            for ids, labels, rows, width in self._parts(batch):
+                vectors = rows.to_matrix(width)
+                for part in best:
+                    part.see(ids, vectors, labels)
+        for part in best:
+            yield part.batch()
+
+    def stream_queries(self, query_batches, base):
+        """Final neighbours of this task's queries in the whole held base."""
+        for batch in query_batches:
+            for ids, _, rows, width in self._parts(batch):
+                best = self._start(ids, rows, width)
+                for base_ids, labels, base_rows, _ in self._parts(base):
+                    best.see(base_ids, base_rows.to_matrix(width), labels)
+                yield best.batch()
+
+
+def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, width=None,
+            small_bytes=blocks.SMALL_SIDE_BYTES, block_bytes=blocks.BLOCK_BYTES):
     """(id, neighbour, label, dist, rank) for the k nearest `base` rows of every query.
 
     Sparse rows of `width` features are filled in only for the slice being compared.
     """
     metric = distances.resolve(metric)
+    if sparse and width is None:
+        raise ValueError("sparse rows need their width")
     columns = feature_columns(sparse)
     label = F.col("label").cast("int") if "label" in base.columns else F.lit(0)
     base = base.select(F.col("id").cast("long"), *columns, label.alias("label"))
     queries = queries.select(F.col("id").cast("long"), *columns)
-    if sparse and width is None:
-        raise ValueError("sparse rows need their width")
-
-    def work(batches, held):
-        best = None
-        for batch in batches:
-            if not batch.num_rows or not held.num_rows:
-                continue
-            rows = read_rows(batch, sparse)
-            dims = width if sparse else rows.matrix.shape[1]
-            step = max(1, min(4096, distances.SLICE_VALUES // dims))
-            if best is None:
-                ids, known = held["id"].to_numpy(), read_rows(held.combine_chunks().to_batches()[0], sparse)
-                best = []
-                for at in range(0, len(ids), step):
-                    part = np.arange(at, min(at + step, len(ids)))
-                    best.append(_Best(ids[part], known.take(part), dims, k, metric, skip_self))
-            seen, labels = batch.column("id").to_numpy(), batch.column("label").to_numpy()
-            for at in range(0, len(seen), step):
-                part = np.arange(at, min(at + step, len(seen)))
-                vectors = rows.take(part).to_matrix(dims)
-                for slice_best in best:
-                    slice_best.see(seen[part], vectors, labels[part])
-        for slice_best in best or []:
-            yield slice_best.batch()
-
-    found = blocks.against(base, queries, columns, work, _FOUND, **sizes)
-    # At most k candidates per query and task reach this window.
+    search = _Search(k, metric, skip_self, sparse, width)
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
+
+    base_rows, base_bytes = blocks.stored_bytes(base, columns)
+    if base_bytes <= small_bytes:
+        shared = base.sparkSession.sparkContext.broadcast(base.toArrow())
+
+        def finish(batches):
+            yield from search.stream_queries(batches, shared.value)
+
+        found = queries.mapInArrow(finish, from_arrow_schema(_FOUND))
+        return found.withColumn("rank", rank)
+    prunable = not sparse and metric != distances.COSINE
+    if prunable and blocks.stored_bytes(queries, columns)[1] > small_bytes:
+        block_rows = max(1, block_bytes * base_rows // base_bytes)
+        found = cells.meet(queries, base, k + skip_self, metric, base_rows, block_rows, search.stream_base, _FOUND)
+    else:
+        found = blocks.against(base, queries, columns, search.stream_base, _FOUND, small_bytes, block_bytes)
+    # The rank filter also runs inside every task, so at most k rows per query leave it.
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
@@ -139,7 +186,7 @@ class NearestNeighbours:
 
     def predict(self, df):
         found = nearest(df, self.base, self.n_neighbors, self.metric, sparse=self.sparse, width=self.width)
-        return vote(found)
+        return df.drop(*feature_columns(self.sparse)).join(vote(found), "id")
 
     def params(self):
         return {"n_neighbors": self.n_neighbors, "metric": self.metric}

@@ -10,7 +10,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions import folds
 from ..functions.matrices import dense
-from .spectral import column_means
+from .scaling import feature_moments
 
 _DRAWS = pa.schema(
     [
@@ -45,7 +45,7 @@ def square_distances(x, centers):
 
 
 def _rows(df):
-    return df.select(F.col("id").cast("long"), "features")
+    return df.select(F.col("id").cast("long").alias("id"), "features")
 
 
 def _draw_fold(shared, restarts, draws, seed, turn):
@@ -116,7 +116,6 @@ def seed_centers(df, n_clusters, restarts, seed):
     A round is one pass. It measures the squared distances left over under every candidate for
     the current center and already draws the next candidates for each possible choice.
     """
-    df = _rows(df)
     draws = 2 + int(np.log(n_clusters))
     first, _ = _draw(df, None, None, restarts, 1, seed, 0)
     candidates = first[:, 0]
@@ -204,16 +203,15 @@ class KMeans:
     def fit(self, df):
         rows = _rows(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._fit(rows)
+            return self.fit_stored(rows)
         finally:
             rows.unpersist()
-        return self
 
-    def _fit(self, rows):
+    def fit_stored(self, rows):
+        """The same for rows that the caller keeps in storage."""
         centers = seed_centers(rows, self.n_clusters, self.n_init, self.seed)
-        n, mean = column_means(rows, centers.shape[2])
-        variance = folds.folded(rows.select("features"), _spread_fold(mean), len(mean)) / max(n, 1)
-        limit = self.tol * variance.mean()
+        spread = feature_moments(rows).agg(F.avg(F.col("std") * F.col("std")).alias("variance")).head()
+        limit = self.tol * spread["variance"]
         running = np.ones(self.n_init, dtype=bool)
         spread = np.full(self.n_init, np.inf)
         for _ in range(self.max_iter):
@@ -228,22 +226,12 @@ class KMeans:
         spread = lloyd_sums(rows, centers)[2]
         best = int(spread.argmin())
         self.centers, self.inertia, self.all_centers = centers[best], float(spread[best]), centers
+        return self
 
     def transform(self, df):
         return assign_clusters(df, self.centers)
 
 
-def _spread_fold(mean):
-    def fold(batches):
-        total = np.zeros(len(mean))
-        for batch in batches:
-            if batch.num_rows:
-                total += ((dense(batch.column("features")) - mean) ** 2).sum(axis=0)
-        return total
-
-    return fold
-
-
 @dataclass(frozen=True)
 class Mixture:
     """Weights, means and diagonal variances of one mixture."""
@@ -361,7 +349,7 @@ class GaussianMixture:
     def fit(self, df):
         rows = _rows(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            starts = KMeans(self.n_components, seed=self.seed, n_init=self.n_init).fit(rows).all_centers
+            starts = KMeans(self.n_components, seed=self.seed, n_init=self.n_init).fit_stored(rows).all_centers
             mixtures = [_maximise(m, self.reg_covar) for m in hard_moments(rows, starts)]
             bounds = np.full(self.n_init, -np.inf)
             running = list(range(self.n_init))

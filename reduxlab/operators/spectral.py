@@ -54,7 +54,7 @@ def covariance(df, width):
 def covariance_table(df, width):
     """The same covariance as rows (i, j, cov), summed and kept inside Spark."""
     n, mean = column_means(df, width)
-    summed = folds.folded_table(df.select("features"), _gram_fold(mean, width))
+    summed = folds.folded_table(df.select("features"), _gram_fold(mean, width), width * width)
     return summed.select(
         F.floor(F.col("pos") / width).cast("int").alias("i"),
         (F.col("pos") % width).cast("int").alias("j"),
@@ -86,7 +86,9 @@ def power_step(df, basis, mean=None, sparse=False):
     width, size = basis.shape
     shared = folds.share(df, basis, basis.nbytes, "range basis")
     fold = _power_fold(shared, mean, width, sparse)
-    return folds.folded(df.select(*feature_columns(sparse)), fold, width * size).reshape(width, size)
+    total = folds.folded(df.select(*feature_columns(sparse)), fold, width * size)
+    shared.destroy()
+    return total.reshape(width, size)
 
 
 def power_step_table(df, basis, mean=None, sparse=False):
@@ -94,7 +96,7 @@ def power_step_table(df, basis, mean=None, sparse=False):
     width, size = basis.shape
     shared = folds.share(df, basis, basis.nbytes, "range basis")
     fold = _power_fold(shared, mean, width, sparse)
-    return folds.folded_table(df.select(*feature_columns(sparse)), fold).select(
+    return folds.folded_table(df.select(*feature_columns(sparse)), fold, width * size).select(
         F.floor(F.col("pos") / size).cast("int").alias("i"), (F.col("pos") % size).cast("int").alias("j"), "value"
     )
 

@@ -112,10 +112,7 @@ def clustering_sweep(spark, tables, dims=(50, 100, 200), sample_size=10_000, see
         for k in feasible_dims(dims, table.input_dim):
             reduced = reduce_all(sampled, k, methods, seed)
             for method, (df, seconds) in reduced.items():
-                both = stored.select("id", F.col("features").alias("original")).join(
-                    df.select("id", F.col("features").alias(method)), "id"
-                )
-                preserved = geometry.distance_preservation(both, [method], seed=seed).head()["distance_preservation"]
+                preserved = geometry.distance_preservation(stored, {method: df}, seed=seed).head()["distance_preservation"]
                 rows += _cell(table, df, method, k, n_clusters, seconds, preserved, seed, options)
                 df.unpersist()
         stored.unpersist()

@@ -133,12 +133,12 @@ def _sides(spark, sf_dir, sparse=False):
 
 def svm_predict(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    return SquaredHingeSVM(seed=SEED, scale_dense=True, tol=1e-3).fit(train).predict(test)
+    return SquaredHingeSVM(seed=SEED, scale_dense=True, tol=1e-3).fit(train).predict(test).select("id", "prediction")
 
 
 def svm_predict_sparse(spark, sf_dir):
     train, test = _sides(spark, sf_dir, sparse=True)
-    return SquaredHingeSVM(seed=SEED, tol=1e-3).fit(train, sparse=True, width=64).predict(test)
+    return SquaredHingeSVM(seed=SEED, tol=1e-3).fit(train, sparse=True, width=64).predict(test).select("id", "prediction")
 
 
 def sgd_hinge_step(spark, sf_dir):
@@ -150,7 +150,7 @@ def sgd_hinge_step(spark, sf_dir):
 
 def sgd_predict(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    return HingeSGD(alpha=1e-3, max_iter=20, seed=SEED).fit(train).predict(test)
+    return HingeSGD(alpha=1e-3, max_iter=20, seed=SEED).fit(train).predict(test).select("id", "prediction")
 
 
 MLP_SHAPES = mlp.layer_shapes(64, 8, 10)
@@ -171,7 +171,7 @@ def mlp_forward(spark, sf_dir):
 
 def mlp_forward_sparse(spark, sf_dir):
     df = layout.to_sparse(thinned(embeddings(spark, sf_dir)))
-    return mlp.predict(df, _network_weights(), MLP_SHAPES, sparse=True)
+    return mlp.predict(df, _network_weights(), MLP_SHAPES, sparse=True).select("id", "prediction")
 
 
 def mlp_loss(spark, sf_dir):
@@ -185,12 +185,12 @@ MLP_SETTINGS = Settings(hidden_dim=64, epochs=15, batch_size=32, lr=1e-2, seed=S
 
 def mlp_predict(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    return NeuralNetwork(10, MLP_SETTINGS).fit(train).predict(test)
+    return NeuralNetwork(10, MLP_SETTINGS).fit(train).predict(test).select("id", "prediction")
 
 
 def mlp_predict_sparse(spark, sf_dir):
     train, test = _sides(spark, sf_dir, sparse=True)
-    return NeuralNetwork(10, MLP_SETTINGS).fit(train, sparse=True, width=64).predict(test)
+    return NeuralNetwork(10, MLP_SETTINGS).fit(train, sparse=True, width=64).predict(test).select("id", "prediction")
 
 
 def _first_centers(df):
@@ -384,7 +384,7 @@ ORACLES = {
     "multilabel_loader": f"""WITH cells AS (SELECT user_id AS id, (props->>'$.k')::INTEGER AS idx, sum(value) AS val FROM events GROUP BY 1, 2),
         firsts AS (SELECT user_id AS id, min(list_position({EVENT_TYPES!r}, event_type) - 1)::INTEGER AS label
             FROM events WHERE value > 150 GROUP BY user_id),
-        smallest AS (SELECT min(n) AS few FROM (SELECT count(*) AS n FROM firsts GROUP BY label)),
+        smallest AS (SELECT CASE WHEN ceil(sum(n) * 0.2) < count(*) THEN 1 ELSE min(n) END AS few FROM (SELECT count(*) AS n FROM firsts GROUP BY label)),
         grouped AS (SELECT id, label AS true_label, CASE WHEN few < 2 THEN 0 ELSE label END AS label FROM firsts, smallest),
         {split_ctes('grouped', 'total - CAST(ceil(total * 0.2) AS BIGINT)', 'CAST(ceil(total * 0.2) AS BIGINT)')},
         kept AS (SELECT c.*, true_label AS label, p.split FROM cells c JOIN parts p USING (id) JOIN grouped USING (id)),

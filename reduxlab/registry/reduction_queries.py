@@ -143,7 +143,7 @@ def _predictions(split, k=5, metric="auto"):
     train = split.filter("split = 'train'").drop("split")
     test = split.filter("split = 'test'").drop("split")
     model = neighbours.NearestNeighbours(k, metric).fit(train)
-    return test.select("id", "label").join(model.predict(test), "id")
+    return model.predict(test)
 
 
 def knn_predict(spark, sf_dir):
@@ -221,25 +221,19 @@ def silhouette(spark, sf_dir):
 
 
 def _methods(spark, sf_dir):
-    """The original features next to the four reductions, by id."""
     df = embeddings(spark, sf_dir)
-    out = df.select("id", F.col("features").alias("original"))
-    for name in ("gaussian_rp", "sparse_rp", "dct"):
-        out = out.join(_reduced(df, name).select("id", F.col("features").alias(name)), "id")
-    return out
+    return df, {name: _reduced(df, name) for name in ("gaussian_rp", "sparse_rp", "dct")}
 
 
 def distance_preservation(spark, sf_dir):
-    kept = geometry.distance_preservation(
-        _methods(spark, sf_dir), ["gaussian_rp", "sparse_rp", "dct"], seed=SEED
-    )
+    kept = geometry.distance_preservation(*_methods(spark, sf_dir), seed=SEED)
     return kept.select("method", F.round("distance_preservation", 6).alias("distance_preservation"))
 
 
 def distortion_histogram(spark, sf_dir):
-    return geometry.distance_distortion(
-        _methods(spark, sf_dir), ["gaussian_rp", "sparse_rp", "dct"], seed=SEED
-    ).select("method", "bin", F.round("bin_start", 6).alias("bin_start"), F.round("bin_end", 6).alias("bin_end"), "n")
+    return geometry.distance_distortion(*_methods(spark, sf_dir), seed=SEED).select(
+        "method", "bin", F.round("bin_start", 6).alias("bin_start"), F.round("bin_end", 6).alias("bin_end"), "n"
+    )
 
 
 QUERIES = {

@@ -14,7 +14,7 @@ from reduxlab.operators.models import make_model
 
 
 def accuracy(df, pred):
-    return df.join(pred, "id").agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).head()[0]
+    return df.select("id", "label").join(pred.select("id", "prediction"), "id").agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).head()[0]
 
 
 def objective(x, y, w, cost):
@@ -32,16 +32,23 @@ def overlap():
 def test_squared_hinge_pass_matches_numpy(make, overlap):
     x, y = overlap
     w = np.random.default_rng(0).normal(size=(6, 3)) / 3
-    value, slope = linear_svm.squared_hinge(make(x, y), w, np.arange(3), 0.7)
+    losses, slope, curvature = linear_svm.squared_hinge(make(x, y), w, np.arange(3), 0.7, curved=True)
     expected, expected_slope = objective(x, y, w, 0.7)
-    assert value == pytest.approx(expected) and np.allclose(slope, expected_slope)
+    assert losses.sum() == pytest.approx(expected) and np.allclose(slope, expected_slope)
+    moved = w.copy()
+    moved[2, 1] += 1e-7
+    change = (objective(x, y, moved, 0.7)[1] - expected_slope)[:, 1] / 1e-7
+    assert np.allclose(curvature[1][:, 2], change, rtol=1e-4, atol=1e-3)
 
 
-def test_squared_hinge_reaches_the_optimum(make, overlap):
+def test_squared_hinge_reaches_the_optimum(make, overlap, monkeypatch):
     x, y = overlap
-    model = SquaredHingeSVM(C=0.5, tol=1e-7).fit(make(x, y))
+    model = SquaredHingeSVM(C=0.5, tol=1e-9).fit(make(x, y))
     value, slope = objective(x, y, model.weights, 0.5)
-    assert np.linalg.norm(slope) < 1e-4 * value
+    assert np.linalg.norm(slope) < 1e-6 * value
+    monkeypatch.setattr(linear_svm, "CURVATURE_VALUES", 0)
+    wide = SquaredHingeSVM(C=0.5, max_iter=60).fit(make(x, y, parts=1))
+    assert objective(x, y, wide.weights, 0.5)[0] == pytest.approx(value, rel=1e-2)
     scaled = SquaredHingeSVM(scale_dense=True).fit(make(x * 100, y))
     assert scaled.scaler is not None and accuracy(make(x, y), scaled.predict(make(x * 100, y))) > 0.6
 
@@ -67,7 +74,7 @@ def test_hinge_descent_comes_close_to_spark(make):
     )
     best = np.append(other.coefficients.toArray(), other.intercept)[:, None]
     target = linear_svm.hinge_objective(df, np.hstack([-best, best]), np.arange(2), alpha)
-    model = HingeSGD(alpha=alpha, max_iter=60, early_stopping=False).fit(df)
+    model = HingeSGD(alpha=alpha, max_iter=30, early_stopping=False).fit(df)
     got = linear_svm.hinge_objective(df, model.weights, np.arange(2), alpha)
     assert np.all(got < target * 1.001) and np.all(got > target * 0.999)
 

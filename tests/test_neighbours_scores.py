@@ -3,7 +3,7 @@ import pytest
 from conftest import blobs
 from pyspark.sql import functions as F
 
-from reduxlab.operators import geometry, layout, neighbours, scores
+from reduxlab.operators import cells, geometry, layout, neighbours, scores
 
 
 def brute(queries, base, k, distance, skip_self=False):
@@ -49,6 +49,34 @@ def test_blocks_give_the_broadcast_result_with_a_third_of_copies(make):
     assert found(blocked) == expected
 
 
+def test_streamed_base_gives_the_same_neighbours(make):
+    rng = np.random.default_rng(19)
+    base, queries = rng.normal(size=(300, 5)), rng.normal(size=(10, 5))
+    got = neighbours.nearest(make(queries), make(base, parts=6), 4, small_bytes=1000)
+    assert found(got) == brute(queries, base, 4, METRICS["euclidean"])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_both_sides_large(make, metric):
+    x, _ = blobs(seed=4, per=50, centers=8, dims=4, spread=0.4)
+    x[::3] = x[1]
+    rng = np.random.default_rng(20)
+    queries = x[rng.choice(len(x), 90)] + rng.normal(scale=0.05, size=(90, 4))
+    queries[0] = 100.0
+    got = neighbours.nearest(make(queries), make(x, parts=5), 7, metric, small_bytes=0, block_bytes=1000)
+    assert found(got) == brute(queries, x, 7, METRICS[metric])
+
+
+def test_far_cells_are_skipped():
+    x, _ = blobs(seed=4, per=50, centers=8, dims=4, spread=0.2)
+    pivots = x[::50]
+    cell, gap = cells._home("euclidean", x, pivots)
+    radius = np.array([gap[cell == c].max() for c in range(8)])
+    near = np.array([np.sort(gap[cell == c])[:5] for c in range(8)])
+    row, visited = cells._visits("euclidean", x, pivots, radius, near, 5)
+    assert len(row) < 2 * len(x) and np.all(np.isin(np.arange(len(x)) * 8 + cell, row * 8 + visited))
+
+
 def test_sparse_neighbours(make):
     rng = np.random.default_rng(10)
     base = np.where(rng.random((60, 12)) < 0.3, rng.normal(size=(60, 12)), 0)
@@ -72,7 +100,7 @@ def test_one_neighbour_on_train_is_perfect(make):
     x, y = blobs()
     df = make(x, y)
     pred = neighbours.NearestNeighbours(1).fit(df).predict(df)
-    assert df.join(pred, "id").filter("label <> prediction").count() == 0
+    assert pred.count() == len(y) and pred.filter("label <> prediction").count() == 0
     with pytest.raises(ValueError):
         neighbours.NearestNeighbours(1, "nearby")
 
@@ -137,15 +165,25 @@ def test_pair_scores_skip_copies_and_agree_across_paths(make):
     x = rng.normal(size=(60, 6))
     x[7] = x[3]
     half = x[:, :3]
-    df = make(x).select("id", F.col("features").alias("original"), F.slice("features", 1, 3).alias("cut"))
+    df = make(x)
+    cut = {"cut": df.withColumn("features", F.slice("features", 1, 3))}
     i, j = np.triu_indices(60, 1)
     d0 = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))
     d1 = np.sqrt(((half[i] - half[j]) ** 2).sum(axis=1))
     for sizes in ({}, {"small_bytes": 0, "block_bytes": 1000}):
-        kept = geometry.distance_preservation(df, ["cut"], **sizes).head()
+        kept = geometry.distance_preservation(df, cut, **sizes).head()
         assert kept["distance_preservation"] == pytest.approx(np.corrcoef(d0, d1)[0, 1])
-        rows = geometry.distance_distortion(df, ["cut"], bins=10, **sizes).orderBy("bin").collect()
+        rows = geometry.distance_distortion(df, cut, bins=10, **sizes).orderBy("bin").collect()
         apart = d0 > 1e-12
         expected, edges = np.histogram(d1[apart] / d0[apart], bins=10)
         assert [r["n"] for r in rows] == list(expected)
         assert np.allclose([r["bin_start"] for r in rows], edges[:-1])
+
+
+def test_samples_are_drawn_before_the_join(make):
+    rng = np.random.default_rng(21)
+    df = make(rng.normal(size=(80, 4)))
+    both = geometry.paired_sample(df, {"same": df}, 30)
+    assert both.count() == 30 and both.filter("original <> same").count() == 0
+    kept = geometry.distance_preservation(df, {"same": df}, sample_size=30).head()
+    assert kept["distance_preservation"] == pytest.approx(1.0)

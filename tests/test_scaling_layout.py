@@ -60,7 +60,7 @@ def test_repeated_names_are_numbered(spark):
 
 def test_occurrences_count_across_spans(spark):
     df = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 'hot' else 'cold' end as name")
-    rows = layout.occurrence_number(df, "id", "name", span=17).filter("name = 'hot'").orderBy("id").collect()
+    rows = layout.occurrence_number(df, "id", "name", span_rows=17).filter("name = 'hot'").orderBy("id").collect()
     assert [r["nth"] for r in rows] == list(range(1, 335))
 
 
