@@ -12,13 +12,13 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import folds
 from ..functions.matrices import feature_columns, read_rows
 from . import scaling
-from .sampling import MAX_GROUPS, validation_split
+from .sampling import MAX_COUNTS, validation_split
 
 
 def class_values(df):
-    rows = df.select("label").distinct().limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} classes")
+    rows = df.select("label").distinct().limit(MAX_COUNTS + 1).collect()
+    if len(rows) > MAX_COUNTS:
+        raise ValueError(f"more than {MAX_COUNTS} classes")
     return np.array(sorted(row["label"] for row in rows))
 
 

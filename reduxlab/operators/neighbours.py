@@ -20,7 +20,13 @@ from ..functions.matrices import feature_columns, read_rows
 from . import blocks, cells
 
 _FOUND = pa.schema(
-    [("id", pa.int64()), ("neighbour", pa.int64()), ("label", pa.int32()), ("dist", pa.float64())]
+    [
+        ("id", pa.int64()),
+        ("neighbour", pa.int64()),
+        ("label", pa.int32()),
+        ("dist", pa.float64()),
+        ("rank", pa.int32()),
+    ]
 )
 
 
@@ -61,13 +67,25 @@ class _Best:
         last = np.cumsum(counts) - 1
         self.bound[full] = self.dist[last[full]]
 
+    def vote(self):
+        """Most frequent label of every query, ties to the smallest; all queries have found rows."""
+        order = np.lexsort((self.label, self.query))
+        query, label = self.query[order], self.label[order]
+        first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (label[1:] != label[:-1])])
+        count = np.diff(np.r_[first, len(query)])
+        ranked = np.lexsort((label[first], -count, query[first]))
+        top = ranked[np.r_[True, np.diff(query[first][ranked]) != 0]]
+        return label[first][top]
+
     def batch(self):
+        place = np.arange(len(self.query)) - np.searchsorted(self.query, self.query)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(self.ids[self.query], pa.int64()),
                 pa.array(self.found, pa.int64()),
                 pa.array(self.label, pa.int32()),
                 pa.array(self.dist, pa.float64()),
+                pa.array(place + 1, pa.int32()),
             ],
             schema=_FOUND,
         )
@@ -108,13 +126,17 @@ class _Search:
         for part in best:
             yield part.batch()
 
+    def finished(self, queries, base):
+        """Final neighbours of slices of the queries in the whole held base."""
+        for ids, _, rows, width in self._parts(queries):
+            best = self._start(ids, rows, width)
+            for base_ids, labels, base_rows, _ in self._parts(base):
+                best.see(base_ids, base_rows.to_matrix(width), labels)
+            yield best
+
     def stream_queries(self, query_batches, base):
-        """Final neighbours of this task's queries in the whole held base."""
         for batch in query_batches:
-            for ids, _, rows, width in self._parts(batch):
-                best = self._start(ids, rows, width)
-                for base_ids, labels, base_rows, _ in self._parts(base):
-                    best.see(base_ids, base_rows.to_matrix(width), labels)
+            for best in self.finished(batch, base):
                 yield best.batch()
 
 
@@ -132,7 +154,6 @@ def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, widt
     base = base.select(F.col("id").cast("long"), *columns, label.alias("label"))
     queries = queries.select(F.col("id").cast("long"), *columns)
     search = _Search(k, metric, skip_self, sparse, width)
-    rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
 
     base_rows, base_bytes = blocks.stored_bytes(base, columns)
     if base_bytes <= small_bytes:
@@ -141,14 +162,14 @@ def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, widt
         def finish(batches):
             yield from search.stream_queries(batches, shared.value)
 
-        found = queries.mapInArrow(finish, from_arrow_schema(_FOUND))
-        return found.withColumn("rank", rank)
+        return queries.mapInArrow(finish, from_arrow_schema(_FOUND))
     prunable = not sparse and metric != distances.COSINE
     if prunable and blocks.stored_bytes(queries, columns)[1] > small_bytes:
         block_rows = max(1, block_bytes * base_rows // base_bytes)
         found = cells.meet(queries, base, k + skip_self, metric, base_rows, block_rows, search.stream_base, _FOUND)
     else:
         found = blocks.against(base, queries, columns, search.stream_base, _FOUND, small_bytes, block_bytes)
+    rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
     # The rank filter also runs inside every task, so at most k rows per query leave it.
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -185,8 +206,34 @@ class NearestNeighbours:
         return self
 
     def predict(self, df):
+        """Add `prediction` in place of the features."""
+        columns = feature_columns(self.sparse)
+        base = self.base.select(F.col("id").cast("long"), *columns, F.col("label").cast("int"))
+        if blocks.stored_bytes(base, columns)[1] <= blocks.SMALL_SIDE_BYTES:
+            return df.withColumn("prediction", self._finish_here(base, columns)).drop(*columns)
         found = nearest(df, self.base, self.n_neighbors, self.metric, sparse=self.sparse, width=self.width)
-        return df.drop(*feature_columns(self.sparse)).join(vote(found), "id")
+        return df.drop(*columns).join(vote(found), "id")
+
+    def _finish_here(self, base, columns):
+        """A small training table travels to the queries, which are classified in the scan."""
+        search = _Search(self.n_neighbors, distances.resolve(self.metric), False, self.sparse, self.width)
+        shared = base.sparkSession.sparkContext.broadcast(base.toArrow())
+
+        def labels_of(*arrays):
+            ids = pa.array(np.arange(len(arrays[0])), pa.int64())
+            asked = pa.RecordBatch.from_arrays([ids, *arrays], ["id", *columns])
+            parts = [best.vote() for best in search.finished(asked, shared.value)]
+            return pa.array(np.concatenate(parts) if parts else [], pa.int32())
+
+        @F.arrow_udf("int")
+        def classify(features: pa.Array) -> pa.Array:
+            return labels_of(features)
+
+        @F.arrow_udf("int")
+        def classify_sparse(idx: pa.Array, val: pa.Array) -> pa.Array:
+            return labels_of(idx, val)
+
+        return (classify_sparse if self.sparse else classify)(*columns)
 
     def params(self):
         return {"n_neighbors": self.n_neighbors, "metric": self.metric}

@@ -101,10 +101,10 @@ def _draw(df, centers, candidates, restarts, draws, seed, turn):
         .mapInArrow(_draw_fold(shared, restarts, draws, seed, turn), from_arrow_schema(_DRAWS))
         .groupBy("restart", "choice", "draw")
         .agg(F.min_by("features", F.struct("key", "id")).alias("features"), F.sum("left_over").alias("left_over"))
-        .orderBy("restart", "choice", "draw")
         .collect()
     )
     shared.destroy()
+    found.sort(key=lambda row: (row["restart"], row["choice"], row["draw"]))
     vectors = np.array([row["features"] for row in found]).reshape(restarts, choices, draws, -1)
     left = np.array([row["left_over"] for row in found]).reshape(restarts, choices, draws)[:, :, 0]
     return vectors, left

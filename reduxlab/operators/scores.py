@@ -1,5 +1,7 @@
 """Classification and clustering scores from small contingency tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 
@@ -51,11 +53,14 @@ def _pairs(n):
 
 
 def _totals(counts):
-    """Cells, rows and columns of the table as one stream of (kind, n)."""
-    cells = counts.select(F.lit("cell").alias("kind"), "n")
-    rows = counts.groupBy("y").agg(F.sum("n").alias("n")).select(F.lit("row").alias("kind"), "n")
-    cols = counts.groupBy("p").agg(F.sum("n").alias("n")).select(F.lit("col").alias("kind"), "n")
-    return cells.unionByName(rows).unionByName(cols)
+    """Cells, rows, columns and largest cell of each column as one stream of (kind, n)."""
+    parts = [
+        counts.select(F.lit("cell").alias("kind"), "n"),
+        counts.groupBy("y").agg(F.sum("n").alias("n")).select(F.lit("row").alias("kind"), "n"),
+        counts.groupBy("p").agg(F.sum("n").alias("n")).select(F.lit("col").alias("kind"), "n"),
+        counts.groupBy("p").agg(F.max("n").alias("n")).select(F.lit("best").alias("kind"), "n"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _over(kind, value):
@@ -64,21 +69,13 @@ def _over(kind, value):
 
 def clustering_agreement(df, truth="label", cluster="cluster"):
     """One row: adjusted Rand index, normalised mutual information, purity."""
-    counts = confusion(df, truth, cluster)
     n = F.col("n").cast("double")
-    weight = _over("cell", n)
-    sums = _totals(counts).agg(
-        weight.alias("total"),
-        _over("cell", _pairs(n)).alias("cell_pairs"),
-        _over("row", _pairs(n)).alias("row_pairs"),
-        _over("col", _pairs(n)).alias("col_pairs"),
-        _over("cell", n * F.log(n)).alias("cell_log"),
-        _over("row", n * F.log(n)).alias("row_log"),
-        _over("col", n * F.log(n)).alias("col_log"),
+    sums = _totals(confusion(df, truth, cluster)).agg(
+        _over("cell", n).alias("total"),
+        _over("best", n).alias("majority"),
+        *[_over(kind, _pairs(n)).alias(f"{kind}_pairs") for kind in ("cell", "row", "col")],
+        *[_over(kind, n * F.log(n)).alias(f"{kind}_log") for kind in ("cell", "row", "col")],
     )
-    best = counts.groupBy("p").agg(F.max("n").alias("n")).agg(F.sum("n").alias("majority"))
-    # Both sides are single rows.
-    joined = sums.withColumn("one", F.lit(1)).join(best.withColumn("one", F.lit(1)), "one")
     total = F.col("total")
     expected = F.col("row_pairs") * F.col("col_pairs") / _pairs(total)
     ceiling = (F.col("row_pairs") + F.col("col_pairs")) / 2
@@ -91,7 +88,7 @@ def clustering_agreement(df, truth="label", cluster="cluster"):
     nmi = F.when((F.abs(entropy_y) < 1e-12) & (F.abs(entropy_p) < 1e-12), F.lit(1.0)).when(
         F.abs(mutual) < 1e-12, F.lit(0.0)
     ).otherwise(mutual / ((entropy_y + entropy_p) / 2))
-    return joined.select(ari.alias("ari"), nmi.alias("nmi"), (F.col("majority") / total).alias("purity"))
+    return sums.select(ari.alias("ari"), nmi.alias("nmi"), (F.col("majority") / total).alias("purity"))
 
 
 def contingency(df, truth="label", cluster="cluster", classes=None):

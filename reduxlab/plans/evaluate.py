@@ -46,7 +46,7 @@ def _failure(error):
 class ReducedTable:
     """A fitted reducer and both reduced sides, kept for all models of the cell."""
 
-    def __init__(self, table, reducer, force_srp_matrix_type=None):
+    def __init__(self, table, reducer, sizes, force_srp_matrix_type=None):
         forced = layout.force_form(table, force_srp_matrix_type) if reducer.name == "sparse_rp" else table
         self.record = {}
         self.reducer = reducer.setup(forced)
@@ -62,8 +62,12 @@ class ReducedTable:
         # Every reducer returns the wanted number of components; identity keeps the width.
         self.width = reducer.n_components or table.input_dim
         for side, df in (("train", self.train), ("test", self.test)):
-            facts = layout.feature_memory(df, self.sparse).head()
-            self.record[f"x_{side}_memory_mb"] = facts["memory_mb"]
+            self.record[f"x_{side}_memory_mb"] = self._memory(df, sizes.get(side, 0))
+
+    def _memory(self, df, rows):
+        if self.sparse:
+            return layout.feature_memory(df, sparse=True).head()["memory_mb"]
+        return rows * self.width * 4 / (1 << 20)
 
     def _kept(self, df):
         out = self.reducer.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
@@ -125,7 +129,7 @@ def evaluate(table, reducer_name, n_components, model_names, run_id=0, seed=42,
         for name in model_names
     ]
     try:
-        reduced = ReducedTable(table, reducer, force_srp_matrix_type)
+        reduced = ReducedTable(table, reducer, sizes, force_srp_matrix_type)
     except Exception as error:  # a failed cell must not end the sweep
         return [{**base, **_failure(error)} for base in bases]
     records = []

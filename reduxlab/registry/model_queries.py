@@ -7,7 +7,10 @@ from ..functions.columns import rounded
 from ..operators import featurize, layout, linear_svm, mlp, partitions, sampling, scaling, scores, text
 from ..operators.linear_svm import HingeSGD, SquaredHingeSVM
 from ..operators.mlp import NeuralNetwork, Settings
+from ..session import scratch_path
 from ..sources import loaders
+from ..sources.records import cached_features
+from ..sources.tables import spread
 from .data_queries import EVENT_TYPES, SEED, SPLIT_E, THIN, UNPACKED, E, r6, split_ctes
 from .fixtures import embeddings, long_form, planted, table, thinned
 from .reduction_queries import _six, agreement_sql
@@ -18,7 +21,7 @@ VOCABULARY = 500
 
 
 def _documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     side = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
     return docs.select(F.col("doc_id").alias("id"), "text", side.alias("split"), "source")
 
@@ -42,11 +45,11 @@ def tfidf_whole_vocabulary(spark, sf_dir):
 
 
 def term_statistics(spark, sf_dir):
-    return text.term_statistics(table(spark, sf_dir, "documents"), "text", STOP_WORDS)
+    return text.term_statistics(spread(table(spark, sf_dir, "documents")), "text", STOP_WORDS)
 
 
 def clean_text(spark, sf_dir):
-    cleaned = text.clean_text(table(spark, sf_dir, "documents"), ("footers", "quotes"))
+    cleaned = text.clean_text(spread(table(spark, sf_dir, "documents")), ("footers", "quotes"))
     return cleaned.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("length"))
 
 
@@ -80,7 +83,8 @@ def _multilabel(spark, sf_dir):
 
 
 def multilabel_loader(spark, sf_dir):
-    out = loaders.prepare_multilabel(_multilabel(spark, sf_dir), 100, SEED).df
+    rows = cached_features(spark, scratch_path(spark, "multilabel"), lambda: _multilabel(spark, sf_dir))
+    out = loaders.prepare_multilabel(rows, 100, SEED).df
     return out.select("id", "label", "split", F.explode(F.arrays_zip("idx", "val")).alias("e")).select(
         "id", "label", "split", F.col("e.idx").alias("idx"), rounded(F.col("e.val")).alias("val")
     )

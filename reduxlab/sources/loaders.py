@@ -6,7 +6,15 @@ from ..operators import featurize, sampling, scaling
 from ..operators.text import clean_text, english_stop_words, fit_tfidf
 from . import text_matrix
 from .records import cached_features
-from .tables import FeatureTable, class_count, first_label, highest_label_count, stack_with_origin, vector_width
+from .tables import (
+    FeatureTable,
+    class_count,
+    first_label,
+    highest_label_count,
+    spread,
+    stack_with_origin,
+    vector_width,
+)
 
 # Class folders of the clothing images.
 FASHION_LABELS = [
@@ -111,7 +119,7 @@ def load_dataset(spark, name, path, seed=42, max_train=None, max_test=None, stan
             spark.read.parquet(f"{path}/train"), spark.read.parquet(f"{path}/test"), **limits
         ),
         "uci_har": lambda: prepare_sensors(*_har_sides(spark, path), **limits),
-        "20newsgroups": lambda: prepare_text(spark.read.parquet(path), **limits),
+        "20newsgroups": lambda: prepare_text(spread(spark.read.parquet(path)), **limits),
         "rcv1": rcv1,
     }
     if name.lower() not in loaders:

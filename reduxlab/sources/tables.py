@@ -55,6 +55,15 @@ def read_dense(spark, path, id_col, features_col, label_col):
     )
 
 
+def spread(scan):
+    """Deal a scan of fewer splits than cores out to all of them; a larger one stays as read.
+
+    For text: a few small files hold minutes of work that would run in a few tasks.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def stack_with_origin(train, test):
     """Both given parts as one table that remembers where each row came from."""
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))

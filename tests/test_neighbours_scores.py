@@ -96,6 +96,19 @@ def test_ties_go_to_low_ids_and_small_labels(make):
     assert found(neighbours.nearest(make([[1.0]]), base, 2)) == {0: [0, 1]}
 
 
+def test_large_training_tables_give_the_same_votes(make, monkeypatch):
+    x, y = blobs(per=30, spread=4.0)
+    df = make(x, y)
+    for form in (df, layout.to_sparse(df)):
+        sparse = "idx" in form.columns
+        model = neighbours.NearestNeighbours(7).fit(form, sparse=sparse, width=6)
+        here = {(r["id"], r["label"], r["prediction"]) for r in model.predict(form).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(neighbours.blocks, "SMALL_SIDE_BYTES", 0)
+            moved = {(r["id"], r["label"], r["prediction"]) for r in model.predict(form).collect()}
+        assert here == moved and len(here) == len(y)
+
+
 def test_one_neighbour_on_train_is_perfect(make):
     x, y = blobs()
     df = make(x, y)

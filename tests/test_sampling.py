@@ -28,6 +28,18 @@ def test_subsample_is_exact_and_ignores_layout(spark):
     assert sampling.subsample(df, 0, 7).count() == 0
 
 
+def test_large_prefixes_are_counted_again(spark, monkeypatch):
+    df = labelled(spark, {0: 4000, 1: 900})
+    expected = counts(sampling.split_table(df, test_size=0.3), "id", "split")
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 2)
+    assert counts(sampling.split_table(df, test_size=0.3), "id", "split") == expected
+    monkeypatch.setattr(sampling, "MAX_COUNTS", 40)
+    assert counts(sampling.split_table(df, test_size=0.3), "id", "split") == expected
+    monkeypatch.setattr(sampling, "MAX_COUNTS", 1)
+    with pytest.raises(ValueError):
+        sampling.split_table(df, test_size=0.3)
+
+
 def test_shares_follow_largest_remainders():
     assert sampling.proportional_shares({0: 50, 1: 30, 2: 20}, 10) == {0: 5, 1: 3, 2: 2}
     assert sampling.proportional_shares({0: 1, 1: 1, 2: 1}, 2) == {0: 1, 1: 1, 2: 0}
