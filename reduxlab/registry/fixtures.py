@@ -24,6 +24,13 @@ def planted(df, size=PLANTED):
     )
 
 
+def patterned(df, size=1.0):
+    """Give every label a pattern over all features, which survives scaling and projection."""
+    return df.withColumn(
+        "features", F.transform("features", lambda x, i: x + F.lit(size) * (F.col("label") * (F.floor(i / 8) + 1) % 11 - 5))
+    )
+
+
 def thinned(df, least=0.1):
     """Small entries become zeros, for the sparse forms."""
     return df.withColumn(
@@ -31,6 +38,11 @@ def thinned(df, least=0.1):
     )
 
 
+def tapered(df, base=0.8):
+    """Later features shrink, so that the principal axes are far apart."""
+    return df.withColumn("features", F.transform("features", lambda x, i: x * F.pow(F.lit(base), i)))
+
+
 def line_features(spark, sf_dir):
     """Four numeric columns of every order line, labelled by return flag."""
     lines = table(spark, sf_dir, "lineitem")

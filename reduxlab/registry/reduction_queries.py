@@ -4,9 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import geometry, layout, neighbours, projection, reducers, sampling, scaling, scores, spectral
+from ..operators import geometry, layout, neighbours, reducers, sampling, scaling, scores, spectral
 from .data_queries import SEED, SPLIT_E, THIN, UNPACKED, E, r6
-from .fixtures import dense_table, embeddings, line_features, long_form, planted, thinned
+from .fixtures import dense_table, embeddings, line_features, long_form, planted, tapered, thinned
 
 K = 16
 
@@ -112,27 +112,22 @@ def svd_power_step_sparse(spark, sf_dir):
     return spectral.power_step_table(sparse, basis, sparse=True).withColumn("value", rounded(F.col("value")))
 
 
-def _component_spread(df):
-    """Mean and variance of every component: what must fall from the first to the last."""
-    return (
-        long_form(df)
-        .groupBy("pos")
-        .agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
-    )
+def _axis_scores(df):
+    return long_form(df).withColumn("value", rounded(F.col("value"), 5))
 
 
 def pca_full(spark, sf_dir):
-    return _component_spread(_reduced(embeddings(spark, sf_dir), "pca_svd"))
+    return _axis_scores(_reduced(tapered(embeddings(spark, sf_dir)), "pca_svd", 3))
 
 
 def pca_randomized(spark, sf_dir):
-    return _component_spread(
-        _reduced(embeddings(spark, sf_dir), "pca", maker=lambda n, k, s: reducers.make_cluster_reducer(n, k, s))
-    )
+    out = _reduced(tapered(embeddings(spark, sf_dir)), "pca", 3, maker=reducers.make_cluster_reducer)
+    return _axis_scores(out)
 
 
 def truncated_svd(spark, sf_dir):
-    return _component_spread(_reduced(thinned(embeddings(spark, sf_dir)), "randomized_svd", sparse=True))
+    """Uncentred axes of a sparse table."""
+    return _axis_scores(_reduced(tapered(thinned(embeddings(spark, sf_dir))), "randomized_svd", 3, sparse=True))
 
 
 def _split(spark, sf_dir):
@@ -394,6 +389,32 @@ def _power_sql(source, unpacked):
         SELECT pos::INTEGER AS i, j::INTEGER AS j, {r6('sum(x * y)')} AS value FROM {source} JOIN q USING (id) GROUP BY pos, j"""
 
 
+def _axes_sql(source, unpacked, centred):
+    """Scores on the three leading axes: power iteration, each axis removed before the next."""
+    mean = "avg(x)" if centred else "0.0"
+    ctes = [
+        f"""x AS (SELECT id, pos, x * power(0.8::DOUBLE, pos) AS x FROM {source}),
+        s AS (SELECT pos, {mean} AS m FROM x GROUP BY pos), c AS (SELECT id, pos, x - m AS x FROM x JOIN s USING (pos)),
+        cov AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS v FROM c a JOIN c b USING (id) GROUP BY i, j),
+        m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM cov GROUP BY i))"""
+    ]
+    scores = []
+    for n in range(3):
+        ctes.append(
+            f"""p{n} AS (SELECT 0 AS step, list_transform(range(64), lambda i: 1.0::DOUBLE / (i + 1 + {n})) AS v
+            UNION ALL SELECT step + 1, list_transform(y, lambda e: e / sqrt(list_dot_product(y, y))) FROM
+                (SELECT step, list_transform(m, lambda r: list_dot_product(r, v)) AS y FROM p{n}, m{n} WHERE step < 150)),
+        l{n} AS (SELECT v, sqrt(list_dot_product(y, y)) AS size FROM
+            (SELECT v, list_transform(m, lambda r: list_dot_product(r, v)) AS y FROM p{n}, m{n} WHERE step = 150)),
+        m{n + 1} AS (SELECT list_transform(range(64), lambda i: list_transform(range(64), lambda j:
+            m[i + 1][j + 1] - size * v[i + 1] * v[j + 1])) AS m FROM m{n}, l{n}),
+        a{n} AS (SELECT v, v[list_position(list_transform(v, lambda e: abs(e)), list_max(list_transform(v, lambda e: abs(e))))] AS peak FROM l{n})"""
+        )
+        value = "sum(x * v[pos + 1] * sign(peak))"
+        scores.append(f"SELECT id, {n} AS pos, {r6(value, 5)} AS value FROM c, a{n} GROUP BY id")
+    return f"WITH RECURSIVE {E}, {unpacked}, {', '.join(ctes)} {' UNION ALL '.join(scores)}"
+
+
 ORACLES = {
     "flagship": f"""WITH {E}, {UNPACKED}, {SPLIT_E}, {sparse_ctes()},
         s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS sd FROM u JOIN parts USING (id) WHERE split = 'train' GROUP BY pos),
@@ -420,6 +441,9 @@ ORACLES = {
         FROM c a JOIN c b USING (id) GROUP BY a.pos, b.pos""",
     "pca_lines": _axis_sql(True),
     "svd_lines": _axis_sql(False),
+    "pca_full": _axes_sql("u", UNPACKED, True),
+    "pca_randomized": _axes_sql("u", UNPACKED, True),
+    "truncated_svd": _axes_sql("t", THIN, False),
     "svd_power_step": _power_sql("u", UNPACKED),
     "svd_power_step_sparse": _power_sql("t", THIN),
     "knn_predict": _knn_sql(EUCLID),

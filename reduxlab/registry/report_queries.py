@@ -10,7 +10,7 @@ from ..plans.evaluate import evaluate
 from ..session import scratch_path
 from ..sources import loaders, records, text_matrix
 from .data_queries import SEED, SPLIT_E, UNPACKED, E, r6
-from .fixtures import dense_table, embeddings, long_form, planted, table
+from .fixtures import dense_table, embeddings, long_form, patterned, table
 from .reduction_queries import (
     EUCLID,
     SIX_SQL,
@@ -135,25 +135,41 @@ def cluster_gallery(spark, sf_dir):
     return reports.cluster_gallery(df)
 
 
-def _planted_table(spark, sf_dir, size=4.0):
-    return dense_table(planted(embeddings(spark, sf_dir), size))
-
-
-FEW = {"kmeans": {"n_init": 2, "max_iter": 20}, "gmm": {"n_init": 1, "max_iter": 20}}
+def _patterned_table(spark, sf_dir):
+    return dense_table(patterned(embeddings(spark, sf_dir)))
 
 
 def cluster_labels(spark, sf_dir):
-    return reports.cluster_labels(_planted_table(spark, sf_dir), 16, 10, SEED, **FEW)
+    """Per feature set, model and cluster: its size and the labels it holds."""
+    data = _patterned_table(spark, sf_dir)
+    found = reports.cluster_labels(data, 16, 10, SEED)
+    return (
+        found.join(data.df.select("id", "label"), "id")
+        .groupBy("method", "model", "cluster")
+        .agg(F.min("label").alias("lowest"), F.max("label").alias("highest"), F.count("*").alias("n"))
+        .drop("cluster")
+    )
 
 
 def label_grid(spark, sf_dir):
-    data = _planted_table(spark, sf_dir)
-    labels = reports.cluster_labels(data, 16, 10, SEED, **FEW)
+    data = _patterned_table(spark, sf_dir)
+    few = {"kmeans": {"n_init": 2, "max_iter": 20}, "gmm": {"n_init": 1, "max_iter": 20}}
+    labels = reports.cluster_labels(data, 16, 10, SEED, **few)
     return reports.label_grid(data, 16, labels, 1500, SEED)
 
 
 def clustering_sweep(spark, sf_dir):
-    return sweeps.clustering_sweep(spark, [_planted_table(spark, sf_dir)], (16, 128), 10_000, SEED, **FEW)
+    """The clustering sweep without its times; 128 exceeds the data and is skipped."""
+    out = sweeps.clustering_sweep(
+        spark, [_patterned_table(spark, sf_dir)], (16, 128), 10_000, SEED, ["rp", "srp", "dct"]
+    )
+    scores = ["ari", "nmi", "purity", "silhouette", "distance_preservation"]
+    return out.select("dataset", "method", "model", "k", *[F.round(c, 6).alias(c) for c in scores])
+
+
+def clustering_times(spark, sf_dir):
+    """The whole record of the sweep for principal components."""
+    return sweeps.clustering_sweep(spark, [_patterned_table(spark, sf_dir)], (16,), 10_000, SEED, ["pca"])
 
 
 def _prepared(spark, sf_dir):
@@ -179,9 +195,9 @@ def classification_sweep(spark, sf_dir):
 
 
 def model_sweep(spark, sf_dir):
-    """All four classifiers on a planted signal; times make the record differ from run to run."""
-    split = sampling.split_table(planted(embeddings(spark, sf_dir)), test_size=0.2, seed=SEED)
-    return sweeps.classification_sweep(
+    """All four classifiers on a planted signal, after two reductions."""
+    split = sampling.split_table(patterned(embeddings(spark, sf_dir)), test_size=0.2, seed=SEED)
+    out = sweeps.classification_sweep(
         spark,
         lambda name, seed: dense_table(split),
         ["embeddings"],
@@ -189,10 +205,14 @@ def model_sweep(spark, sf_dir):
         models=("knn", "svm", "svm_sgd", "dnn"),
         dims=(16,),
         seed=SEED,
-        svm_max_iter=15,
-        dnn_epochs=3,
+        svm_max_iter=20,
+        svm_scale_dense=True,
+        dnn_epochs=20,
+        dnn_batch_size=32,
+        dnn_lr=1e-2,
         dnn_hidden_dim=32,
     )
+    return out.select("reducer", "model", "requested_dim", "status", "n_train", "n_test", F.round("accuracy", 6).alias("accuracy"))
 
 
 def failed_cells(spark, sf_dir):
@@ -211,7 +231,7 @@ QUERIES = {
     for f in (
         text_matrix_join, append_records, append_columns, nested_json, results_file, metric_vs_k, runtime_vs_k,
         runtime_breakdown, feature_cache, class_folders, cluster_gallery, cluster_labels, label_grid,
-        clustering_sweep, classification_sweep, model_sweep, failed_cells,
+        clustering_sweep, clustering_times, classification_sweep, model_sweep, failed_cells,
     )
 }
 
@@ -261,7 +281,45 @@ def _sweep_sql():
     return f"WITH {E}, {UNPACKED}, {SPLIT_E}, {_SCALED}, {', '.join(ctes)}, {whole} " + " UNION ALL ".join(cells)
 
 
+def _clustering_sql():
+    """Scores when every cluster is a class, on features reduced after standardising."""
+    ctes, rows = [], []
+    for name, weights in (("rp", gaussian_ctes), ("srp", sparse_ctes), ("dct", cosine_ctes)):
+        text = weights(64, 16)
+        for word in ("digest", "draw", "weight"):
+            text = text.replace(word, f"{word}_{name}")
+        ctes.append(
+            f"""{text}, z_{name} AS (SELECT id, list(v ORDER BY j) AS f FROM (SELECT id, j, sum(x * w) AS v
+                FROM scaled JOIN weight_{name} ON pos = i GROUP BY id, j) GROUP BY id),
+            d_{name} AS (SELECT a.id, e.label AS own, o.label AS other, count(*) AS n, sum(list_distance(a.f, b.f)) AS total
+                FROM z_{name} a JOIN e ON e.id = a.id, z_{name} b JOIN e o ON o.id = b.id GROUP BY ALL),
+            w_{name} AS (SELECT id, max(total / (n - 1)) FILTER (own = other) AS a, min(total / n) FILTER (own <> other) AS b
+                FROM d_{name} GROUP BY id),
+            drawn_{name} AS (SELECT id, a.f AS f0, z.f AS f1 FROM z_identity a JOIN z_{name} z USING (id)
+                ORDER BY md5(concat('{SEED}:', id)), id LIMIT 1000)"""
+        )
+        rows += [
+            f"""SELECT 'embeddings' AS dataset, '{name}' AS method, '{model}' AS model, 16 AS k, 1.0::DOUBLE AS ari,
+                1.0::DOUBLE AS nmi, 1.0::DOUBLE AS purity, (SELECT round(avg((b - a) / greatest(a, b)), 6) FROM w_{name}) AS silhouette,
+                (SELECT round(corr(list_distance(a.f0, b.f0), list_distance(a.f1, b.f1)), 6)
+                    FROM drawn_{name} a JOIN drawn_{name} b ON a.id < b.id) AS distance_preservation"""
+            for model in ("kmeans", "gmm")
+        ]
+    return f"""WITH {E}, u AS (SELECT id, pos, x + label * (pos // 8 + 1) % 11 - 5 AS x FROM
+            (SELECT id, label, unnest(features) AS x, generate_subscripts(features, 1) - 1 AS pos FROM e)),
+        s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS sd FROM u GROUP BY pos),
+        scaled AS (SELECT id, pos, (x - m) / sd AS x FROM u JOIN s USING (pos)),
+        z_identity AS (SELECT id, list(x ORDER BY pos) AS f FROM scaled GROUP BY id), {', '.join(ctes)} {' UNION ALL '.join(rows)}"""
+
+
 ORACLES = {
+    "cluster_labels": """SELECT method, model, label AS lowest, label AS highest, count(*) AS n FROM embeddings,
+        (SELECT unnest(['original', 'pca', 'rp', 'srp', 'dct']) AS method), (SELECT unnest(['kmeans', 'gmm']) AS model) GROUP BY ALL""",
+    "clustering_sweep": _clustering_sql(),
+    "model_sweep": f"""WITH {E}, {SPLIT_E} SELECT reducer, model, '16' AS requested_dim, 'ok' AS status,
+        count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, 1.0::DOUBLE AS accuracy
+        FROM parts, (SELECT unnest(['pca_svd', 'randomized_svd']) AS reducer),
+            (SELECT unnest(['knn', 'svm', 'svm_sgd', 'dnn']) AS model) GROUP BY ALL""",
     "text_matrix_join": f"WITH {E}, {UNPACKED} SELECT id, label, pos::INTEGER AS pos, {r6('x')} AS value FROM u",
     "append_records": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status,
         CASE WHEN event_type = 'error' THEN props END AS props, CASE WHEN event_type <> 'error' THEN round(value, 6) END AS accuracy FROM events""",
