@@ -48,21 +48,57 @@ def aligned_pairs(metric, left, right, i, j):
     return out
 
 
-def approximate(metric, left, right):
-    """All distances by the fastest route, and a bound on their error per row of `left`."""
-    if metric == COSINE:
-        return 1.0 - _unit(left) @ _unit(right).T, np.full(len(left), 1e-12)
+# A stand-in grows with the distance and costs one matrix product: the square for Euclidean
+# distances (the squared lengths ride along as two more columns), minus the cosine for cosine
+# distances, and the distance itself otherwise.
+
+
+def left_form(metric, rows):
     if metric == EUCLIDEAN:
-        a = np.einsum("ij,ij->i", left, left)
-        b = np.einsum("ij,ij->i", right, right)
-        squares = np.maximum(a[:, None] + b[None, :] - 2.0 * (left @ right.T), 0.0)
-        noise = 1e-13 * left.shape[1] * (a + (b.max() if len(b) else 0.0))
-        return np.sqrt(squares), np.sqrt(noise)
+        squares = np.einsum("ij,ij->i", rows, rows)
+        return np.column_stack([-2.0 * rows, squares, np.ones(len(rows))])
+    return -_unit(rows) if metric == COSINE else rows
+
+
+def right_form(metric, rows):
+    if metric == EUCLIDEAN:
+        squares = np.einsum("ij,ij->i", rows, rows)
+        return np.column_stack([rows, np.ones(len(rows)), squares])
+    return _unit(rows) if metric == COSINE else rows
+
+
+def stand_in(metric, left, right):
+    """All stand-ins between two tables in their left and right forms."""
+    if metric in (EUCLIDEAN, COSINE):
+        return left @ right.T
     out = np.zeros((len(left), len(right)))
     for f in range(left.shape[1]):
         gap = np.abs(left[:, f, None] - right[None, :, f])
         out = out + gap if metric == MANHATTAN else np.maximum(out, gap)
-    return out, 1e-12 * (1.0 + out.max(axis=1, initial=0.0))
+    return out
+
+
+def as_stand_in(metric, distance):
+    return distance * distance if metric == EUCLIDEAN else distance - 1.0 if metric == COSINE else distance
+
+
+def rounding(metric, left, right):
+    """Per left row, what rounding may do to its stand-ins."""
+    if not len(right):
+        return np.zeros(len(left))
+    scale = np.abs(left).max(axis=1, initial=0.0) * left.shape[1] + np.abs(right).max() * right.shape[1]
+    if metric == EUCLIDEAN:
+        return 1e-14 * left.shape[1] * (left[:, -2] + right[:, -1].max())
+    return 1e-14 * (scale + left.shape[1])
+
+
+def approximate(metric, left, right):
+    """All distances by the fastest route, and a bound on their error per row of `left`."""
+    left, right = left_form(metric, left), right_form(metric, right)
+    near, noise = stand_in(metric, left, right), rounding(metric, left, right)
+    if metric == EUCLIDEAN:
+        return np.sqrt(np.maximum(near, 0.0)), np.sqrt(noise)
+    return (near + 1.0 if metric == COSINE else near), noise
 
 
 def euclidean(left, right):

@@ -45,6 +45,19 @@ class SparseRows:
         where = np.repeat(self.pointers[:-1][rows] - pointers[:-1], lengths) + np.arange(pointers[-1])
         return SparseRows(pointers, self.idx[where], self.val[where])
 
+    def signature(self):
+        """A number per row, equal for equal rows."""
+        mixed = self.val * np.sin(1.0 + self.idx)
+        return np.bincount(np.repeat(np.arange(len(self)), np.diff(self.pointers)), mixed, len(self))
+
+    def equals(self, other):
+        """Which rows equal the same-numbered row of `other`."""
+        same = np.diff(self.pointers) == np.diff(other.pointers)
+        mine, theirs = self.take(np.flatnonzero(same)), other.take(np.flatnonzero(same))
+        row_of = np.repeat(np.flatnonzero(same), np.diff(mine.pointers))
+        same[row_of[(mine.idx != theirs.idx) | (mine.val != theirs.val)]] = False
+        return same
+
     def to_matrix(self, width):
         out = np.zeros((len(self), width))
         out[np.repeat(np.arange(len(self)), np.diff(self.pointers)), self.idx] = self.val
@@ -99,6 +112,12 @@ class DenseRows:
     def take(self, rows):
         return DenseRows(self.matrix[rows])
 
+    def signature(self):
+        return (self.matrix * np.sin(1.0 + np.arange(self.matrix.shape[1]))).sum(axis=1)
+
+    def equals(self, other):
+        return (self.matrix == other.matrix).all(axis=1)
+
     def to_matrix(self, width):
         return self.matrix
 
@@ -109,6 +128,13 @@ class DenseRows:
         return self.matrix.T @ right
 
 
+def first_copies(rows):
+    """For every row the number of an equal row, the same one for all its copies."""
+    _, first, group = np.unique(rows.signature(), return_index=True, return_inverse=True)
+    chosen = first[group]
+    return np.where(rows.equals(rows.take(chosen)), chosen, np.arange(len(rows)))
+
+
 def read_rows(batch, sparse):
     """Feature rows of a batch whose columns are `features`, or `idx` and `val`."""
     if sparse:

@@ -8,6 +8,8 @@ Three ways, chosen by counted sizes, give the same rows:
   rules out for a query are never sent to it (`cells.py`).
 """
 
+from typing import Iterator, Tuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window as W
@@ -16,7 +18,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import distances
 from ..functions.columns import largest_by_count
-from ..functions.matrices import feature_columns, read_rows
+from ..functions.matrices import feature_columns, first_copies, read_rows
 from . import blocks, cells
 
 _FOUND = pa.schema(
@@ -30,114 +32,177 @@ _FOUND = pa.schema(
 )
 
 
+# Rows compared at a time: the stand-ins of one pair of slices stay in the processor's cache.
+_QUERY_ROWS, _BASE_ROWS = 1024, 2048
+
+
 class _Best:
-    """The k nearest rows seen so far for a slice of queries, by (distance, id)."""
+    """The k nearest base rows seen so far for a slice of distinct queries, by (distance, id)."""
 
-    def __init__(self, ids, rows, width, k, metric, skip_self):
-        self.ids, self.rows, self.width = ids, rows, width
-        self.k, self.metric, self.skip_self = k, metric, skip_self
+    def __init__(self, rows, width, k, metric):
+        self.rows, self.width, self.k, self.metric = rows, width, k, metric
         self.query = np.empty(0, dtype=np.int64)
         self.dist = np.empty(0)
         self.found = np.empty(0, dtype=np.int64)
         self.label = np.empty(0, dtype=np.int32)
-        self.bound = np.full(len(ids), np.inf)
+        self.bound = np.full(len(rows), np.inf)
 
-    def see(self, ids, vectors, labels):
+    def see(self, base):
+        ids, labels, vectors, right = base
         mine = self.rows.to_matrix(self.width)
-        near, noise = distances.approximate(self.metric, mine, vectors)
-        if self.skip_self:
-            near[self.ids[:, None] == ids[None, :]] = np.inf
-        limit = self.bound
-        if len(ids) > self.k:
-            limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
-        q, b = np.nonzero((near <= (limit + noise)[:, None]) & np.isfinite(near))
-        exact = distances.aligned_pairs(self.metric, mine, vectors, q, b)
+        left = distances.left_form(self.metric, mine)
+        near = distances.stand_in(self.metric, left, right)
+        slack = 2.0 * distances.rounding(self.metric, left, right)
+        limit = distances.as_stand_in(self.metric, self.bound) + slack
+        close = near <= limit[:, None]
+        if len(ids) > self.k and np.count_nonzero(close) > 4 * self.k * len(near):
+            kth = np.partition(near, self.k - 1, axis=1)[:, self.k - 1]
+            close = near <= np.minimum(limit, kth + slack)[:, None]
+        q, b = np.nonzero(close)
+        if not len(q):
+            return
         query = np.concatenate([self.query, q])
-        dist = np.concatenate([self.dist, exact])
+        dist = np.concatenate([self.dist, distances.aligned_pairs(self.metric, mine, vectors, q, b)])
         found = np.concatenate([self.found, ids[b]])
         label = np.concatenate([self.label, labels[b]])
         order = np.lexsort((found, dist, query))
-        query = query[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
+        ranked = query[order]
+        place = np.arange(len(ranked)) - np.searchsorted(ranked, ranked)
         keep = order[place < self.k]
-        self.query, self.dist = np.concatenate([self.query, q])[keep], dist[keep]
-        self.found, self.label = found[keep], label[keep]
-        counts = np.bincount(self.query, minlength=len(self.ids))
-        full = np.flatnonzero(counts == self.k)
-        last = np.cumsum(counts) - 1
-        self.bound[full] = self.dist[last[full]]
+        self.query, self.dist, self.found, self.label = query[keep], dist[keep], found[keep], label[keep]
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.bound)) == self.k)
+        self.bound[full] = self.dist[np.searchsorted(self.query, full, side="right") - 1]
+
+
+class _Found:
+    """Neighbours of all queries of a block, copies of a query included."""
+
+    def __init__(self, ids, parts, place, k, skip_self):
+        """`place` gives for every query its number among the distinct ones."""
+        sizes = [len(part.bound) for part in parts]
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        query = np.concatenate([part.query + start for part, start in zip(parts, starts)])
+        counts = np.bincount(query, minlength=sum(sizes))
+        first = np.cumsum(counts) - counts
+        owner = np.repeat(np.arange(len(ids)), counts[place])
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts[place]) - counts[place], counts[place])
+        at += first[place][owner]
+        found = np.concatenate([part.found for part in parts])[at]
+        kept = np.flatnonzero(found != ids[owner]) if skip_self else np.arange(len(owner))
+        owner, at, found = owner[kept], at[kept], found[kept]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1
+        kept = np.flatnonzero(rank <= k)
+        self.owner, self.rank, self.found = owner[kept], rank[kept], found[kept]
+        self.ids, at = ids, at[kept]
+        self.label = np.concatenate([part.label for part in parts])[at]
+        self.dist = np.concatenate([part.dist for part in parts])[at]
 
     def vote(self):
-        """Most frequent label of every query, ties to the smallest; all queries have found rows."""
-        order = np.lexsort((self.label, self.query))
-        query, label = self.query[order], self.label[order]
-        first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (label[1:] != label[:-1])])
-        count = np.diff(np.r_[first, len(query)])
-        ranked = np.lexsort((label[first], -count, query[first]))
-        top = ranked[np.r_[True, np.diff(query[first][ranked]) != 0]]
-        return label[first][top]
+        """Most frequent label of every query, ties to the smallest."""
+        order = np.lexsort((self.label, self.owner))
+        owner, label = self.owner[order], self.label[order]
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (label[1:] != label[:-1])])
+        count = np.diff(np.r_[first, len(owner)])
+        ranked = np.lexsort((label[first], -count, owner[first]))
+        return label[first][ranked[np.r_[True, np.diff(owner[first][ranked]) != 0]]]
 
     def batch(self):
-        place = np.arange(len(self.query)) - np.searchsorted(self.query, self.query)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(self.ids[self.query], pa.int64()),
+                pa.array(self.ids[self.owner], pa.int64()),
                 pa.array(self.found, pa.int64()),
                 pa.array(self.label, pa.int32()),
                 pa.array(self.dist, pa.float64()),
-                pa.array(place + 1, pa.int32()),
+                pa.array(self.rank, pa.int32()),
             ],
             schema=_FOUND,
         )
 
 
 class _Search:
-    """Compares blocks of queries with blocks of the base inside a task."""
+    """Compares blocks of queries with blocks of the base inside a task.
+
+    Copies cost nothing twice: equal queries are searched once, and of equal base rows only the
+    ones with the lowest ids, as many as can be among the nearest, are compared at all.
+    """
 
     def __init__(self, k, metric, skip_self, sparse, width):
         self.k, self.metric, self.skip_self, self.sparse, self.width = k, metric, skip_self, sparse, width
-
-    def _parts(self, table):
-        """(ids, labels, rows, width) of slices whose filled-in form stays small."""
-        batches = table.combine_chunks().to_batches() if isinstance(table, pa.Table) else [table]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = read_rows(batch, self.sparse)
-            width = self.width if self.sparse else rows.matrix.shape[1]
-            step = max(1, min(4096, distances.SLICE_VALUES // width))
-            ids = batch.column("id").to_numpy()
-            labels = batch.column("label").to_numpy() if "label" in batch.schema.names else None
-            for start in range(0, len(ids), step):
-                at = np.arange(start, min(start + step, len(ids)))
-                yield ids[at], None if labels is None else labels[at], rows.take(at), width
-
-    def _start(self, ids, rows, width):
-        return _Best(ids, rows, width, self.k, self.metric, self.skip_self)
-
-    def stream_base(self, base_batches, queries):
+        # A row may find itself first.
+        self.sought = k + skip_self
+
+    def _read(self, batch):
+        rows = read_rows(batch, self.sparse)
+        width = self.width if self.sparse else rows.matrix.shape[1]
+        return batch.column("id").to_numpy(), rows, width
+
+    def queries(self, batch):
+        """(ids, slices of distinct queries, place of every query among them)."""
+        ids, rows, width = self._read(batch)
+        distinct, place = np.unique(first_copies(rows), return_inverse=True)
+        step = max(1, min(_QUERY_ROWS, distances.SLICE_VALUES // width))
+        parts = [
+            _Best(rows.take(distinct[at : at + step]), width, self.sought, self.metric)
+            for at in range(0, len(distinct), step)
+        ]
+        return ids, parts, place
+
+    def base(self, batch):
+        """Slices of (ids, labels, vectors, their right form)."""
+        ids, rows, width = self._read(batch)
+        copy_of = first_copies(rows)
+        order = np.lexsort((ids, copy_of))
+        ranked = copy_of[order]
+        kept = order[np.arange(len(ranked)) - np.searchsorted(ranked, ranked) < self.sought]
+        labels = batch.column("label").to_numpy()
+        step = max(1, min(_BASE_ROWS, distances.SLICE_VALUES // width))
+        for at in range(0, len(kept), step):
+            part = kept[at : at + step]
+            vectors = rows.take(part).to_matrix(width)
+            yield ids[part], labels[part], vectors, distances.right_form(self.metric, vectors)
+
+    def result(self, ids, parts, place):
+        return _Found(ids, parts, place, self.k, self.skip_self)
+
+    def stream_base(self, base_batches, held):
         """Candidates for all held queries from the base rows of this task."""
-        best = [self._start(ids, rows, width) for ids, _, rows, width in self._parts(queries)]
+        blocks_of = [self.queries(batch) for batch in _batches(held)]
         for batch in base_batches:
-            for ids, labels, rows, width in self._parts(batch):
-                vectors = rows.to_matrix(width)
-                for part in best:
-                    part.see(ids, vectors, labels)
-        for part in best:
-            yield part.batch()
-
-    def finished(self, queries, base):
-        """Final neighbours of slices of the queries in the whole held base."""
-        for ids, _, rows, width in self._parts(queries):
-            best = self._start(ids, rows, width)
-            for base_ids, labels, base_rows, _ in self._parts(base):
-                best.see(base_ids, base_rows.to_matrix(width), labels)
-            yield best
-
-    def stream_queries(self, query_batches, base):
-        for batch in query_batches:
-            for best in self.finished(batch, base):
-                yield best.batch()
+            if batch.num_rows:
+                for piece in self.base(batch):
+                    for _, parts, _ in blocks_of:
+                        for part in parts:
+                            part.see(piece)
+        for block in blocks_of:
+            yield self.result(*block).batch()
+
+    def finished(self, query_batch, pieces):
+        """Neighbours of a batch of queries in all pieces of the base."""
+        ids, parts, place = self.queries(query_batch)
+        for part in parts:
+            for piece in pieces:
+                part.see(piece)
+        return self.result(ids, parts, place)
+
+    def pieces(self, held):
+        """A held base, read once; sparse rows are filled in again for every use."""
+        if self.sparse:
+            return _Again(lambda: (piece for batch in _batches(held) for piece in self.base(batch)))
+        return [piece for batch in _batches(held) for piece in self.base(batch)]
+
+
+class _Again:
+    """An iterable made afresh on every use."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __iter__(self):
+        return self.make()
+
+
+def _batches(table):
+    return [batch for batch in table.combine_chunks().to_batches() if batch.num_rows]
 
 
 def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, width=None,
@@ -160,7 +225,10 @@ def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, widt
         shared = base.sparkSession.sparkContext.broadcast(base.toArrow())
 
         def finish(batches):
-            yield from search.stream_queries(batches, shared.value)
+            pieces = search.pieces(shared.value)
+            for batch in batches:
+                if batch.num_rows:
+                    yield search.finished(batch, pieces).batch()
 
         return queries.mapInArrow(finish, from_arrow_schema(_FOUND))
     prunable = not sparse and metric != distances.COSINE
@@ -219,19 +287,24 @@ class NearestNeighbours:
         search = _Search(self.n_neighbors, distances.resolve(self.metric), False, self.sparse, self.width)
         shared = base.sparkSession.sparkContext.broadcast(base.toArrow())
 
-        def labels_of(*arrays):
+        def labels_of(pieces, *arrays):
+            if not len(arrays[0]):
+                return pa.array([], pa.int32())
             ids = pa.array(np.arange(len(arrays[0])), pa.int64())
             asked = pa.RecordBatch.from_arrays([ids, *arrays], ["id", *columns])
-            parts = [best.vote() for best in search.finished(asked, shared.value)]
-            return pa.array(np.concatenate(parts) if parts else [], pa.int32())
+            return pa.array(search.finished(asked, pieces).vote(), pa.int32())
 
         @F.arrow_udf("int")
-        def classify(features: pa.Array) -> pa.Array:
-            return labels_of(features)
+        def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            pieces = search.pieces(shared.value)
+            for features in batches:
+                yield labels_of(pieces, features)
 
         @F.arrow_udf("int")
-        def classify_sparse(idx: pa.Array, val: pa.Array) -> pa.Array:
-            return labels_of(idx, val)
+        def classify_sparse(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            pieces = search.pieces(shared.value)
+            for idx, val in batches:
+                yield labels_of(pieces, idx, val)
 
         return (classify_sparse if self.sparse else classify)(*columns)
 
