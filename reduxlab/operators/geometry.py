@@ -22,6 +22,7 @@ _MOMENTS = pa.schema(
 _RANGE = pa.schema([("method", pa.string()), ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int64())])
 _BINS = pa.schema([("method", pa.string()), ("bin", pa.int32()), ("n", pa.int64())])
 SAME_POINT = 1e-12
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def _matrix(table, name):
@@ -103,8 +104,7 @@ def paired_sample(original, reduced, sample_size, seed=42):
     The sample is drawn before the tables are joined, so only its rows travel.
     """
     chosen = subsample(original.select("id", F.col("features").alias("original")), sample_size, seed)
-    if sample_size is not None:
-        # At most `sample_size` rows.
+    if sample_size is not None and sample_size <= MAX_BROADCAST_IDS:
         ids = F.broadcast(chosen.select("id"))
         reduced = {name: df.join(ids, "id", "left_semi") for name, df in reduced.items()}
     for name, df in reduced.items():

@@ -34,6 +34,27 @@ def text_matrix_join(spark, sf_dir):
     )
 
 
+def wide_sensor_csv(spark, sf_dir):
+    """Text files of both sides -> one wide CSV with unique column names -> read back."""
+    path = scratch_path(spark, "sensors")
+    df = embeddings(spark, sf_dir).withColumn("subject", (F.col("id") % 30).cast("int"))
+    for side, rows in (("train", df.filter("id % 4 <> 0")), ("test", df.filter("id % 4 = 0"))):
+        text_matrix.write_matrix(rows, f"{path}/{side}/X_{side}.txt", 3)
+        text_matrix.write_column(rows, "label", f"{path}/{side}/y_{side}.txt", 2)
+        text_matrix.write_column(rows, "subject", f"{path}/{side}/subject_{side}.txt", 1)
+    # The names of the 64 features repeat after ten.
+    names = df.orderBy("id").limit(1).select(F.posexplode("features").alias("id", "x"))
+    named = names.withColumn("line", F.concat(F.col("id") + 1, F.lit(" energy()-"), F.col("id") % 10))
+    text_matrix.write_column(named, "line", f"{path}/features.txt", 1)
+    wide = loaders.wide_sensor_table(spark, path)
+    records.write_results(wide, f"{path}/csv")
+    out = records.read_results(spark, f"{path}/csv", wide.schema)
+    values = [c for c in out.columns if c.startswith("energy")]
+    return out.unpivot(["split", "subject", "activity"], values, "name", "value").withColumn(
+        "value", rounded(F.col("value"))
+    )
+
+
 def append_records(spark, sf_dir):
     """Failed records before complete ones: the columns meet by name."""
     events = table(spark, sf_dir, "events")
@@ -229,7 +250,7 @@ def failed_cells(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        text_matrix_join, append_records, append_columns, nested_json, results_file, metric_vs_k, runtime_vs_k,
+        text_matrix_join, wide_sensor_csv, append_records, append_columns, nested_json, results_file, metric_vs_k, runtime_vs_k,
         runtime_breakdown, feature_cache, class_folders, cluster_gallery, cluster_labels, label_grid,
         clustering_sweep, clustering_times, classification_sweep, model_sweep, failed_cells,
     )
@@ -321,6 +342,10 @@ ORACLES = {
         FROM parts, (SELECT unnest(['pca_svd', 'randomized_svd']) AS reducer),
             (SELECT unnest(['knn', 'svm', 'svm_sgd', 'dnn']) AS model) GROUP BY ALL""",
     "text_matrix_join": f"WITH {E}, {UNPACKED} SELECT id, label, pos::INTEGER AS pos, {r6('x')} AS value FROM u",
+    "wide_sensor_csv": f"""WITH {E}, {UNPACKED}
+        SELECT CASE WHEN id % 4 = 0 THEN 'test' ELSE 'train' END AS split, (id % 30)::INTEGER AS subject, label AS activity,
+            concat('energy()-', pos % 10, CASE WHEN pos >= 10 THEN concat('_', pos // 10 + 1) ELSE '' END) AS name, {r6('x')} AS value
+        FROM u""",
     "append_records": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status,
         CASE WHEN event_type = 'error' THEN props END AS props, CASE WHEN event_type <> 'error' THEN round(value, 6) END AS accuracy FROM events""",
     "append_columns": """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN user_id END AS user_id,

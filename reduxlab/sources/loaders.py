@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import featurize, sampling, scaling
+from ..operators.layout import unique_names, widen
 from ..operators.text import clean_text, english_stop_words, fit_tfidf
 from . import text_matrix
 from .records import cached_features
@@ -99,6 +100,25 @@ def _har_sides(spark, path):
     return train, _offset_ids(train, _har(spark, path, "test"))
 
 
+def sensor_feature_names(spark, path):
+    """Unique column names from lines of number and name; one row per feature."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = text_matrix.numbered_lines(spark, path).select("line", F.get(parts, F.lit(1)).alias("name"))
+    return [row["unique_name"] for row in unique_names(lines, "line", "name").orderBy("line").collect()]
+
+
+def wide_sensor_table(spark, path):
+    """split, subject, activity (as stored) and one named column per feature."""
+
+    def side(name):
+        folder = f"{path}/{name}"
+        files = [f"{folder}/{kind}_{name}.txt" for kind in ("X", "y", "subject")]
+        return text_matrix.read_labelled_matrix(spark, *files, first_label=0).withColumnRenamed("label", "activity")
+
+    both = stack_with_origin(side("train"), side("test")).select("split", "subject", "activity", "features")
+    return widen(both, sensor_feature_names(spark, f"{path}/features.txt"))
+
+
 def load_dataset(spark, name, path, seed=42, max_train=None, max_test=None, standardize=True):
     """A prepared classification dataset by its case-insensitive name.
 

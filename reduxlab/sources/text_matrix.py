@@ -41,12 +41,12 @@ def read_column(spark, path, name):
     return numbered_lines(spark, path).select(F.col("line").alias("id"), F.trim("value").cast("int").alias(name))
 
 
-def read_labelled_matrix(spark, matrix_path, label_path, subject_path=None):
+def read_labelled_matrix(spark, matrix_path, label_path, subject_path=None, first_label=1):
     """Rows and labels (re-based to 0) joined on their line number."""
     out = read_matrix(spark, matrix_path).join(read_column(spark, label_path, "label"), "id")
     if subject_path:
         out = out.join(read_column(spark, subject_path, "subject"), "id")
-    return out.withColumn("label", F.col("label") - 1)
+    return out.withColumn("label", F.col("label") - first_label)
 
 
 def write_matrix(df, path, files):
