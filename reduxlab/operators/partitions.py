@@ -10,7 +10,6 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions import folds
 from ..functions.matrices import dense
-from .scaling import feature_moments
 
 _DRAWS = pa.schema(
     [
@@ -94,20 +93,28 @@ def _draw_fold(shared, restarts, draws, seed, turn):
 
 
 def _draw(df, centers, candidates, restarts, draws, seed, turn):
-    choices = 1 if candidates is None else candidates.shape[1]
+    choices, dims = (1, None) if candidates is None else candidates.shape[1:]
     shared = df.sparkSession.sparkContext.broadcast((centers, candidates))
-    found = (
-        df.coalesce(folds.task_limit(df))
-        .mapInArrow(_draw_fold(shared, restarts, draws, seed, turn), from_arrow_schema(_DRAWS))
-        .groupBy("restart", "choice", "draw")
-        .agg(F.min_by("features", F.struct("key", "id")).alias("features"), F.sum("left_over").alias("left_over"))
-        .collect()
+    tasks = folds.task_limit(df)
+    drawn = df.coalesce(tasks).mapInArrow(
+        _draw_fold(shared, restarts, draws, seed, turn), from_arrow_schema(_DRAWS)
     )
+    keys = ["restart", "choice", "draw"]
+    if dims is None or tasks * restarts * choices * draws * (dims + 4) * 8 > folds.DRIVER_BYTES:
+        first = F.min(F.struct("key", "id", "features")).alias("first")
+        drawn = drawn.groupBy(*keys).agg(F.sum("left_over").alias("left_over"), first).select(
+            *keys, "left_over", "first.*"
+        )
+    best, left = {}, np.zeros((restarts, choices))
+    for row in drawn.collect():
+        place = tuple(row[k] for k in keys)
+        if place not in best or (row["key"], row["id"]) < best[place][:2]:
+            best[place] = (row["key"], row["id"], row["features"])
+        if row["draw"] == 0:
+            left[row["restart"], row["choice"]] += row["left_over"]
     shared.destroy()
-    found.sort(key=lambda row: (row["restart"], row["choice"], row["draw"]))
-    vectors = np.array([row["features"] for row in found]).reshape(restarts, choices, draws, -1)
-    left = np.array([row["left_over"] for row in found]).reshape(restarts, choices, draws)[:, :, 0]
-    return vectors, left
+    vectors = np.array([best[place][2] for place in sorted(best)])
+    return vectors.reshape(restarts, choices, draws, -1), left
 
 
 def seed_centers(df, n_clusters, restarts, seed):
@@ -160,6 +167,22 @@ def lloyd_sums(df, centers):
     return state[:size].reshape(centers.shape), state[size : size + restarts * k].reshape(restarts, k), state[-restarts:]
 
 
+def _mean_variance(df, origin):
+    """Mean variance of the features, summed relative to one of the rows."""
+
+    def fold(batches):
+        total = np.zeros(2 * len(origin) + 1)
+        for batch in batches:
+            if batch.num_rows:
+                gap = dense(batch.column("features")) - origin
+                total += np.concatenate([gap.sum(axis=0), (gap * gap).sum(axis=0), [len(gap)]])
+        return total
+
+    state = folds.folded(df.select("features"), fold, 2 * len(origin) + 1)
+    mean, square = state[: len(origin)] / state[-1], state[len(origin) : -1] / state[-1]
+    return float((square - mean * mean).mean())
+
+
 def assign_clusters(df, centers):
     """id, cluster: the nearest center, the first one on ties."""
     shared = folds.share(df, centers, centers.nbytes, "centers")
@@ -210,8 +233,7 @@ class KMeans:
     def fit_stored(self, rows):
         """The same for rows that the caller keeps in storage."""
         centers = seed_centers(rows, self.n_clusters, self.n_init, self.seed)
-        spread = feature_moments(rows).agg(F.avg(F.col("std") * F.col("std")).alias("variance")).head()
-        limit = self.tol * spread["variance"]
+        limit = self.tol * _mean_variance(rows, centers[0, 0])
         running = np.ones(self.n_init, dtype=bool)
         spread = np.full(self.n_init, np.inf)
         for _ in range(self.max_iter):

@@ -25,6 +25,14 @@ def test_restarts_do_not_depend_on_the_layout(make):
     assert np.allclose(one.all_centers, many.all_centers)
 
 
+def test_draws_merged_inside_spark_are_the_same(make, monkeypatch):
+    x, y = blobs(spread=3.0)
+    df = make(x, y, parts=5)
+    expected = partitions.seed_centers(df, 4, 3, 7)
+    monkeypatch.setattr(partitions.folds, "DRIVER_BYTES", 0)
+    assert np.array_equal(partitions.seed_centers(df, 4, 3, 7), expected)
+
+
 def test_seeding_prefers_distant_rows(make):
     x = np.r_[np.zeros((50, 2)), [[9.0, 9.0]], [[-9.0, 9.0]]]
     centers = partitions.seed_centers(make(x), 3, 4, 1)
