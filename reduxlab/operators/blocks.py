@@ -54,7 +54,8 @@ def against(streamed, held, vectors, work, arrow_schema, small_bytes=SMALL_SIDE_
     def meet(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
         if not left_table.num_rows or not right_table.num_rows:
             return arrow_schema.empty_table()
-        made = list(work(iter(left_table.select(left_names).to_batches()), right_table.select(held_names).rename_columns(right_names)))
-        return pa.Table.from_batches(made, arrow_schema)
+        against_rows = right_table.select(held_names).rename_columns(right_names)
+        made = work(iter(left_table.select(left_names).to_batches()), against_rows)
+        return pa.Table.from_batches(list(made), arrow_schema)
 
     return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(meet, schema)

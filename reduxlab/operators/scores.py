@@ -16,15 +16,16 @@ def _ratio(top, bottom):
 
 def per_class(counts):
     """support, predicted, hits, precision, recall and F1 for every true or predicted class."""
-    hits = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0))
-    sides = counts.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("y").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), hits.alias("hit")),
-                F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")),
-            )
-        ).alias("s")
-    ).select("s.*")
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hits = F.when(F.col("y") == F.col("p"), n).otherwise(none)
+
+    def side(cls, support, predicted, hit):
+        return F.struct(
+            F.col(cls).alias("cls"), support.alias("support"), predicted.alias("predicted"), hit.alias("hit")
+        )
+
+    both = F.array(side("y", n, none, hits), side("p", none, n, none))
+    sides = counts.select(F.explode(both).alias("s")).select("s.*")
     table = sides.groupBy("cls").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit")
     )

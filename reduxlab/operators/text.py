@@ -107,12 +107,16 @@ class TfIdf:
     def _by_join(self, df, text_col, stop_words):
         """For a vocabulary too large to broadcast: join on the term, collect by row."""
         others = [c for c in df.columns if c != text_col]
+        # Rows without tokens get a mark no token can equal, each its own, to spread them.
+        mark = F.concat(F.lit(" "), F.xxhash64(*others).cast("string"))
         words = df.select(*others, F.explode_outer(token_list(text_col, stop_words)).alias("term"))
+        weight = F.struct("idx", (F.col("uses") * F.col("idf")).alias("val"))
         weights = (
-            words.groupBy(*others, "term")
-            .agg(F.count("term").alias("uses"))
+            words.withColumn("term", F.coalesce("term", mark))
+            .groupBy(*others, "term")
+            .agg(F.count("*").alias("uses"))
             .join(self.table, "term", "left")
-            .withColumn("w", F.when(F.col("idx").isNotNull(), F.struct("idx", (F.col("uses") * F.col("idf")).alias("val"))))
+            .withColumn("w", F.when(F.col("idx").isNotNull(), weight))
             .groupBy(*others)
             .agg(F.sort_array(F.collect_list("w")).alias("w"))
         )
@@ -166,7 +170,9 @@ def _numbered_by_name(terms):
     spark = terms.sparkSession
     path = scratch_path(spark, "vocabulary")
     terms.orderBy("term").write.parquet(path)
-    stored = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    stored = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
     before = F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1))
     # One row per file.
     files = stored.groupBy("file").agg(F.count("*").alias("n"), F.min("term").alias("first"))

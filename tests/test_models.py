@@ -14,7 +14,8 @@ from reduxlab.operators.models import make_model
 
 
 def accuracy(df, pred):
-    return df.select("id", "label").join(pred.select("id", "prediction"), "id").agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).head()[0]
+    both = df.select("id", "label").join(pred.select("id", "prediction"), "id")
+    return both.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).head()[0]
 
 
 def objective(x, y, w, cost):
