@@ -84,6 +84,16 @@ class SparseRows:
             out[start + filled] = np.add.reduceat(terms, self.pointers[start:stop][filled] - lo, axis=0)
         return out
 
+    def transposed_terms(self, right):
+        """The touched rows of rows.T @ right: their numbers and values. For few rows."""
+        order = np.argsort(self.idx, kind="stable")
+        idx = self.idx[order]
+        if not len(idx):
+            return idx, np.zeros((0, right.shape[1]))
+        row_of = np.repeat(np.arange(len(self)), np.diff(self.pointers))[order]
+        first = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
+        return idx[first], np.add.reduceat(self.val[order, None] * right[row_of], first, axis=0)
+
     def transposed_dot(self, right, dims):
         """rows.T @ right, summed by feature number."""
         out = np.zeros((dims, right.shape[1]))
@@ -124,6 +134,9 @@ class DenseRows:
     def dot(self, weights):
         return self.matrix @ weights
 
+    def transposed_terms(self, right):
+        return slice(None), self.matrix.T @ right
+
     def transposed_dot(self, right, dims):
         return self.matrix.T @ right
 

@@ -260,14 +260,50 @@ def hinge_step_sizes(alpha):
     return 1.0 / (typical * alpha)
 
 
+class _Averaged:
+    """Weights under shrinking steps, and the sum of all iterates.
+
+    The weights are `scale` * `base`: shrinking touches one number per class, and a step only the
+    features of its rows. With S the running sum of scales, the sum of iterates is
+    S * base minus every step's change times the S before it.
+    """
+
+    def __init__(self, start):
+        self.base, self.intercept = start[:-1].copy(), start[-1].copy()
+        self.late = np.zeros_like(self.base)
+        self.scale, self.scales = np.ones(start.shape[1]), np.zeros(start.shape[1])
+        self.intercepts = np.zeros(start.shape[1])
+        self.steps = 0
+
+    def decision(self, rows):
+        return rows.dot(self.base) * self.scale + self.intercept
+
+    def step(self, rows, push, shrink):
+        self.scale *= shrink
+        at, change = rows.transposed_terms(push)
+        change = change / self.scale
+        self.base[at] += change
+        self.late[at] += change * self.scales
+        self.intercept += push.sum(axis=0)
+        self.scales += self.scale
+        self.intercepts += self.intercept
+        self.steps += 1
+
+    def current(self):
+        return np.vstack([self.base * self.scale, self.intercept])
+
+    def mean(self):
+        return np.vstack([self.base * self.scales - self.late, self.intercepts]) / max(self.steps, 1)
+
+
 def _hinge_fold(shared, classes, alpha, epoch, seed, sparse):
     """One local epoch from shared weights, and the validation hits of the shared weights."""
 
     def fold(batches):
         start, first_step, active = shared.value
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-        weights, total = start.copy(), np.zeros_like(start)
-        steps = seen = checked = 0
+        weights = _Averaged(start)
+        seen = checked = 0
         hits = np.zeros(len(classes))
         for batch in buffered(batches, sparse, rng):
             rows, signs = read_rows(batch, sparse), _targets(batch, classes)
@@ -281,17 +317,14 @@ def _hinge_fold(shared, classes, alpha, epoch, seed, sparse):
             for at in range(0, len(learn), STEP_ROWS):
                 part = learn[at : at + STEP_ROWS]
                 x, y = rows.take(part), signs[part]
-                eta = 1.0 / (alpha * (first_step + steps))
-                wrong = ((x.dot(weights[:-1]) + weights[-1]) * y < 1.0) * active
-                push = y * wrong * (eta / len(part))
-                weights[:-1] *= 1.0 - eta * alpha * active
-                weights[:-1] += x.transposed_dot(push, len(weights) - 1)
-                weights[-1] += push.sum(axis=0)
-                steps += 1
-                total += weights
+                eta = 1.0 / (alpha * (first_step + weights.steps))
+                wrong = (weights.decision(x) * y < 1.0) * active
+                weights.step(x, y * wrong * (eta / len(part)), np.maximum(1.0 - eta * alpha * active, 1e-9))
             seen += len(learn)
-        mean = total / max(steps, 1)
-        return np.concatenate([seen * weights.ravel(), seen * mean.ravel(), hits, [seen, seen * steps, checked]])
+        steps = weights.steps
+        return np.concatenate(
+            [seen * weights.current().ravel(), seen * weights.mean().ravel(), hits, [seen, seen * steps, checked]]
+        )
 
     return fold
 

@@ -92,6 +92,28 @@ def test_hinge_descent_stops_early_and_takes_sparse_rows(make):
     assert accuracy(df, model.predict(sparse)) > 0.97
 
 
+def test_hinge_descent_is_the_same_on_sparse_rows(make):
+    x, y = blobs(per=30, spread=5.0)
+    x = np.where(np.abs(x) > 2, x, 0)
+    df = make(x, y, parts=1).orderBy("id").coalesce(1)
+    dense = HingeSGD(alpha=1e-2, max_iter=3, early_stopping=False).fit(df)
+    sparse = HingeSGD(alpha=1e-2, max_iter=3, early_stopping=False).fit(layout.to_sparse(df), sparse=True, width=6)
+    assert np.allclose(dense.weights, sparse.weights)
+
+
+def test_averaged_weights_match_the_plain_sums():
+    rng = np.random.default_rng(2)
+    start, x = rng.normal(size=(5, 2)), rng.normal(size=(30, 4))
+    averaged, plain, total = linear_svm._Averaged(start), start.copy(), np.zeros((5, 2))
+    for row in x:
+        push, shrink = rng.normal(size=(1, 2)), rng.uniform(0.8, 1.0, 2)
+        averaged.step(DenseRows(row[None]), push, shrink)
+        plain[:-1] = plain[:-1] * shrink + np.outer(row, push)
+        plain[-1] += push[0]
+        total += plain
+    assert np.allclose(averaged.current(), plain) and np.allclose(averaged.mean(), total / 30)
+
+
 def test_network_slopes_match_finite_differences():
     rng = np.random.default_rng(1)
     shapes = mlp.layer_shapes(6, 5, 3)
