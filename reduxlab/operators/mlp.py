@@ -148,9 +148,9 @@ class NeuralNetwork:
     """Linear-ReLU-dropout-linear-ReLU-linear classifier.
 
     Each epoch is one job in which every task runs mini-batch AdamW over its own rows from the
-    shared state; weights and moments are averaged by row count. The result therefore depends on
-    the partitioning, unlike every other fit in this package. The same job scores the held-out
-    rows for the weights it started from, so early stopping needs no extra pass.
+    shared state; weights and moments are averaged by row count, so the result depends on the
+    partitioning. The same job scores the held-out rows for the weights it started from, so early
+    stopping needs no extra pass.
     """
 
     name = "dnn"
