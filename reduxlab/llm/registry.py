@@ -1,6 +1,6 @@
 """Queries of the numbered operators over their whole tables, and the SQL that some of them must agree with."""
 
-from . import decontamination
+from . import decontamination, line_dedup
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -10,15 +10,35 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op5_decontamination": op5_decontamination}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    "op3_line_dedup": rf"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        line AS (
+            SELECT r, doc_id, i, lines[i] AS line,
+                trim(translate(lines[i], '{UPPER}', '{LOWER}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+            FROM doc, unnest(range(1, len(lines) + 1)) AS u(i)),
+        frequent AS (
+            SELECT key, max(doc_id) AS largest FROM line WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        lost AS (SELECT r, i FROM line JOIN frequent USING (key) WHERE doc_id <> largest),
+        kept AS (
+            SELECT line.r, string_agg(line, chr(10) ORDER BY line.i) AS text, count(*) AS n
+            FROM line LEFT JOIN lost USING (r, i) WHERE lost.r IS NULL GROUP BY line.r)
+        SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped,
+            sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM doc LEFT JOIN kept USING (r)""",
     "op5_decontamination": f"""
         WITH item AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS w FROM benchmark),
         test AS (
