@@ -1,6 +1,6 @@
 """Queries of the numbered operators over their whole tables, and the SQL that some of them must agree with."""
 
-from . import decontamination, line_dedup
+from . import decontamination, line_dedup, url_filter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -10,6 +10,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.report(_table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -18,11 +22,66 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _link_sql(kind, tag, mark, attribute):
+    return rf"""
+        SELECT url AS source, '{kind}' AS kind, replace(regexp_extract(list_filter(
+            regexp_extract_all(coalesce(html, ''), '(?is)<{tag}\b[^>]*>'),
+            lambda t: regexp_matches(t, '(?is){mark}') AND regexp_matches(t, '(?is)\b{attribute}')
+        )[1], '(?is)\b{attribute}', 1), '&amp;', '&') AS t
+        FROM pages WHERE contains(url, '://')"""
+
+
+_QUOTE = "[\"'']?"
+_HREF = rf"""\s*=\s*{_QUOTE}([^"''\s>]+)"""
+_RULE_SQL = " ".join(
+    f"""WHEN (host = '{text.split("/")[0]}' OR ends_with(host, '.{text.split("/")[0]}'))
+        AND starts_with(path, '/{text.partition("/")[2]}') THEN '{action} {text}'"""
+    for action, text in sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+)
+
+
+def _parts_sql(url):
+    return rf"""translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+        regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path"""
+
+
 ORACLES = {
+    "op1_url_filter": rf"""
+        WITH RECURSIVE found AS (
+            {_link_sql("canonical", "link", rf"\brel\s*=\s*{_QUOTE}canonical\b", "href" + _HREF)}
+            UNION ALL {_link_sql("redirect", "meta", rf"\bhttp-equiv\s*=\s*{_QUOTE}refresh\b", "url" + _HREF)}),
+        links AS (
+            SELECT source, CASE WHEN contains(t, '://') THEN t
+                WHEN starts_with(t, '//') THEN regexp_extract(source, '(?s)^([^:]*:)//', 1) || t
+                WHEN starts_with(t, '/') THEN regexp_extract(source, '(?s)^([^:]*://[^/?#]*)', 1) || t END AS target
+            FROM found),
+        known AS (
+            SELECT url FROM pages UNION SELECT source FROM links UNION SELECT target FROM links),
+        bare AS (
+            SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                url, '(?s)#.*$', ''), '([?&]){url_filter.TRACKING}=[^&]*', '\1', 'g'), '&{{2,}}', '&', 'g'), '\?&', '?', 'g'),
+                '[?&]+$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:www\.|m\.)?', '') AS bare
+            FROM known WHERE contains(url, '://')),
+        edges AS (
+            SELECT source AS a, target AS b FROM links WHERE target IS NOT NULL
+            UNION SELECT url, 'alias://' || translate(regexp_extract(bare, '(?s)^([^/?]*)', 1), '{UPPER}', '{LOWER}')
+                || regexp_replace(regexp_replace(bare, '(?s)^[^/?]*', ''), '/$', '') FROM bare),
+        near AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        reach AS (SELECT a, a AS b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+        node AS (SELECT DISTINCT b AS url, {_parts_sql("b")} FROM near WHERE NOT starts_with(b, 'alias://')),
+        acted AS (SELECT url, split_part(CASE {_RULE_SQL} END, ' ', 1) AS action FROM node),
+        class AS (
+            SELECT r.a AS url, bool_or(action = 'block') AND NOT coalesce(bool_or(action = 'allow'), false) AS blocked
+            FROM reach r JOIN acted ON r.b = acted.url GROUP BY r.a),
+        judged AS (SELECT page_id, url, {_parts_sql("url")} FROM pages),
+        ruled AS (SELECT *, CASE {_RULE_SQL} END AS hit FROM judged)
+        SELECT page_id, host, path, CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 2) END AS rule,
+            CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 1) WHEN class.blocked THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled LEFT JOIN class ON ruled.url = class.url""",
     "op3_line_dedup": rf"""
         WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         line AS (
