@@ -1,6 +1,8 @@
 """Queries of the numbered operators over their whole tables, and the SQL that some of them must agree with."""
 
-from . import decontamination, line_dedup, url_filter
+import public_tokenizers
+
+from . import decontamination, line_dedup, packing, url_filter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -22,7 +24,11 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
+def op8_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
