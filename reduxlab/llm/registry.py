@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontamination, line_dedup, packing, sharding, url_filter
+from . import decontamination, jaccard_join, line_dedup, packing, sharding, url_filter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -32,7 +32,11 @@ def op8_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
