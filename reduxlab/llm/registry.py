@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontamination, jaccard_join, line_dedup, packing, pitman_yor, sharding, url_filter
+from . import decontamination, jaccard_join, line_dedup, packing, pitman_yor, sharding, toxicity, url_filter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -24,6 +24,10 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
+QUERIES = {"op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -78,12 +78,16 @@ def _pieces(data, offsets, is_word):
         begin = end
 
 
-def word_hashes(column, separators=SPACES):
-    """(hash, first byte, byte after the last, words before each row) of all words of a string column."""
+def word_hashes(column, separators=SPACES, prefixes=()):
+    """(hash, first byte, byte after the last, words before each row) of all words of a string column.
+
+    With `prefixes`, also one array per given number of bytes: the hash of so long a beginning, 0 for words that
+    are no longer than that.
+    """
     data, offsets = text_bytes(column)
     is_word = np.ones(256, dtype=bool)
     is_word[list(separators)] = False
-    hashes, firsts, lasts = [], [], []
+    hashes, firsts, lasts, begins = [], [], [], []
     for begin, end in _pieces(data, offsets, is_word):
         piece = data[begin:end]
         inside = is_word[piece]
@@ -99,13 +103,21 @@ def word_hashes(column, separators=SPACES):
         total = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum(codes[piece] * power[: len(piece)], out=total[1:])
         hashes.append(mixed((total[last] - total[first]) * inverse[first]))
+        begins.append(
+            [
+                np.where(last - first > k, mixed((total[np.minimum(first + k, len(piece))] - total[first]) * inverse[first]), np.uint64(0))
+                for k in prefixes
+            ]
+        )
         firsts.append(first + begin)
         lasts.append(last + begin)
     if not hashes:
         none = np.zeros(0, dtype=np.int64)
-        return np.zeros(0, dtype=np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64)
+        out = np.zeros(0, dtype=np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64)
+        return (*out, [out[0] for _ in prefixes]) if prefixes else out
     first = np.concatenate(firsts)
-    return np.concatenate(hashes), first, np.concatenate(lasts), np.searchsorted(first, offsets)
+    out = np.concatenate(hashes), first, np.concatenate(lasts), np.searchsorted(first, offsets)
+    return (*out, [np.concatenate(row) for row in zip(*begins)]) if prefixes else out
 
 
 def windows(hashes, length):
@@ -120,10 +132,10 @@ def windows(hashes, length):
     return mixed(total)
 
 
-def slices(column, separators=SPACES, size=1 << 23):
+def slices(column, separators=SPACES, size=1 << 23, prefixes=()):
     """word_hashes over runs of rows of about `size` bytes, so a batch of long texts needs little memory.
 
-    Yields (first row, hashes, first bytes, last bytes, words before each row of the run).
+    Yields (first row, hashes, first bytes, last bytes, words before each row of the run), and prefix hashes if wanted.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -131,5 +143,5 @@ def slices(column, separators=SPACES, size=1 << 23):
     row, rows = 0, len(column)
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
-        yield (row, *word_hashes(column.slice(row, end - row), separators))
+        yield (row, *word_hashes(column.slice(row, end - row), separators, prefixes))
         row = end
