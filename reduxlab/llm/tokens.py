@@ -11,7 +11,7 @@ import types
 import numpy as np
 
 #: Words kept by one worker process.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Bytes of a text that are split into words at a time.
 PIECE_BYTES = 1 << 20
 _MARK = "\x00"
