@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one task ranks together, on average.
 BUCKET_ROWS = 20_000
+#: Buckets at least, so that one large group of a small table spreads over the tasks too.
+LEAST_BUCKETS = 32
 
 
 def ranked(df, group, identity, into="rank", total=None, bucket_rows=BUCKET_ROWS):
@@ -14,7 +16,7 @@ def ranked(df, group, identity, into="rank", total=None, bucket_rows=BUCKET_ROWS
     ordered inside their bucket. Rows that agree in all identity columns are interchangeable.
     """
     total = df.count() if total is None else total
-    buckets = max(1, -(-total // bucket_rows))
+    buckets = max(LEAST_BUCKETS, -(-total // bucket_rows))
     keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*identity), F.lit(buckets)))
     counts = keyed.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
     upto = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -106,6 +106,8 @@ def shard(docs, shards=SHARDS, rounds=ROUNDS, id_col="doc_id", text_col="text"):
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = described(docs, id_col, text_col)
     groups = rows.filter("g1 is not null").groupBy(*_GROUP).agg(F.count("*").alias("__n")).filter("__n > 1")
+    # Written first, so that the join deals both sides anew and a hot group can be split.
+    groups, _ = stored(groups, "shard-groups")
     marked = rows.join(groups, _GROUP, "left").withColumn("linked", F.col("__n").isNotNull()).drop("__n")
     marked, _ = stored(marked, "shard-rows", ["linked"])
     total = marked.count()
