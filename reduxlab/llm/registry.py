@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontamination, jaccard_join, line_dedup, packing, pitman_yor, sharding, toxicity, url_filter
+from . import decontamination, jaccard_join, line_dedup, packing, pitman_yor, sharding, toxicity, url_filter, vector_search
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -16,6 +16,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.report(_table(spark, sf_dir, "pages"))
 
 
+def op2_vector_search(spark, sf_dir):
+    return vector_search.report(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
+QUERIES = {"op2_vector_search": op2_vector_search, "op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
