@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontamination, jaccard_join, line_dedup, packing, pitman_yor, sharding, toxicity, url_filter, vector_search
+from . import decontamination, jaccard_join, line_dedup, packing, pitman_yor, sharding, toxicity, url_filter, vector_search, warc
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -24,6 +24,10 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +52,7 @@ def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_vector_search": op2_vector_search, "op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
+QUERIES = {"op4_warc": op4_warc, "op2_vector_search": op2_vector_search, "op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
