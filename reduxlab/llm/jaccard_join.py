@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import drop_path, stored
 from .components import components
@@ -37,6 +38,8 @@ UNIT_SETS = 512
 UNIT_SHINGLES = 2_000_000
 #: Documents of a shingle from which its rows are joined, not ordered.
 HEAVY_ROWS = 1000
+#: Size of the filter that keeps documents outside all clusters from being shuffled.
+FILTER_BITS = 22
 _CLASS = ["n_shingles", "s1", "s2"]
 
 
@@ -142,115 +145,94 @@ def _chains(classes, percent):
     return edges.union(spokes).union(between).filter(F.col("a") != F.col("b")).distinct()
 
 
-def _linked(units, percent, id_type):
-    """Links found inside each unit; rows: unit, side (null: compare all), label, doc, shingles."""
+def _linked(units, percent, words):
+    """Links found inside each unit; rows: unit, side (null: compare all), label, doc, text."""
+    id_type = units.schema["doc"].dataType
+    id_arrow = to_arrow_type(id_type)
+
+    def found(rows):
+        numbers = {}
+        labels = [numbers.setdefault(label, len(numbers)) for _, label, _, _ in rows]
+        side = None if rows[0][0] is None else [row[0] for row in rows]
+        pairs = links([row[3] for row in rows], labels, percent, side)
+        ends = [[rows[pair[k]][2] for pair in pairs] for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(e, id_arrow) for e in ends], ["a", "b"])
 
     def compare(batches):
         current, rows = None, []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if row[0] != current:
+            columns = (batch.column(k).to_pylist() for k in range(4))
+            for unit, side, label, doc, values in zip(*columns, shingle_sets(batch.column(4), words)):
+                if unit != current:
                     if rows:
-                        yield _unit_links(rows, percent, id_arrow)
-                    current, rows = row[0], []
-                rows.append(row)
+                        yield found(rows)
+                    current, rows = unit, []
+                rows.append((side, label, doc, values))
         if rows:
-            yield _unit_links(rows, percent, id_arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield found(rows)
 
-    id_arrow = to_arrow_type(id_type)
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
-    columns = ["unit", "side", "label", "doc", "shingles"]
-    spread = units.select(*columns).repartition("unit").sortWithinPartitions("unit", "side", "doc")
-    return spread.mapInArrow(compare, schema)
-
+    spread = units.select("unit", "side", "label", "doc", "text").repartition("unit")
+    return stored(spread.sortWithinPartitions("unit", "side", "doc").mapInArrow(compare, schema), "jaccard-links")[0]
 
-def _unit_links(rows, percent, id_arrow):
-    sets = [np.frombuffer(row[4], dtype=np.uint64) for row in rows]
-    numbers = {}
-    labels = [numbers.setdefault(row[2], len(numbers)) for row in rows]
-    side = None if rows[0][1] is None else [row[1] for row in rows]
-    found = links(sets, labels, percent, side)
-    ends = [[rows[pair[k]][3] for pair in found] for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array(e, id_arrow) for e in ends], ["a", "b"])
 
+def _texts(docs, nodes, id_col, text_col):
+    """Nodes with their text. A filter of fixed size dismisses most other documents before the join."""
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).cast("int")
+    taken = nodes.select(place.alias("place")).distinct().toArrow()["place"].to_numpy()
+    known = np.zeros(1 << FILTER_BITS, dtype=bool)
+    known[taken] = True
+    shared = spark.sparkContext.broadcast(known)
 
-def _members(docs, clusters, words, id_col, text_col):
-    """Cluster members with their whole sets."""
-    id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
-
-    def sets(batches):
-        for batch in batches:
-            values = [s.tobytes() for s in shingle_sets(batch.column(2), words)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(v) // 8 for v in values], pa.int64()),
-                    pa.array(values, pa.binary()),
-                ],
-                ["doc", "cluster", "n", "shingles"],
-            )
+    @F.arrow_udf(T.BooleanType())
+    def may_be_node(places: pa.Array) -> pa.Array:
+        return pa.array(shared.value[places.to_numpy(zero_copy_only=False)])
 
-    schema = T.StructType(
-        [
-            T.StructField("doc", id_type),
-            T.StructField("cluster", id_type),
-            T.StructField("n", T.LongType()),
-            T.StructField("shingles", T.BinaryType()),
-        ]
-    )
-    return rows.select("doc", "cluster", "text").mapInArrow(sets, schema)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull())
+    return rows.filter(may_be_node(place)).join(nodes, "doc")
 
 
-def _blocked(members, unit_sets):
-    """Members with their block: size classes of about a tenth, cut by hash to bounded blocks."""
-    sized = members.withColumn("size", F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.1))).cast("int"))
-    counts = sized.groupBy("cluster", "size").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+def _blocked(nodes, unit_sets):
+    """Nodes with their block: size classes of about a tenth, cut by hash to bounded blocks."""
+    sized = nodes.withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int"))
+    counts = sized.groupBy("cluster", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     cuts = F.greatest(F.ceil(F.col("rows") / unit_sets), F.ceil(F.col("total") / UNIT_SHINGLES))
-    counts = counts.select("cluster", "size", cuts.alias("cuts"))
-    sized = sized.join(counts, ["cluster", "size"])
+    sized = sized.join(counts.select("cluster", "class", cuts.alias("cuts")), ["cluster", "class"])
     part = F.pmod(F.xxhash64("doc"), F.col("cuts"))
-    return sized.withColumn("block", F.concat_ws(":", "size", part)).drop("size", "cuts")
+    return sized.withColumn("block", F.concat_ws(":", "class", part)).drop("class", "cuts")
 
 
-def _relabelled(members, found):
-    classes = components(found).select(F.col("node").alias("doc"), F.col("component").alias("now"))
-    return members.drop("label").join(classes, "doc", "left").withColumn("label", F.coalesce("now", "doc")).drop("now")
+def _labels(nodes, found):
+    """Nodes with the smallest document they are linked to so far."""
+    classes = components(found).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    joined = nodes.join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    return stored(joined, "jaccard-labels")[0]
 
 
-def _large_clusters(members, percent, unit_sets, id_type):
-    """Links of the clusters beyond one unit: blocks, then one document per class, then pairs of mixed blocks."""
-    members, _ = stored(_blocked(members, unit_sets), "jaccard-blocks")
-    unit = F.concat_ws("|", "cluster", "block")
-    alone = F.lit(None).cast("int")
-    units = members.select(unit.alias("unit"), alone.alias("side"), F.col("doc").alias("label"), "doc", "shingles")
-    found, _ = stored(_linked(units, percent, id_type), "jaccard-links")
-    members, _ = stored(_relabelled(members, found), "jaccard-blocks")
-    heads = members.filter(F.col("doc") == F.col("label")).drop("block")
+def _across_blocks(nodes, members, found, percent, words, unit_sets):
+    """Links of the clusters of several blocks: one document per class found so far, then pairs of mixed blocks."""
+    alone = F.lit(None).cast("int").alias("side")
+    labelled = _labels(nodes, found)
+    heads = labelled.filter(F.col("doc") == F.col("label")).drop("block")
     one = heads.groupBy("cluster").agg((F.count("*") <= unit_sets).alias("one"))
     heads = _blocked(heads, unit_sets).join(one, "cluster")
     unit = F.concat_ws("|", "cluster", F.when(F.col("one"), F.lit("")).otherwise(F.col("block")))
-    units = heads.select(unit.alias("unit"), alone.alias("side"), "label", "doc", "shingles")
-    more, _ = stored(_linked(units, percent, id_type), "jaccard-links")
-    found = found.union(more)
-    members, _ = stored(_relabelled(members, found), "jaccard-blocks")
-    blocks = members.groupBy("cluster", "block").agg(
+    heads = heads.select("doc", "label", unit.alias("unit"), alone)
+    found = found.union(_linked(members.join(heads, "doc"), percent, words))
+    labelled = _labels(nodes, found)
+    blocks = labelled.groupBy("cluster", "block").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    blocks, _ = stored(blocks, "jaccard-block-sizes")
+    blocks, _ = stored(blocks, "jaccard-blocks")
     other = blocks.select("cluster", *[F.col(c).alias(f"{c}2") for c in ("block", "least", "most", "low", "high")])
-    mixed_pair = (F.least("low", "low2") != F.greatest("high", "high2")) & (F.col("block") < F.col("block2"))
+    differ = (F.least("low", "low2") != F.greatest("high", "high2")) & (F.col("block") < F.col("block2"))
     fits = (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
-    pairs = blocks.join(other, "cluster").filter(mixed_pair & fits)
-    pairs = pairs.select("cluster", F.concat_ws("|", "cluster", "block", "block2").alias("unit"), F.array("block", "block2").alias("both"))
-    pairs = pairs.select("cluster", "unit", F.posexplode("both").alias("side", "block"))
-    units = members.join(pairs, ["cluster", "block"]).select("unit", "side", "label", "doc", "shingles")
-    last, _ = stored(_linked(units, percent, id_type), "jaccard-links")
-    return found.union(last)
+    pairs = blocks.join(other, "cluster").filter(differ & fits)
+    both = F.posexplode(F.array("block", "block2")).alias("side", "block")
+    pairs = pairs.select("cluster", F.concat_ws("|", "cluster", "block", "block2").alias("unit"), both)
+    units = labelled.select("doc", "label", "cluster", "block").join(pairs, ["cluster", "block"]).drop("cluster", "block")
+    return found.union(_linked(members.join(units, "doc"), percent, words))
 
 
 def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", unit_sets=UNIT_SETS):
@@ -264,25 +246,26 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     classes = filled.join(heads, [*_CLASS]).filter(F.col("doc") == F.col("head"))
     classes, prefix_path = stored(classes.select("doc", "n_shingles", "usual", "heavy"), "jaccard-prefixes")
     edges, _ = stored(_chains(classes, percent), "jaccard-chains")
+    clusters, _ = stored(components(edges), "jaccard-clusters")
     drop_path(docs.sparkSession, prefix_path)
     # A document with several texts is one node: its sets are linked through its id.
-    clusters, _ = stored(components(edges), "jaccard-clusters")
-    members, _ = stored(_members(docs, clusters, words, id_col, text_col), "jaccard-members")
-    sizes = members.groupBy("cluster").agg(
-        ((F.count("*") > unit_sets) | (F.sum("n") > UNIT_SHINGLES)).alias("large")
-    )
-    members, _ = stored(members.join(sizes, "cluster"), "jaccard-members", ["large"])
-    small = members.filter("not large").select(
-        F.col("cluster").cast("string").alias("unit"),
-        F.lit(None).cast("int").alias("side"),
-        F.col("doc").alias("label"),
-        "doc",
-        "shingles",
-    )
-    found, _ = stored(_linked(small, percent, id_type), "jaccard-links")
-    large = members.filter("large").drop("large")
+    nodes = heads.groupBy(F.col("head").alias("doc")).agg(F.max("n_shingles").alias("n"))
+    nodes = nodes.join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
+    nodes, _ = stored(nodes, "jaccard-nodes")
+    sizes = nodes.groupBy("cluster").agg(((F.count("*") > unit_sets) | (F.sum("n") > UNIT_SHINGLES)).alias("large"))
+    sizes, _ = stored(sizes, "jaccard-sizes")
+    nodes = nodes.join(sizes, "cluster")
+    small = nodes.filter("not large").withColumn("block", F.lit(""))
+    nodes = small.unionByName(_blocked(nodes.filter("large"), unit_sets))
+    nodes, _ = stored(nodes, "jaccard-nodes", ["large"])
+    unit = F.concat_ws("|", "cluster", "block")
+    members, _ = stored(_texts(docs, nodes.select("doc", "large", unit.alias("unit")), id_col, text_col), "jaccard-texts", ["large"])
+    units = members.withColumns({"side": F.lit(None).cast("int"), "label": F.col("doc")})
+    found = _linked(units, percent, words)
+    large = nodes.filter("large").drop("large")
     if not large.isEmpty():
-        found = found.union(_large_clusters(large, percent, unit_sets, id_type))
+        members = members.filter("large").select("doc", "text")
+        found = _across_blocks(large, members, found, percent, words, unit_sets)
     same = filled.join(heads.filter("copies > 1"), [*_CLASS]).select(F.col("head").alias("a"), F.col("doc").alias("b"))
     classes, _ = stored(components(found.union(same)), "jaccard-components")
     classes = classes.select(F.col("node").alias("doc"), "component")
