@@ -134,12 +134,12 @@ def _without(lines, places):
 def dedup(docs, id_col="doc_id", text_col="text", **options):
     """All documents with their kept lines as text, and n_lines (before) and n_dropped."""
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lost = dropped_lines(docs, id_col, text_col, **options)
+    lost = dropped_lines(docs, id_col, text_col, **options).toDF("__doc", "__of", "__places")
     rows = docs.select(*kept_columns).withColumn("__version", F.xxhash64(F.col(text_col)))
     rows = rows.join(
-        lost, F.col(id_col).eqNullSafe(lost["doc"]) & (F.col("__version") == lost["version"]), "left"
+        lost, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__version") == F.col("__of")), "left"
     ).withColumn("__lines", lines_of(F.col(text_col)))
-    places, lines = F.col("places"), F.col("__lines")
+    places, lines = F.col("__places"), F.col("__lines")
     text = F.when(places.isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, places), "\n"))
     return rows.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in kept_columns],
