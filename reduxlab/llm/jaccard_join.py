@@ -2,8 +2,9 @@
 
 1. Equal sets are one class, so copies are compared once.
 2. Every class sends its prefix: the first 25 % of its shingles (for 75 %) in a global order that puts frequent
-   shingles last. Two sets that reach the threshold share a shingle of their prefixes, so classes linked by no
-   chain of shared prefix shingles cannot be linked at all. Chains give candidate clusters.
+   shingles last. Two sets that reach the threshold share a shingle of their prefixes, early enough in both to
+   leave room for the overlap. Edges between rows of a shingle give candidate clusters: documents of different
+   clusters cannot be linked.
 3. Inside a cluster, signature trees (OR bitmaps and size ranges) are traversed pairwise; what survives is
    compared exactly on the whole sets. Clusters beyond UNIT_SETS are cut into blocks: first each block with
    itself, then the smallest document of each class found so far, then the pairs of blocks that still hold
@@ -38,6 +39,8 @@ UNIT_SETS = 512
 UNIT_SHINGLES = 2_000_000
 #: Documents of a shingle from which its rows are joined, not ordered.
 HEAVY_ROWS = 1000
+#: Rows of a shingle up to which its pairs are tested one by one.
+FEW_ROWS = 33
 #: Size of the filter that keeps documents outside all clusters from being shuffled.
 FILTER_BITS = 22
 _CLASS = ["n_shingles", "s1", "s2"]
@@ -121,17 +124,29 @@ def _lists(arrays):
 
 
 def _chains(classes, percent):
-    """Edges that join all classes which share a prefix shingle and could reach the threshold."""
+    """Edges that connect all classes which share a prefix shingle and could reach the threshold."""
     usual = classes.select("doc", "n_shingles", F.posexplode("usual").alias("pos", "token"))
-    # The smaller partner of a pair shares a shingle at the very start of its prefix.
-    start = F.col("n_shingles") - F.ceil(F.lit(2 * percent) * F.col("n_shingles") / (100 + percent))
+    usual = usual.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
     ordered = Window.partitionBy("token").orderBy("n_shingles", "doc")
-    before = F.last(F.when(F.col("pos") <= start, F.struct("doc", "n_shingles")), ignorenulls=True).over(
+    # Few rows: all that can still reach the threshold if this is the first shingle they share.
+    row = F.struct("doc", "n_shingles", "pos")
+    earlier = F.collect_list(row).over(ordered.rowsBetween(1 - FEW_ROWS, -1))
+
+    def reaches(x):
+        least = F.ceil(F.lit(percent) * (x["n_shingles"] + F.col("n_shingles")) / (100 + percent))
+        fits = 100 * x["n_shingles"] >= percent * F.col("n_shingles")
+        return fits & (x["n_shingles"] - x["pos"] >= least) & (F.col("n_shingles") - F.col("pos") >= least)
+
+    # Many rows, by size: each joins the last one before it that can be the smaller partner of a pair, which
+    # shares its shingle at the very start of its prefix. That chain connects whatever could be linked.
+    start = F.col("n_shingles") - F.ceil(F.lit(2 * percent) * F.col("n_shingles") / (100 + percent))
+    before = F.last(F.when(F.col("pos") <= start, row), ignorenulls=True).over(
         ordered.rowsBetween(Window.unboundedPreceding, -1)
     )
-    chained = usual.select("doc", "n_shingles", before.alias("before"))
-    chained = chained.filter(100 * F.col("before.n_shingles") >= percent * F.col("n_shingles"))
-    edges = chained.select(F.col("doc").alias("a"), F.col("before.doc").alias("b"))
+    near = usual.select("doc", "n_shingles", "pos", "rows", earlier.alias("earlier"), before.alias("before"))
+    chained = F.filter(F.array("before"), lambda x: 100 * x["n_shingles"] >= percent * F.col("n_shingles"))
+    near = near.select("doc", F.explode(F.when(F.col("rows") <= FEW_ROWS, F.filter("earlier", reaches)).otherwise(chained)).alias("x"))
+    edges = near.select(F.col("doc").alias("a"), F.col("x.doc").alias("b"))
     # Frequent shingles: the smallest document of each size class is a hub of that class and of the one below.
     heavy = classes.select(
         "doc",

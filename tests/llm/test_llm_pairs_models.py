@@ -56,9 +56,10 @@ def brute_classes(rows):
     return Counter((doc, len(s), None if doc is None else min(by_id[root(i)]) if s else doc) for i, ((doc, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("unit_sets,heavy", [(512, 1000), (3, 2)])
-def test_jaccard_join_as_brute_force(spark, monkeypatch, unit_sets, heavy):
+@pytest.mark.parametrize("unit_sets,heavy,few", [(512, 1000, 33), (3, 2, 33), (3, 1000, 2)])
+def test_jaccard_join_as_brute_force(spark, monkeypatch, unit_sets, heavy, few):
     monkeypatch.setattr(jaccard_join, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(jaccard_join, "FEW_ROWS", few)
     rows = list(enumerate(families(1, 40)))
     n = len(rows)
     rows += [(n, None), (n + 1, ""), (n + 2, " \n\t"), (n + 3, "few Words"), (n + 4, "FEW words"), (n + 5, "few words more")]
