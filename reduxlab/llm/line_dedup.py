@@ -55,7 +55,7 @@ def merged(entries):
 
 
 class LineRuns:
-    """Sorted runs by level, kept in shared scratch."""
+    """Runs by level, kept in shared scratch: dealt by key, as the grouping left them, and sorted in each part."""
 
     def __init__(self, spark, fanout=2):
         self.spark, self.fanout, self.levels = spark, fanout, []
@@ -77,7 +77,7 @@ class LineRuns:
 
     def _write(self, entries, level):
         path = scratch_path(self.spark, f"lines-level{level}")
-        entries.sort(*_KEY).write.parquet(path)
+        entries.sortWithinPartitions(*_KEY).write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append((self.spark.read.schema(entries.schema).parquet(path), path))
@@ -114,7 +114,8 @@ def dropped_lines(docs, id_col="doc_id", text_col="text", min_docs=3, min_chars=
     runs = LineRuns(spark, fanout)
     for number in range(len(cuts) + 1):
         runs.add(runs.unseen(holders(lines.filter(F.col("batch") == number)), min_docs))
-    frequent = runs.entries().filter(F.col("n_docs") >= min_docs).select(*_KEY, "largest")
+    # Written first, so that the join deals both sides anew and a frequent line can be split.
+    frequent, _ = stored(runs.entries().filter(F.col("n_docs") >= min_docs).select(*_KEY, "largest"), "lines-frequent")
     lost = lines.join(frequent, _KEY).filter(~F.col("doc").eqNullSafe(F.col("largest")))
     return lost.groupBy("doc", "version").agg(F.sort_array(F.collect_set("pos")).alias("places"))
 
