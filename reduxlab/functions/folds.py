@@ -1,10 +1,13 @@
 """Sums of fixed-size numeric state over all rows of a table.
 
-Every iterative fit here is "fold each task's rows to one vector, add the vectors". A scan of
-many thousand splits is coalesced to a few tasks per core first, so the number of vectors
-depends on the cluster and not on the data. Small states are added on the driver; large ones
+Every iterative fit here is "fold each task's rows to one vector, add the vectors". The number
+of tasks follows the input splits; it is cut only where so many vectors would be too much to hand on,
+and never by the cores that happen to be there. Small states are added on the driver; large ones
 (a covariance of thousands of features) are cut into chunks and added by a two-level group-by,
 so that no task and no shuffle key ever holds more than a few hundred chunks.
+
+Fits whose result depends on who sees which rows first deal the rows to a documented number of
+workers (`dealt`), so they do not depend on the layout of their input either.
 """
 
 from collections.abc import Iterator
@@ -16,19 +19,47 @@ from pyspark.sql import functions as F
 
 DRIVER_BYTES = 128 << 20
 BROADCAST_BYTES = 512 << 20
-TASKS_PER_CORE = 4
 # What all tasks of one pass may hand on together, before the number of tasks is cut.
 STATE_BYTES = 256 << 30
+# A pass is never cut to fewer tasks than these.
 MIN_TASKS = 256
+MAX_TASKS = 100_000
+# Workers of a fit by local epochs, and rows for each of them.
+MAX_WORKERS = 1024
+ROWS_PER_WORKER = 50_000
 _CHUNK = 8192
 _CHUNK_SCHEMA = "chunk int, salt int, state array<double>"
 
 
 def task_limit(df, length=0):
-    """Tasks of a pass: a few per core, fewer when each of them returns a large state."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    affordable = STATE_BYTES // (8 * max(1, length))
-    return int(max(min(cores, MIN_TASKS), min(TASKS_PER_CORE * cores, affordable)))
+    """Most tasks of a pass: fewer when each of them returns a large state, whatever the cluster."""
+    return int(min(MAX_TASKS, max(MIN_TASKS, STATE_BYTES // (8 * max(1, length)))))
+
+
+def driver_tasks(length):
+    """Most tasks whose states the driver adds itself; below MIN_TASKS Spark adds them."""
+    return int(min(MAX_TASKS, DRIVER_BYTES // (8 * max(1, length))))
+
+
+def workers_for(rows, rows_per_worker):
+    """Workers of a fit by local epochs: a function of the number of rows alone."""
+    return max(1, min(MAX_WORKERS, rows // rows_per_worker))
+
+
+def dealt(df, workers, id_col="id"):
+    """Rows dealt to one task per worker by hash of their id, and sorted by id there."""
+    if workers == 1:
+        return df.repartition(1).sortWithinPartitions(id_col)
+    spark = df.sparkSession
+    # Numbers that hash partitioning sends to the tasks 0, 1, 2, ...
+    numbers = spark.range(20 * workers + 100).select("id", F.pmod(F.hash("id"), F.lit(workers)).alias("task"))
+    first = {row["task"]: row["id"] for row in numbers.groupBy("task").agg(F.min("id").alias("id")).collect()}
+    if len(first) < workers:
+        raise ValueError(f"no key found for some of {workers} workers")
+    keys = F.array(*[F.lit(int(first[task])).cast("long") for task in range(workers)])
+    worker = F.pmod(F.xxhash64(id_col), F.lit(workers)).cast("int") + 1
+    spread = df.withColumn("_worker", F.element_at(keys, worker)).repartition(workers, "_worker")
+    return spread.sortWithinPartitions(id_col).drop("_worker")
 
 
 def share(df, value, size_bytes, what):
@@ -49,14 +80,14 @@ def _chunk_batch(chunks, salts, states):
     )
 
 
-def _per_task_chunks(df, fold, fan_in, length):
+def _per_task_chunks(df, fold, fan_in, tasks):
     def run(batches):
         state = np.asarray(fold(batches), dtype=np.float64).ravel()
         salt = TaskContext.get().partitionId() % fan_in
         for number, start in enumerate(range(0, len(state), _CHUNK)):
             yield _chunk_batch([number], [salt], [state[start : start + _CHUNK]])
 
-    return df.coalesce(task_limit(df, length)).mapInArrow(run, _CHUNK_SCHEMA)
+    return (df.coalesce(tasks) if tasks else df).mapInArrow(run, _CHUNK_SCHEMA)
 
 
 def _add_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,10 +99,11 @@ def _add_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield _chunk_batch([key[0].as_py()], [0], [total])
 
 
-def folded_table(df, fold, length):
+def folded_table(df, fold, length, as_dealt=False):
     """Summed state as rows (pos, value), wholly inside Spark."""
-    fan_in = max(2, int(task_limit(df, length) ** 0.5))
-    chunks = _per_task_chunks(df, fold, fan_in, length)
+    tasks = task_limit(df, length)
+    fan_in = max(2, int(tasks**0.5))
+    chunks = _per_task_chunks(df, fold, fan_in, None if as_dealt else tasks)
     level = chunks.groupBy("chunk", "salt").applyInArrow(_add_chunks, _CHUNK_SCHEMA)
     total = level.groupBy("chunk").applyInArrow(_add_chunks, _CHUNK_SCHEMA)
     return total.select("chunk", F.posexplode("state").alias("offset", "value")).select(
@@ -79,15 +111,16 @@ def folded_table(df, fold, length):
     )
 
 
-def folded(df, fold, length):
-    """Summed state as a NumPy vector of `length` values on the driver."""
+def folded(df, fold, length, as_dealt=False):
+    """Summed state as a NumPy vector of `length` values on the driver; `as_dealt` keeps the partitions."""
     total = np.zeros(length)
-    if task_limit(df, length) * length * 8 <= DRIVER_BYTES:
-        parts = _per_task_chunks(df, fold, 1, length).toArrow()
+    tasks = MAX_WORKERS if as_dealt else MIN_TASKS
+    if driver_tasks(length) >= tasks:
+        parts = _per_task_chunks(df, fold, 1, None if as_dealt else driver_tasks(length)).toArrow()
         for number, state in zip(parts["chunk"].to_pylist(), parts["state"]):
             piece = state.values.to_numpy()
             total[number * _CHUNK : number * _CHUNK + len(piece)] += piece
         return total
-    table = folded_table(df, fold, length).toArrow()
+    table = folded_table(df, fold, length, as_dealt).toArrow()
     total[table["pos"].to_numpy()] = table["value"].to_numpy()
     return total

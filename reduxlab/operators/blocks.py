@@ -14,10 +14,13 @@ from ..functions import folds
 
 SMALL_SIDE_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
+# What a row takes besides its values: id, label, offsets, names of its columns.
+ROW_BYTES = 64
 
 
 def stored_bytes(df, columns):
-    total = F.sum(sum((F.size(c) for c in columns[1:]), F.size(columns[0])).cast("long") * 8)
+    values = sum((F.coalesce(F.array_size(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
+    total = F.sum(values * 8 + ROW_BYTES)
     row = df.agg(F.count("*").alias("n"), total.alias("bytes")).head()
     return row["n"], row["bytes"] or 0
 
@@ -35,7 +38,7 @@ def against(streamed, held, vectors, work, arrow_schema, small_bytes=SMALL_SIDE_
     schema = from_arrow_schema(arrow_schema)
     _, held_bytes = stored_bytes(held, vectors)
     if held_bytes <= small_bytes:
-        shared = held.sparkSession.sparkContext.broadcast(held.toArrow())
+        shared = folds.share(held, held.toArrow(), held_bytes, "the smaller side")
 
         def stream(batches):
             yield from work(batches, shared.value)

@@ -124,6 +124,9 @@ def unique_names(df, order_col, name_col):
 
 
 def widen(df, names):
-    """One double column per feature."""
+    """One double column per feature; a row with another number of features than names is an error."""
     kept = [F.col(c) for c in df.columns if c != "features"]
-    return df.select(*kept, *[F.get("features", F.lit(i)).alias(name) for i, name in enumerate(names)])
+    wrong = F.raise_error(F.concat(F.lit(f"{len(names)} names for "), F.size("features"), F.lit(" features")))
+    checked = F.when(F.size("features") == len(names), F.col("features")).otherwise(wrong)
+    wide = df.select(*kept, checked.alias("_features"))
+    return wide.select(*kept, *[F.get("_features", F.lit(i)).alias(name) for i, name in enumerate(names)])

@@ -304,7 +304,7 @@ def _hinge_fold(shared, classes, alpha, epoch, seed, sparse):
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         weights = _Averaged(start)
         seen = checked = 0
-        hits = np.zeros(len(classes))
+        hits, losses = np.zeros(len(classes)), np.zeros(len(classes))
         for batch in buffered(batches, sparse, rng):
             rows, signs = read_rows(batch, sparse), _targets(batch, classes)
             held_out = batch.column("held_out").to_numpy(zero_copy_only=False)
@@ -318,12 +318,14 @@ def _hinge_fold(shared, classes, alpha, epoch, seed, sparse):
                 part = learn[at : at + STEP_ROWS]
                 x, y = rows.take(part), signs[part]
                 eta = 1.0 / (alpha * (first_step + weights.steps))
-                wrong = (weights.decision(x) * y < 1.0) * active
+                margin = weights.decision(x) * y
+                losses += np.maximum(0.0, 1.0 - margin).sum(axis=0)
+                wrong = (margin < 1.0) * active
                 weights.step(x, y * wrong * (eta / len(part)), np.maximum(1.0 - eta * alpha * active, 1e-9))
             seen += len(learn)
         steps = weights.steps
         return np.concatenate(
-            [seen * weights.current().ravel(), seen * weights.mean().ravel(), hits, [seen, seen * steps, checked]]
+            [seen * weights.current().ravel(), seen * weights.mean().ravel(), hits, losses, [seen, seen * steps, checked]]
         )
 
     return fold
@@ -350,19 +352,23 @@ def hinge_objective(df, weights, classes, alpha, sparse=False):
 class HingeSGD(_LinearClassifier):
     """Hinge loss by stochastic subgradient steps with averaged iterates.
 
-    An epoch is one job: every task steps through its rows from the shared weights, and the
-    results are averaged by row count. With one task this is plain averaged SGD. A class stops
-    when its held-out accuracy has not grown by `tol` for `n_iter_no_change` epochs.
+    Rows are dealt by hash of their id to one worker per `rows_per_worker` rows and lie there in the
+    order of their ids, so the fit does not depend on the layout of its input. An epoch is one job:
+    every worker steps through its rows from the shared weights, and the results are averaged by
+    row count. With one worker this is plain averaged SGD. A class stops when its held-out accuracy,
+    or without early stopping its training loss, has not improved by `tol` for `n_iter_no_change` epochs.
     """
 
     name = "svm_sgd"
 
     def __init__(self, alpha=1e-4, max_iter=1000, tol=1e-3, seed=42, scale_dense=False, average=True,
-                 early_stopping=True, validation_fraction=0.1, n_iter_no_change=5):
+                 early_stopping=True, validation_fraction=0.1, n_iter_no_change=5,
+                 rows_per_worker=folds.ROWS_PER_WORKER):
         super().__init__(scale_dense)
         self.alpha, self.max_iter, self.tol, self.seed = alpha, max_iter, tol, seed
         self.average, self.early_stopping = average, early_stopping
         self.validation_fraction, self.n_iter_no_change = validation_fraction, n_iter_no_change
+        self.rows_per_worker = rows_per_worker
         self.epochs = 0
 
     def fit(self, df, sparse=False, width=None):
@@ -370,9 +376,9 @@ class HingeSGD(_LinearClassifier):
         if self.scale_dense:
             self.scaler = scaling.fit_sparse_deviation(df, width) if sparse else scaling.fit_standardizer(df)
         marked = validation_split(self._prepare(df), self.validation_fraction, self.seed, self.early_stopping)
-        rows = marked.select(*_training_columns(sparse), (F.col("part") == "val").alias("held_out")).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
+        rows = marked.select("id", *_training_columns(sparse), (F.col("part") == "val").alias("held_out"))
+        workers = folds.workers_for(rows.count(), self.rows_per_worker)
+        rows = folds.dealt(rows, workers).drop("id").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.classes = class_values(rows)
             self._descend(rows, width or _width(rows, sparse))
@@ -384,13 +390,16 @@ class HingeSGD(_LinearClassifier):
         shared = folds.share(rows, (weights, step, active), weights.nbytes, "weights")
         fold = _hinge_fold(shared, self.classes, self.alpha, epoch, self.seed, self.sparse)
         size, k = weights.size, len(self.classes)
-        state = folds.folded(rows, fold, 2 * size + k + 3)
+        state = folds.folded(rows, fold, 2 * size + 2 * k + 3, as_dealt=True)
         shared.destroy()
         seen, steps, checked = state[-3:]
         moved = state[:size].reshape(weights.shape) / seen
         mean = state[size : 2 * size].reshape(weights.shape) / seen
-        accuracy = state[2 * size : 2 * size + k] / checked if checked else None
-        return moved, mean, steps / seen, accuracy
+        if checked:
+            gained = state[2 * size : 2 * size + k] / checked
+        else:
+            gained = -state[2 * size + k : 2 * size + 2 * k] / seen
+        return moved, mean, steps / seen, gained, bool(checked)
 
     def _descend(self, rows, width):
         k = len(self.classes)
@@ -399,12 +408,11 @@ class HingeSGD(_LinearClassifier):
         epochs = np.zeros(k)
         step = hinge_step_sizes(self.alpha)
         for epoch in range(self.max_iter):
-            moved, mean, taken, accuracy = self._epoch(rows, weights, step, active, epoch)
-            if accuracy is not None and epoch:
-                # The scores belong to the weights this epoch started from.
-                grown = accuracy > best + self.tol
-                stale = np.where(grown, 0, stale + 1)
-                best = np.maximum(best, accuracy)
+            moved, mean, taken, gained, checked = self._epoch(rows, weights, step, active, epoch)
+            if epoch or not checked:
+                # Accuracies belong to the weights this epoch started from, losses to its steps.
+                stale = np.where(gained > best + self.tol, 0, stale + 1)
+                best = np.maximum(best, gained)
                 active = active * (stale < self.n_iter_no_change)
                 if not active.any():
                     break

@@ -147,16 +147,17 @@ def _epoch_fold(shared, shapes, settings, epoch, sparse, learn):
 class NeuralNetwork:
     """Linear-ReLU-dropout-linear-ReLU-linear classifier.
 
-    Each epoch is one job in which every task runs mini-batch AdamW over its own rows from the
-    shared state; weights and moments are averaged by row count, so the result depends on the
-    partitioning. The same job scores the held-out rows for the weights it started from, so early
+    Rows are dealt by hash of their id to one worker per ROWS_PER_WORKER rows and lie there in the order
+    of their ids, so the fit does not depend on the layout of its input. Each epoch is one job in which
+    every worker runs mini-batch AdamW over its own rows from the shared state; weights and moments are
+    averaged by row count, and one worker is plain AdamW. The same job scores the held-out rows for the weights it started from, so early
     stopping needs no extra pass.
     """
 
     name = "dnn"
 
-    def __init__(self, n_classes, settings=Settings()):
-        self.n_classes, self.settings = n_classes, settings
+    def __init__(self, n_classes, settings=Settings(), rows_per_worker=folds.ROWS_PER_WORKER):
+        self.n_classes, self.settings, self.rows_per_worker = n_classes, settings, rows_per_worker
         self.weights = self.shapes = self.input_dim = None
         self.best_epoch = self.best_val_acc = self.best_val_loss = None
         self.history = []
@@ -172,9 +173,9 @@ class NeuralNetwork:
         df, self.sparse = self._rows(df, sparse, width)
         marked = validation_split(df, s.validation_fraction, s.seed, s.early_stopping)
         columns = feature_columns(self.sparse)
-        rows = marked.select(*columns, "label", (F.col("part") == "val").alias("held_out")).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
+        rows = marked.select("id", *columns, "label", (F.col("part") == "val").alias("held_out"))
+        workers = folds.workers_for(rows.count(), self.rows_per_worker)
+        rows = folds.dealt(rows, workers).drop("id").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if width is None:
                 column = F.array_max("idx") + 1 if self.sparse else F.size("features")
@@ -190,7 +191,7 @@ class NeuralNetwork:
         size = len(state[0])
         shared = folds.share(rows, state, 3 * 8 * size, "network state")
         fold = _epoch_fold(shared, self.shapes, self.settings, epoch, self.sparse, learn)
-        total = folds.folded(rows, fold, 3 * size + 7)
+        total = folds.folded(rows, fold, 3 * size + 7, as_dealt=True)
         shared.destroy()
         seen, steps, loss, hits, checked, checked_loss, right = total[-7:]
         scores = (checked_loss / checked, right / checked) if checked else None

@@ -94,7 +94,8 @@ def _draw_fold(shared, restarts, draws, seed, turn):
 
 def _draw(df, centers, candidates, restarts, draws, seed, turn):
     choices, dims = (1, None) if candidates is None else candidates.shape[1:]
-    shared = df.sparkSession.sparkContext.broadcast((centers, candidates))
+    size = sum(part.nbytes for part in (centers, candidates) if part is not None)
+    shared = folds.share(df, (centers, candidates), size, "cluster centers")
     tasks = folds.task_limit(df)
     drawn = df.coalesce(tasks).mapInArrow(
         _draw_fold(shared, restarts, draws, seed, turn), from_arrow_schema(_DRAWS)

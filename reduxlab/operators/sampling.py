@@ -200,8 +200,8 @@ def split_table(df, train_size=None, test_size=0.2, seed=42, label_col="label",
 
 
 def sample_stratified(df, sample_size, seed=42, label_col="label", id_col="id"):
-    """The test side of a stratified split of `sample_size` rows; all rows if no more exist."""
-    if df.select(id_col).count() <= sample_size:
+    """The test side of a stratified split of `sample_size` rows; all rows for None or if no more exist."""
+    if sample_size is None or df.select(id_col).count() <= sample_size:
         return df
     split = split_table(df, None, sample_size, seed, label_col, id_col)
     return split.filter(F.col("split") == "test").drop("split")

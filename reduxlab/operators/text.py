@@ -31,13 +31,16 @@ def strip_quotes(text):
 
 
 def strip_footer(text):
-    """Cut at the last line that is empty or dashes only, unless that is the first line."""
-    lines = _lines(F.trim(text))
-    is_rule = F.transform(lines, lambda line: F.rlike(line, F.lit(r"^[\s-]*$")).cast("int"))
+    """Cut at the last line that is empty or dashes only, unless that is the first line.
+
+    White space around the whole text is left out before the lines are looked at.
+    """
+    lines = _lines(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    is_rule = F.transform(lines, lambda line: F.rlike(line, F.lit(r"^\s*-*\s*$")).cast("int"))
     # Lines before the last rule: all lines minus the place of the first rule from the end.
     kept = F.size(lines) - F.array_position(F.reverse(is_rule), 1).cast("int")
     has_rule = F.array_contains(is_rule, 1)
-    return F.when(has_rule & (kept > 0), F.array_join(F.slice(lines, 1, F.greatest(kept, F.lit(1))), "\n")).otherwise(text)
+    return F.when(has_rule & (kept > 0), F.array_join(F.slice(lines, 1, kept), "\n")).otherwise(text)
 
 
 def clean_text(df, remove=("headers", "footers", "quotes"), text_col="text"):

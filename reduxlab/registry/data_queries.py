@@ -161,7 +161,7 @@ def unique_names(spark, sf_dir):
 
 def wide_table(spark, sf_dir):
     df = embeddings(spark, sf_dir).filter("label is not null")
-    names = [f"f_{i}" for i in range(8)]
+    names = [f"f_{i}" for i in range(64)]
     wide = layout.widen(df, names)
     return wide.select("id", "label", *[F.round(n, 6).alias(n) for n in names])
 
@@ -283,6 +283,6 @@ ORACLES = {
             row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth FROM events)
         SELECT event_id, event_type, CASE WHEN nth = 1 THEN event_type ELSE concat(event_type, '_', nth) END AS unique_name FROM n""",
     "wide_table": "SELECT vec_id AS id, label, "
-    + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS f_{i}" for i in range(8))
+    + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS f_{i}" for i in range(64))
     + " FROM embeddings",
 }

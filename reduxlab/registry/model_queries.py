@@ -57,7 +57,7 @@ def clean_conversations(spark, sf_dir):
     """Whole conversations as messages: header up to the first empty line, quotes, footers."""
     turns = table(spark, sf_dir, "conversations")
     marked = turns.withColumn(
-        "text", F.concat(F.col("role"), F.lit(": x\n\n> "), F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n--\nsent"))
+        "text", F.concat(F.col("role"), F.lit(": x\n\n> "), F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n--\nsent\n"))
     )
     return text.clean_text(marked).select("conv_id", "turn", F.md5("text").alias("digest"))
 
@@ -154,7 +154,7 @@ def sgd_hinge_step(spark, sf_dir):
 
 def sgd_predict(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    return HingeSGD(alpha=1e-3, max_iter=20, seed=SEED).fit(train).predict(test).select("id", "prediction")
+    return HingeSGD(alpha=1e-3, seed=SEED).fit(train).predict(test).select("id", "prediction")
 
 
 MLP_SHAPES = mlp.layer_shapes(64, 8, 10)
@@ -197,6 +197,26 @@ def mlp_predict_sparse(spark, sf_dir):
     return NeuralNetwork(10, MLP_SETTINGS).fit(train, sparse=True, width=64).predict(test).select("id", "prediction")
 
 
+def _over_layouts(fit, train, test):
+    """Predictions of fits on 1, 4 and 16 input partitions, and whether all agree."""
+    found = [
+        fit(train.repartition(parts)).predict(test).select("id", F.col("prediction").alias(f"p{parts}")) for parts in (1, 4, 16)
+    ]
+    joined = found[0].join(found[1], "id").join(found[2], "id")
+    return joined.select("id", F.col("p16").alias("prediction"), ((F.col("p1") == F.col("p4")) & (F.col("p4") == F.col("p16"))).alias("agree"))
+
+
+def sgd_layout(spark, sf_dir):
+    """Four or more workers, whatever the layout of the training rows."""
+    train, test = _sides(spark, sf_dir)
+    return _over_layouts(lambda df: HingeSGD(alpha=1e-3, seed=SEED, rows_per_worker=100).fit(df), train, test)
+
+
+def mlp_layout(spark, sf_dir):
+    train, test = _sides(spark, sf_dir)
+    return _over_layouts(lambda df: NeuralNetwork(10, MLP_SETTINGS).fit(df), train, test)
+
+
 def _first_centers(df):
     """The ten rows with the lowest ids as centers."""
     rows = df.orderBy("id").limit(10).select("features").collect()
@@ -276,7 +296,7 @@ QUERIES = {
         tfidf, tfidf_whole_vocabulary, term_statistics, clean_text, clean_conversations, text_loader,
         multilabel_loader, image_loader, colour_loader, svm_gradient_step, svm_gradient_sparse, svm_predict,
         svm_predict_sparse, sgd_hinge_step, sgd_predict, mlp_forward, mlp_forward_sparse, mlp_loss, mlp_predict,
-        mlp_predict_sparse, kmeans_step, kmeans_planted, kmeans_scores, gmm_em_step, gmm_planted, hog,
+        mlp_predict_sparse, sgd_layout, mlp_layout, kmeans_step, kmeans_planted, kmeans_scores, gmm_em_step, gmm_planted, hog,
         batch_features, scaled_svm_features,
     )
 }
@@ -369,15 +389,15 @@ ORACLES = {
     "tfidf": f"WITH {terms_ctes()} SELECT id, idx::INTEGER AS idx, {r6('w')} AS val FROM weights",
     "tfidf_whole_vocabulary": f"WITH {terms_ctes(limit=None, min_df=3)} SELECT id, idx::INTEGER AS idx, {r6('w')} AS val FROM weights",
     "term_statistics": f"WITH {terms_ctes('true')} SELECT term, uses::BIGINT AS uses, docs FROM stats",
-    "clean_text": r"""WITH l AS (SELECT doc_id, string_split(trim(text, ' '), chr(10)) AS lines, text FROM documents),
-        k AS (SELECT *, len(lines) - list_position(list_reverse(list_transform(lines, lambda x: regexp_full_match(x, '[\s-]*'))), true) AS kept FROM l),
+    "clean_text": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS lines, text FROM documents),
+        k AS (SELECT *, len(lines) - list_position(list_reverse(list_transform(lines, lambda x: regexp_full_match(x, '\s*-*\s*'))), true) AS kept FROM l),
         f AS (SELECT doc_id, CASE WHEN kept > 0 THEN array_to_string(lines[1:kept], chr(10)) ELSE text END AS text FROM k),
         q AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x,
             '(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)')), chr(10)) AS text FROM f)
         SELECT doc_id, md5(text) AS digest, length(text) AS length FROM q""",
-    "clean_conversations": r"""WITH l AS (SELECT conv_id, turn, string_split(trim(concat('> ', role, chr(10), text, chr(10), '--', chr(10), 'sent'), ' '), chr(10)) AS lines
+    "clean_conversations": r"""WITH l AS (SELECT conv_id, turn, string_split(regexp_replace(concat('> ', role, chr(10), text, chr(10), '--', chr(10), 'sent', chr(10)), '^\s+|\s+$', '', 'g'), chr(10)) AS lines
             FROM conversations),
-        k AS (SELECT *, len(lines) - list_position(list_reverse(list_transform(lines, lambda x: regexp_full_match(x, '[\s-]*'))), true) AS kept FROM l),
+        k AS (SELECT *, len(lines) - list_position(list_reverse(list_transform(lines, lambda x: regexp_full_match(x, '\s*-*\s*'))), true) AS kept FROM l),
         q AS (SELECT conv_id, turn, array_to_string(list_filter(lines[1:kept], lambda x: NOT regexp_matches(x,
             '(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)')), chr(10)) AS text FROM k)
         SELECT conv_id, turn, md5(text) AS digest FROM q""",
@@ -421,6 +441,8 @@ ORACLES = {
         SELECT round(sum(loss), 5) AS loss_sum, count(*) FILTER (prediction = label) AS correct, count(*) AS n
         FROM l JOIN best USING (id) JOIN e USING (id)""",
     "mlp_predict": _TEST_LABELS,
+    "sgd_layout": f"SELECT *, true AS agree FROM ({_TEST_LABELS})",
+    "mlp_layout": f"SELECT *, true AS agree FROM ({_TEST_LABELS})",
     "mlp_predict_sparse": _TEST_LABELS,
     "kmeans_step": f"""WITH {E}, {UNPACKED}, {_NEAREST}
         SELECT k::INTEGER AS cluster, pos::INTEGER AS pos, count(*) AS n, {r6('avg(x)')} AS center FROM near JOIN u USING (id) GROUP BY k, pos""",

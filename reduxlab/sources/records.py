@@ -50,13 +50,15 @@ def cached_features(spark, path, compute):
 
 
 def class_folders(df, names, id_col="id", label_col="label"):
-    """Add the class name and the sample name padded to five digits."""
+    """Add the class name and the sample name padded to five digits; a label without a name is an error."""
     if len(names) > MAX_CLASS_NAMES:
         raise ValueError("too many class names to broadcast")
     table = df.sparkSession.createDataFrame(list(enumerate(names)), f"{label_col} int, label_name string")
     text = F.col(id_col).cast("string")
     sample = F.when(F.length(text) >= 5, text).otherwise(F.lpad(text, 5, "0"))
-    return df.join(F.broadcast(table), label_col).withColumn("sample", sample)
+    wrong = F.raise_error(F.concat(F.lit("no class name for label "), F.coalesce(F.col(label_col).cast("string"), F.lit("null"))))
+    named = F.coalesce(F.col("label_name"), wrong)
+    return df.join(F.broadcast(table), label_col, "left").withColumns({"label_name": named, "sample": sample})
 
 
 def write_by_class(df, names, path, id_col="id", label_col="label"):

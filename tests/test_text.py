@@ -57,6 +57,10 @@ def test_default_stop_words(spark):
         ("keep\n> quoted\n| too\nBob wrote:\nend", "quotes", "keep\nend"),
         ("body\nmore\n--\nsigned", "footers", "body\nmore"),
         ("body\n\nsigned", "footers", "body"),
+        ("body one\nbody two\n--\nJane Doe\n", "footers", "body one\nbody two"),
+        ("body\nmore\n  ---\t\nJane\n\n \n", "footers", "body\nmore"),
+        ("body\n- -\nmore", "footers", "body\n- -\nmore"),
+        ("--\nonly a rule first\n", "footers", "--\nonly a rule first\n"),
         ("only one line", "footers", "only one line"),
     ],
 )
