@@ -40,7 +40,7 @@ UNIT_SHINGLES = 2_000_000
 #: Documents of a shingle from which its rows are joined, not ordered.
 HEAVY_ROWS = 1000
 #: Rows of a shingle up to which its pairs are tested one by one.
-FEW_ROWS = 33
+FEW_ROWS = 512
 #: Size of the filter that keeps documents outside all clusters from being shuffled.
 FILTER_BITS = 22
 _CLASS = ["n_shingles", "s1", "s2"]
@@ -123,30 +123,39 @@ def _lists(arrays):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
-def _chains(classes, percent):
-    """Edges that connect all classes which share a prefix shingle and could reach the threshold."""
-    usual = classes.select("doc", "n_shingles", F.posexplode("usual").alias("pos", "token"))
-    usual = usual.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
-    ordered = Window.partitionBy("token").orderBy("n_shingles", "doc")
-    # Few rows: all that can still reach the threshold if this is the first shingle they share.
-    row = F.struct("doc", "n_shingles", "pos")
-    earlier = F.collect_list(row).over(ordered.rowsBetween(1 - FEW_ROWS, -1))
+def _partners(rows, percent, differ=None):
+    """Per row the earlier rows of its shingle that reach the threshold if this is the first one they share.
+
+    Only for shingles of at most FEW_ROWS rows. With `differ` a column that must not be equal.
+    """
+    columns = ["doc", "n_shingles", "pos"] + ([differ] if differ else [])
+    ordered = Window.partitionBy("token").orderBy("n_shingles", "doc").rowsBetween(1 - FEW_ROWS, -1)
 
     def reaches(x):
         least = F.ceil(F.lit(percent) * (x["n_shingles"] + F.col("n_shingles")) / (100 + percent))
-        fits = 100 * x["n_shingles"] >= percent * F.col("n_shingles")
-        return fits & (x["n_shingles"] - x["pos"] >= least) & (F.col("n_shingles") - F.col("pos") >= least)
+        fits = (x["n_shingles"] - x["pos"] >= least) & (F.col("n_shingles") - F.col("pos") >= least)
+        return fits & (x[differ] != F.col(differ)) if differ else fits
+
+    few = rows.filter(F.col("rows") <= FEW_ROWS)
+    few = few.withColumn("earlier", F.collect_list(F.struct(*columns)).over(ordered))
+    return few.select("doc", F.filter("earlier", reaches).alias("partners")).filter(F.size("partners") > 0)
 
-    # Many rows, by size: each joins the last one before it that can be the smaller partner of a pair, which
-    # shares its shingle at the very start of its prefix. That chain connects whatever could be linked.
+
+def _clusters(classes, percent):
+    """(node, component): classes that could be linked, directly or through others, are in one component."""
+    usual = classes.select("doc", "n_shingles", F.posexplode("usual").alias("pos", "token"))
+    usual = usual.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
+    usual, usual_path = stored(usual, "jaccard-shared")
+    # One partner for each row connects nearly all that belongs together, and copies without all their pairs.
+    one = _partners(usual, percent).select(F.col("doc").alias("a"), F.element_at("partners", -1)["doc"].alias("b"))
+    # Shingles of many rows, by size: each row joins the last one before it that can be the smaller partner of a
+    # pair, which shares its shingle at the very start of its prefix. That chain connects whatever could be linked.
     start = F.col("n_shingles") - F.ceil(F.lit(2 * percent) * F.col("n_shingles") / (100 + percent))
-    before = F.last(F.when(F.col("pos") <= start, row), ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    near = usual.select("doc", "n_shingles", "pos", "rows", earlier.alias("earlier"), before.alias("before"))
-    chained = F.filter(F.array("before"), lambda x: 100 * x["n_shingles"] >= percent * F.col("n_shingles"))
-    near = near.select("doc", F.explode(F.when(F.col("rows") <= FEW_ROWS, F.filter("earlier", reaches)).otherwise(chained)).alias("x"))
-    edges = near.select(F.col("doc").alias("a"), F.col("x.doc").alias("b"))
+    ordered = Window.partitionBy("token").orderBy("n_shingles", "doc").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("pos") <= start, F.struct("doc", "n_shingles")), ignorenulls=True).over(ordered)
+    many = usual.filter(F.col("rows") > FEW_ROWS).select("doc", "n_shingles", before.alias("before"))
+    many = many.filter(100 * F.col("before.n_shingles") >= percent * F.col("n_shingles"))
+    many = many.select(F.col("doc").alias("a"), F.col("before.doc").alias("b"))
     # Frequent shingles: the smallest document of each size class is a hub of that class and of the one below.
     heavy = classes.select(
         "doc",
@@ -157,7 +166,19 @@ def _chains(classes, percent):
     spokes = heavy.join(hubs, ["token", "class"]).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
     upper = hubs.select("token", (F.col("class") - 1).alias("class"), F.col("hub").alias("a"))
     between = hubs.join(upper, ["token", "class"]).select("a", F.col("hub").alias("b"))
-    return edges.union(spokes).union(between).filter(F.col("a") != F.col("b")).distinct()
+    edges = one.union(many).union(spokes).union(between).filter(F.col("a") != F.col("b")).distinct()
+    first, _ = stored(components(edges), "jaccard-clusters")
+    # All other partners matter only where they are of another cluster.
+    first = first.select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    labelled = usual.join(first, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labelled, labelled_path = stored(labelled, "jaccard-shared")
+    drop_path(classes.sparkSession, usual_path)
+    rest = _partners(labelled, percent, "label")
+    rest = rest.select(F.col("doc").alias("a"), F.explode("partners.doc").alias("b"))
+    star = first.select(F.col("doc").alias("a"), F.col("label").alias("b"))
+    clusters, _ = stored(components(star.union(rest)), "jaccard-clusters")
+    drop_path(classes.sparkSession, labelled_path)
+    return clusters
 
 
 def _linked(units, percent, words):
@@ -260,8 +281,7 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     heads, _ = stored(heads, "jaccard-classes")
     classes = filled.join(heads, [*_CLASS]).filter(F.col("doc") == F.col("head"))
     classes, prefix_path = stored(classes.select("doc", "n_shingles", "usual", "heavy"), "jaccard-prefixes")
-    edges, _ = stored(_chains(classes, percent), "jaccard-chains")
-    clusters, _ = stored(components(edges), "jaccard-clusters")
+    clusters = _clusters(classes, percent)
     drop_path(docs.sparkSession, prefix_path)
     # A document with several texts is one node: its sets are linked through its id.
     nodes = heads.groupBy(F.col("head").alias("doc")).agg(F.max("n_shingles").alias("n"))
