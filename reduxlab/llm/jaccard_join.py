@@ -10,16 +10,20 @@
    itself, then the smallest document of each class found so far, then the pairs of blocks that still hold
    documents of different classes and fit in size.
 
-The order of shingles is a parameter of speed only: counts of hash buckets that are frequent within a task are
-added up, so each task hands on few numbers and the table of counts has a fixed size.
+The order of shingles is a parameter of speed only. It comes from counts of hash buckets, a table of fixed size:
+buckets that are fuller than chance makes them go last, in the order of what they hold beyond that.
 
 Edge cases: null and empty texts have no shingles and are their own class; fewer than five words are one
 shingle; rows that share an id are one document, linked to whatever any of them is linked to; a null id takes
 part in nothing and has a null component.
 """
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +36,8 @@ from .signature_tree import links
 from .words import mixed
 
 PERCENT = 75
-#: Shingle counts are kept for so many hash buckets.
-SKETCH_BITS = 20
+#: Shingle counts are kept for so many hash buckets, in so many chunks.
+SKETCH_BITS, CHUNKS = 22, 64
 #: Sets and shingles compared by one task at a time.
 UNIT_SETS = 512
 UNIT_SHINGLES = 2_000_000
@@ -50,30 +54,54 @@ def _bucket(values):
     return (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def frequent_buckets(docs, text_col, words):
-    """Counts of the hash buckets that stand out, as one array of fixed size."""
+def bucket_counts(docs, text_col, words):
+    """How many sets hold a shingle of each hash bucket: per task at most 255 a bucket, added up in chunks."""
+    size = (1 << SKETCH_BITS) // CHUNKS
 
     def count(batches):
-        total, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), 0
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
         for batch in batches:
             for values in shingle_sets(batch.column(0), words):
-                np.add.at(total, _bucket(values), 1)
-                seen += len(values)
-        usual = seen / len(total)
-        out = np.flatnonzero(total >= 4 + 4 * usual)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(total[out])], ["bucket", "n"])
-
-    found = docs.select(text_col).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = found.toArrow()
+                at = _bucket(values)
+                total[at] = np.minimum(total[at], 254) + 1
+        parts = [zlib.compress(total[k * size : (k + 1) * size].astype(np.uint8), 1) for k in range(CHUNKS)]
+        salt = TaskContext.get().partitionId() % CHUNKS
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([1] * CHUNKS, pa.int32()), pa.array(parts)],
+            ["chunk", "salt", "width", "counts"],
+        )
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for width, counts in zip(batch.column("width").to_pylist(), batch.column("counts").to_pylist()):
+                total += np.frombuffer(zlib.decompress(counts), dtype="u1" if width == 1 else "i8")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([8], pa.int32()), pa.array([zlib.compress(total, 1)])],
+            ["chunk", "salt", "width", "counts"],
+        )
+
+    schema = "chunk int, salt int, width int, counts binary"
+    found = docs.select(text_col).mapInArrow(count, schema)
+    found = found.groupBy("chunk", "salt").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    for row in found.toLocalIterator():
+        counts[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     return counts
 
 
-def prefixes(docs, counts, percent, words, id_col, text_col):
+def shingle_levels(counts):
+    """0 for buckets as full as chance makes them, else one more than the logarithm of what stands out."""
+    usual = float(np.median(counts))
+    excess = counts - usual
+    out = np.zeros(len(counts), dtype=np.uint8)
+    high = excess > 4 * max(1.0, usual) ** 0.5
+    out[high] = 1 + np.log2(excess[high]).astype(np.uint8)
+    return out
+
+
+def prefixes(docs, level, percent, words, id_col, text_col):
     """Per document the size and digest of its set, and its prefix: usual and heavy shingles in global order."""
-    level = np.zeros(len(counts), dtype=np.uint8)
-    level[counts > 0] = 1 + np.log2(counts[counts > 0]).astype(np.uint8)
     heavy_level = 1 + int(np.log2(HEAVY_ROWS))
     shared = docs.sparkSession.sparkContext.broadcast(level)
     id_type = docs.schema[id_col].dataType
@@ -273,8 +301,8 @@ def _across_blocks(nodes, members, found, percent, words, unit_sets):
 
 def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", unit_sets=UNIT_SETS):
     """(id, n_shingles, component_id, s1, s2) per row: set size, smallest id reachable by links, digest of the set."""
-    counts = frequent_buckets(docs, text_col, words)
-    sets, _ = stored(prefixes(docs, counts, percent, words, id_col, text_col), "jaccard-sets")
+    level = shingle_levels(bucket_counts(docs, text_col, words))
+    sets, _ = stored(prefixes(docs, level, percent, words, id_col, text_col), "jaccard-sets")
     id_type = docs.schema[id_col].dataType
     filled = sets.filter((F.col("n_shingles") > 0) & F.col("doc").isNotNull())
     heads = filled.groupBy(*_CLASS).agg(F.min("doc").alias("head"), F.count("*").alias("copies"))
