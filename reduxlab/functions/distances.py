@@ -7,11 +7,13 @@ _NAMES = {
     "auto": EUCLIDEAN,
     "euclidean": EUCLIDEAN,
     "l2": EUCLIDEAN,
+    "minkowski": EUCLIDEAN,
     "cosine": COSINE,
     "manhattan": MANHATTAN,
     "cityblock": MANHATTAN,
     "l1": MANHATTAN,
     "chebyshev": CHEBYSHEV,
+    "infinity": CHEBYSHEV,
 }
 # Temporary arrays hold at most this many values.
 SLICE_VALUES = 4_000_000

@@ -37,6 +37,7 @@ class RankCuts:
     def __init__(self, df, seed, group_col=None, id_col="id"):
         group = F.col(group_col) if group_col else F.lit(0)
         self.keyed = df.select(group.alias("g"), F.col(id_col).alias("id"), draw_key(seed, id_col).alias("key"))
+        self.texts = {}
         # As many leading digits of the key as the number of groups allows.
         for self.digits in (2, 1, 0):
             self.counts = self._count(self.keyed, self.digits)
@@ -45,6 +46,8 @@ class RankCuts:
         else:
             raise ValueError(f"more than {MAX_COUNTS} groups: this column is not a class label")
         self.sizes = {}
+        if any(g is None for g, _ in self.counts):
+            raise ValueError(f"column {group_col} has null labels: drop or name them before sampling by label")
         for (g, _), n in self.counts.items():
             self.sizes[g] = self.sizes.get(g, 0) + n
 
@@ -54,17 +57,20 @@ class RankCuts:
         table = (
             rows.groupBy("g", F.substring("key", 1, digits).alias("prefix"))
             .agg(F.count("*").alias("n"))
+            .withColumn("text", F.col("g").cast("string"))
             .limit(limit + 1)
             .toArrow()
         )
         if table.num_rows > limit:
             return None
+        # Groups are matched by the text that Spark itself gives them.
+        self.texts.update(zip(table["g"].to_pylist(), table["text"].to_pylist()))
         return dict(zip(zip(table["g"].to_pylist(), table["prefix"].to_pylist()), table["n"].to_pylist()))
 
     def _among(self, places, digits):
         """Rows in any of the (group, prefix) places."""
         place = F.concat_ws("|", F.substring("key", 1, digits), F.col("g").cast("string"))
-        return self.keyed.filter(place.isin([f"{prefix}|{_text(g)}" for g, prefix in places]))
+        return self.keyed.filter(place.isin([f"{prefix}|{self.texts[g]}" for g, prefix in places]))
 
     def at(self, *wanted):
         """Every argument {group: rank} -> {group: Cutoff}; ranks below 1 give no cutoff."""
@@ -92,17 +98,12 @@ class RankCuts:
             .withColumn("place", F.row_number().over(window))
         )
         mark = F.concat_ws("|", "prefix", "place", F.col("g").cast("string"))
-        marks = {f"{prefix}|{place}|{_text(g)}" for g, prefix, place in nth.values()}
+        marks = {f"{prefix}|{place}|{self.texts[g]}" for g, prefix, place in nth.values()}
         rows = ranked.filter(mark.isin(list(marks))).select("g", "prefix", "place", "key", "id").collect()
         by_place = {(row["g"], row["prefix"], row["place"]): Cutoff(row["key"], row["id"]) for row in rows}
         return {pair: by_place[place] for pair, place in nth.items()}
 
 
-def _text(group):
-    """A group value as Spark casts it to text."""
-    return str(group).lower() if isinstance(group, bool) else str(group)
-
-
 def _descend(counts, nth):
     """Move every (group, prefix, rank inside) to the longer prefix of `counts` that holds it."""
     inside = {}

@@ -49,10 +49,14 @@ def _by_position(stats, key, columns):
 
 @dataclass(frozen=True)
 class Shift:
-    """x -> (x - mean[i]) / scale[i], with i taken modulo the number of statistics."""
+    """x -> (x - mean[i]) / scale[i], with i taken modulo the number of statistics.
+
+    Rows whose width is no multiple of them, or for `whole` statistics not that number, are an error.
+    """
 
     mean: np.ndarray
     scale: np.ndarray
+    whole: bool = False
 
     def transform(self, df):
         mean, scale, period = array_literal(self.mean), array_literal(self.scale), len(self.scale)
@@ -60,15 +64,17 @@ class Shift:
         def at(stats, i):
             return F.get(stats, i % period)
 
-        return df.withColumn(
-            "features", F.transform("features", lambda x, i: (x - at(mean, i)) / at(scale, i))
-        )
+        size = F.size("features")
+        fits = size == period if self.whole else size % period == 0
+        wrong = F.raise_error(F.concat(F.lit(f"fitted on {period} statistics, not on "), size, F.lit(" features")))
+        scaled = F.transform("features", lambda x, i: (x - at(mean, i)) / at(scale, i))
+        return df.withColumn("features", F.when(fits | F.col("features").isNull(), scaled).otherwise(wrong))
 
 
 def fit_standardizer(df, with_mean=True):
     """Population deviation; a constant feature is divided by 1."""
     _, (mean, std) = _by_position(feature_moments(df), "pos", ["mean", "std"])
-    return Shift(mean if with_mean else np.zeros_like(mean), np.where(std == 0, 1.0, std))
+    return Shift(mean if with_mean else np.zeros_like(mean), np.where(std == 0, 1.0, std), whole=True)
 
 
 def fit_channel_normalizer(df, channels, eps=1e-8):

@@ -162,7 +162,8 @@ def fit_tfidf(df, text_col="text", stop_words=(), max_features=50_000, min_df=2)
     kept = term_statistics(df, text_col, stop_words).filter(F.col("docs") >= min_df)
     idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("docs"))) + 1
     if max_features is None:
-        return TfIdf(table=_numbered_by_name(kept.select("term", idf.alias("idf"))))
+        table = _numbered_by_name(kept.select("term", idf.alias("idf")))
+        return TfIdf(table=table, size=table.count())
     chosen = kept.orderBy(F.desc("uses"), "term").limit(max_features).select("term", idf.alias("idf")).toArrow()
     chosen = chosen.sort_by("term")
     return TfIdf(chosen["term"].to_pylist(), chosen["idf"].to_numpy(), size=chosen.num_rows)

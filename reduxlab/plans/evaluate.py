@@ -57,8 +57,12 @@ class ReducedTable:
         self.train = self.test = None
         with timed(self.record, "reduction_train_transform_time_sec"):
             self.train = self._kept(train)
-        with timed(self.record, "reduction_test_transform_time_sec"):
-            self.test = self._kept(test)
+        try:
+            with timed(self.record, "reduction_test_transform_time_sec"):
+                self.test = self._kept(test)
+        except Exception:
+            self.train.unpersist()
+            raise
         # Every reducer returns the wanted number of components; identity keeps the width.
         self.width = reducer.n_components or table.input_dim
         for side, df in (("train", self.train), ("test", self.test)):

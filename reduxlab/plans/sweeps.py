@@ -9,6 +9,7 @@ from ..operators import geometry, scaling, scores
 from ..operators.partitions import GaussianMixture, KMeans
 from ..operators.reducers import feasible_dims, make_cluster_reducer
 from ..operators.sampling import sample_stratified
+from ..sources.records import append_records, nested_as_json
 from .evaluate import RECORD_SCHEMA, evaluate
 
 METHODS = ["pca", "rp", "srp", "dct"]
@@ -24,15 +25,19 @@ def records_frame(spark, records, schema=RECORD_SCHEMA):
 
 
 def classification_sweep(spark, load, datasets, reducers=("identity", "sparse_rp"), models=("knn",), dims=(100,),
-                         runs=1, seed=42, force_srp_matrix_type=None, **options):
+                         runs=1, seed=42, force_srp_matrix_type=None, path=None, **options):
     """runs x datasets x reducers x dims x models -> one record per cell.
 
+    With `path` the records of a dataset are appended there as soon as it is done, so a later
+    dataset that fails to load loses none of them.
+
     `load(name, seed)` gives the prepared table of a run; run r uses seed + r. The identity
     reducer runs once, dimensions beyond the data are skipped.
     """
     records = []
     for run_id in range(runs):
         for name in datasets:
+            done = len(records)
             table = load(name, seed + run_id)
             stored = table.df.persist(StorageLevel.MEMORY_AND_DISK)
             try:
@@ -44,6 +49,8 @@ def classification_sweep(spark, load, datasets, reducers=("identity", "sparse_rp
                         )
             finally:
                 stored.unpersist()
+                if path and len(records) > done:
+                    append_records(nested_as_json(records_frame(spark, records[done:])), path)
     return records_frame(spark, records)
 
 

@@ -182,4 +182,6 @@ def load_cluster_dataset(spark, name, path, cache=None, network=None):
         raise ValueError(f"Unknown dataset: {name}")
     df = loaders[name.lower()]()
     kind = "dense_sensor" if name.lower() == "uci_har" else "dense_image"
-    return FeatureTable(name.lower(), df, vector_width(df), class_count(df), kind, layout="chw")
+    # Only raw images have channels; computed features and sensors have no layout.
+    planar = {"layout": "chw"} if name.lower() in ("fashion_mnist", "cifar10") else {}
+    return FeatureTable(name.lower(), df, vector_width(df), class_count(df), kind, **planar)

@@ -7,11 +7,14 @@ from pyspark.errors import PySparkException
 
 from reduxlab import session
 from reduxlab.functions import folds
-from reduxlab.operators import layout, sampling
+from reduxlab.operators import layout, sampling, scaling
 from reduxlab.operators.blocks import stored_bytes
 from reduxlab.operators.linear_svm import HingeSGD
 from reduxlab.operators.mlp import NeuralNetwork, Settings
-from reduxlab.sources.records import class_folders
+from reduxlab.plans.sweeps import classification_sweep
+from reduxlab.sources import loaders
+from reduxlab.sources.records import class_folders, read_records
+from reduxlab.sources.tables import FeatureTable
 
 
 @pytest.mark.parametrize("rows_per_worker", [40, 10_000])
@@ -101,3 +104,41 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_path(Cluster, "probe")
+
+
+def test_labels_of_any_type_and_no_nulls(spark):
+    rows = [(i, 1e20 if i % 3 else 0.25) for i in range(90)]
+    split = sampling.split_table(spark.createDataFrame(rows, "id long, label double"), test_size=0.2)
+    counts = {(r.label, r.split): r["count"] for r in split.groupBy("label", "split").count().collect()}
+    assert counts == {(1e20, "train"): 48, (1e20, "test"): 12, (0.25, "train"): 24, (0.25, "test"): 6}
+    with pytest.raises(ValueError, match="null labels"):
+        sampling.split_table(spark.createDataFrame([(1, None), (2, 3)], "id long, label int"))
+
+
+def test_scaler_refuses_other_widths(make):
+    fitted = scaling.fit_standardizer(make(np.arange(12.0).reshape(4, 3)))
+    with pytest.raises(PySparkException, match="fitted on 3 statistics"):
+        fitted.transform(make(np.ones((2, 6)))).collect()
+
+
+def test_text_without_a_vocabulary_limit_has_a_width(spark):
+    texts = ["apple pear", "apple plum", "pear plum fig", "apple pear"]
+    rows = [(i, t, i % 2, "train" if i < 3 else "test") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, label int, split string")
+    table = loaders.prepare_text(df, max_features=None, remove=(), stop_words=[])
+    assert table.input_dim == 3 and table.df.count() == 4
+
+
+def test_sweep_keeps_the_records_of_finished_datasets(make, tmp_path, spark):
+    matrix, labels = blobs(per=30)
+
+    def load(name, seed):
+        if name == "broken":
+            raise OSError("no such file")
+        split = sampling.split_table(make(matrix, labels), test_size=0.25, seed=seed)
+        return FeatureTable(name, split, matrix.shape[1], 4, "dense_sensor")
+
+    path = str(tmp_path / "records")
+    with pytest.raises(OSError):
+        classification_sweep(spark, load, ["good", "broken"], reducers=("identity",), models=("knn",), path=path)
+    assert [r.dataset for r in read_records(spark, path).collect()] == ["good"]
