@@ -1,5 +1,6 @@
 """Session settings and shared scratch space."""
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ def drop_path(spark, path):
     files.delete(folder, True)
 
 
+def release_shuffles(spark):
+    """Let go of the shuffle files of finished steps, which stay on disk until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df, label, partition_by=()):
     """The rows written to shared scratch and read back, with their path: cuts lineage, survives executors."""
     path = scratch_path(df.sparkSession, label)
