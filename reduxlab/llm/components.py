@@ -1,7 +1,7 @@
 """Connected components by alternating star contractions, with joins and grouped minima only.
 
 Every pass links each node to the smallest node it knows, first for the larger neighbours and then for the
-smaller ones, until nothing changes; the number of passes grows with the logarithm of the size of the largest
+smaller ones, until every component is a star; the number of passes grows with the logarithm of the size of the largest
 component. Passes are written to shared scratch. No neighbour list is ever gathered: a hub costs one grouped
 minimum, which is combined before the shuffle, and a join that adaptive execution can split.
 """
@@ -21,7 +21,7 @@ def _large_star(links):
     both = links.union(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
     starred, path = _star(both)
     out = starred.filter(F.col("other") > F.col("node")).select(F.col("other").alias("node"), F.col("least").alias("other"))
-    return out.filter(F.col("node") != F.col("other")).distinct(), path
+    return out.filter(F.col("node") != F.col("other")), path
 
 
 def _small_star(links):
@@ -32,12 +32,11 @@ def _small_star(links):
     return out.filter(F.col("node") != F.col("other")).distinct(), path
 
 
-def _state(links):
-    row = links.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("node", "other").cast("decimal(38,0)")).alias("digest"),
-    ).first()
-    return row["n"], row["digest"]
+def _resolved(links):
+    """Whether every node has one link, to a node without links: then that is the smallest of its component."""
+    if not links.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return False
+    return links.join(links.select(F.col("other").alias("node")), "node", "left_semi").isEmpty()
 
 
 def components(edges, left="a", right="b"):
@@ -47,12 +46,7 @@ def components(edges, left="a", right="b"):
     """
     links = edges.select(F.col(left).alias("node"), F.col(right).alias("other"))
     links, path = stored(links.filter(F.col("node") != F.col("other")).distinct(), "links")
-    before = None
     while True:
-        now = _state(links)
-        if now == before or not now[0]:
-            break
-        before = now
         large, least = _large_star(links)
         large, large_path = stored(large, "links")
         drop_path(edges.sparkSession, least)
@@ -61,6 +55,7 @@ def components(edges, left="a", right="b"):
         for old in (least, large_path, path):
             drop_path(edges.sparkSession, old)
         links, path = small, small_path
-    # At the fixed point every node points to the smallest of its component.
+        if _resolved(links):
+            break
     found = links.select("node", F.col("other").alias("component"))
     return found.union(found.select(F.col("component").alias("node"), "component").distinct())

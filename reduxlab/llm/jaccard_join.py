@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import drop_path, stored
+from ..session import drop_path, release_shuffles, stored
 from .components import components
 from .shingles import WORDS, shingle_sets
 from .signature_tree import links
@@ -174,6 +174,7 @@ def _clusters(classes, percent):
     usual = classes.select("doc", "n_shingles", F.posexplode("usual").alias("pos", "token"))
     usual = usual.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
     usual, usual_path = stored(usual, "jaccard-shared")
+    release_shuffles(classes.sparkSession)
     # One partner for each row connects nearly all that belongs together, and copies without all their pairs.
     one = _partners(usual, percent).select(F.col("doc").alias("a"), F.element_at("partners", -1)["doc"].alias("b"))
     # Shingles of many rows, by size: each row joins the last one before it that can be the smaller partner of a
@@ -284,6 +285,7 @@ def _across_blocks(nodes, members, found, percent, words, unit_sets):
     unit = F.concat_ws("|", "cluster", F.when(F.col("one"), F.lit("")).otherwise(F.col("block")))
     heads = heads.select("doc", "label", unit.alias("unit"), alone)
     found = found.union(_linked(members.join(heads, "doc"), percent, words))
+    release_shuffles(nodes.sparkSession)
     labelled = _labels(nodes, found)
     blocks = labelled.groupBy("cluster", "block").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
@@ -301,6 +303,7 @@ def _across_blocks(nodes, members, found, percent, words, unit_sets):
 
 def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", unit_sets=UNIT_SETS):
     """(id, n_shingles, component_id, s1, s2) per row: set size, smallest id reachable by links, digest of the set."""
+    spark = docs.sparkSession
     level = shingle_levels(bucket_counts(docs, text_col, words))
     sets, _ = stored(prefixes(docs, level, percent, words, id_col, text_col), "jaccard-sets")
     id_type = docs.schema[id_col].dataType
@@ -309,8 +312,10 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     heads, _ = stored(heads, "jaccard-classes")
     classes = filled.join(heads, [*_CLASS]).filter(F.col("doc") == F.col("head"))
     classes, prefix_path = stored(classes.select("doc", "n_shingles", "usual", "heavy"), "jaccard-prefixes")
+    release_shuffles(spark)
     clusters = _clusters(classes, percent)
-    drop_path(docs.sparkSession, prefix_path)
+    release_shuffles(spark)
+    drop_path(spark, prefix_path)
     # A document with several texts is one node: its sets are linked through its id.
     nodes = heads.groupBy(F.col("head").alias("doc")).agg(F.max("n_shingles").alias("n"))
     nodes = nodes.join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
@@ -324,7 +329,9 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     unit = F.concat_ws("|", "cluster", "block")
     members, _ = stored(_texts(docs, nodes.select("doc", "large", unit.alias("unit")), id_col, text_col), "jaccard-texts", ["large"])
     units = members.withColumns({"side": F.lit(None).cast("int"), "label": F.col("doc")})
+    release_shuffles(spark)
     found = _linked(units, percent, words)
+    release_shuffles(spark)
     large = nodes.filter("large").drop("large")
     if not large.isEmpty():
         members = members.filter("large").select("doc", "text")

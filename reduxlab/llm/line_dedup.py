@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..session import drop_path, scratch_path, stored
+from ..session import drop_path, release_shuffles, scratch_path, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -116,6 +116,7 @@ def dropped_lines(docs, id_col="doc_id", text_col="text", min_docs=3, min_chars=
         runs.add(runs.unseen(holders(lines.filter(F.col("batch") == number)), min_docs))
     # Written first, so that the join deals both sides anew and a frequent line can be split.
     frequent, _ = stored(runs.entries().filter(F.col("n_docs") >= min_docs).select(*_KEY, "largest"), "lines-frequent")
+    release_shuffles(spark)
     lost = lines.join(frequent, _KEY).filter(~F.col("doc").eqNullSafe(F.col("largest")))
     return lost.groupBy("doc", "version").agg(F.sort_array(F.collect_set("pos")).alias("places"))
 

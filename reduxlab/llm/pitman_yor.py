@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import drop_path, stored
+from ..session import drop_path, release_shuffles, stored
 from .words import mixed, text_bytes, word_hashes
 
 FOLDS, HELD_FOLD = 7, 2
@@ -415,6 +415,7 @@ def score(docs, id_col="doc_id", text_col="text", burn_in=BURN_IN, samples=SAMPL
     coded, path = stored(_blocks(docs, buckets, id_col, text_col), "lm-blocks", ["kind"])
     begun, _ = stored(_begin(coded.filter("kind = 1")), "lm-requests")
     drop_path(spark, f"{path}/kind=1")
+    release_shuffles(spark)
     states, totals, sample_totals = begun, _totals(begun) if not begun.isEmpty() else None, []
     for number in range(burn_in + samples if totals else 0):
         states, _ = stored(_swept(states, totals, number, number >= burn_in, seed), "lm-seats")
