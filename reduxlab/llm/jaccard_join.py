@@ -7,8 +7,8 @@
    clusters cannot be linked.
 3. Inside a cluster, signature trees (OR bitmaps and size ranges) are traversed pairwise; what survives is
    compared exactly on the whole sets. Clusters beyond UNIT_SETS are cut into blocks: first each block with
-   itself, then the smallest document of each class found so far, then the pairs of blocks that still hold
-   documents of different classes and fit in size.
+   itself, then the smallest document of each class found so far, then documents of different classes that share a
+   shingle, and last, for shingles of very many rows, the pairs of blocks that still differ and fit in size.
 
 The order of shingles is a parameter of speed only. It comes from counts of hash buckets, a table of fixed size:
 buckets that are fuller than chance makes them go last, in the order of what they hold beyond that.
@@ -170,7 +170,10 @@ def _partners(rows, percent, differ=None):
 
 
 def _clusters(classes, percent):
-    """(node, component): classes that could be linked, directly or through others, are in one component."""
+    """Clusters, shared shingles and crowded documents.
+
+    Clusters have (node, component): classes that could be linked, directly or through others, are in one component.
+    """
     usual = classes.select("doc", "n_shingles", F.posexplode("usual").alias("pos", "token"))
     usual = usual.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
     usual, usual_path = stored(usual, "jaccard-shared")
@@ -200,14 +203,16 @@ def _clusters(classes, percent):
     # All other partners matter only where they are of another cluster.
     first = first.select(F.col("node").alias("doc"), F.col("component").alias("label"))
     labelled = usual.join(first, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    labelled, labelled_path = stored(labelled, "jaccard-shared")
+    labelled, _ = stored(labelled, "jaccard-shared")
+    usual_again = labelled.drop("label")
     drop_path(classes.sparkSession, usual_path)
     rest = _partners(labelled, percent, "label")
     rest = rest.select(F.col("doc").alias("a"), F.explode("partners.doc").alias("b"))
     star = first.select(F.col("doc").alias("a"), F.col("label").alias("b"))
     clusters, _ = stored(components(star.union(rest)), "jaccard-clusters")
-    drop_path(classes.sparkSession, labelled_path)
-    return clusters
+    # Documents whose pairs may hide behind a shingle of many rows.
+    crowded = heavy.select("doc").union(usual_again.filter(F.col("rows") > FEW_ROWS).select("doc")).distinct()
+    return clusters, usual_again, stored(crowded, "jaccard-crowded")[0]
 
 
 def _linked(units, percent, words):
@@ -275,8 +280,12 @@ def _labels(nodes, found):
     return stored(joined, "jaccard-labels")[0]
 
 
-def _across_blocks(nodes, members, found, percent, words, unit_sets):
-    """Links of the clusters of several blocks: one document per class found so far, then pairs of mixed blocks."""
+def _across_blocks(nodes, members, found, shared, crowded, percent, words, unit_sets):
+    """Links of the clusters of several blocks.
+
+    First between one document per class found so far. Then between documents of different classes: those that
+    share a shingle of few rows by pairs, a document with its partners, and crowded ones by pairs of mixed blocks.
+    """
     alone = F.lit(None).cast("int").alias("side")
     labelled = _labels(nodes, found)
     heads = labelled.filter(F.col("doc") == F.col("label")).drop("block")
@@ -287,6 +296,20 @@ def _across_blocks(nodes, members, found, percent, words, unit_sets):
     found = found.union(_linked(members.join(heads, "doc"), percent, words))
     release_shuffles(nodes.sparkSession)
     labelled = _labels(nodes, found)
+    near = _partners(shared.join(labelled.select("doc", "label"), "doc"), percent, "label")
+    near = near.select(F.col("doc").alias("a"), F.explode("partners.doc").alias("b")).distinct()
+    # A document with very many partners meets them in parts.
+    parts = near.groupBy("a").agg(F.ceil(F.count("*") / unit_sets).alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts"))
+    near = near.join(parts, "a").select("a", "b", F.concat_ws("|", "a", part).alias("unit"))
+    near, _ = stored(near, "jaccard-pairs")
+    sides = near.select("unit", F.lit(0).alias("side"), F.col("a").alias("doc")).distinct()
+    sides = sides.union(near.select("unit", F.lit(1), "b")).join(labelled.select("doc", "label"), "doc")
+    found = found.union(_linked(members.join(sides, "doc"), percent, words))
+    release_shuffles(nodes.sparkSession)
+    labelled = labelled.join(crowded, "doc", "left_semi")
+    if labelled.isEmpty():
+        return found
     blocks = labelled.groupBy("cluster", "block").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
     )
@@ -313,7 +336,7 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     classes = filled.join(heads, [*_CLASS]).filter(F.col("doc") == F.col("head"))
     classes, prefix_path = stored(classes.select("doc", "n_shingles", "usual", "heavy"), "jaccard-prefixes")
     release_shuffles(spark)
-    clusters = _clusters(classes, percent)
+    clusters, shared, crowded = _clusters(classes, percent)
     release_shuffles(spark)
     drop_path(spark, prefix_path)
     # A document with several texts is one node: its sets are linked through its id.
@@ -335,7 +358,7 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     large = nodes.filter("large").drop("large")
     if not large.isEmpty():
         members = members.filter("large").select("doc", "text")
-        found = _across_blocks(large, members, found, percent, words, unit_sets)
+        found = _across_blocks(large, members, found, shared, crowded, percent, words, unit_sets)
     same = filled.join(heads.filter("copies > 1"), [*_CLASS]).select(F.col("head").alias("a"), F.col("doc").alias("b"))
     classes, _ = stored(components(found.union(same)), "jaccard-components")
     classes = classes.select(F.col("node").alias("doc"), "component")
