@@ -30,6 +30,8 @@ FOLDS = 5
 FEATURE_BITS = 20
 #: Bytes of the word beginnings.
 BEGINNINGS = (4, 5, 6)
+#: Text whose features one task makes at a time.
+SLICE_BYTES = 2 << 20
 #: Features of one model, and the least difference (in standard errors) for one to be taken.
 SELECTED, LEAST_Z = 1500, 6.0
 #: Categories of the query, as SQL over the joined labels and documents, in the order of the chain.
@@ -42,7 +44,7 @@ CATEGORIES = (
 
 def features(column):
     """(row, feature) index pairs of a string column, sorted and without repeats, a run of rows at a time."""
-    for row, hashes, _, _, offsets, beginnings in slices(column, PUNCTUATION, prefixes=BEGINNINGS):
+    for row, hashes, _, _, offsets, beginnings in slices(column, PUNCTUATION, SLICE_BYTES, BEGINNINGS):
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         keys = [(doc << FEATURE_BITS) | (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]
         for number, values in enumerate(beginnings):
