@@ -1,14 +1,14 @@
 """Hierarchical Pitman-Yor language model: seating by Gibbs sampling, averaged predictions as scores.
 
-A context is the ending class of the word before. Every context has a restaurant whose customers are the
-training tokens that follow it; all of them share one parent, the restaurant of words without context, whose
+A context is the whole word before, or the beginning of a text. Every context has a restaurant whose customers
+are the training tokens that follow it; all of them share one parent, the restaurant of words without context, whose
 customers are the tables of the contexts and whose own parent is uniform over the known words and one unknown.
 A sweep takes the customers of a word from a context and seats them again one after the other, by the Chinese
 restaurant process given all other seats; large groups take their seats in leaps of an eighth of those seated.
 After the burn-in, the predictive probabilities of the samples are averaged.
 
-Everything about a word lies in one bucket of its hash: counts, tables and predictions. Between buckets only the
-totals of each context are exchanged, after every sweep. Documents are read once, in blocks that are coded by a
+Everything about a word lies in one bucket of its hash: counts, tables and predictions. After every sweep the buckets
+send what they hold of each context to shards of contexts and get back its totals over all buckets. Documents are read once, in blocks that are coded by a
 dictionary of their own; a block sends its distinct (word, context) pairs to the buckets and gets their
 predictions back, so tokens themselves are never shuffled.
 
@@ -16,6 +16,7 @@ Edge cases: a null or empty text is one end token; repeated rows are scored and
 training; without any training token every token has the base probability of an unknown word.
 """
 
+import copy
 import pickle
 from collections.abc import Iterator
 
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import drop_path, release_shuffles, stored
-from .words import mixed, text_bytes, word_hashes
+from .words import text_bytes, word_hashes
 
 FOLDS, HELD_FOLD = 7, 2
-#: Restaurants below the root; context 0 is the beginning of a text.
+#: Restaurants of a seating whose number is not given.
 CONTEXTS = 64
 BURN_IN, SAMPLES = 3, 3
 #: Concentration of the contexts and of the root; discounts are estimated from counts of counts.
@@ -39,39 +40,43 @@ STRENGTH = (10.0, 10.0)
 BLOCK_TOKENS = 1_500_000
 BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 12
-END = np.uint64(1)
+#: Hashes of the end and of the beginning of a text.
+END, BEGIN = np.uint64(1), np.uint64(0)
 
 
-def packed(*values):
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, protocol=5))
+def _planes(value):
+    """Arrays as their first bytes, then their second bytes and so on, which compresses better."""
+    if isinstance(value, np.ndarray):
+        return value.dtype.str, np.ascontiguousarray(value).view(np.uint8).reshape(-1, value.itemsize).T.tobytes()
+    return [_planes(v) for v in value] if isinstance(value, list | tuple) else value
 
 
-def unpacked(data):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+def _joined(value):
+    if isinstance(value, tuple):
+        kind = np.dtype(value[0])
+        return np.frombuffer(value[1], dtype=np.uint8).reshape(kind.itemsize, -1).T.copy(order="C").view(kind).reshape(-1)
+    return [_joined(v) for v in value] if isinstance(value, list) else value
+
+
+def packed(*values):
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(_planes(values), protocol=5))
 
 
-def _context_of_next(data, first, last):
-    """The class of each word's ending: its last two bytes, A-Z as a-z."""
-    lower = np.arange(256, dtype=np.uint64)
-    lower[0x41:0x5B] += 32
-    ending = lower[data[last - 1]] * np.uint64(257)
-    ending += np.where(last - first > 1, lower[data[np.maximum(last - 2, 0)]], np.uint64(0))
-    return (1 + mixed(ending) % np.uint64(CONTEXTS - 1)).astype(np.uint8)
+def unpacked(data):
+    return _joined(pickle.loads(zstandard.ZstdDecompressor().decompress(data)))
 
 
 def _tokens(column):
     """(hash, context, tokens before each row) of all words and the end of each row."""
-    data, _ = text_bytes(column)
-    hashes, first, last, offsets = word_hashes(column)
+    hashes, _, _, offsets = word_hashes(column)
     ends = offsets + np.arange(len(offsets))
     size = len(hashes) + len(column)
     place = np.arange(len(hashes)) + np.repeat(np.arange(len(column)), np.diff(offsets))
     token = np.full(size, END, dtype=np.uint64)
     token[place] = hashes
-    context = np.zeros(size + 1, dtype=np.uint8)
-    if len(hashes):
-        context[place + 1] = _context_of_next(data, first, last)
-    context[ends[:-1]] = 0
+    context = np.full(size + 1, BEGIN, dtype=np.uint64)
+    context[place + 1] = hashes
+    context[ends[:-1]] = BEGIN
     return token, context[:size], ends
 
 
@@ -94,9 +99,11 @@ class _Block:
         lengths = np.concatenate(self.lengths)
         learnt = np.repeat(~rows.column("held").to_numpy().astype(bool), lengths)
         words, word = np.unique(np.concatenate(self.tokens), return_inverse=True)
-        pairs, pair = np.unique(word * CONTEXTS + np.concatenate(self.contexts), return_inverse=True)
+        contexts, context = np.unique(np.concatenate(self.contexts), return_inverse=True)
+        pairs, pair = np.unique(word * len(contexts) + context, return_inverse=True)
         counts = np.bincount(pair, weights=learnt, minlength=len(pairs)).astype(np.uint32)
-        per_word = np.bincount(pairs // CONTEXTS, minlength=len(words))
+        of_word, of_context = np.divmod(pairs, max(1, len(contexts)))
+        per_word = np.bincount(of_word, minlength=len(words))
         doc = np.repeat(np.arange(len(lengths)), lengths)
         # Scores are sums, so each document keeps its pairs in ascending order, as differences.
         order = np.lexsort((pair, doc))
@@ -104,25 +111,16 @@ class _Block:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as writer:
             writer.write_table(rows)
-        yield -1, packed(sink.getvalue().to_pybytes(), lengths.astype(np.int32), steps, word_of(pairs))
+        # Whether a pair begins a new word is all that the block needs to know of its words.
+        yield -1, packed(sink.getvalue().to_pybytes(), lengths.astype(np.int32), steps, np.diff(of_word, prepend=-1) > 0)
         cuts = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
         before = np.concatenate([[0], np.cumsum(per_word)])
         for b in range(buckets):
             lo, hi = cuts[b], cuts[b + 1]
             if hi > lo:
                 part = slice(before[lo], before[hi])
-                yield b, packed(
-                    words[lo:hi],
-                    per_word[lo:hi].astype(np.uint8),
-                    (pairs[part] % CONTEXTS).astype(np.uint8),
-                    counts[part],
-                )
-
-
-def word_of(pairs):
-    """Whether each pair begins a new word, which is all that the block needs to know of its words."""
-    word = pairs // CONTEXTS
-    return np.diff(word, prepend=-1) > 0
+                asked, place = np.unique(of_context[part], return_inverse=True)
+                yield b, packed(words[lo:hi], per_word[lo:hi].astype(np.uint32), contexts[asked], place.astype(np.uint32), counts[part])
 
 
 def bucket_of(words, buckets):
@@ -169,38 +167,46 @@ def _blocks(docs, buckets, id_col, text_col):
 
 
 def _merged(payloads):
-    """Words and pairs of a bucket over all blocks, with the place of every asked word and pair in them."""
+    """Words, contexts and pairs of a bucket over all blocks, with the place of every asked word and pair in them."""
     asked = [unpacked(p) for p in payloads]
     words, word = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    begin, keys = 0, []
-    for own, per_word, context, _ in asked:
-        keys.append(np.repeat(word[begin : begin + len(own)], per_word) * CONTEXTS + context)
-        begin += len(own)
+    contexts, context = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+    begin, first, keys = 0, 0, []
+    for own, per_word, near, place, _ in asked:
+        of_context = context[first : first + len(near)][place]
+        keys.append(np.repeat(word[begin : begin + len(own)], per_word) * len(contexts) + of_context)
+        begin, first = begin + len(own), first + len(near)
     pairs, pair = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(pair, weights=np.concatenate([a[3] for a in asked]), minlength=len(pairs)).astype(np.int64)
-    return asked, words, word, pairs, pair, counts
+    counts = np.bincount(pair, weights=np.concatenate([a[4] for a in asked]), minlength=len(pairs)).astype(np.int64)
+    return asked, words, word, contexts, pairs, pair, counts
 
 
 class Totals:
-    """Sums over all buckets that seating and prediction need."""
+    """Sums over all buckets that seating and prediction need; those of contexts are in the order of a seating."""
 
     def __init__(self, row):
         self.customers = np.array(row["customers"], dtype=np.float64)
         self.tables = np.array(row["tables"], dtype=np.float64)
         self.root_tables = float(row["root_tables"])
-        self.root_customers = float(self.tables.sum())
+        self.root_customers = float(row["root_customers"])
         self.tokens, self.known = int(row["tokens"]), int(row["known"])
         ones, twos, pair_ones, pair_twos = (float(x) for x in row["few"])
         self.root_discount = min(0.95, max(0.05, ones / max(1.0, ones + 2 * twos)))
         self.discount = min(0.95, max(0.05, pair_ones / max(1.0, pair_ones + 2 * pair_twos)))
 
+    def of(self, customers, tables):
+        """The same with the sums of the contexts of one bucket."""
+        own = copy.copy(self)
+        own.customers, own.tables = customers.astype(np.float64), tables.astype(np.float64)
+        return own
+
 
 class Seating:
     """Customers and tables of the words of one bucket."""
 
-    def __init__(self, pairs, counts, words):
-        self.word, self.context = pairs // CONTEXTS, (pairs % CONTEXTS).astype(np.int64)
-        self.count, self.words = counts, words
+    def __init__(self, pairs, counts, words, contexts=CONTEXTS):
+        self.word, self.context = np.divmod(pairs, contexts)
+        self.count, self.words, self.contexts = counts, words, contexts
         self.tables = (counts > 0).astype(np.int64)
         self.root = np.minimum(1, self.root_customers())
 
@@ -241,8 +247,9 @@ class Seating:
         words = np.bincount(self.word, weights=self.count, minlength=self.words)
         few = [int((words == k).sum()) for k in (1, 2)] + [int((self.count == k).sum()) for k in (1, 2)]
         return {
-            "customers": np.bincount(self.context, weights=self.count, minlength=CONTEXTS),
-            "tables": np.bincount(self.context, weights=self.tables, minlength=CONTEXTS),
+            "customers": np.bincount(self.context, weights=self.count, minlength=self.contexts).astype(np.int64),
+            "tables": np.bincount(self.context, weights=self.tables, minlength=self.contexts).astype(np.int64),
+            "root_customers": int(self.tables.sum()),
             "root_tables": int(self.root.sum()),
             "tokens": int(self.count.sum()),
             "known": int((words > 0).sum()),
@@ -268,48 +275,78 @@ def _seated(counts, discount, opens, rng):
     return tables
 
 
-_STATE = "bucket int, state binary, customers array<double>, tables array<double>, root_tables long, tokens long, known long, few array<long>"
+_SCALARS = ("root_customers", "root_tables", "tokens", "known")
+_STATE = f"bucket int, state binary, sums array<binary>, {', '.join(f'{c} long' for c in _SCALARS)}, few array<long>"
 
 
-def _state_batch(bucket, seating, samples):
+def _state_batch(bucket, seating, contexts, customers, samples, shards):
+    """One row: the seating, and per shard of contexts what this bucket holds of them; customers only as long as totals are unknown."""
     s = seating.summary()
-    state = packed(seating.word.astype(np.int32), seating.context.astype(np.uint8), seating.count, seating.tables, seating.root, samples)
+    state = packed(
+        seating.word.astype(np.int32), seating.context.astype(np.int32), seating.count, seating.tables, seating.root, customers, samples
+    )
+    held = [s["tables"]] if customers is not None else [s["tables"], s["customers"]]
+    cuts = np.searchsorted(bucket_of(contexts, shards), np.arange(shards + 1))
+    sums = [packed(contexts[lo:hi], [h[lo:hi] for h in held]) if hi > lo else None for lo, hi in zip(cuts[:-1], cuts[1:])]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([bucket], pa.int32()),
             pa.array([state], pa.binary()),
-            pa.array([s["customers"].tolist()], pa.list_(pa.float64())),
-            pa.array([s["tables"].tolist()], pa.list_(pa.float64())),
-            pa.array([s["root_tables"]], pa.int64()),
-            pa.array([s["tokens"]], pa.int64()),
-            pa.array([s["known"]], pa.int64()),
+            pa.array([sums], pa.list_(pa.binary())),
+            *[pa.array([s[c]], pa.int64()) for c in _SCALARS],
             pa.array([s["few"]], pa.list_(pa.int64())),
         ],
-        ["bucket", "state", "customers", "tables", "root_tables", "tokens", "known", "few"],
+        ["bucket", "state", "sums", *_SCALARS, "few"],
     )
 
 
-def _restored(state):
-    word, context, count, tables, root, samples = unpacked(state)
+def _restored(state, sums, replies):
+    """The seating of a bucket, the hashes of its contexts, their customers and tables over all buckets, and the samples."""
+    word, context, count, tables, root, customers, samples = unpacked(state)
+    contexts = np.concatenate([unpacked(held)[0] for held in sums if held])
     seating = Seating.__new__(Seating)
     seating.word, seating.context, seating.count = word.astype(np.int64), context.astype(np.int64), count
-    seating.tables, seating.root, seating.words = tables, root, len(root)
-    return seating, samples
+    seating.tables, seating.root, seating.words, seating.contexts = tables, root, len(root), len(contexts)
+    parts = [unpacked(r["payload"]) for r in sorted(replies, key=lambda r: r["shard"])]
+    totals = [np.concatenate(part) for part in zip(*parts)]
+    return seating, contexts, totals[1] if customers is None else customers, totals[0], samples
 
 
 def _totals(states):
-    """One row of sums; arrays are added by place inside Spark."""
-
-    def added(name):
-        return F.array(*[F.sum(F.col(name)[k]) for k in range(4 if name == "few" else CONTEXTS)]).alias(name)
+    """The sums that are no arrays of contexts, as one row."""
+    few = F.array(*[F.sum(F.col("few")[k]) for k in range(4)]).alias("few")
+    row = states.agg(few, *[F.sum(c).alias(c) for c in _SCALARS]).first()
+    return Totals({**row.asDict(), "customers": [], "tables": []})
 
-    row = states.agg(
-        added("customers"), added("tables"), added("few"), *[F.sum(c).alias(c) for c in ("root_tables", "tokens", "known")]
-    ).first()
-    return Totals(row)
 
+def _with_context_totals(states):
+    """(bucket, state, sums, replies): the totals over all buckets of the contexts of each bucket, per shard in the bucket's order."""
 
-def _begin(requests):
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, parts = [], []
+        for batch in batches:
+            buckets += batch.column("bucket").to_pylist()
+            parts += [unpacked(p.as_py()) for p in batch.column("payload")]
+        contexts, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = [
+            np.bincount(place, weights=np.concatenate(held), minlength=len(contexts)).astype(np.int64) for held in zip(*[p[1] for p in parts])
+        ]
+        begin = 0
+        for bucket, (own, _) in zip(buckets, parts):
+            mine = place[begin : begin + len(own)]
+            begin += len(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([packed(*[x[mine] for x in sums])], pa.binary())],
+                ["bucket", "shard", "payload"],
+            )
+
+    sent = states.select("bucket", F.posexplode("sums").alias("shard", "payload")).filter("payload is not null")
+    replies = sent.groupBy("shard").applyInArrow(added, "bucket int, shard int, payload binary")
+    replies = replies.groupBy("bucket").agg(F.collect_list(F.struct("shard", "payload")).alias("replies"))
+    return states.select("bucket", "state", "sums").join(replies, "bucket").select("bucket", "state", "sums", "replies")
+
+
+def _begin(requests, shards):
     """Per bucket: the requests of all blocks as one row, and the first seating."""
 
     def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,25 +356,26 @@ def _begin(requests):
             payloads += batch.column("payload").to_pylist()
         order = np.argsort(np.array(blocks), kind="stable").tolist()
         payloads, blocks = [payloads[k] for k in order], [blocks[k] for k in order]
-        _, words, _, pairs, _, counts = _merged(payloads)
-        first = _state_batch(key[0].as_py(), Seating(pairs, counts, len(words)), [])
+        _, words, _, contexts, pairs, _, counts = _merged(payloads)
+        first = _state_batch(key[0].as_py(), Seating(pairs, counts, len(words), len(contexts)), contexts, None, [], shards)
         asked = pa.array([pickle.dumps((blocks, payloads), protocol=5)], pa.binary())
         yield pa.RecordBatch.from_arrays([*first.columns, asked], [*first.schema.names, "asked"])
 
     return requests.select("bucket", "block", "payload").groupBy("bucket").applyInArrow(gather, _STATE + ", asked binary")
 
 
-def _swept(states, totals, number, sampled, seed):
+def _swept(states, totals, number, burn_in, seed, shards):
     def run(batches):
         for batch in batches:
-            for bucket, state in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seating, samples = _restored(state.as_py())
-                seating.sweep(totals, np.random.default_rng([seed, number, bucket]))
-                if sampled:
-                    samples = [*samples, (seating.tables.copy(), seating.root.copy())]
-                yield _state_batch(bucket, seating, samples)
+            for bucket, *held in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                seating, contexts, customers, tables, samples = _restored(*(h.as_py() for h in held))
+                # The totals are those of the sweep before.
+                if number > burn_in:
+                    samples = [*samples, (seating.tables.copy(), seating.root.copy(), tables)]
+                seating.sweep(totals.of(customers, tables), np.random.default_rng([seed, number, bucket]))
+                yield _state_batch(bucket, seating, contexts, customers, samples, shards)
 
-    return states.select("bucket", "state").mapInArrow(run, _STATE)
+    return _with_context_totals(states).mapInArrow(run, _STATE)
 
 
 def _answers(states, asked, sample_totals):
@@ -345,27 +383,28 @@ def _answers(states, asked, sample_totals):
 
     def run(batches):
         for batch in batches:
-            for bucket, state, request in zip(*(batch.column(k) for k in range(3))):
+            for bucket, *held, request in zip(*batch.columns):
                 bucket = bucket.as_py()
                 blocks, payloads = pickle.loads(request.as_py())
-                requests, _, word, _, pair, _ = _merged(payloads)
-                seating, samples = _restored(state.as_py())
+                requests, _, word, _, _, pair, _ = _merged(payloads)
+                seating, _, customers, last, samples = _restored(*(h.as_py() for h in held))
+                samples = [*samples, (seating.tables, seating.root, last)]
                 counts = np.bincount(seating.word, weights=seating.count, minlength=seating.words).astype(np.uint32)
                 average = np.zeros(len(seating.word))
-                for (tables, root), totals in zip(samples, sample_totals):
+                for (tables, root, of_contexts), totals in zip(samples, sample_totals):
                     seating.tables, seating.root = tables, root
-                    average += seating.predictive(totals)
+                    average += seating.predictive(totals.of(customers, of_contexts))
                 score = np.log10(average / len(samples))
                 at_word = at_pair = 0
-                for block, (own, _, context, _) in zip(blocks, requests):
-                    reply = packed(score[pair[at_pair : at_pair + len(context)]], counts[word[at_word : at_word + len(own)]])
-                    at_word, at_pair = at_word + len(own), at_pair + len(context)
+                for block, (own, _, _, place, _) in zip(blocks, requests):
+                    reply = packed(score[pair[at_pair : at_pair + len(place)]], counts[word[at_word : at_word + len(own)]])
+                    at_word, at_pair = at_word + len(own), at_pair + len(place)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([reply], pa.binary())],
                         ["block", "bucket", "payload"],
                     )
 
-    both = states.select("bucket", "state").join(asked.select("bucket", "asked"), "bucket").select("bucket", "state", "asked")
+    both = _with_context_totals(states).join(asked.select("bucket", "asked"), "bucket").select("bucket", "state", "sums", "replies", "asked")
     return both.mapInArrow(run, "block long, bucket int, payload binary")
 
 
@@ -413,17 +452,20 @@ def score(docs, id_col="doc_id", text_col="text", burn_in=BURN_IN, samples=SAMPL
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = int(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
     coded, path = stored(_blocks(docs, buckets, id_col, text_col), "lm-blocks", ["kind"])
-    begun, _ = stored(_begin(coded.filter("kind = 1")), "lm-requests")
+    begun, _ = stored(_begin(coded.filter("kind = 1"), buckets), "lm-requests")
     drop_path(spark, f"{path}/kind=1")
     release_shuffles(spark)
-    states, totals, sample_totals = begun, _totals(begun) if not begun.isEmpty() else None, []
+    states, totals, sample_totals, last = begun, _totals(begun) if not begun.isEmpty() else None, [], None
     for number in range(burn_in + samples if totals else 0):
-        states, _ = stored(_swept(states, totals, number, number >= burn_in, seed), "lm-seats")
-        totals = _totals(states)
+        states, seats = stored(_swept(states, totals, number, burn_in, seed, buckets), "lm-seats")
+        if last:
+            drop_path(spark, last)
+        last, totals = seats, _totals(states)
+        release_shuffles(spark)
         if number >= burn_in:
             sample_totals.append(totals)
     if not totals:
-        totals = Totals({"customers": [0], "tables": [0], "root_tables": 0, "tokens": 0, "known": 0, "few": [0] * 4})
+        totals = Totals({"customers": [], "tables": [], "root_customers": 0, "root_tables": 0, "tokens": 0, "known": 0, "few": [0] * 4})
     answers = _answers(states, begun, sample_totals)
     blocks = spark.read.schema("bucket int, block long, payload binary").parquet(path + "/kind=0") if sample_totals else coded
     found = _scored(blocks, answers, totals, docs.schema[id_col].dataType)

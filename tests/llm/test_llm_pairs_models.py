@@ -193,6 +193,19 @@ def test_predictions_of_a_context_add_up_to_one():
         assert np.allclose(chance.sum(axis=0) + new, 1)
 
 
+def test_contexts_are_whole_words(spark):
+    # All first words end alike, so only the whole word tells which one follows.
+    rng = random.Random(9)
+    rows = []
+    for i in range(1200):
+        k = rng.randrange(200)
+        rows.append((i, f"a{k}xyz b{k}xyz"))
+    scored = pitman_yor.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    mean = sum(r.score for r in scored if r.held_out) / sum(r.held_out for r in scored)
+    # The first word is one of 200, the rest is certain but for smoothing.
+    assert mean > -math.log10(200) - 2.0
+
+
 def test_language_model_without_rows_or_training(spark):
     schema = "doc_id long, text string"
     assert pitman_yor.report(spark.createDataFrame([], schema)).count() == 0
