@@ -7,8 +7,9 @@ fragment, tracking parameters, closing slash). A class is blocked if one of its
 none is explicitly allowed; otherwise it is allowed.
 
 Edge cases: a url that is null or has no `://` has an empty host and path, fits no rule, has no aliases and is
-allowed; null html has no links; repeated pages are judged alike; links that are neither absolute nor start
-with a slash are ignored; page columns other than the judged ones pass through `judge`, which replaces columns
+allowed; null html has no links; repeated pages are judged alike; all canonical links and refreshes of a page
+count, relative ones against the url of the page (a base element is not read); links whose scheme has no `//`
+(mailto:, data:) are ignored; page columns other than the judged ones pass through `judge`, which replaces columns
 named host, path, rule and verdict.
 """
 
@@ -75,23 +76,45 @@ def plain_spelling(url):
     return F.concat(F.lit("alias://"), host, F.regexp_replace(F.regexp_replace(bare, r"(?s)^[^/?]*", ""), r"/$", ""))
 
 
+def _without_dots(path):
+    """A path column without its segments `.` and `..`."""
+    start = F.array().cast("array<string>")
+
+    def step(done, part):
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    # The empty segment before the first slash is no place to go up from.
+    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), start, step)
+    closing = F.when(path.rlike(r"(?s)/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), closing)).otherwise(path)
+
+
 def links_of(pages, url_col="url", html_col="html"):
-    """(source, target, kind) of the redirects and canonical links in the pages, as absolute urls."""
-    url = F.col(url_col)
-    found = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), pattern, 1).alias("to"))
-            for kind, pattern in (("canonical", _CANONICAL), ("redirect", _REFRESH))
-        ]
-    )
-    rows = pages.filter(F.instr(url, "://") > 0).select(url.alias("source"), F.inline(found))
-    origin = F.regexp_extract("source", r"(?s)^([^:]*://[^/?#]*)", 1)
+    """(source, target, kind) of all redirects and canonical links in the pages, as absolute urls."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+
+    def found(kind, pattern):
+        return F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), lambda to: F.struct(F.lit(kind).alias("kind"), to.alias("to")))
+
+    both = F.concat(found("canonical", _CANONICAL), found("redirect", _REFRESH))
+    rows = pages.filter(F.instr(url_col, "://") > 0).select(F.col(url_col).alias("source"), F.inline(both))
+    rows = rows.withColumn("to", F.regexp_replace("to", "&amp;", "&"))
+    to = F.col("to")
     scheme = F.regexp_extract("source", r"(?s)^([^:]*:)//", 1)
-    target = F.regexp_replace("to", "&amp;", "&")
+    origin = F.regexp_extract("source", r"(?s)^([^:]*://[^/?#]*)", 1)
+    path = F.regexp_extract("source", r"(?s)^[^:]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract("source", r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise(F.lit("/"))
+    to_path, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
     target = (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
-        .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, to))
+        .when(F.startswith(to, F.lit("/")), F.concat(origin, _without_dots(to_path), rest))
+        .when(F.startswith(to, F.lit("?")), F.concat(origin, path, to))
+        .when(F.startswith(to, F.lit("#")), F.concat(origin, path, query, to))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, to_path)), rest))
     )
     return rows.select("source", target.alias("target"), "kind").filter(F.col("target").isNotNull())
 

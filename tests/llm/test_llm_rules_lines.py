@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import defaultdict
+from urllib.parse import urljoin
 
 import pytest
 
@@ -85,6 +86,24 @@ def test_blocks_reach_aliases_and_allow_goes_first(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
 
 
+def test_relative_links_are_resolved_and_all_are_read(spark):
+    bases = ["http://a.org/d/e?q=1#f", "http://a.org/d/e/", "http://a.org", "http://a.org?q=/x/", "http://a.org/x"]
+    targets = ["page2.html", "../x", "?id=1", "#top", "./", "..", "../../../x", "a/./b/../c?x=/../y", ".hidden/..x", "x?next=http://q.org/"]
+    targets += ["/a/../b", "/", "//h.org/x", "http://k.org/z"]
+    links = "".join(f"<link rel=canonical href='{t}'>" for t in targets) + "<meta http-equiv=refresh content='0;url=r1'>" * 2
+    rows = [(i, base, links + "<link rel=canonical href='mailto:x@y.org'>") for i, base in enumerate(bases)]
+    found = url_filter.links_of(spark.createDataFrame(rows, PAGES)).collect()
+    expected = [(b, urljoin(b, t), "canonical") for b in bases for t in targets] + [(b, urljoin(b, "r1"), "redirect") for b in bases] * 2
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    pages = [
+        (1, "http://c.org/d/1", "<link rel=canonical href='../q/2'>"),
+        (2, "http://c.org/q/2", "<meta http-equiv=refresh content='0;url=http://x.net/es/1'>"),
+        (3, "http://b.org/1", "<link rel=canonical href=/2><link rel=canonical href=http://x.net/es/1>"),
+        (4, "http://b.org/2", ""),
+    ]
+    assert {k: v[3] for k, v in verdicts(spark, pages).items()} == {1: "block", 2: "block", 3: "block", 4: "block"}
+
+
 def test_given_edges_extra_columns_and_no_rows(spark):
     rows = [(1, "http://a.org/x", None, "mine", "theirs")]
     pages = spark.createDataFrame(rows, PAGES + ", host string, lang string")
