@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination, jaccard_join, line_dedup, packing, pitman_yor, sharding, toxicity, url_filter, vector_search, warc
+from . import byte_bpe, decontamination, jaccard_join, line_dedup, packing, phrases, pitman_yor, sharding, toxicity, url_filter, vector_search, warc
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -52,11 +52,15 @@ def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark, sf_dir):
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark, sf_dir):
     return byte_bpe.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op4_warc": op4_warc, "op2_vector_search": op2_vector_search, "op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination, "op12_byte_bpe": op12_byte_bpe}
+QUERIES = {"op4_warc": op4_warc, "op2_vector_search": op2_vector_search, "op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination, "op11_phrases": op11_phrases, "op12_byte_bpe": op12_byte_bpe}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -132,6 +136,34 @@ ORACLES = {
         SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped,
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM doc LEFT JOIN kept USING (r)""",
+    "op11_phrases": rf"""
+        WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+                translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+        piece AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM doc),
+        worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+        gram AS (
+            SELECT lang, m, list_slice(w, i, i + m - 1) AS g
+            FROM worded, (SELECT unnest(range(1, 6)) AS m), unnest(range(1, len(w) - m + 2)) AS u(i)),
+        total AS (SELECT lang, count(*) AS n FROM gram WHERE m = 1 GROUP BY lang),
+        freq AS (SELECT lang, m, g, count(*) AS f FROM gram GROUP BY lang, m, g HAVING count(*) >= {phrases.MIN_COUNT}),
+        cut AS (
+            SELECT c.lang, c.m, c.g, c.f AS a, k, x.f AS l, y.f AS r, n, 1000::HUGEINT * c.f * n // (x.f::HUGEINT * y.f) AS score
+            FROM freq c, unnest(range(1, c.m)) AS u(k)
+            JOIN freq x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k)
+            JOIN freq y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, c.m)
+            JOIN total ON total.lang = c.lang),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cut),
+        inside AS (
+            SELECT DISTINCT lang, list_slice(g, i, i + s - 1) AS g, f
+            FROM freq, (SELECT unnest(range(2, 5)) AS s), unnest(range(1, m - s + 2)) AS u(i) WHERE s < m),
+        kept AS (
+            SELECT * FROM best WHERE place = 1 AND NOT EXISTS (
+                SELECT 1 FROM inside i WHERE i.lang = best.lang AND i.g = best.g AND 100 * i.f >= {phrases.COVERED} * best.a)),
+        ranked AS (
+            SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+                row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+            FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {phrases.TOP}""",
     "op5_decontamination": f"""
         WITH item AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS w FROM benchmark),
         test AS (
