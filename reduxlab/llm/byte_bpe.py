@@ -17,12 +17,12 @@ one that has the name of the new column is replaced. Ids outside the vocabulary
 
 import base64
 import heapq
-from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Longest match, in bytes, that goes through the matrices.
 LONG = 1024
@@ -32,8 +32,8 @@ MATRIX_VALUES = 1 << 21
 RUN_CHARS = 1 << 19
 RUN_MATCHES = 1 << 17
 #: Bytes of one generation of known matches, with about what Python needs for an entry.
-CACHE_BYTES = 40 << 20
-ENTRY_BYTES = 160
+CACHE_BYTES = 32 << 20
+ENTRY_BYTES = 240
 _NONE = np.iinfo(np.int32).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,35 +89,37 @@ class PairTable:
 class Vocabulary:
     """Arrays of a byte-level vocabulary: ids of single bytes, the pair table, ids by rank, bytes by id.
 
-    ranks: token bytes -> rank, every single byte among them. pairs: (left id, right id, rank) of the merges that
-    are allowed; by default every cut of a token into two tokens. ids: token bytes -> id, by default the rank.
-    whole: whether a match that is a token is taken as that token without merging.
+    ids: token bytes -> id, every single byte among them. pairs: (left id, right id, rank) of the merges that are
+    allowed. whole: whether a match that is a token is taken as that token without merging.
     """
 
-    def __init__(self, ranks, pairs=None, ids=None, whole=True):
-        ids = ranks if ids is None else ids
-        if pairs is None:
-            pairs = [
-                (ids[token[:k]], ids[token[k:]], rank)
-                for token, rank in ranks.items()
-                for k in range(1, len(token))
-                if token[:k] in ids and token[k:] in ids
-            ]
-        left, right, rank = (np.array(column, dtype=np.int64) for column in zip(*pairs))
-        self.table = PairTable(left, right, rank)
-        self.id_of_rank = np.zeros(max(ranks.values()) + 1, dtype=np.int32)
-        self.id_of_rank[list(ranks.values())] = [ids[token] for token in ranks]
-        self.byte_ids = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int32)
+    def __init__(self, ids, pairs, whole):
         size = max(ids.values()) + 1
         tokens = [None] * size
         for token, number in ids.items():
             tokens[number] = token
+        left, right, rank = (np.array(column, dtype=np.int64) for column in zip(*pairs))
+        self.table = PairTable(left, right, rank)
+        self.id_of_rank = np.zeros(int(rank.max()) + 1, dtype=np.int32)
+        self.id_of_rank[rank] = [ids[tokens[a] + tokens[b]] for a, b, _ in pairs]
+        self.byte_ids = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int32)
         self.known = np.array([token is not None for token in tokens])
         self.lengths = np.array([len(token or b"") for token in tokens], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         self.flat = np.frombuffer(b"".join(token or b"" for token in tokens), dtype=np.uint8)
         self.whole = whole
 
+    @classmethod
+    def from_ranks(cls, ranks):
+        """Token bytes -> rank, which is the id too; any two neighbours that make a token may merge."""
+        cuts = ((token, rank, token[:k], token[k:]) for token, rank in ranks.items() for k in range(1, len(token)))
+        return cls(ranks, [(ranks[a], ranks[b], rank) for _, rank, a, b in cuts if a in ranks and b in ranks], whole=True)
+
+    @classmethod
+    def from_merges(cls, ids, merges):
+        """Token bytes -> id, and pairs of token bytes in the order of their ranks; nothing else merges."""
+        return cls(ids, [(ids[a], ids[b], rank) for rank, (a, b) in enumerate(merges)], whole=False)
+
     def whole_tokens(self):
         data = self.flat.tobytes()
         spans = zip(np.flatnonzero(self.known).tolist(), self.starts[self.known].tolist(), self.lengths[self.known].tolist())
@@ -271,67 +273,82 @@ class Encoder:
         return [b"".join(map(get, run)) for run in runs]
 
     def _long(self, text):
+        """Id bytes of runs of matches of one text."""
         found = (m.group() for m in self.pattern.finditer(text))
         while run := list(islice(found, RUN_MATCHES)):
             yield self._flush([run])[0]
 
     def encode(self, texts):
-        """The id bytes of each text; null counts as empty."""
-        runs, size = [], 0
-        for text in texts:
-            if text and len(text) > RUN_CHARS:
-                yield from self._flush(runs)
-                runs, size = [], 0
-                yield b"".join(self._long(text))
-                continue
-            runs.append(self.pattern.findall(text) if text else [])
-            size += len(text or "")
-            if size > RUN_CHARS:
-                yield from self._flush(runs)
-                runs, size = [], 0
-        yield from self._flush(runs)
-
-
-def encoded(docs, vocabulary, pattern, text_col="text", into="ids"):
-    """The table with the ids of its texts: binary, four little-endian bytes an id."""
+        """The id bytes of each text; null counts as empty. The caller bounds the run."""
+        out = [None if text and len(text) > RUN_CHARS else self.pattern.findall(text or "") for text in texts]
+        short = iter(self._flush([run for run in out if run is not None]))
+        return [next(short) if run is not None else b"".join(self._long(text)) for run, text in zip(out, texts)]
+
+
+def runs(column, size):
+    """A string or binary column as (first row, values) with about `size` characters or bytes, one value at least."""
+    first, values, total = 0, [], 0
+    for i, value in enumerate(column):
+        values.append(value.as_py())
+        total += len(values[-1] or "")
+        if total > size:
+            yield first, values
+            first, values, total = i + 1, [], 0
+    if values:
+        yield first, values
+
+
+def _added(batch, first, new, names):
+    """Some rows of a batch with binary columns put in or in place of those with their names."""
+    rows = batch.slice(first, len(next(iter(new.values()))))
+    arrays = [pa.array(new[name], pa.binary()) if name in new else rows.column(name) for name in names]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _schema(table, names):
+    kept = [field for field in table.schema.fields if field.name not in names]
+    return T.StructType([*kept, *[T.StructField(name, T.BinaryType()) for name in names]])
+
+
+def encoded(docs, vocabulary, pattern, text_col="text", into="ids", back=None):
+    """The table with the ids of its texts: binary, four little-endian bytes an id.
+
+    back: the name of one more column, for the bytes that the ids decode to.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = _schema(docs, [into, *([back] if back else [])])
 
-    @F.arrow_udf("binary")
-    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(batches):
         encoder = Encoder(shared.value, pattern)
-        for column in columns:
-            yield pa.array(encoder.encode(value.as_py() for value in column), pa.binary())
+        for batch in batches:
+            for first, texts in runs(batch.column(text_col), RUN_CHARS):
+                new = {into: encoder.encode(texts)}
+                if back:
+                    new[back] = decode(shared.value, new[into])
+                yield _added(batch, first, new, schema.names)
 
-    return docs.withColumn(into, encode(F.col(text_col).cast("string")))
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(encode, schema)
 
 
-def decoded(table, vocabulary, ids_col="ids", into="decoded", run=1 << 20):
+def decoded(table, vocabulary, ids_col="ids", into="decoded"):
     """The table with the bytes that its ids stand for; null ids are none."""
     shared = table.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = _schema(table, [into])
+
+    def run(batches):
+        for batch in batches:
+            for first, rows in runs(batch.column(ids_col), 4 * RUN_CHARS):
+                yield _added(batch, first, {into: decode(shared.value, rows)}, schema.names)
+
+    return table.mapInArrow(run, schema)
+
 
-    def parts(data):
-        ids = np.frombuffer(data, dtype="<u4")
-        for begin in range(0, len(ids), run):
-            yield shared.value.bytes_of(ids[begin : begin + run])[0].tobytes()
-
-    @F.arrow_udf("binary")
-    def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            out, rows, size = [], [], 0
-            for value in column:
-                row = value.as_py() or b""
-                if len(row) > 4 * run:
-                    out += [*_split(shared.value, rows), b"".join(parts(row))]
-                    rows, size = [], 0
-                    continue
-                rows.append(row)
-                size += len(row)
-                if size > 4 * run:
-                    out += _split(shared.value, rows)
-                    rows, size = [], 0
-            yield pa.array(out + _split(shared.value, rows), pa.binary())
-
-    return table.withColumn(into, decode(F.col(ids_col)))
+def decode(vocabulary, rows):
+    """The bytes that each row of id bytes stands for; long rows are gathered in parts."""
+    if any(row is not None and len(row) > 8 * RUN_CHARS for row in rows):
+        step = 8 * RUN_CHARS
+        return [b"".join(_split(vocabulary, [row[i : i + step]])[0] for i in range(0, len(row or b""), step)) for row in rows]
+    return _split(vocabulary, [row or b"" for row in rows])
 
 
 def _split(vocabulary, rows):
@@ -345,12 +362,11 @@ def _split(vocabulary, rows):
 
 def report(docs, ranks_path, pattern, id_col="doc_id", text_col="text"):
     """Digests of the ids and of the bytes they decode to, one row per document."""
-    vocabulary = Vocabulary(read_ranks(ranks_path))
-    table = encoded(docs.select(id_col, text_col), vocabulary, pattern, text_col, "ids")
-    table = decoded(table.select(id_col, "ids"), vocabulary, "ids", "decoded")
+    vocabulary = Vocabulary.from_ranks(read_ranks(ranks_path))
+    table = encoded(docs.select(id_col, F.col(text_col).alias("__text")), vocabulary, pattern, "__text", "__ids", "__back")
     return table.select(
         id_col,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("__ids", 256).alias("ids_sha256"),
+        F.sha2("__back", 256).alias("decoded_sha256"),
     )

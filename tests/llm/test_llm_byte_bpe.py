@@ -21,7 +21,7 @@ def ranks():
 
 @pytest.fixture(scope="module")
 def vocabulary(ranks):
-    return byte_bpe.Vocabulary(ranks)
+    return byte_bpe.Vocabulary.from_ranks(ranks)
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +77,7 @@ def test_pair_table_finds_each_pair_and_no_other():
 
 def test_least_rank_goes_first_and_ties_to_the_left():
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"bc": 257, b"ab": 258, b"abc": 259}
-    vocabulary = byte_bpe.Vocabulary(ranks)
+    vocabulary = byte_bpe.Vocabulary.from_ranks(ranks)
     got = [np.frombuffer(ids, dtype="<u4").tolist() for ids in byte_bpe.merged_pieces(vocabulary, [b"aaa", b"abc", b"aaabc", b"d"])]
     assert got == [[256, 97], [259], [256, 259], [100]]
 
@@ -95,10 +95,11 @@ def test_report_round_trip_over_odd_rows(spark, library):
     assert got == sorted(want, key=repr)
 
 
-def test_decoding_bounds_its_gathers_and_names_unknown_ids(spark, vocabulary):
+def test_decoding_in_parts_and_unknown_ids(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(byte_bpe, "RUN_CHARS", 4)
     texts = ["one text " * 50, "", None, "another"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    table = byte_bpe.decoded(byte_bpe.encoded(docs, vocabulary, PATTERN), vocabulary, run=16)
+    table = byte_bpe.decoded(byte_bpe.encoded(docs, vocabulary, PATTERN, into="text", text_col="text"), vocabulary, ids_col="text")
     got = {r["doc_id"]: bytes(r["decoded"]).decode() for r in table.collect()}
     assert got == {i: t or "" for i, t in enumerate(texts)}
     with pytest.raises(ValueError, match="vocabulary"):
