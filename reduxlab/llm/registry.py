@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination, jaccard_join, line_dedup, packing, phrases, pitman_yor, sharding, toxicity, url_filter, vector_search, warc
+from . import alignment, byte_bpe, decontamination, jaccard_join, line_dedup, packing, phrases, pitman_yor, sharding, toxicity, url_filter, vector_search, warc
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -60,7 +60,12 @@ def op12_byte_bpe(spark, sf_dir):
     return byte_bpe.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op4_warc": op4_warc, "op2_vector_search": op2_vector_search, "op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination, "op11_phrases": op11_phrases, "op12_byte_bpe": op12_byte_bpe}
+def op13_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.report(_table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op4_warc": op4_warc, "op2_vector_search": op2_vector_search, "op6_toxicity": op6_toxicity, "op10_pitman_yor": op10_pitman_yor, "op9_jaccard_join": op9_jaccard_join, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op1_url_filter": op1_url_filter, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination, "op11_phrases": op11_phrases, "op12_byte_bpe": op12_byte_bpe, "op13_alignment": op13_alignment}
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
