@@ -1,4 +1,4 @@
-"""Linear support vector machines: squared hinge by Newton steps, hinge by averaged local SGD.
+"""Linear support vector machines: squared hinge by matrix-free Newton steps, hinge by averaged local SGD.
 
 All one-vs-rest problems share every pass over the table; the driver holds (d + 1) x K numbers.
 """
@@ -30,8 +30,11 @@ def _targets(batch, classes):
     return signs
 
 
-# Second derivatives of all classes are summed while they have at most this many entries.
-CURVATURE_VALUES = 4_000_000
+# Numbers that one pass may sum as products of the curvature with directions. A table whose curvature has no more of
+# them gets its products with all unit directions along with the gradient, a wider one those with one direction per pass.
+BLOCK_VALUES = 4_000_000
+# Directions of the sketch that preconditions the wider tables.
+SKETCH = 64
 
 
 def _squared_hinge_fold(shared, classes, cost, sparse, curved=False):
@@ -77,6 +80,66 @@ def squared_hinge(df, weights, classes, cost=1.0, sparse=False, curved=False):
     return losses, slopes, curvature
 
 
+def curvature_products(df, weights, directions, chosen, classes, cost=1.0, sparse=False):
+    """The curvature at the weights times one direction of each chosen class, by one pass and without forming it."""
+    shared = folds.share(df, (weights[:, chosen], directions), 2 * directions.nbytes, "weights")
+
+    def fold(batches):
+        at, along = shared.value
+        size, k = at.shape
+        total = np.zeros_like(along)
+        for batch in batches:
+            if batch.num_rows:
+                rows, signs = read_rows(batch, sparse), _targets(batch, classes)[:, chosen]
+                both = rows.dot(np.hstack([at[:-1], along[:-1]])) + np.hstack([at[-1], along[-1]])
+                move = 2.0 * cost * both[:, k:] * (signs * both[:, :k] < 1.0)
+                total[:-1] += rows.transposed_dot(move, size - 1)
+                total[-1] += move.sum(axis=0)
+        return total.ravel()
+
+    state = folds.folded(df.select(*_training_columns(sparse)), fold, directions.size)
+    shared.destroy()
+    return state.reshape(directions.shape) + directions
+
+
+def sketched_inverse(df, size, cost, sparse, seed, rank=SKETCH):
+    """An approximate inverse of the curvature where every row counts, from products with `rank` random directions.
+
+    The largest eigenvalues come from a Nystroem approximation and the others are taken as equal; the same for all
+    classes, as the targets do not enter.
+    """
+    rank = max(1, min(rank, size, BLOCK_VALUES // size))
+    frame, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, rank)))
+    shared = folds.share(df, frame, frame.nbytes, "directions")
+
+    def fold(batches):
+        along = shared.value
+        total = np.zeros_like(along)
+        for batch in batches:
+            if batch.num_rows:
+                rows = read_rows(batch, sparse)
+                move = 2.0 * cost * (rows.dot(along[:-1]) + along[-1])
+                total[:-1] += rows.transposed_dot(move, size - 1)
+                total[-1] += move.sum(axis=0)
+        return total.ravel()
+
+    image = folds.folded(df.select(*feature_columns(sparse)), fold, frame.size).reshape(frame.shape)
+    shared.destroy()
+    little = 1e-10 * max(float(np.linalg.norm(image)), 1e-300)
+    core = frame.T @ image + little * np.eye(rank)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    half = vectors / np.sqrt(np.maximum(values, little))
+    axes, spread, _ = np.linalg.svd((image + little * frame) @ half, full_matrices=False)
+    values = np.maximum(spread**2 - little, 0.0)
+    rest = values.min() + 1.0
+
+    def inverse(vectors, chosen):
+        inside = axes.T @ vectors
+        return (vectors - axes @ inside) / rest + axes @ (inside / (values + 1.0)[:, None])
+
+    return inverse
+
+
 def squared_hinge_table(df, weights, classes, cost=1.0, sparse=False):
     """The loss part of that gradient as rows (i, class, slope); i = d is the intercept."""
     shared = folds.share(df, weights, weights.nbytes, "weights")
@@ -90,70 +153,124 @@ def squared_hinge_table(df, weights, classes, cost=1.0, sparse=False):
     )
 
 
-def newton(evaluate, start, max_iter, tol):
-    """Newton steps for every class at once; a pass gives loss, gradient and curvature.
+def _along(a, b):
+    return (a * b).sum(axis=0)
 
-    The loss is piecewise quadratic, so full steps nearly always hold; a class whose loss does
-    not fall halves its own step.
-    """
-    point = start
-    losses, slope, curvature = evaluate(point)
-    limit = tol * max(1.0, float(np.linalg.norm(slope)))
-    for _ in range(max_iter):
-        if np.linalg.norm(slope) <= limit:
+
+def conjugate_steps(product, inverse, slope, shortfall=0.1, most=500):
+    """Per class the step that preconditioned conjugate gradients take towards the foot of its quadratic model, and
+    the gain that the model expects. product and inverse take (vectors, chosen classes)."""
+    step, rest = np.zeros_like(slope), -slope
+    goal = shortfall * np.linalg.norm(slope, axis=0)
+    chosen = np.flatnonzero(goal > 0)
+    way, gain = np.zeros_like(slope), np.ones(slope.shape[1])
+    for turn in range(most):
+        if not len(chosen):
             break
-        step = np.stack([np.linalg.solve(curvature[c], slope[:, c]) for c in range(len(losses))], axis=1)
-        descent, length = (slope * step).sum(axis=0), np.ones(len(losses))
-        while True:
-            trial = point - step * length
-            new_losses, new_slope, new_curvature = evaluate(trial)
-            uphill = new_losses > losses - 1e-4 * length * descent + 1e-12 * np.abs(losses)
-            if not uphill.any():
-                break
-            length[uphill] /= 2
-            if length.min() < 1e-8:
-                return point
-        point, losses, slope, curvature = trial, new_losses, new_slope, new_curvature
-    return point
+        ready = inverse(rest[:, chosen], chosen)
+        fresh = _along(rest[:, chosen], ready)
+        way[:, chosen] = ready + (fresh / gain[chosen] * way[:, chosen] if turn else 0.0)
+        gain[chosen] = fresh
+        image = product(way[:, chosen], chosen)
+        share = fresh / _along(way[:, chosen], image)
+        step[:, chosen] += share * way[:, chosen]
+        rest[:, chosen] -= share * image
+        chosen = chosen[np.linalg.norm(rest[:, chosen], axis=0) > goal[chosen]]
+    return step, 0.5 * (_along(step, rest) - _along(slope, step))
+
+
+# Parts of a step whose losses one pass compares when the whole step gains too little.
+FRACTIONS = 0.75 ** np.arange(1, 33)
 
 
-def quasi_newton(evaluate, start, max_iter, tol, memory=10):
-    """L-BFGS with step halving, for widths whose curvature is too large to hold."""
+def newton(evaluate, products, inverse_at, losses_along, start, max_iter, tol):
+    """Newton steps for every class at once, until each gradient is at most `tol` of its first.
+
+    evaluate(point) gives losses, gradients and state; products(point, state) and inverse_at(state) give functions
+    of (vectors, chosen classes); losses_along(point, step, fractions) the losses at parts of a step. A class whose
+    step gains far less than hoped takes the best part of it.
+    """
     point = start
-    losses, slope, _ = evaluate(point)
-    value = losses.sum()
-    limit = tol * max(1.0, float(np.linalg.norm(slope)))
-    steps, changes = [], []
+    losses, slope, state = evaluate(point)
+    limit = tol * np.maximum(1.0, np.linalg.norm(slope, axis=0))
     for _ in range(max_iter):
-        if np.linalg.norm(slope) <= limit:
+        open_ = np.linalg.norm(slope, axis=0) > limit
+        if not open_.any():
             break
-        direction = slope.copy()
-        used = []
-        for s, y in zip(reversed(steps), reversed(changes)):
-            share = float((s * direction).sum() / (s * y).sum())
-            used.append(share)
-            direction -= share * y
-        if steps:
-            direction *= float((steps[-1] * changes[-1]).sum() / (changes[-1] * changes[-1]).sum())
-        for (s, y), share in zip(zip(steps, changes), reversed(used)):
-            direction += s * (share - float((y * direction).sum() / (s * y).sum()))
-        length = 1.0 if steps else min(1.0, 1.0 / float(np.linalg.norm(slope)))
-        descent = float((slope * direction).sum())
-        while True:
-            trial = point - length * direction
-            trial_losses, trial_slope, _ = evaluate(trial)
-            if trial_losses.sum() <= value - 1e-4 * length * descent or length < 1e-12:
+        step, hoped = conjugate_steps(products(point, state), inverse_at(state), slope * open_)
+        trial = point + step
+        found = evaluate(trial)
+        # Close to the optimum a loss is known less well than the gain; the model is exact there.
+        poor = open_ & (losses - found[0] < 0.25 * hoped) & (hoped > 1e-12 * np.abs(losses))
+        if poor.any():
+            parts = losses_along(point, step, FRACTIONS)
+            part = np.where(poor & (parts.min(axis=0) < found[0]), FRACTIONS[parts.argmin(axis=0)], 1.0)
+            if (part < 1).any():
+                trial = point + part * step
+                found = evaluate(trial)
+            worse = poor & (found[0] >= losses)
+            if worse[open_].all():
                 break
-            length /= 2
-        if length < 1e-12:
-            break
-        s, y = trial - point, trial_slope - slope
-        if float((s * y).sum()) > 1e-12 * float((y * y).sum()):
-            steps, changes = (steps + [s])[-memory:], (changes + [y])[-memory:]
-        point, value, slope = trial, trial_losses.sum(), trial_slope
+            trial = np.where(worse, point, trial)
+            found = tuple(_chosen(worse, old, new) for old, new in zip((losses, slope, state), found))
+        point, (losses, slope, state) = trial, found
     return point
 
 
+def _chosen(first, one, other):
+    """Per class one of two values; classes are the last axis of vectors and matrices and the first of stacks."""
+    if one is None:
+        return None
+    return np.where(first[:, None, None] if one.ndim == 3 else first, one, other)
+
+
+def losses_at(df, weights, step, fractions, classes, cost=1.0, sparse=False):
+    """Losses of all classes at the weights plus each fraction of a step, by one pass."""
+    shared = folds.share(df, (weights, step), 2 * weights.nbytes, "weights")
+    k = len(classes)
+
+    def fold(batches):
+        at, along = shared.value
+        total = np.zeros((len(fractions), k))
+        for batch in batches:
+            if batch.num_rows:
+                rows, signs = read_rows(batch, sparse), _targets(batch, classes)
+                both = rows.dot(np.hstack([at[:-1], along[:-1]])) + np.hstack([at[-1], along[-1]])
+                room, pace = 1.0 - signs * both[:, :k], signs * both[:, k:]
+                for i, part in enumerate(fractions):
+                    total[i] += cost * (np.maximum(0.0, room - part * pace) ** 2).sum(axis=0)
+        return total.ravel()
+
+    total = folds.folded(df.select(*_training_columns(sparse)), fold, len(fractions) * k).reshape(-1, k)
+    shared.destroy()
+    return total + np.stack([0.5 * _along(weights + part * step, weights + part * step) for part in fractions])
+
+
+def minimised(rows, classes, size, cost, sparse, max_iter, tol, seed):
+    """Weights of the squared hinge problems of all classes."""
+    curved = len(classes) * size * size <= BLOCK_VALUES
+
+    def evaluate(weights):
+        return squared_hinge(rows, weights, classes, cost, sparse, curved)
+
+    def products(weights, curvature):
+        if curved:
+            return lambda vectors, chosen: np.einsum("cij,jc->ic", curvature[chosen], vectors)
+        return lambda vectors, chosen: curvature_products(rows, weights, vectors, chosen, classes, cost, sparse)
+
+    sketched = None if curved else sketched_inverse(rows, size, cost, sparse, seed)
+
+    def inverse_at(curvature):
+        if curved:
+            return lambda vectors, chosen: np.linalg.solve(curvature[chosen], vectors.T[:, :, None])[:, :, 0].T
+        return sketched
+
+    def along(weights, step, fractions):
+        return losses_at(rows, weights, step, fractions, classes, cost, sparse)
+
+    return newton(evaluate, products, inverse_at, along, np.zeros((size, len(classes))), max_iter, tol)
+
+
 def decide(df, weights, classes, sparse=False):
     """Add `prediction`, the class with the largest decision value (the first one on ties)."""
     shared = folds.share(df, (weights, classes), weights.nbytes, "weights")
@@ -212,12 +329,7 @@ class SquaredHingeSVM(_LinearClassifier):
         try:
             self.classes = class_values(rows)
             width = width or _width(rows, sparse)
-            start = np.zeros((width + 1, len(self.classes)))
-            curved = start.size * len(start) <= CURVATURE_VALUES
-            minimise = newton if curved else quasi_newton
-            self.weights = minimise(
-                lambda w: squared_hinge(rows, w, self.classes, self.C, sparse, curved), start, self.max_iter, self.tol
-            )
+            self.weights = minimised(rows, self.classes, width + 1, self.C, sparse, self.max_iter, self.tol, self.seed)
         finally:
             rows.unpersist()
         return self

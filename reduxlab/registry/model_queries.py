@@ -137,12 +137,12 @@ def _sides(spark, sf_dir, sparse=False):
 
 def svm_predict(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    return SquaredHingeSVM(seed=SEED, scale_dense=True, tol=1e-3).fit(train).predict(test).select("id", "prediction")
+    return SquaredHingeSVM(seed=SEED, scale_dense=True).fit(train).predict(test).select("id", "prediction")
 
 
 def svm_predict_sparse(spark, sf_dir):
     train, test = _sides(spark, sf_dir, sparse=True)
-    return SquaredHingeSVM(seed=SEED, tol=1e-3).fit(train, sparse=True, width=64).predict(test).select("id", "prediction")
+    return SquaredHingeSVM(seed=SEED).fit(train, sparse=True, width=64).predict(test).select("id", "prediction")
 
 
 def sgd_hinge_step(spark, sf_dir):
