@@ -1,50 +1,40 @@
-"""Scalers: statistics in one partially aggregated pass, application inside the scan."""
+"""Scalers: statistics in one fold of mergeable states, application inside the scan."""
 
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import moments
 from ..functions.columns import array_literal
 
 MAX_FEATURES = 4_000_000
 
 
-def feature_moments(df):
-    """One row per feature: pos, mean, population deviation."""
-    return (
-        df.select(F.posexplode("features").alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    )
+def _deviations(df, period=None):
+    """Mean and population deviation by feature, or by feature number modulo `period`."""
+    mass, mean, m2 = moments.table_moments(df, period)
+    return mean, np.sqrt(np.divide(m2, mass, out=np.zeros_like(m2), where=mass > 0))
 
 
-def channel_moments(df, channels):
-    """The same per colour channel of images stored with the channel innermost."""
+def feature_moments(df):
+    """The same as a table, for narrow ones: pos, mean, population deviation."""
     return (
         df.select(F.posexplode("features").alias("pos", "x"))
-        .groupBy((F.col("pos") % channels).alias("channel"))
+        .groupBy("pos")
         .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     )
 
 
-def max_abs(df):
-    """Largest absolute value per stored feature of a sparse table."""
-    return (
-        df.select(F.explode(F.arrays_zip("idx", "val")).alias("e"))
-        .groupBy(F.col("e.idx").alias("idx"))
-        .agg(F.max(F.abs("e.val")).alias("max_abs"))
-    )
+def stored_width(df):
+    """One more than the largest feature number of a sparse table."""
+    return int(df.agg(F.max(F.array_max("idx")).alias("d")).head()["d"] or 0) + 1
 
 
-def _by_position(stats, key, columns):
-    """Statistics on the driver in feature order; their number is the table's width."""
-    rows = stats.limit(MAX_FEATURES + 1).toArrow()
-    if rows.num_rows > MAX_FEATURES:
+def _checked(width):
+    if width > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} features")
-    where = rows[key].to_numpy()
-    order = np.argsort(where)
-    return where[order], [rows[c].to_numpy()[order] for c in columns]
+    return int(width)
 
 
 @dataclass(frozen=True)
@@ -73,12 +63,13 @@ class Shift:
 
 def fit_standardizer(df, with_mean=True):
     """Population deviation; a constant feature is divided by 1."""
-    _, (mean, std) = _by_position(feature_moments(df), "pos", ["mean", "std"])
+    mean, std = _deviations(df)
     return Shift(mean if with_mean else np.zeros_like(mean), np.where(std == 0, 1.0, std), whole=True)
 
 
 def fit_channel_normalizer(df, channels, eps=1e-8):
-    _, (mean, std) = _by_position(channel_moments(df, channels), "channel", ["mean", "std"])
+    """The same per colour channel of images stored with the channel innermost."""
+    mean, std = _deviations(df, channels)
     return Shift(mean, std + eps)
 
 
@@ -97,30 +88,26 @@ class SparseScale:
         )
 
 
-def _scale_vector(where, values, width):
-    scale = np.ones(int(width if width is not None else (where.max() + 1 if len(where) else 1)))
-    scale[where] = np.where(values == 0, 1.0, values)
-    return scale
+def _scale_vector(values, width):
+    """Statistics by feature; features without any, or with 0, are divided by 1."""
+    scale = np.ones(max(width, len(values)))
+    scale[: len(values)] = np.where(values == 0, 1.0, values)
+    return SparseScale(scale)
 
 
 def fit_max_abs(df, width=None):
-    where, (peak,) = _by_position(max_abs(df), "idx", ["max_abs"])
-    return SparseScale(_scale_vector(where, peak, width))
+    width = _checked(width if width is not None else stored_width(df))
+    return _scale_vector(moments.stored_peaks(df, width), width)
 
 
 def fit_sparse_deviation(df, width=None):
     """Deviation scaling that does not centre, so stored zeros are never filled in."""
-    n = df.count()
-    sums = (
-        df.select(F.explode(F.arrays_zip("idx", "val")).alias("e"))
-        .groupBy(F.col("e.idx").alias("idx"))
-        .agg(F.count("*").alias("m"), F.avg("e.val").alias("mean"), F.var_pop("e.val").alias("var"))
-    )
-    # n - m rows hold an implicit zero: merge them into the stored values' moments.
-    share = F.col("m") / F.lit(float(n))
-    var = share * F.col("var") + share * (1 - share) * F.col("mean") * F.col("mean")
-    where, (std,) = _by_position(sums.select("idx", F.sqrt(var).alias("std")), "idx", ["std"])
-    return SparseScale(_scale_vector(where, std, width))
+    width = _checked(width if width is not None else stored_width(df))
+    mass, mean, m2 = moments.stored_moments(df, width)
+    # The rows that store nothing for a feature hold zeros: one more state to merge.
+    zeros = np.stack([df.count() - mass, np.zeros_like(mean), np.zeros_like(m2)])
+    mass, _, m2 = moments.merge(zeros, np.stack([mass, mean, m2]))
+    return _scale_vector(np.sqrt(np.divide(m2, mass, out=np.zeros_like(m2), where=mass > 0)), width)
 
 
 def rescale_pixels(df, peak=255.0):

@@ -40,6 +40,31 @@ def test_seeding_prefers_distant_rows(make):
         assert {tuple(c) for c in found} == {(0.0, 0.0), (9.0, 9.0), (-9.0, 9.0)}
 
 
+def test_passes_do_not_grow_with_the_number_of_centers(make, monkeypatch):
+    x, _ = blobs(per=60, centers=6)
+    df = make(x)
+    passes = []
+    draw, fold = partitions._draw, partitions.folds.folded
+    monkeypatch.setattr(partitions, "_draw", lambda *a: passes.append("draw") or draw(*a))
+    monkeypatch.setattr(partitions.folds, "folded", lambda *a, **b: passes.append("fold") or fold(*a, **b))
+    for k in (2, 40):
+        passes.clear()
+        assert partitions.seed_centers(df, k, 2, 1).shape == (2, k, x.shape[1])
+        assert passes == ["draw"] * 6 + ["fold"]
+
+
+def test_more_centers_than_rows(make):
+    x = np.array([[0.0, 1.0], [2.0, 3.0], [0.0, 1.0]])
+    assert {tuple(c) for c in partitions.seed_centers(make(x), 5, 1, 3)[0]} == {(0.0, 1.0), (2.0, 3.0)}
+
+
+def test_seeds_are_close_to_the_best_centers(make):
+    x, y = blobs(seed=5, per=50, centers=12, spread=0.2)
+    best = sum(((x[y == c] - x[y == c].mean(axis=0)) ** 2).sum() for c in range(12))
+    for centers in partitions.seed_centers(make(x), 12, 4, 2):
+        assert partitions.square_distances(x, centers).min(axis=1).sum() < 1.5 * best
+
+
 def test_row_uniforms_look_uniform():
     u = partitions.row_uniforms(np.arange(20_000), 3, 5)
     assert abs(u.mean() - 0.5) < 0.01 and abs(u.var() - 1 / 12) < 0.005
@@ -66,6 +91,16 @@ def test_mixture_step_matches_numpy_and_likelihood_grows(make):
         assert all(b >= a - 1e-3 for a, b in zip(bounds, bounds[1:]))
 
 
+def test_a_far_origin_changes_nothing(make):
+    x, y = blobs(spread=1.5, dims=4)
+    near, far = (partitions.GaussianMixture(4, n_init=2).fit(make(x + shift)) for shift in (0.0, 1e6))
+    assert np.allclose(far.mixture.means - 1e6, near.mixture.means, atol=1e-5)
+    assert np.allclose(far.mixture.variances, near.mixture.variances, rtol=1e-4)
+    assert np.allclose(far.mixture.weights, near.mixture.weights, atol=1e-6)
+    near, far = (partitions.KMeans(4, n_init=2).fit(make(x + shift)) for shift in (0.0, 1e6))
+    assert np.allclose(far.centers - 1e6, near.centers, atol=1e-6)
+
+
 def test_mixture_recovers_blobs_with_a_constant_feature(make):
     x, y = blobs()
     x[:, 2] = 1.0

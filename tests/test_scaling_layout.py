@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from conftest import matrix_of
 
+from reduxlab.functions import moments
 from reduxlab.functions.matrices import SparseRows
 from reduxlab.operators import layout, scaling
 from reduxlab.sources.tables import FeatureTable, first_label, highest_label_count
@@ -35,6 +36,32 @@ def test_sparse_scalers_with_empty_features(make):
     assert np.allclose(got, x / spread)
 
 
+@pytest.mark.parametrize("driver_bytes", [None, 0])
+def test_moments_survive_a_far_origin_and_any_merge(make, monkeypatch, driver_bytes):
+    if driver_bytes is not None:
+        monkeypatch.setattr(moments.folds, "DRIVER_BYTES", driver_bytes)
+    monkeypatch.setattr(moments, "_CHUNK", 5)
+    x = np.random.default_rng(7).normal(size=(211, 12)) * np.arange(1, 13) + 1e6
+    mass, mean, m2 = moments.table_moments(make(x, parts=7))
+    assert (mass == 211).all() and np.allclose(mean, x.mean(axis=0), rtol=1e-14)
+    assert np.allclose(m2 / 211, x.var(axis=0), rtol=1e-9)
+    mass, mean, m2 = moments.table_moments(make(x, parts=7), 3)
+    images = x.reshape(-1, 3)
+    assert (mass == 211 * 4).all() and np.allclose(m2 / mass, images.var(axis=0), rtol=1e-9)
+    sparse = layout.to_sparse(make(np.where(x > 1e6 + 1, x, 0)))
+    scale = scaling.fit_sparse_deviation(sparse, 14).scale
+    assert np.allclose(scale[:12], np.where(x > 1e6 + 1, x, 0).std(axis=0)) and (scale[12:] == 1).all()
+    assert np.allclose(scaling.fit_max_abs(sparse).scale, np.where(x > 1e6 + 1, x, 0).max(axis=0))
+
+
+def test_scalers_of_a_table_without_rows(make, spark):
+    empty = spark.createDataFrame([], "id long, features array<double>, label int")
+    assert scaling.fit_standardizer(empty).scale.tolist() == []
+    none = spark.createDataFrame([(1, [], [], 0)], "id long, idx array<int>, val array<double>, label int")
+    assert scaling.fit_max_abs(none, 3).scale.tolist() == [1.0] * 3
+    assert scaling.fit_sparse_deviation(none, 3).scale.tolist() == [1.0] * 3
+
+
 def test_forms_round_trip(make):
     x = np.array([[0, 1.5, 0], [0, 0, 0], [2, 0, -3.0]])
     table = FeatureTable("t", make(x), 3, 1, "dense_sensor")
