@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .byte_bpe import Encoder, Vocabulary
+from .byte_bpe import Encoder, Vocabulary, byte_of_sign
 
 #: Documents of one block, and bytes of its texts (one text at least).
 BLOCK_DOCS = 8192
@@ -40,13 +40,6 @@ RUN_BYTES = 1 << 20
 GROUP_LINKS = 4096
 
 
-def byte_of_sign():
-    """The printable signs that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
-
-
 def read_byte_level(path):
     """The vocabulary of a byte-level BPE in the JSON form of the tokenizers library."""
     with open(path, encoding="utf-8") as file:

@@ -44,6 +44,13 @@ def read_ranks(path):
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
+def byte_of_sign():
+    """The printable signs that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
+
+
 class PairTable:
     """Pairs of ids -> rank of the merged token, by open addressing over arrays."""
 
@@ -248,10 +255,12 @@ class Encoder:
 
     def _learn(self, matches):
         """Id bytes of all given matches: the young generation has them afterwards."""
-        missing = matches.difference(self.young)
-        for match in missing.intersection(self.old):
-            self._keep(match, self.old[match])
-        fresh = list(missing.difference(self.young))
+        fresh, old = [], self.old
+        for match in matches.difference(self.young):
+            if match in old:
+                self._keep(match, old[match])
+            else:
+                fresh.append(match)
         raw = [match.encode() for match in fresh]
         whole = [self.whole.get(piece) for piece in raw]
         open_ = [i for i, number in enumerate(whole) if number is None]
