@@ -57,7 +57,7 @@ class GaussianProjection(Reducer):
 
     def fit(self, df):
         width = self._require_setup().input_dim
-        self.map = projection.LinearMap(projection.gaussian_weights(width, self.n_components, self.seed))
+        self.map = projection.LinearMap(projection.gaussian_weights(df.sparkSession, width, self.n_components, self.seed))
         return self
 
 
@@ -66,7 +66,7 @@ class SparseProjection(Reducer):
 
     def fit(self, df):
         width = self._require_setup().input_dim
-        self.map = projection.LinearMap(projection.sparse_weights(width, self.n_components, self.seed))
+        self.map = projection.sparse_map(df.sparkSession, width, self.n_components, self.seed)
         return self
 
     def transform(self, df):

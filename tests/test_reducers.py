@@ -57,13 +57,41 @@ def test_projections_keep_lengths_on_average(make):
         assert abs(ratio.mean() - 1) < 0.15
 
 
-def test_projection_weights_have_the_wanted_law():
-    w = projection.gaussian_weights(100, 41, 1)
+def filled(sparse_map, input_dim):
+    out = np.zeros((input_dim, sparse_map.n_components))
+    out[np.repeat(np.arange(input_dim), np.diff(sparse_map.starts)), sparse_map.outputs] = sparse_map.signs * sparse_map.size
+    return out
+
+
+def test_projection_weights_have_the_wanted_law(spark):
+    w = projection.gaussian_weights(spark, 100, 41, 1)
     assert w.shape == (100, 41) and abs(w.std() * np.sqrt(41) - 1) < 0.03 and abs(w.mean()) < 0.01
-    s = projection.sparse_weights(100, 40, 1)
+    s = filled(projection.sparse_map(spark, 100, 40, 1), 100)
     assert abs((s != 0).mean() - 0.1) < 0.02
     assert set(np.round(np.unique(s), 9)) == {0.0, *np.round([-(0.25**0.5), 0.25**0.5], 9)}
-    assert not np.array_equal(w, projection.gaussian_weights(100, 41, 2))
+    assert not np.array_equal(w, projection.gaussian_weights(spark, 100, 41, 2))
+
+
+def test_matrices_made_by_tasks_are_the_same(spark, monkeypatch):
+    w, s = projection.gaussian_weights(spark, 90, 7, 3), projection.sparse_map(spark, 90, 7, 3)
+    u = projection.seeded_uniforms("srp", 3, 0, 90, 7)[:, :7]
+    density = 1 / np.sqrt(90)
+    expected = np.where(u < density / 2, 1.0, np.where(u < density, -1.0, 0.0)) / np.sqrt(density * 7)
+    assert np.allclose(filled(s, 90), expected)
+    monkeypatch.setattr(projection, "_MADE_AT_ONCE", 40)
+    assert np.array_equal(projection.gaussian_weights(spark, 90, 7, 3), w)
+    assert np.array_equal(filled(projection.sparse_map(spark, 90, 7, 3), 90), filled(s, 90))
+
+
+def test_compressed_projection_matches_its_matrix(make, spark):
+    x = np.random.default_rng(8).normal(size=(50, 6))
+    x[np.abs(x) < 0.7] = 0
+    made = projection.sparse_map(spark, 6, 90, 4)
+    expected = x @ filled(made, 6)
+    assert (np.abs(filled(made, 6)).sum(axis=0) == 0).any()
+    assert np.allclose(matrix_of(made.transform(make(x))), expected)
+    assert np.allclose(matrix_of(made.transform(layout.to_sparse(make(x)), sparse=True)), expected)
+    assert made.transform(make(x).limit(0)).collect() == []
 
 
 def test_reducers_must_be_set_up(make, x):
@@ -106,8 +134,29 @@ def test_pca_refuses_sparse_and_too_many_components(make, x):
     assert np.allclose(matrix_of(allowed.fit_transform(sparse.df)), matrix_of(dense.fit_transform(make(x))))
     with pytest.raises(ReductionError):
         spectral.full_components(make(x), 20, 21)
+
+
+@pytest.mark.parametrize("kept", [8, 3])
+def test_axes_without_a_covariance_are_the_same(make, x, monkeypatch, kept):
+    exact = spectral.full_components(make(x), 20, 3)
+    monkeypatch.setattr(spectral, "MAX_COVARIANCE_DIM", 10)
+    monkeypatch.setattr(spectral, "KEPT_BLOCKS", kept)
+    monkeypatch.setattr(spectral, "OVERSAMPLES", 2)
+    for got, expected in zip(spectral.full_components(make(x), 20, 3), exact):
+        assert np.allclose(got, expected, atol=1e-7)
     with pytest.raises(ReductionError):
-        spectral.covariance(make(x), spectral.MAX_COVARIANCE_DIM + 1)
+        spectral.full_components(make(x[:3]), 20, 4)
+    few = spectral.full_components(make(x[:4]), 20, 4)
+    assert np.allclose(few[1].T @ few[1], np.eye(4)) and few[2][3] < 1e-9
+
+
+def test_twenty_thousand_features(make):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(36, 12)) * np.linspace(6, 1, 12) @ rng.normal(size=(12, 20_000)) + rng.normal(size=(36, 20_000))
+    mean, axes, variances = spectral.full_components(make(x), 20_000, 5)
+    _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(variances, s[:5] ** 2 / 35)
+    assert np.allclose(np.abs((axes * vt[:5].T).sum(axis=0)), 1, atol=1e-9)
 
 
 def test_randomised_solvers_match_numpy(make, x):
