@@ -24,9 +24,9 @@ STATE_BYTES = 256 << 30
 # A pass is never cut to fewer tasks than these.
 MIN_TASKS = 256
 MAX_TASKS = 100_000
-# Workers of a fit by local epochs, and rows for each of them.
-MAX_WORKERS = 1024
+# Rows and bytes for each worker of a fit by local epochs.
 ROWS_PER_WORKER = 50_000
+WORKER_BYTES = 64 << 20
 _CHUNK = 8192
 _CHUNK_SCHEMA = "chunk int, salt int, state array<double>"
 
@@ -41,25 +41,16 @@ def driver_tasks(length):
     return int(min(MAX_TASKS, DRIVER_BYTES // (8 * max(1, length))))
 
 
-def workers_for(rows, rows_per_worker):
-    """Workers of a fit by local epochs: a function of the number of rows alone."""
-    return max(1, min(MAX_WORKERS, rows // rows_per_worker))
+def workers_for(rows, row_bytes, rows_per_worker, worker_bytes=None):
+    """Workers of a fit by local epochs: a function of the number of rows and their bytes alone."""
+    worker_bytes = WORKER_BYTES if worker_bytes is None else worker_bytes
+    return max(1, rows // rows_per_worker, row_bytes // worker_bytes)
 
 
 def dealt(df, workers, id_col="id"):
     """Rows dealt to one task per worker by hash of their id, and sorted by id there."""
-    if workers == 1:
-        return df.repartition(1).sortWithinPartitions(id_col)
-    spark = df.sparkSession
-    # Numbers that hash partitioning sends to the tasks 0, 1, 2, ...
-    numbers = spark.range(20 * workers + 100).select("id", F.pmod(F.hash("id"), F.lit(workers)).alias("task"))
-    first = {row["task"]: row["id"] for row in numbers.groupBy("task").agg(F.min("id").alias("id")).collect()}
-    if len(first) < workers:
-        raise ValueError(f"no key found for some of {workers} workers")
-    keys = F.array(*[F.lit(int(first[task])).cast("long") for task in range(workers)])
-    worker = F.pmod(F.xxhash64(id_col), F.lit(workers)).cast("int") + 1
-    spread = df.withColumn("_worker", F.element_at(keys, worker)).repartition(workers, "_worker")
-    return spread.sortWithinPartitions(id_col).drop("_worker")
+    worker = F.pmod(F.xxhash64(id_col), F.lit(workers)).cast("int")
+    return df.repartitionById(workers, worker).sortWithinPartitions(id_col)
 
 
 def share(df, value, size_bytes, what):
@@ -99,11 +90,11 @@ def _add_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield _chunk_batch([key[0].as_py()], [0], [total])
 
 
-def folded_table(df, fold, length, as_dealt=False):
-    """Summed state as rows (pos, value), wholly inside Spark."""
-    tasks = task_limit(df, length)
+def folded_table(df, fold, length, dealt_tasks=None):
+    """Summed state as rows (pos, value), wholly inside Spark: groups of tasks first, then the groups."""
+    tasks = dealt_tasks or task_limit(df, length)
     fan_in = max(2, int(tasks**0.5))
-    chunks = _per_task_chunks(df, fold, fan_in, None if as_dealt else tasks)
+    chunks = _per_task_chunks(df, fold, fan_in, None if dealt_tasks else tasks)
     level = chunks.groupBy("chunk", "salt").applyInArrow(_add_chunks, _CHUNK_SCHEMA)
     total = level.groupBy("chunk").applyInArrow(_add_chunks, _CHUNK_SCHEMA)
     return total.select("chunk", F.posexplode("state").alias("offset", "value")).select(
@@ -111,16 +102,15 @@ def folded_table(df, fold, length, as_dealt=False):
     )
 
 
-def folded(df, fold, length, as_dealt=False):
-    """Summed state as a NumPy vector of `length` values on the driver; `as_dealt` keeps the partitions."""
+def folded(df, fold, length, dealt_tasks=None):
+    """Summed state as a NumPy vector of `length` values on the driver; rows dealt to so many tasks stay there."""
     total = np.zeros(length)
-    tasks = MAX_WORKERS if as_dealt else MIN_TASKS
-    if driver_tasks(length) >= tasks:
-        parts = _per_task_chunks(df, fold, 1, None if as_dealt else driver_tasks(length)).toArrow()
+    if driver_tasks(length) >= (dealt_tasks or MIN_TASKS):
+        parts = _per_task_chunks(df, fold, 1, None if dealt_tasks else driver_tasks(length)).toArrow()
         for number, state in zip(parts["chunk"].to_pylist(), parts["state"]):
             piece = state.values.to_numpy()
             total[number * _CHUNK : number * _CHUNK + len(piece)] += piece
         return total
-    table = folded_table(df, fold, length, as_dealt).toArrow()
+    table = folded_table(df, fold, length, dealt_tasks).toArrow()
     total[table["pos"].to_numpy()] = table["value"].to_numpy()
     return total

@@ -12,6 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import folds
 from ..functions.matrices import feature_columns, read_rows
 from . import scaling
+from .blocks import stored_bytes
 from .sampling import MAX_COUNTS, validation_split
 
 
@@ -340,6 +341,9 @@ class SquaredHingeSVM(_LinearClassifier):
 
 # Rows per step of the local descent; one step moves against their mean subgradient.
 STEP_ROWS = 16
+# Published defaults of the schedules: the power of invscaling, and what adaptive divides its step by, down to the last.
+POWER, SHRINK, LAST_STEP = 0.5, 5.0, 1e-6
+SCHEDULES = ("optimal", "constant", "invscaling", "adaptive")
 # Rows held and reordered at a time before stepping through them.
 REORDER_ROWS = 8192
 
@@ -372,6 +376,13 @@ def hinge_step_sizes(alpha):
     return 1.0 / (typical * alpha)
 
 
+def step_sizes(schedule, alpha, step_size, step):
+    """The size of a step: 1 / (alpha t), or the given sizes by class, for invscaling over a power of t."""
+    if schedule == "optimal":
+        return 1.0 / (alpha * step)
+    return step_size / step**POWER if schedule == "invscaling" else step_size
+
+
 class _Averaged:
     """Weights under shrinking steps, and the sum of all iterates.
 
@@ -408,11 +419,11 @@ class _Averaged:
         return np.vstack([self.base * self.scales - self.late, self.intercepts]) / max(self.steps, 1)
 
 
-def _hinge_fold(shared, classes, alpha, epoch, seed, sparse):
+def _hinge_fold(shared, classes, alpha, epoch, seed, sparse, schedule, step_rows):
     """One local epoch from shared weights, and the validation hits of the shared weights."""
 
     def fold(batches):
-        start, first_step, active = shared.value
+        start, first_step, active, step_size = shared.value
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         weights = _Averaged(start)
         seen = checked = 0
@@ -426,10 +437,10 @@ def _hinge_fold(shared, classes, alpha, epoch, seed, sparse):
                 hits += right.sum(axis=0)
                 checked += len(probe)
             learn = np.flatnonzero(~held_out)
-            for at in range(0, len(learn), STEP_ROWS):
-                part = learn[at : at + STEP_ROWS]
+            for at in range(0, len(learn), step_rows):
+                part = learn[at : at + step_rows]
                 x, y = rows.take(part), signs[part]
-                eta = 1.0 / (alpha * (first_step + weights.steps))
+                eta = step_sizes(schedule, alpha, step_size, first_step + weights.steps)
                 margin = weights.decision(x) * y
                 losses += np.maximum(0.0, 1.0 - margin).sum(axis=0)
                 wrong = (margin < 1.0) * active
@@ -468,20 +479,27 @@ class HingeSGD(_LinearClassifier):
     order of their ids, so the fit does not depend on the layout of its input. An epoch is one job:
     every worker steps through its rows from the shared weights, and the results are averaged by
     row count. With one worker this is plain averaged SGD. A class stops when its held-out accuracy,
-    or without early stopping its training loss, has not improved by `tol` for `n_iter_no_change` epochs.
+    or without early stopping its training loss, has not improved by `tol` for `n_iter_no_change` epochs;
+    under the schedule `adaptive` its steps get smaller first. Steps are 1 / (alpha t) under `optimal`, and start
+    from `eta0` otherwise.
     """
 
     name = "svm_sgd"
 
     def __init__(self, alpha=1e-4, max_iter=1000, tol=1e-3, seed=42, scale_dense=False, average=True,
                  early_stopping=True, validation_fraction=0.1, n_iter_no_change=5,
-                 rows_per_worker=folds.ROWS_PER_WORKER):
+                 rows_per_worker=folds.ROWS_PER_WORKER, learning_rate="optimal", eta0=0.01, step_rows=STEP_ROWS):
         super().__init__(scale_dense)
+        if learning_rate not in SCHEDULES:
+            raise ValueError(f"Unknown learning rate schedule: {learning_rate}")
+        if learning_rate != "optimal" and eta0 <= 0:
+            raise ValueError("eta0 must be above 0")
+        self.learning_rate, self.eta0, self.step_rows = learning_rate, eta0, step_rows
         self.alpha, self.max_iter, self.tol, self.seed = alpha, max_iter, tol, seed
         self.average, self.early_stopping = average, early_stopping
         self.validation_fraction, self.n_iter_no_change = validation_fraction, n_iter_no_change
         self.rows_per_worker = rows_per_worker
-        self.epochs = 0
+        self.epochs, self.workers = 0, 1
 
     def fit(self, df, sparse=False, width=None):
         self.sparse = sparse
@@ -489,8 +507,8 @@ class HingeSGD(_LinearClassifier):
             self.scaler = scaling.fit_sparse_deviation(df, width) if sparse else scaling.fit_standardizer(df)
         marked = validation_split(self._prepare(df), self.validation_fraction, self.seed, self.early_stopping)
         rows = marked.select("id", *_training_columns(sparse), (F.col("part") == "val").alias("held_out"))
-        workers = folds.workers_for(rows.count(), self.rows_per_worker)
-        rows = folds.dealt(rows, workers).drop("id").persist(StorageLevel.MEMORY_AND_DISK)
+        self.workers = folds.workers_for(*stored_bytes(rows, feature_columns(sparse)), self.rows_per_worker)
+        rows = folds.dealt(rows, self.workers).drop("id").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.classes = class_values(rows)
             self._descend(rows, width or _width(rows, sparse))
@@ -498,11 +516,13 @@ class HingeSGD(_LinearClassifier):
             rows.unpersist()
         return self
 
-    def _epoch(self, rows, weights, step, active, epoch):
-        shared = folds.share(rows, (weights, step, active), weights.nbytes, "weights")
-        fold = _hinge_fold(shared, self.classes, self.alpha, epoch, self.seed, self.sparse)
+    def _epoch(self, rows, weights, step, active, sizes, epoch):
+        shared = folds.share(rows, (weights, step, active, sizes), weights.nbytes, "weights")
+        fold = _hinge_fold(
+            shared, self.classes, self.alpha, epoch, self.seed, self.sparse, self.learning_rate, min(self.step_rows, REORDER_ROWS)
+        )
         size, k = weights.size, len(self.classes)
-        state = folds.folded(rows, fold, 2 * size + 2 * k + 3, as_dealt=True)
+        state = folds.folded(rows, fold, 2 * size + 2 * k + 3, self.workers)
         shared.destroy()
         seen, steps, checked = state[-3:]
         moved = state[:size].reshape(weights.shape) / seen
@@ -518,14 +538,19 @@ class HingeSGD(_LinearClassifier):
         weights, average = np.zeros((width + 1, k)), np.zeros((width + 1, k))
         active, best, stale = np.ones(k), np.full(k, -np.inf), np.zeros(k)
         epochs = np.zeros(k)
-        step = hinge_step_sizes(self.alpha)
+        step = hinge_step_sizes(self.alpha) if self.learning_rate == "optimal" else 1.0
+        sizes = np.full(k, self.eta0)
         for epoch in range(self.max_iter):
-            moved, mean, taken, gained, checked = self._epoch(rows, weights, step, active, epoch)
+            moved, mean, taken, gained, checked = self._epoch(rows, weights, step, active, sizes, epoch)
             if epoch or not checked:
                 # Accuracies belong to the weights this epoch started from, losses to its steps.
                 stale = np.where(gained > best + self.tol, 0, stale + 1)
                 best = np.maximum(best, gained)
-                active = active * (stale < self.n_iter_no_change)
+                over = stale >= self.n_iter_no_change
+                if self.learning_rate == "adaptive":
+                    smaller = over & (sizes > LAST_STEP)
+                    sizes, stale, over = np.where(smaller, sizes / SHRINK, sizes), np.where(smaller, 0, stale), over & ~smaller
+                active = active * ~over
                 if not active.any():
                     break
             running = active > 0
@@ -539,6 +564,6 @@ class HingeSGD(_LinearClassifier):
     def params(self):
         return {
             "alpha": self.alpha, "max_iter": self.max_iter, "tol": self.tol, "scale_dense": self.scale_dense,
-            "learning_rate": "optimal", "average": self.average, "early_stopping": self.early_stopping,
+            "learning_rate": self.learning_rate, "eta0": self.eta0, "average": self.average, "early_stopping": self.early_stopping,
             "validation_fraction": self.validation_fraction, "n_iter_no_change": self.n_iter_no_change,
         }

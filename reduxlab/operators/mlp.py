@@ -11,6 +11,7 @@ from pyspark.storagelevel import StorageLevel
 from ..errors import ModelError
 from ..functions import folds
 from ..functions.matrices import feature_columns, read_rows
+from .blocks import stored_bytes
 from .layout import to_dense
 from .linear_svm import buffered
 from .sampling import validation_split
@@ -139,6 +140,8 @@ def _epoch_fold(shared, shapes, settings, epoch, sparse, learn):
                 weights -= settings.lr * (mean / (1 - BETA1**t)) / (np.sqrt(square / (1 - BETA2**t)) + EPSILON)
                 seen, hits, loss_sum = seen + len(part), hits + found, loss_sum + loss * len(part)
         tail = [seen, seen * steps, loss_sum, hits, checked, checked_loss, right]
+        if not learn:
+            return np.concatenate([np.zeros(len(weights)), tail])
         return np.concatenate([seen * weights, seen * mean, seen * square, tail])
 
     return fold
@@ -147,7 +150,7 @@ def _epoch_fold(shared, shapes, settings, epoch, sparse, learn):
 class NeuralNetwork:
     """Linear-ReLU-dropout-linear-ReLU-linear classifier.
 
-    Rows are dealt by hash of their id to one worker per ROWS_PER_WORKER rows and lie there in the order
+    Rows are dealt by hash of their id to workers of bounded rows and bytes and lie there in the order
     of their ids, so the fit does not depend on the layout of its input. Each epoch is one job in which
     every worker runs mini-batch AdamW over its own rows from the shared state; weights and moments are
     averaged by row count, and one worker is plain AdamW. The same job scores the held-out rows for the weights it started from, so early
@@ -161,7 +164,7 @@ class NeuralNetwork:
         self.weights = self.shapes = self.input_dim = None
         self.best_epoch = self.best_val_acc = self.best_val_loss = None
         self.history = []
-        self.sparse = False
+        self.sparse, self.workers = False, 1
 
     def _rows(self, df, sparse, width):
         if sparse and self.settings.allow_sparse_to_dense:
@@ -174,8 +177,8 @@ class NeuralNetwork:
         marked = validation_split(df, s.validation_fraction, s.seed, s.early_stopping)
         columns = feature_columns(self.sparse)
         rows = marked.select("id", *columns, "label", (F.col("part") == "val").alias("held_out"))
-        workers = folds.workers_for(rows.count(), self.rows_per_worker)
-        rows = folds.dealt(rows, workers).drop("id").persist(StorageLevel.MEMORY_AND_DISK)
+        self.workers = folds.workers_for(*stored_bytes(rows, columns), self.rows_per_worker)
+        rows = folds.dealt(rows, self.workers).drop("id").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if width is None:
                 column = F.array_max("idx") + 1 if self.sparse else F.size("features")
@@ -191,7 +194,7 @@ class NeuralNetwork:
         size = len(state[0])
         shared = folds.share(rows, state, 3 * 8 * size, "network state")
         fold = _epoch_fold(shared, self.shapes, self.settings, epoch, self.sparse, learn)
-        total = folds.folded(rows, fold, 3 * size + 7, as_dealt=True)
+        total = folds.folded(rows, fold, (3 if learn else 1) * size + 7, self.workers)
         shared.destroy()
         seen, steps, loss, hits, checked, checked_loss, right = total[-7:]
         scores = (checked_loss / checked, right / checked) if checked else None
@@ -266,12 +269,11 @@ def predict(df, weights, shapes, sparse=False, with_logits=False):
 
 
 def loss_table(df, weights, shapes, sparse=False):
-    """One row: cross-entropy sum, hits, rows - the running totals of training and validation."""
-    scored = predict(df, weights, shapes, sparse, with_logits=True)
-    total = F.aggregate("logits", F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max("logits")))
-    loss = F.log(total) + F.array_max("logits") - F.get("logits", F.col("label"))
-    return scored.agg(
-        F.sum(loss).alias("loss_sum"),
-        F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("correct"),
-        F.count("*").alias("n"),
-    )
+    """One row: cross-entropy sum, hits, rows - the held-out totals that a training pass takes, here of all rows."""
+    rows = df.select(*feature_columns(sparse), "label", F.lit(True).alias("held_out"))
+    none = np.zeros(0)
+    shared = folds.share(df, (weights, none, none, 0.0), weights.nbytes, "network weights")
+    fold = _epoch_fold(shared, shapes, Settings(), 0, sparse, learn=False)
+    checked, loss, right = folds.folded(rows, fold, weights.size + 7)[-3:]
+    shared.destroy()
+    return df.sparkSession.createDataFrame([(float(loss), int(right), int(checked))], "loss_sum double, correct long, n long")

@@ -17,7 +17,7 @@ from .reduction_queries import _six, agreement_sql
 
 # Words left out in the text queries, in all four languages of the documents.
 STOP_WORDS = ["the", "and", "of", "to", "der", "die", "und", "la", "le", "el", "de", "les", "un", "une", "en"]
-VOCABULARY = 500
+VOCABULARY = 50_000
 
 
 def _documents(spark, sf_dir):
@@ -154,7 +154,16 @@ def sgd_hinge_step(spark, sf_dir):
 
 def sgd_predict(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    return HingeSGD(alpha=1e-3, seed=SEED).fit(train).predict(test).select("id", "prediction")
+    return HingeSGD(seed=SEED).fit(train).predict(test).select("id", "prediction")
+
+
+def sgd_local_steps(spark, sf_dir):
+    """Weights after two epochs of one local step per worker, four or more workers: averages of steps are steps on all rows."""
+    df = planted(embeddings(spark, sf_dir))
+    model = HingeSGD(alpha=0.1, max_iter=2, seed=SEED, average=False, early_stopping=False, rows_per_worker=100,
+                     learning_rate="constant", eta0=0.5, step_rows=linear_svm.REORDER_ROWS).fit(df)
+    rows = [(int(model.classes[c]), i, float(v)) for (i, c), v in np.ndenumerate(model.weights)]
+    return spark.createDataFrame(rows, "cls int, pos int, weight double").withColumn("weight", rounded(F.col("weight")))
 
 
 MLP_SHAPES = mlp.layer_shapes(64, 8, 10)
@@ -184,7 +193,7 @@ def mlp_loss(spark, sf_dir):
     )
 
 
-MLP_SETTINGS = Settings(hidden_dim=64, epochs=15, batch_size=32, lr=1e-2, seed=SEED, patience=5)
+MLP_SETTINGS = Settings(batch_size=32, lr=1e-2, seed=SEED)
 
 
 def mlp_predict(spark, sf_dir):
@@ -209,12 +218,12 @@ def _over_layouts(fit, train, test):
 def sgd_layout(spark, sf_dir):
     """Four or more workers, whatever the layout of the training rows."""
     train, test = _sides(spark, sf_dir)
-    return _over_layouts(lambda df: HingeSGD(alpha=1e-3, seed=SEED, rows_per_worker=100).fit(df), train, test)
+    return _over_layouts(lambda df: HingeSGD(seed=SEED, rows_per_worker=100).fit(df), train, test)
 
 
 def mlp_layout(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    return _over_layouts(lambda df: NeuralNetwork(10, MLP_SETTINGS).fit(df), train, test)
+    return _over_layouts(lambda df: NeuralNetwork(10, MLP_SETTINGS, rows_per_worker=100).fit(df), train, test)
 
 
 def _first_centers(df):
@@ -295,7 +304,7 @@ QUERIES = {
     for f in (
         tfidf, tfidf_whole_vocabulary, term_statistics, clean_text, clean_conversations, text_loader,
         multilabel_loader, image_loader, colour_loader, svm_gradient_step, svm_gradient_sparse, svm_predict,
-        svm_predict_sparse, sgd_hinge_step, sgd_predict, mlp_forward, mlp_forward_sparse, mlp_loss, mlp_predict,
+        svm_predict_sparse, sgd_hinge_step, sgd_local_steps, sgd_predict, mlp_forward, mlp_forward_sparse, mlp_loss, mlp_predict,
         mlp_predict_sparse, sgd_layout, mlp_layout, kmeans_step, kmeans_planted, kmeans_scores, gmm_em_step, gmm_planted, hog,
         batch_features, scaled_svm_features,
     )
@@ -432,6 +441,17 @@ ORACLES = {
         h AS (SELECT f.j, avg(greatest(0, 1 - CASE WHEN label = f.j THEN 1 ELSE -1 END * (f + w))) AS h
             FROM f JOIN e USING (id) JOIN w ON i = 64 AND w.j = f.j GROUP BY f.j)
         SELECT h.j::INTEGER AS cls, round(h + 0.005 * (SELECT sum(w * w) FROM w WHERE w.j = h.j AND i < 64), 6) AS objective FROM h""",
+    "sgd_local_steps": f"""WITH {E}, {UNPACKED},
+        p AS (SELECT id, label, pos, x + CASE WHEN pos = label THEN 4 ELSE 0 END AS x FROM u UNION ALL SELECT id, label, 64, 1 FROM e),
+        c AS (SELECT DISTINCT label AS j FROM e),
+        q AS (SELECT p.*, j, CASE WHEN label = j THEN 1 ELSE -1 END AS s FROM p, c),
+        one AS (SELECT j, pos, 0.5 * avg(s * x) AS w FROM q GROUP BY j, pos),
+        f AS (SELECT id, q.j, sum(s * x * w) AS margin FROM q JOIN one ON q.j = one.j AND q.pos = one.pos GROUP BY id, q.j),
+        two AS (SELECT q.j, pos, 0.5 * avg(CASE WHEN margin < 1 THEN s * x ELSE 0 END) AS w
+            FROM q JOIN f ON q.id = f.id AND q.j = f.j GROUP BY q.j, pos)
+        SELECT one.j::INTEGER AS cls, one.pos::INTEGER AS pos,
+            {r6('one.w * CASE WHEN one.pos = 64 THEN 1 ELSE 1 - 0.5 * 0.1 END + two.w')} AS weight
+        FROM one JOIN two ON one.j = two.j AND one.pos = two.pos""",
     "sgd_predict": _TEST_LABELS,
     "mlp_forward": f"""WITH {E}, {UNPACKED}, {_network_ctes('u')}
         SELECT id, prediction, j::INTEGER AS cls, {r6('logit')} AS logit FROM out JOIN best USING (id)""",

@@ -52,7 +52,22 @@ def test_rows_are_dealt_by_id(spark):
         parts = [[r.id for r in part] for part in folds.dealt(df, workers).rdd.glom().collect()]
         again = [[r.id for r in part] for part in folds.dealt(df.repartition(2), workers).rdd.glom().collect()]
         assert len(parts) == workers and parts == again and all(p == sorted(p) and p for p in parts)
-    assert [folds.workers_for(n, 100) for n in (0, 99, 250, 10**9)] == [1, 1, 2, folds.MAX_WORKERS]
+    assert [folds.workers_for(n, 8 * n, 100) for n in (0, 99, 250, 10**9)] == [1, 1, 2, 10**7]
+    assert folds.workers_for(99_999, 99_999 * 3072 * 8, 50_000) == 36
+
+
+def test_states_of_many_workers_are_averaged_in_groups(make, monkeypatch):
+    matrix, labels = blobs(per=60)
+    settings = Settings(hidden_dim=8, epochs=2, batch_size=16, lr=1e-2)
+
+    def weights():
+        df = make(matrix, labels)
+        return HingeSGD(max_iter=3, rows_per_worker=8).fit(df).weights, NeuralNetwork(4, settings, rows_per_worker=8).fit(df).weights
+
+    expected = weights()
+    monkeypatch.setattr(folds, "DRIVER_BYTES", 0)
+    for got, want in zip(weights(), expected):
+        assert np.allclose(got, want, atol=1e-12)
 
 
 def test_tasks_follow_the_splits_not_the_cores(spark):

@@ -108,6 +108,32 @@ def test_two_classes_and_sparse_rows(make):
     assert accuracy(df, sparse.predict(layout.to_sparse(df))) == 1.0
 
 
+@pytest.mark.parametrize("schedule", ["constant", "invscaling", "adaptive"])
+def test_schedules_start_from_eta0(make, schedule):
+    x, y = blobs(seed=2, per=40, centers=3)
+    model = HingeSGD(learning_rate=schedule, eta0=0.05, max_iter=40, rows_per_worker=50).fit(make(x, y))
+    assert accuracy(make(x, y), model.predict(make(x, y))) > 0.95
+    assert model.params()["learning_rate"] == schedule and model.params()["eta0"] == 0.05
+
+
+def test_step_sizes_and_unknown_schedules(make):
+    sizes = np.array([0.2, 0.1])
+    assert linear_svm.step_sizes("optimal", 0.5, sizes, 4) == 0.5
+    assert linear_svm.step_sizes("constant", 0.5, sizes, 4) is sizes
+    assert np.allclose(linear_svm.step_sizes("invscaling", 0.5, sizes, 4), [0.1, 0.05])
+    for wrong in ({"learning_rate": "falling"}, {"learning_rate": "constant", "eta0": 0.0}):
+        with pytest.raises(ValueError):
+            HingeSGD(**wrong)
+
+
+def test_adaptive_steps_shrink_before_a_class_stops(make):
+    x, y = blobs(seed=2, per=30, centers=2)
+    shared = dict(alpha=1e-3, early_stopping=False, n_iter_no_change=1, tol=1e9, max_iter=200)
+    plain = HingeSGD(learning_rate="constant", eta0=0.01, **shared).fit(make(x, y))
+    adaptive = HingeSGD(learning_rate="adaptive", eta0=0.01, **shared).fit(make(x, y))
+    assert plain.epochs == 1 and adaptive.epochs == 1 + 6  # 0.01 is divided six times until it is 6.4e-7
+
+
 def test_hinge_descent_comes_close_to_spark(make):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(300, 5))
