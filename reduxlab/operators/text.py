@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..session import scratch_path
+from ..session import scratch_path, stored
 
 # Fixed value: two or more letters, digits or underscores in any script.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -108,26 +108,28 @@ class TfIdf:
         )
 
     def _by_join(self, df, text_col, stop_words):
-        """For a vocabulary too large to broadcast: join on the term, collect by row."""
-        others = [c for c in df.columns if c != text_col]
-        # Rows without tokens get a mark no token can equal, each its own, to spread them.
-        mark = F.concat(F.lit(" "), F.xxhash64(*others).cast("string"))
-        words = df.select(*others, F.explode_outer(token_list(text_col, stop_words)).alias("term"))
+        """For a vocabulary too large to broadcast: join on the term, collect by row.
+
+        Rows are numbered once and written, so equal rows stay apart and only numbers and terms are shuffled.
+        """
+        rows, _ = stored(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        words = rows.select("_row", F.explode(token_list(text_col, stop_words)).alias("term"))
         weight = F.struct("idx", (F.col("uses") * F.col("idf")).alias("val"))
         weights = (
-            words.withColumn("term", F.coalesce("term", mark))
-            .groupBy(*others, "term")
+            words.groupBy("_row", "term")
             .agg(F.count("*").alias("uses"))
-            .join(self.table, "term", "left")
-            .withColumn("w", F.when(F.col("idx").isNotNull(), weight))
-            .groupBy(*others)
-            .agg(F.sort_array(F.collect_list("w")).alias("w"))
+            .join(self.table, "term")
+            .groupBy("_row")
+            .agg(F.sort_array(F.collect_list(weight)).alias("_w"))
         )
-        raw = F.transform("w", lambda e: e["val"])
+        raw = F.transform("_w", lambda e: e["val"])
         length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
-        return weights.withColumn("idx", F.transform("w", lambda e: e["idx"])).withColumn(
-            "val", F.transform(raw, lambda v: v / length)
-        ).drop("w")
+        weights = weights.select(
+            "_row", F.transform("_w", lambda e: e["idx"]).alias("idx"), F.transform(raw, lambda v: v / length).alias("val")
+        )
+        out = rows.drop(text_col).join(weights, "_row", "left").drop("_row")
+        none = {"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")}
+        return out.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
 
 
 def weigh_rows(words, vocabulary, idf):

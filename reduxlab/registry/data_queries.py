@@ -122,12 +122,8 @@ def image_layout_back(spark, sf_dir):
 
 def table_facts(spark, sf_dir):
     df = embeddings(spark, sf_dir)
-    return df.agg(
-        F.countDistinct("label").alias("n_classes"),
-        (F.max("label") + 1).alias("label_range"),
-        F.max(F.size("features")).alias("input_dim"),
-        F.count("*").alias("n"),
-    )
+    facts = tables.class_count(df), tables.highest_label_count(df), tables.vector_width(df), df.count()
+    return spark.createDataFrame([facts], "n_classes long, label_range int, input_dim int, n long")
 
 
 def label_rebase(spark, sf_dir):

@@ -44,6 +44,13 @@ def tfidf_whole_vocabulary(spark, sf_dir):
     return _weights(model.transform(docs, "text", STOP_WORDS))
 
 
+def tfidf_repeated_rows(spark, sf_dir):
+    """The vocabulary is joined, and every document comes twice with all its columns."""
+    docs = _documents(spark, sf_dir)
+    model = text.fit_tfidf(docs.filter("split = 'train'"), "text", STOP_WORDS, None, min_df=3)
+    return _weights(model.transform(docs.unionByName(docs), "text", STOP_WORDS))
+
+
 def term_statistics(spark, sf_dir):
     return text.term_statistics(spread(table(spark, sf_dir, "documents")), "text", STOP_WORDS)
 
@@ -302,7 +309,7 @@ def scaled_svm_features(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf, tfidf_whole_vocabulary, term_statistics, clean_text, clean_conversations, text_loader,
+        tfidf, tfidf_whole_vocabulary, tfidf_repeated_rows, term_statistics, clean_text, clean_conversations, text_loader,
         multilabel_loader, image_loader, colour_loader, svm_gradient_step, svm_gradient_sparse, svm_predict,
         svm_predict_sparse, sgd_hinge_step, sgd_local_steps, sgd_predict, mlp_forward, mlp_forward_sparse, mlp_loss, mlp_predict,
         mlp_predict_sparse, sgd_layout, mlp_layout, kmeans_step, kmeans_planted, kmeans_scores, gmm_em_step, gmm_planted, hog,
@@ -397,6 +404,7 @@ def _resized_sql():
 ORACLES = {
     "tfidf": f"WITH {terms_ctes()} SELECT id, idx::INTEGER AS idx, {r6('w')} AS val FROM weights",
     "tfidf_whole_vocabulary": f"WITH {terms_ctes(limit=None, min_df=3)} SELECT id, idx::INTEGER AS idx, {r6('w')} AS val FROM weights",
+    "tfidf_repeated_rows": f"WITH {terms_ctes(limit=None, min_df=3)} SELECT id, idx::INTEGER AS idx, {r6('w')} AS val FROM weights, range(2)",
     "term_statistics": f"WITH {terms_ctes('true')} SELECT term, uses::BIGINT AS uses, docs FROM stats",
     "clean_text": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS lines, text FROM documents),
         k AS (SELECT *, len(lines) - list_position(list_reverse(list_transform(lines, lambda x: regexp_full_match(x, '\s*-*\s*'))), true) AS kept FROM l),

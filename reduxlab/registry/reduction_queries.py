@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import geometry, layout, neighbours, reducers, sampling, scaling, scores, spectral
+from ..sources.tables import vector_width
 from .data_queries import SEED, SPLIT_E, THIN, UNPACKED, E, r6
 from .fixtures import dense_table, embeddings, line_features, long_form, planted, tapered, thinned
 
@@ -56,11 +57,10 @@ def dct_2d_channels(spark, sf_dir):
 
 def feasible_dims(spark, sf_dir):
     """The sweep's parameter table without the dimensions the data does not have."""
-    width = embeddings(spark, sf_dir).agg(F.max(F.size("features")).alias("input_dim"))
-    dims = F.explode(F.array(*[F.lit(k) for k in (16, 32, 64, 128)]))
-    return width.select("input_dim", dims.alias("k")).withColumn("clamped", F.least("k", "input_dim")).withColumn(
-        "skipped", F.col("k") > F.col("input_dim")
-    )
+    width, dims = vector_width(embeddings(spark, sf_dir)), (16, 32, 64, 128)
+    kept = reducers.feasible_dims(dims, width)
+    rows = [(width, k, min(k, width), k not in kept) for k in dims]
+    return spark.createDataFrame(rows, "input_dim int, k int, clamped int, skipped boolean")
 
 
 def pca_covariance(spark, sf_dir):

@@ -45,6 +45,16 @@ def test_unbounded_vocabulary_gives_the_same_rows(docs):
         assert a[key][0] == b[key][0] and np.allclose(a[key][1], b[key][1])
 
 
+def test_repeated_rows_stay_on_both_paths(spark):
+    rows = [(1, "one two two"), (1, "one two two"), (1, "one two two"), (2, ""), (2, ""), (None, "two"), (None, None)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    found = []
+    for size in (100, None):
+        out = text.fit_tfidf(docs, min_df=1, max_features=size).transform(docs)
+        found.append(sorted(((r["id"], r["idx"], [round(v, 9) for v in r["val"]]) for r in out.collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == 7 and sum(row[0] == 1 for row in found[0]) == 3
+
+
 def test_default_stop_words(spark):
     assert {"the", "and", "of"} <= set(text.english_stop_words())
 
