@@ -137,6 +137,13 @@ class SparseMap:
             np.add.at(out, (np.repeat(row, count), self.outputs[where]), np.repeat(val, count) * self.signs[where])
         return out * self.size
 
+    def first(self, k):
+        """The map with fewer outputs: the draws are the same, only their size differs."""
+        feature = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        kept = self.outputs < k
+        starts = np.concatenate([[0], np.cumsum(np.bincount(feature[kept], minlength=len(self.starts) - 1))]).astype(np.int64)
+        return SparseMap(starts, self.outputs[kept], self.signs[kept], self.size * math.sqrt(self.n_components / k), k)
+
     def nbytes(self):
         return self.starts.nbytes + self.outputs.nbytes + self.signs.nbytes
 
@@ -207,5 +214,8 @@ class LinearMap:
     weights: np.ndarray
     mean: np.ndarray | None = None
 
+    def first(self, k, scale=1.0):
+        return LinearMap(self.weights[:, :k] * scale, self.mean)
+
     def transform(self, df, sparse=False):
         return project(df, self.weights, self.mean, sparse)

@@ -1,5 +1,8 @@
 """The six reducers by name: setup(table) -> fit(df) -> transform(df)."""
 
+import copy
+import math
+
 from ..errors import ReductionError
 from . import projection, spectral
 from .layout import to_dense, to_sparse
@@ -33,6 +36,17 @@ class Reducer:
     def sparse_output(self):
         return False
 
+    def sliced(self, k):
+        """A fitted reducer to fewer components: the first ones, as every reducer here is nested."""
+        if k > self.n_components:
+            raise ValueError(f"fitted to {self.n_components} components, {k} wanted")
+        out = copy.copy(self)
+        out.n_components, out.map = k, self._first(k)
+        return out
+
+    def _first(self, k):
+        return self.map.first(k)
+
     def params(self):
         return {"n_components": self.n_components, "random_state": self.seed}
 
@@ -61,6 +75,11 @@ class GaussianProjection(Reducer):
         return self
 
 
+    def _first(self, k):
+        # Entries of N(0, 1/k).
+        return self.map.first(k, math.sqrt(self.n_components / k))
+
+
 class SparseProjection(Reducer):
     name = "sparse_rp"
 

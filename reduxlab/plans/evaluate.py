@@ -43,16 +43,39 @@ def _failure(error):
     }
 
 
+def _forced(table, reducer, force_srp_matrix_type):
+    return layout.force_form(table, force_srp_matrix_type) if reducer.name == "sparse_rp" else table
+
+
+def fit_once(table, reducer_name, n_components, seed=42, force_srp_matrix_type=None, **options):
+    """A reducer fitted on the training rows and its seconds, or None if it can't be fitted to so many components."""
+    reducer, record = make_reducer(reducer_name, n_components, seed, **options), {}
+    try:
+        forced = _forced(table, reducer, force_srp_matrix_type)
+        reducer.setup(forced)
+        with timed(record, "seconds"):
+            reducer.fit(forced.part("train"))
+    except Exception:  # each cell then fits its own, or records why it can't
+        return None
+    return reducer, record["seconds"]
+
+
 class ReducedTable:
-    """A fitted reducer and both reduced sides, kept for all models of the cell."""
+    """A fitted reducer and both reduced sides, kept for all models of the cell.
+
+    fitted: a reducer fitted to at least as many components and the seconds that took, instead of a fit of its own.
+    """
 
-    def __init__(self, table, reducer, sizes, force_srp_matrix_type=None):
-        forced = layout.force_form(table, force_srp_matrix_type) if reducer.name == "sparse_rp" else table
+    def __init__(self, table, reducer, sizes, force_srp_matrix_type=None, fitted=None):
+        forced = _forced(table, reducer, force_srp_matrix_type)
         self.record = {}
-        self.reducer = reducer.setup(forced)
         train, test = forced.part("train"), forced.part("test")
-        with timed(self.record, "reduction_fit_time_sec"):
-            self.reducer.fit(train)
+        if fitted:
+            self.reducer, self.record["reduction_fit_time_sec"] = fitted[0].sliced(reducer.n_components), fitted[1]
+        else:
+            self.reducer = reducer.setup(forced)
+            with timed(self.record, "reduction_fit_time_sec"):
+                self.reducer.fit(train)
         self.sparse = self.reducer.sparse_output()
         self.train = self.test = None
         with timed(self.record, "reduction_train_transform_time_sec"):
@@ -121,19 +144,20 @@ def evaluate_model(reduced, model):
     return record
 
 
-def evaluate(table, reducer_name, n_components, model_names, run_id=0, seed=42, force_srp_matrix_type=None, **options):
+def evaluate(table, reducer_name, n_components, model_names, run_id=0, seed=42, force_srp_matrix_type=None, fitted=None,
+             sizes=None, **options):
     """Records of one reduction with every model; any failure becomes a record of its own.
 
-    The reduction is fitted and stored once and shared by the models.
+    The reduction is fitted (or taken from `fitted`, see fit_once) and stored once and shared by the models.
     """
-    sizes = side_sizes(table)
+    sizes = sizes or side_sizes(table)
     reducer = make_reducer(reducer_name, n_components, seed, **options)
     bases = [
         base_record(table, reducer, reducer_name, name, run_id, seed, sizes, force_srp_matrix_type)
         for name in model_names
     ]
     try:
-        reduced = ReducedTable(table, reducer, sizes, force_srp_matrix_type)
+        reduced = ReducedTable(table, reducer, sizes, force_srp_matrix_type, fitted)
     except Exception as error:  # a failed cell must not end the sweep
         return [{**base, **_failure(error)} for base in bases]
     records = []

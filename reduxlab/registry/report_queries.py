@@ -182,7 +182,7 @@ def label_grid(spark, sf_dir):
 def clustering_sweep(spark, sf_dir):
     """The clustering sweep without its times; 128 exceeds the data and is skipped."""
     out = sweeps.clustering_sweep(
-        spark, [_patterned_table(spark, sf_dir)], (16, 128), 10_000, SEED, ["rp", "srp", "dct"]
+        spark, [_patterned_table(spark, sf_dir)], (16, 128), 10_000, SEED, ["rp", "srp", "dct"], at_once=4
     )
     scores = ["ari", "nmi", "purity", "silhouette", "distance_preservation"]
     return out.select("dataset", "method", "model", "k", *[F.round(c, 6).alias(c) for c in scores])
@@ -209,6 +209,7 @@ def classification_sweep(spark, sf_dir):
         models=("knn",),
         dims=(8, 16, 128),
         seed=SEED,
+        at_once=4,
     )
     kept = ["run_id", "seed", "dataset", "model", "reducer", "requested_dim", "input_dim", "n_train", "n_test", "status", "output_dim"]
     six = ["accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall"]
@@ -226,12 +227,10 @@ def model_sweep(spark, sf_dir):
         models=("knn", "svm", "svm_sgd", "dnn"),
         dims=(16,),
         seed=SEED,
-        svm_max_iter=20,
+        at_once=2,
         svm_scale_dense=True,
-        dnn_epochs=20,
         dnn_batch_size=32,
         dnn_lr=1e-2,
-        dnn_hidden_dim=32,
     )
     return out.select("reducer", "model", "requested_dim", "status", "n_train", "n_test", F.round("accuracy", 6).alias("accuracy"))
 

@@ -1,5 +1,7 @@
 """Result records, feature caches and class folders."""
 
+import threading
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,46 @@ def read_records(spark, path):
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
+class RecordStore:
+    """Records of finished cells by key, appended cell by cell, so that a sweep that was stopped goes on from there.
+
+    Without a path nothing is kept between runs. Cells may be added from several threads.
+    """
+
+    def __init__(self, spark, path, schema, key):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        self.names = [part.split()[0] for part in schema.split(", ")]
+        self.lock = threading.Lock()
+        self.known = {}
+        if path and path_exists(spark, path):
+            for row in read_records(spark, path).collect():
+                self._remember(row.asDict())
+
+    def _remember(self, record):
+        self.known[tuple(record[name] for name in self.key)] = {name: record.get(name) for name in self.names}
+
+    def __contains__(self, key):
+        return tuple(key) in self.known
+
+    def get(self, key):
+        return self.known[tuple(key)]
+
+    def frame(self, records):
+        return self.spark.createDataFrame([tuple(r.get(n) for n in self.names) for r in records], self.schema)
+
+    def add(self, records):
+        with self.lock:
+            if self.path and records:
+                append_records(nested_as_json(self.frame(records)), self.path)
+            for record in records:
+                self._remember(record)
+
+
+def path_exists(spark, path):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_results(df, path):
     df.write.mode("overwrite").option("header", True).csv(path)
 

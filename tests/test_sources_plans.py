@@ -6,6 +6,7 @@ from conftest import blobs, matrix_of
 from pyspark.sql import functions as F
 
 from reduxlab.operators import layout, sampling
+from reduxlab.operators.reducers import make_reducer
 from reduxlab.plans import reports, sweeps
 from reduxlab.plans.evaluate import evaluate
 from reduxlab.sources import loaders, records, text_matrix
@@ -147,6 +148,69 @@ def test_classification_sweep_covers_the_grid(spark, make):
     ]
 
 
+def test_smaller_dimensions_are_the_first_components(make):
+    table = prepared(make)
+    train = table.part("train")
+    for name in ("gaussian_rp", "sparse_rp", "pca_svd", "dct"):
+        large = make_reducer(name, 5, 7).setup(table).fit(train).sliced(3)
+        small = make_reducer(name, 3, 7).setup(table).fit(train)
+        assert large.params() == small.params()
+        assert np.allclose(matrix_of(large.transform(train)), matrix_of(small.transform(train)))
+        with pytest.raises(ValueError):
+            large.sliced(4)
+
+
+def test_a_stopped_sweep_goes_on_and_fits_once(spark, make, tmp_path, monkeypatch):
+    table, path = prepared(make), str(tmp_path / "records")
+    fits, cells = [], []
+    fit, cell = sweeps.fit_once, sweeps.evaluate
+
+    def stops(table, reducer, k, *rest, **options):
+        cells.append((reducer, k))
+        if len(cells) == 3:
+            raise KeyboardInterrupt
+        return cell(table, reducer, k, *rest, **options)
+
+    monkeypatch.setattr(sweeps, "fit_once", lambda *a, **b: fits.append(a[1:3]) or fit(*a, **b))
+    monkeypatch.setattr(sweeps, "evaluate", stops)
+    grid = dict(reducers=("identity", "dct", "pca_svd"), models=("knn",), dims=(2, 3, 5), path=path)
+    with pytest.raises(KeyboardInterrupt):
+        sweeps.classification_sweep(spark, lambda name, seed: table, ["blobs"], **grid)
+    assert fits == [("dct", 5), ("pca_svd", 5)] and spark.read.parquet(path).count() == 2
+    done = cells[:2]
+    cells[:] = [None] * 3
+    out = sweeps.classification_sweep(spark, lambda name, seed: table, ["blobs"], at_once=3, **grid).collect()
+    again = cells[3:]
+    assert not set(done) & set(again) and len(again) == 5 and spark.read.parquet(path).count() == 7
+    assert [(r["reducer"], r["requested_dim"]) for r in out] == [
+        ("identity", "original"), *[(name, str(k)) for name in ("dct", "pca_svd") for k in (2, 3, 5)]
+    ]
+    assert all(r["status"] == "ok" for r in out)
+    cells.clear()
+    sweeps.classification_sweep(spark, lambda name, seed: table, ["blobs"], **grid)
+    assert cells == []
+
+
+def test_a_failed_clustering_cell_is_left_open(spark, make, tmp_path, monkeypatch):
+    x, y = blobs(per=20)
+    table, path = FeatureTable("blobs", make(x, y), 6, 4, "dense_sensor"), str(tmp_path / "clusters")
+    few = {"kmeans": {"n_init": 1}, "gmm": {"n_init": 1}}
+    preserved = sweeps.geometry.distance_preservation
+
+    def fails(stored, reduced, **options):
+        if "rp" in reduced:
+            raise ArithmeticError("no distances")
+        return preserved(stored, reduced, **options)
+
+    monkeypatch.setattr(sweeps.geometry, "distance_preservation", fails)
+    with pytest.warns(UserWarning, match="no distances"):
+        rows = sweeps.clustering_sweep(spark, [table], (3,), 100, methods=["rp", "dct"], path=path, **few).collect()
+    assert [(r["method"], r["ari"] is None) for r in rows] == [("rp", True), ("rp", True), ("dct", False), ("dct", False)]
+    monkeypatch.setattr(sweeps.geometry, "distance_preservation", preserved)
+    rows = sweeps.clustering_sweep(spark, [table], (3,), 100, methods=["rp", "dct"], path=path, at_once=2, **few).collect()
+    assert all(r["ari"] is not None for r in rows) and spark.read.parquet(path).count() == 4
+
+
 def test_clustering_sweep_records(spark, make):
     x, y = blobs(per=30)
     table = FeatureTable("blobs", make(x, y), 6, 4, "dense_sensor")
