@@ -31,14 +31,12 @@ from ..session import drop_path, release_shuffles, stored
 from .words import text_bytes, word_hashes
 
 FOLDS, HELD_FOLD = 7, 2
-#: Restaurants of a seating whose number is not given.
-CONTEXTS = 64
 BURN_IN, SAMPLES = 3, 3
 #: Concentration of the contexts and of the root; discounts are estimated from counts of counts.
 STRENGTH = (10.0, 10.0)
 #: Tokens that share one dictionary, and bytes of text per bucket of words.
 BLOCK_TOKENS = 1_500_000
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 12
 #: Hashes of the end and of the beginning of a text.
 END, BEGIN = np.uint64(1), np.uint64(0)
@@ -204,7 +202,7 @@ class Totals:
 class Seating:
     """Customers and tables of the words of one bucket."""
 
-    def __init__(self, pairs, counts, words, contexts=CONTEXTS):
+    def __init__(self, pairs, counts, words, contexts):
         self.word, self.context = np.divmod(pairs, contexts)
         self.count, self.words, self.contexts = counts, words, contexts
         self.tables = (counts > 0).astype(np.int64)
