@@ -280,6 +280,53 @@ def _labels(nodes, found):
     return stored(joined, "jaccard-labels")[0]
 
 
+def _signatures(members, words):
+    """Per text of a node its number of shingles and a bitmap of them, with four to eight bits a shingle."""
+    schema = T.StructType([members.schema["doc"], T.StructField("n", T.LongType()), T.StructField("bitmap", T.BinaryType())])
+
+    def sign(batches):
+        for batch in batches:
+            sizes, bitmaps = [], []
+            for values in shingle_sets(batch.column(1), words):
+                bits = np.zeros(1 << max(8, (4 * len(values)).bit_length()), dtype=bool)
+                bits[(values & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+                sizes.append(len(values))
+                bitmaps.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())], schema.names)
+
+    return stored(members.select("doc", "text").mapInArrow(sign, schema), "jaccard-signatures")[0]
+
+
+def most_overlap(n, bitmap, other_n, other_bitmap):
+    """A bound of what two sets share: a bit that only one of them has is a shingle that only it has.
+
+    The longer bitmap is folded to the length of the shorter one, as places are the last bits of the hashes.
+    """
+    while len(bitmap) > len(other_bitmap):
+        half = len(bitmap) // 2
+        bitmap = (int.from_bytes(bitmap[:half], "little") | int.from_bytes(bitmap[half:], "little")).to_bytes(half, "little")
+    if len(bitmap) < len(other_bitmap):
+        return most_overlap(other_n, other_bitmap, n, bitmap)
+    one, other = int.from_bytes(bitmap, "little"), int.from_bytes(other_bitmap, "little")
+    both = (one & other).bit_count()
+    return min(n - one.bit_count(), other_n - other.bit_count()) + both
+
+
+def _possible(near, members, percent, words):
+    """Candidate pairs (a, b) whose bitmaps leave room for the overlap: bitmaps travel to each pair, texts do not."""
+    signed = _signatures(members, words)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_link(n: pa.Array, bitmap: pa.Array, other_n: pa.Array, other: pa.Array) -> pa.Array:
+        rows = zip(*(column.to_pylist() for column in (n, bitmap, other_n, other)))
+        return pa.array([(100 + percent) * most_overlap(i, x, j, y) >= percent * (i + j) for i, x, j, y in rows], pa.bool_())
+
+    first = signed.select(F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("bitmap").alias("bitmap1"))
+    second = signed.select(F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("bitmap2"))
+    near = near.join(first, "a").join(second, "b").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    return stored(near.filter(may_link("n1", "bitmap1", "n2", "bitmap2")).select("a", "b").distinct(), "jaccard-possible")[0]
+
+
 def _across_blocks(nodes, members, found, shared, crowded, percent, words, unit_sets):
     """Links of the clusters of several blocks.
 
@@ -298,6 +345,7 @@ def _across_blocks(nodes, members, found, shared, crowded, percent, words, unit_
     labelled = _labels(nodes, found)
     near = _partners(shared.join(labelled.select("doc", "label"), "doc"), percent, "label")
     near = near.select(F.col("doc").alias("a"), F.explode("partners.doc").alias("b")).distinct()
+    near = _possible(near, members, percent, words)
     # A document with very many partners meets them in parts.
     parts = near.groupBy("a").agg(F.ceil(F.count("*") / unit_sets).alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts"))
@@ -377,7 +425,20 @@ def report(docs, **options):
 
 
 def keep_one(docs, id_col="doc_id", text_col="text", **options):
-    """Of each class the document with the smallest id stays; rows without words or id all stay."""
-    found = join(docs, id_col=id_col, text_col=text_col, **options)
-    lost = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    """Of each class of texts the row with the smallest id stays; rows without words or id all stay.
+
+    Classes are of rows: where an id comes with several texts, only those go that have a row with a smaller id in
+    their class, and of equal rows one stays.
+    """
+    column = F.col(id_col)
+    repeated = docs.filter(column.isNotNull()).groupBy(column.alias("id")).count().filter("count > 1")
+    if repeated.isEmpty():
+        found = join(docs, id_col=id_col, text_col=text_col, **options)
+        lost = found.filter(column != F.col("component_id")).select(column.alias("__lost")).distinct()
+        return docs.join(lost, column == F.col("__lost"), "left_anti")
+    rows, _ = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = join(rows.filter(column.isNotNull()), id_col="__row", text_col=text_col, **options).filter("n_shingles > 0")
+    found = found.select("__row", F.col("component_id").alias("__class")).join(rows.select("__row", column.alias("__id")), "__row")
+    first = F.min(F.struct("__id", "__row"))["__row"].alias("__first")
+    lost = found.join(found.groupBy("__class").agg(first), "__class").filter(F.col("__row") != F.col("__first")).select("__row")
+    return rows.join(lost, "__row", "left_anti").drop("__row")

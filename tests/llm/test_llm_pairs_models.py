@@ -76,6 +76,29 @@ def test_one_of_each_class_stays(spark):
     assert jaccard_join.report(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_lose_only_rows_that_have_a_copy(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words here"), (2, "other words here"), (3, "A b c d e F"), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_join.keep_one(docs).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[5]], key=repr)
+
+
+def test_bitmaps_never_promise_too_little():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, m = rng.integers(1, 400, 2)
+        pool = rng.integers(0, 1 << 62, 500, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, size)) for size in (n, m)]
+        maps = []
+        for values in sets:
+            bits = np.zeros(1 << max(8, (4 * len(values)).bit_length()), dtype=bool)
+            bits[(values & np.uint64(len(bits) - 1)).astype(int)] = True
+            maps.append(np.packbits(bits, bitorder="little").tobytes())
+        bound = jaccard_join.most_overlap(len(sets[0]), maps[0], len(sets[1]), maps[1])
+        common = len(np.intersect1d(*sets))
+        assert common <= bound <= min(map(len, sets)) and bound <= common + 150
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_signature_tree_finds_all_links(seed):
     rng = np.random.default_rng(seed)
@@ -176,10 +199,10 @@ def test_language_model_counts_and_perplexity(spark, monkeypatch, block_tokens):
 
 def test_predictions_of_a_context_add_up_to_one():
     rng = np.random.default_rng(0)
-    words, contexts = 50, pitman_yor.CONTEXTS
+    words, contexts = 50, 64
     pairs = np.arange(words * contexts)
     counts = rng.poisson(0.7, len(pairs)) * rng.integers(1, 30, len(pairs))
-    seating = pitman_yor.Seating(pairs, counts, words)
+    seating = pitman_yor.Seating(pairs, counts, words, contexts)
     for number in range(4):
         totals = pitman_yor.Totals(seating.summary())
         seating.sweep(totals, np.random.default_rng(number))
