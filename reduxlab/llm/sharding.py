@@ -2,9 +2,10 @@
 
 Documents with equal texts are linked. Every linked document starts in a shard chosen by hash. In each round a
 document moves towards the shard that holds most of its group, if that shard still has room; per target only
-as many movers are let in as its quota holds, counting those that leave it. When nothing moves any more, rows
-beyond a shard's quota and all unlinked documents fill the free places one by one, so counts differ by at most
-one (law `rows`). A group larger than a shard fills one shard after the other.
+as many movers are let in as its quota holds, counting those that leave it. When nothing moves any more, or after
+`ROUNDS` rounds, rows beyond a shard's quota and all unlinked documents fill the free places one by one, so counts
+differ by at most one (law `rows`). A group larger than a shard gathers in one more shard per round; what is left
+of it after the last round stays in the shards where the hash put it.
 
 The state is one small row per linked document; only the numbers of movers between shards reach the driver.
 
