@@ -1,9 +1,11 @@
 """An exact neighbour join for two large tables, pruned by pivots.
 
-Base rows belong to the cell of their nearest pivot. A query's k-th distance is bounded from
+Base rows belong to the cell of a near pivot. A query's k-th distance is bounded from
 above by the rows known to lie near the pivots, and a cell is skipped when its distance bound
-from below exceeds that. Cells are cut into blocks by counted sizes on both sides, so a cell
-holding a third of all rows, or copies of one row, is spread like any other.
+from below exceeds that. Pivots form groups around some of them: a row meets the heads of all groups
+and the members of its own group and of those that its bound does not rule out. Cells are cut into
+blocks by counted sizes on both sides, so a cell holding a third of all rows, or copies of one row,
+is spread like any other.
 """
 
 import numpy as np
@@ -15,9 +17,8 @@ from ..functions import distances, folds
 from ..functions.matrices import dense
 from .sampling import subsample
 
-MAX_PIVOTS = 4096
-# Cells whose nearest rows are looked at for the upper bound.
-_BOUND_CELLS = 32
+MAX_PIVOTS = 65_536
+PIVOT_BYTES = 64 << 20
 _CELLS = pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("radius", pa.float64()), ("near", pa.list_(pa.float64()))])
 
 
@@ -27,23 +28,75 @@ def _gaps(metric, x, pivots):
     return near, noise[:, None]
 
 
-def _home(metric, x, pivots):
-    near, noise = _gaps(metric, x, pivots)
-    cell = near.argmin(axis=1)
-    return cell, near[np.arange(len(x)), cell] + noise[:, 0]
-
-
-def _cell_table(base, shared, k, metric):
+class PivotTree:
+    """Pivots in groups of about the square root of their number, each around one of them."""
+
+    def __init__(self, metric, pivots):
+        self.metric, self.pivots = metric, pivots
+        heads = np.arange(0, len(pivots), max(1, int(np.ceil(len(pivots) ** 0.5))))
+        self.heads = pivots[heads]
+        near, noise = _gaps(metric, pivots, self.heads)
+        group = near.argmin(axis=1)
+        self.gap = near[np.arange(len(pivots)), group] + noise[:, 0]
+        self.members = [np.flatnonzero(group == j) for j in range(len(heads))]
+        # Equal pivots may leave the group of one of them empty.
+        filled = [j for j, cells in enumerate(self.members) if len(cells)]
+        self.heads, self.members = self.heads[filled], [self.members[j] for j in filled]
+
+    def nbytes(self):
+        return self.pivots.nbytes + self.heads.nbytes + self.gap.nbytes
+
+    def near_group(self, x):
+        """(rows, cells, gaps, noise) for every group that is the nearest one of some rows."""
+        group = _gaps(self.metric, x, self.heads)[0].argmin(axis=1)
+        for j in np.unique(group).tolist():
+            rows, cells = np.flatnonzero(group == j), self.members[j]
+            yield rows, cells, *_gaps(self.metric, x[rows], self.pivots[cells])
+
+    def home(self, x):
+        """A near cell of every row, and an upper bound of the distance to its pivot."""
+        cell, gap = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for rows, cells, gaps, noise in self.near_group(x):
+            best = gaps.argmin(axis=1)
+            cell[rows], gap[rows] = cells[best], gaps[np.arange(len(rows)), best] + noise[:, 0]
+        return cell, gap
+
+    def visits(self, x, radius, near, k):
+        """(query row, cell) pairs that cannot be ruled out; radius is below 0 for cells without rows."""
+        bound = np.full(len(x), np.inf)
+        for rows, cells, gaps, noise in self.near_group(x):
+            reach = (gaps[:, :, None] + noise[:, :, None] + near[cells][None]).reshape(len(rows), -1)
+            if reach.shape[1] >= k:
+                bound[rows] = np.partition(reach, k - 1, axis=1)[:, k - 1]
+        heads, noise = _gaps(self.metric, x, self.heads)
+        found = []
+        for j, cells in enumerate(self.members):
+            cells = cells[radius[cells] >= 0]
+            if not len(cells):
+                continue
+            extent = (self.gap[cells] + radius[cells]).max()
+            rows = np.flatnonzero(heads[:, j] - extent <= bound + 4 * noise[:, 0])
+            if len(rows):
+                gaps, more = _gaps(self.metric, x[rows], self.pivots[cells])
+                row, cell = np.nonzero(gaps - radius[cells][None, :] <= bound[rows][:, None] + 4 * more)
+                found.append((rows[row], cells[cell]))
+        row, cell = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(2))
+        order = np.argsort(row, kind="stable")
+        return row[order], cell[order]
+
+
+def _cell_table(base, shared, k):
     """Per pivot: rows in its cell, largest distance, and the k smallest distances."""
 
     def measure(batches):
-        pivots = shared.value
+        tree = shared.value
+        pivots = tree.pivots
         count, radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
         near = np.full((len(pivots), k), np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, gap = _home(metric, dense(batch.column("features")), pivots)
+            cell, gap = tree.home(dense(batch.column("features")))
             count += np.bincount(cell, minlength=len(pivots))
             np.maximum.at(radius, cell, gap)
             order = np.lexsort((gap, cell))
@@ -80,16 +133,6 @@ def _cell_table(base, shared, k, metric):
     )
 
 
-def _visits(metric, x, pivots, radius, near, k):
-    """(query row, cell) pairs that cannot be ruled out."""
-    gaps, noise = _gaps(metric, x, pivots)
-    few = min(_BOUND_CELLS, len(pivots))
-    closest = np.argpartition(gaps, few - 1, axis=1)[:, :few]
-    reach = (np.take_along_axis(gaps, closest, axis=1)[:, :, None] + near[closest]).reshape(len(x), -1)
-    bound = np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(len(x), np.inf)
-    return np.nonzero((gaps - radius[None, :] <= bound[:, None] + 4 * noise) & (radius >= 0)[None, :])
-
-
 def _spread(ids):
     """Mix ids so that blocks are even."""
     with np.errstate(over="ignore"):
@@ -112,21 +155,24 @@ def _expanded(owner, first, count, stride):
 def meet(queries, base, k, metric, base_rows, block_rows, work, arrow_schema, seed=42):
     """Run work(batches of base rows, table of queries) on every block that matters."""
     sc = base.sparkSession.sparkContext
-    wanted = int(min(MAX_PIVOTS, max(2, base_rows // max(1, block_rows) + 1)))
+    first = base.select("features").head()
+    most = max(2, PIVOT_BYTES // (8 * max(1, len(first["features"])))) if first else 2
+    wanted = int(min(MAX_PIVOTS, most, max(2, base_rows // max(1, block_rows) + 1)))
     pivots = dense(subsample(base.select("id", "features"), wanted, seed).toArrow()["features"].combine_chunks())
-    shared_pivots = folds.share(base, pivots, pivots.nbytes, "pivots")
+    tree = PivotTree(metric, pivots)
+    shared_tree = folds.share(base, tree, tree.nbytes(), "pivots")
     radius, near = np.full(len(pivots), -1.0), np.full((len(pivots), k), np.inf)
     rows_in = np.zeros(len(pivots), dtype=np.int64)
-    for row in _cell_table(base, shared_pivots, k, metric):
+    for row in _cell_table(base, shared_tree, k):
         rows_in[row["cell"]], radius[row["cell"]] = row["n"], row["radius"]
         near[row["cell"], : len(row["near"])] = row["near"]
-    shared_bounds = sc.broadcast((pivots, radius, near))
+    shared_bounds = sc.broadcast((radius, near))
 
     @F.arrow_udf("array<bigint>")
     def cells_of(features: pa.Array) -> pa.Array:
         if not len(features):
             return pa.array([], pa.list_(pa.int64()))
-        row, cell = _visits(metric, dense(features), *shared_bounds.value, k)
+        row, cell = shared_tree.value.visits(dense(features), *shared_bounds.value, k)
         return _lists(len(features), row, cell)
 
     # One row per pivot.
@@ -142,7 +188,7 @@ def meet(queries, base, k, metric, base_rows, block_rows, work, arrow_schema, se
         if not len(features):
             return pa.array([], pa.list_(pa.int64()))
         base_cuts, query_cuts, start = shared_cuts.value
-        row, cell = _visits(metric, dense(features), *shared_bounds.value, k)
+        row, cell = shared_tree.value.visits(dense(features), *shared_bounds.value, k)
         mine = (_spread(ids.to_numpy())[row] % query_cuts[cell].astype(np.uint64)).astype(np.int64)
         owner, block = _expanded(row, start[cell] + mine, base_cuts[cell], query_cuts[cell])
         return _lists(len(features), owner, block)
@@ -152,7 +198,7 @@ def meet(queries, base, k, metric, base_rows, block_rows, work, arrow_schema, se
         if not len(features):
             return pa.array([], pa.list_(pa.int64()))
         base_cuts, query_cuts, start = shared_cuts.value
-        cell, _ = _home(metric, dense(features), shared_pivots.value)
+        cell, _ = shared_tree.value.home(dense(features))
         mine = (_spread(ids.to_numpy()) % base_cuts[cell].astype(np.uint64)).astype(np.int64)
         one = np.ones(len(cell), dtype=np.int64)
         owner, block = _expanded(np.arange(len(cell)), start[cell] + mine * query_cuts[cell], query_cuts[cell], one)

@@ -158,6 +158,18 @@ def knn_graph(spark, sf_dir):
     return edges.select("src", "dst", F.round("dist", 6).alias("dist"), "rank")
 
 
+def knn_graph_cells(spark, sf_dir):
+    """The same by cells around pivots, as for two sides too large to broadcast."""
+    edges = neighbours.neighbour_graph(embeddings(spark, sf_dir), 15, small_bytes=0, block_bytes=64 << 10)
+    return edges.select("src", "dst", F.round("dist", 6).alias("dist"), "rank")
+
+
+def knn_graph_blocks(spark, sf_dir):
+    """The graph by cosine distance, whose large sides meet in hash blocks."""
+    edges = neighbours.neighbour_graph(embeddings(spark, sf_dir), 15, "cosine", small_bytes=0, block_bytes=64 << 10)
+    return edges.select("src", "dst", F.round("dist", 6).alias("dist"), "rank")
+
+
 def flagship(spark, sf_dir):
     """Split, standardise on train, project to 16 dimensions, 5 nearest neighbours, scores."""
     split = _split(spark, sf_dir)
@@ -236,7 +248,8 @@ QUERIES = {
     for f in (
         flagship, identity, gaussian_rp, sparse_rp, sparse_rp_on_sparse, dct_1d, dct_2d, dct_2d_channels,
         feasible_dims, pca_covariance, pca_lines, svd_lines, svd_power_step, svd_power_step_sparse, pca_full,
-        pca_randomized, truncated_svd, knn_predict, knn_cosine, knn_manhattan, knn_graph, classification_metrics,
+        pca_randomized, truncated_svd, knn_predict, knn_cosine, knn_manhattan, knn_graph, knn_graph_cells, knn_graph_blocks,
+        classification_metrics,
         per_class_metrics, clustering_metrics, clustering_metrics_events, contingency, silhouette,
         distance_preservation, distortion_histogram,
     )
@@ -415,6 +428,12 @@ def _axes_sql(source, unpacked, centred):
     return f"WITH RECURSIVE {E}, {unpacked}, {', '.join(ctes)} {' UNION ALL '.join(scores)}"
 
 
+def _graph_sql(distance):
+    return f"""WITH {E} SELECT a.id AS src, b.id AS dst, round({distance}, 6) AS dist,
+            row_number() OVER (PARTITION BY a.id ORDER BY {distance}, b.id) AS rank
+        FROM e a JOIN e b ON a.id <> b.id QUALIFY rank <= 15"""
+
+
 ORACLES = {
     "flagship": f"""WITH {E}, {UNPACKED}, {SPLIT_E}, {sparse_ctes()},
         s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS sd FROM u JOIN parts USING (id) WHERE split = 'train' GROUP BY pos),
@@ -454,9 +473,9 @@ ORACLES = {
     "knn_manhattan": _knn_sql(
         "list_sum(list_transform(range(1, 65), lambda i: abs(q.features[i] - b.features[i])))", 3
     ),
-    "knn_graph": f"""WITH {E} SELECT a.id AS src, b.id AS dst, round(list_distance(a.features, b.features), 6) AS dist,
-            row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.features, b.features), b.id) AS rank
-        FROM e a JOIN e b ON a.id <> b.id QUALIFY rank <= 15""",
+    "knn_graph": _graph_sql("list_distance(a.features, b.features)"),
+    "knn_graph_cells": _graph_sql("list_distance(a.features, b.features)"),
+    "knn_graph_blocks": _graph_sql("(1 - list_cosine_similarity(a.features, b.features))"),
     "classification_metrics": f"WITH {GUESSED}, {scores_sql('g')} SELECT {SIX_SQL}",
     "per_class_metrics": f"""WITH {GUESSED}, {scores_sql('g')} SELECT cls, support, predicted, hit,
         round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rates""",

@@ -70,10 +70,11 @@ def test_both_sides_large(make, metric):
 def test_far_cells_are_skipped():
     x, _ = blobs(seed=4, per=50, centers=8, dims=4, spread=0.2)
     pivots = x[::50]
-    cell, gap = cells._home("euclidean", x, pivots)
+    tree = cells.PivotTree("euclidean", pivots)
+    cell, gap = tree.home(x)
     radius = np.array([gap[cell == c].max() for c in range(8)])
     near = np.array([np.sort(gap[cell == c])[:5] for c in range(8)])
-    row, visited = cells._visits("euclidean", x, pivots, radius, near, 5)
+    row, visited = tree.visits(x, radius, near, 5)
     assert len(row) < 2 * len(x) and np.all(np.isin(np.arange(len(x)) * 8 + cell, row * 8 + visited))
 
 
