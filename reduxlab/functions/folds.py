@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from . import peaks
+
 DRIVER_BYTES = 128 << 20
 BROADCAST_BYTES = 512 << 20
 # What all tasks of one pass may hand on together, before the number of tasks is cut.
@@ -72,8 +74,11 @@ def _chunk_batch(chunks, salts, states):
 
 
 def _per_task_chunks(df, fold, fan_in, tasks):
+    note = peaks.watcher()
+
     def run(batches):
         state = np.asarray(fold(batches), dtype=np.float64).ravel()
+        note()
         salt = TaskContext.get().partitionId() % fan_in
         for number, start in enumerate(range(0, len(state), _CHUNK)):
             yield _chunk_batch([number], [salt], [state[start : start + _CHUNK]])

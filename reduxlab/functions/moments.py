@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-from . import folds
+from . import folds, peaks
 from .matrices import SparseRows, dense
 
 _CHUNK = 4096
@@ -60,8 +60,11 @@ def merged(df, state_of, combine, layers, length):
     tasks = folds.task_limit(df, length) if inside else tasks
     fan_in = max(2, int(tasks**0.5)) if inside else 1
 
+    note = peaks.watcher()
+
     def run(batches):
         state = joined((state_of(batch) for batch in batches if batch.num_rows), combine)
+        note()
         salt = TaskContext.get().partitionId() % fan_in
         for number, start in enumerate(range(0, state.shape[1], _CHUNK) if state is not None else ()):
             yield _chunk_batch(number, salt, state[:, start : start + _CHUNK])

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..functions import folds
+from ..functions import folds, peaks
 from ..functions.matrices import feature_columns, read_rows
 from . import scaling
 from .blocks import stored_bytes
@@ -275,10 +275,13 @@ def minimised(rows, classes, size, cost, sparse, max_iter, tol, seed):
 def decide(df, weights, classes, sparse=False):
     """Add `prediction`, the class with the largest decision value (the first one on ties)."""
     shared = folds.share(df, (weights, classes), weights.nbytes, "weights")
+    note = peaks.watcher()
 
     def label_of(rows):
         matrix, names = shared.value
-        return pa.array(names[np.argmax(rows.dot(matrix[:-1]) + matrix[-1], axis=1)], pa.int32())
+        out = pa.array(names[np.argmax(rows.dot(matrix[:-1]) + matrix[-1], axis=1)], pa.int32())
+        note()
+        return out
 
     columns = feature_columns(sparse)
 

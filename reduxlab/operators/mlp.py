@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..errors import ModelError
-from ..functions import folds
+from ..functions import folds, peaks
 from ..functions.matrices import feature_columns, read_rows
 from .blocks import stored_bytes
 from .layout import to_dense
@@ -244,13 +244,14 @@ class NeuralNetwork:
 
 def predict(df, weights, shapes, sparse=False, with_logits=False):
     shared = folds.share(df, weights, weights.nbytes, "network weights")
-    columns = feature_columns(sparse)
+    columns, note = feature_columns(sparse), peaks.watcher()
 
     def logits_of(*arrays):
         if not len(arrays[0]):
             return pa.array([], pa.list_(pa.float64()))
         rows = read_rows(pa.RecordBatch.from_arrays(list(arrays), columns), sparse)
         logits = forward(rows, split_layers(shared.value, shapes))[-1]
+        note()
         offsets = np.arange(len(logits) + 1, dtype=np.int32) * logits.shape[1]
         return pa.ListArray.from_arrays(offsets, logits.ravel())
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..functions import distances
+from ..functions import distances, peaks
 from ..functions.columns import largest_by_count
 from ..functions.matrices import feature_columns, first_copies, read_rows
 from . import blocks, cells
@@ -287,12 +287,16 @@ class NearestNeighbours:
         search = _Search(self.n_neighbors, distances.resolve(self.metric), False, self.sparse, self.width)
         shared = base.sparkSession.sparkContext.broadcast(base.toArrow())
 
+        note = peaks.watcher()
+
         def labels_of(pieces, *arrays):
             if not len(arrays[0]):
                 return pa.array([], pa.int32())
             ids = pa.array(np.arange(len(arrays[0])), pa.int64())
             asked = pa.RecordBatch.from_arrays([ids, *arrays], ["id", *columns])
-            return pa.array(search.finished(asked, pieces).vote(), pa.int32())
+            out = pa.array(search.finished(asked, pieces).vote(), pa.int32())
+            note()
+            return out
 
         @F.arrow_udf("int")
         def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..functions import folds
+from ..functions import folds, peaks
 from ..functions.matrices import DenseRows, SparseRows, as_list_column, dense
 
 
@@ -23,9 +23,13 @@ def project(df, weights, mean=None, sparse=False):
     offset = np.zeros(weights.shape[1]) if mean is None else np.asarray(mean, dtype=np.float64) @ weights
     shared = folds.share(df, (weights, offset), weights.nbytes, "projection matrix")
 
+    note = peaks.watcher()
+
     def apply(rows):
         matrix, constant = shared.value
-        return as_list_column(rows.dot(matrix) - constant)
+        out = as_list_column(rows.dot(matrix) - constant)
+        note()
+        return out
 
     if sparse:
 
@@ -149,11 +153,14 @@ class SparseMap:
 
     def transform(self, df, sparse=False):
         shared = folds.share(df, self, self.nbytes(), "projection matrix")
+        note = peaks.watcher()
         if sparse:
 
             @F.arrow_udf("array<double>")
             def reduce_sparse(idx: pa.Array, val: pa.Array) -> pa.Array:
-                return as_list_column(shared.value.sparse_rows(SparseRows.from_columns(idx, val)))
+                out = as_list_column(shared.value.sparse_rows(SparseRows.from_columns(idx, val)))
+                note()
+                return out
 
             return df.withColumn("features", reduce_sparse("idx", "val")).drop("idx", "val")
 
@@ -162,7 +169,9 @@ class SparseMap:
             turned = shared.value.by_output()
             for features in columns:
                 rows = dense(features) if len(features) else np.empty((0, 0))
-                yield as_list_column(shared.value.dense_rows(rows, turned))
+                out = as_list_column(shared.value.dense_rows(rows, turned))
+                note()
+                yield out
 
         return df.withColumn("features", reduce_dense("features"))
 

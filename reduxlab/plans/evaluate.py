@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.storagelevel import StorageLevel
 
+from ..functions import peaks
 from ..operators import layout, scores
 from ..operators.reducers import make_reducer
 from ..operators.models import make_model
@@ -27,11 +28,13 @@ RECORD_SCHEMA = (
 
 
 @contextmanager
-def timed(record, name):
-    """Wall seconds of a stage. Peak memory is left null: the work is not in this process."""
-    start = time.perf_counter()
-    yield
-    record[name] = time.perf_counter() - start
+def measured(spark, record, stage):
+    """Wall seconds of a stage, and the peak memory of a worker or of the driver's Python in it."""
+    with peaks.watched(spark) as peak:
+        start = time.perf_counter()
+        yield
+        record[f"{stage}_time_sec"] = time.perf_counter() - start
+        record[f"{stage}_peak_py_mb"] = peak()
 
 
 def _failure(error):
@@ -48,22 +51,22 @@ def _forced(table, reducer, force_srp_matrix_type):
 
 
 def fit_once(table, reducer_name, n_components, seed=42, force_srp_matrix_type=None, **options):
-    """A reducer fitted on the training rows and its seconds, or None if it can't be fitted to so many components."""
+    """A reducer fitted on the training rows and the record of that, or None if it can't be fitted to so many components."""
     reducer, record = make_reducer(reducer_name, n_components, seed, **options), {}
     try:
         forced = _forced(table, reducer, force_srp_matrix_type)
         reducer.setup(forced)
-        with timed(record, "seconds"):
+        with measured(table.df.sparkSession, record, "reduction_fit"):
             reducer.fit(forced.part("train"))
     except Exception:  # each cell then fits its own, or records why it can't
         return None
-    return reducer, record["seconds"]
+    return reducer, record
 
 
 class ReducedTable:
     """A fitted reducer and both reduced sides, kept for all models of the cell.
 
-    fitted: a reducer fitted to at least as many components and the seconds that took, instead of a fit of its own.
+    fitted: a reducer fitted to at least as many components and the record of that, instead of a fit of its own.
     """
 
     def __init__(self, table, reducer, sizes, force_srp_matrix_type=None, fitted=None):
@@ -71,17 +74,18 @@ class ReducedTable:
         self.record = {}
         train, test = forced.part("train"), forced.part("test")
         if fitted:
-            self.reducer, self.record["reduction_fit_time_sec"] = fitted[0].sliced(reducer.n_components), fitted[1]
+            self.reducer = fitted[0].sliced(reducer.n_components)
+            self.record.update(fitted[1])
         else:
             self.reducer = reducer.setup(forced)
-            with timed(self.record, "reduction_fit_time_sec"):
+            with measured(train.sparkSession, self.record, "reduction_fit"):
                 self.reducer.fit(train)
         self.sparse = self.reducer.sparse_output()
         self.train = self.test = None
-        with timed(self.record, "reduction_train_transform_time_sec"):
+        with measured(train.sparkSession, self.record, "reduction_train_transform"):
             self.train = self._kept(train)
         try:
-            with timed(self.record, "reduction_test_transform_time_sec"):
+            with measured(train.sparkSession, self.record, "reduction_test_transform"):
                 self.test = self._kept(test)
         except Exception:
             self.train.unpersist()
@@ -131,15 +135,18 @@ def side_sizes(table):
 def evaluate_model(reduced, model):
     """Fit, predict and score on a reduced table."""
     record = {}
-    with timed(record, "model_fit_time_sec"):
+    spark = reduced.train.sparkSession
+    with measured(spark, record, "model_fit"):
         model.fit(reduced.train, sparse=reduced.sparse, width=reduced.width)
-    predictions = model.predict(reduced.test).persist(StorageLevel.MEMORY_AND_DISK)
+    predictions = None
     try:
-        with timed(record, "model_predict_time_sec"):
+        with measured(spark, record, "model_predict"):
+            predictions = model.predict(reduced.test).persist(StorageLevel.MEMORY_AND_DISK)
             predictions.write.format("noop").mode("overwrite").save()
         record.update(scores.classification_scores(predictions).head().asDict())
     finally:
-        predictions.unpersist()
+        if predictions is not None:
+            predictions.unpersist()
     record["model_params"] = json.dumps(model.params())
     return record
 

@@ -1,5 +1,8 @@
 """Queries over files, records, sweeps and report tables."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -235,6 +238,25 @@ def model_sweep(spark, sf_dir):
     return out.select("reducer", "model", "requested_dim", "status", "n_train", "n_test", F.round("accuracy", 6).alias("accuracy"))
 
 
+PEAKS = [
+    "reduction_fit_peak_py_mb", "reduction_train_transform_peak_py_mb", "reduction_test_transform_peak_py_mb",
+    "model_fit_peak_py_mb", "model_predict_peak_py_mb",
+]
+
+
+def cell_measures(spark, sf_dir):
+    """Whether times and peaks of every stage are within bounds, and those of worker stages above an empty process."""
+    records = sweeps.classification_sweep(
+        spark, lambda name, seed: _prepared(spark, sf_dir), ["embeddings"], ("sparse_rp", "pca_svd"), ("knn", "svm"), (8, 16), seed=SEED
+    )
+    times = [c for c in records.columns if c.endswith("_time_sec")]
+    inside = [F.col(c).between(0, 600) for c in times] + [F.col(c).between(0, 32_000) for c in PEAKS]
+    worked = [F.col(c) > 20 for c in PEAKS[1:3] + PEAKS[4:]]
+    return records.select(
+        "reducer", "model", "requested_dim", reduce(and_, inside).alias("within_bounds"), reduce(and_, worked).alias("workers_seen")
+    )
+
+
 def failed_cells(spark, sf_dir):
     """Full PCA refuses a sparse table: the cell is recorded as failed and the rest goes on."""
     forced = force_form(_prepared(spark, sf_dir), "sparse")
@@ -251,7 +273,7 @@ QUERIES = {
     for f in (
         text_matrix_join, wide_sensor_csv, append_records, append_columns, nested_json, results_file, metric_vs_k, runtime_vs_k,
         runtime_breakdown, feature_cache, class_folders, cluster_gallery, cluster_labels, label_grid,
-        clustering_sweep, clustering_times, classification_sweep, model_sweep, failed_cells,
+        clustering_sweep, clustering_times, classification_sweep, model_sweep, cell_measures, failed_cells,
     )
 }
 
@@ -333,6 +355,9 @@ def _clustering_sql():
 
 
 ORACLES = {
+    "cell_measures": """SELECT reducer, model, k AS requested_dim, true AS within_bounds, true AS workers_seen
+        FROM (SELECT unnest(['sparse_rp', 'pca_svd']) AS reducer), (SELECT unnest(['knn', 'svm']) AS model),
+            (SELECT unnest(['8', '16']) AS k) WHERE (SELECT count(*) FROM embeddings) > 0""",
     "cluster_labels": """SELECT method, model, label AS lowest, label AS highest, count(*) AS n FROM embeddings,
         (SELECT unnest(['original', 'pca', 'rp', 'srp', 'dct']) AS method), (SELECT unnest(['kmeans', 'gmm']) AS model) GROUP BY ALL""",
     "clustering_sweep": _clustering_sql(),

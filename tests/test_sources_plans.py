@@ -5,6 +5,7 @@ import pytest
 from conftest import blobs, matrix_of
 from pyspark.sql import functions as F
 
+from reduxlab.functions import peaks
 from reduxlab.operators import layout, sampling
 from reduxlab.operators.reducers import make_reducer
 from reduxlab.plans import reports, sweeps
@@ -119,6 +120,18 @@ def test_a_cell_shares_its_reduction_and_records_failures(make):
     assert [(r["status"], r["error_type"]) for r in bad] == [("failed", "ReductionError")] * 2
 
 
+def test_stages_fill_their_peaks(spark, make):
+    (record,) = evaluate(prepared(make), "gaussian_rp", 4, ["svm"])
+    stages = ("reduction_fit", "reduction_train_transform", "reduction_test_transform", "model_fit", "model_predict")
+    assert all(record[f"{stage}_peak_py_mb"] > 0 and record[f"{stage}_time_sec"] > 0 for stage in stages)
+    assert all(record[f"{stage}_peak_py_mb"] > 20 for stage in stages[1:])
+    with peaks.watched(spark) as outer:
+        with peaks.watched(spark) as inner:
+            note = peaks.watcher()
+            spark.range(3).select("id").mapInArrow(lambda batches: (note() or batch for batch in batches), "id long").collect()
+        assert inner() > 20 and outer() < inner()
+
+
 def test_sparse_projection_can_be_forced(make):
     table = prepared(make)
     for form in ("dense", "sparse"):
