@@ -38,8 +38,11 @@ _BREAK = re.compile(
 _TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>", re.I)
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_ANCHOR = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_OPEN_HREF = re.compile(r"\bhref\s*=\s*[\"']", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*\"?([\w\-]+)", re.I)
 
 RECORD = T.StructType(
@@ -69,24 +72,48 @@ def named(*parts):
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(0).join(parts))}>"
 
 
+def _without(pattern, by, page):
+    """The page with all tags of a pattern replaced. Nothing after the last `>` can be one, so it is not looked through."""
+    end = page.rfind(">") + 1
+    return pattern.sub(by, page[:end]) + page[end:]
+
+
 def plain_text(page):
     """The visible text of an HTML page: a line per block, white space collapsed."""
     page = _HIDDEN.sub(" ", page)
-    page = _TAG.sub("", _BREAK.sub("\n", page))
+    page = _without(_TAG, "", _without(_BREAK, "\n", page))
     page = _BLANKS.sub(" ", html.unescape(page))
     return _LINES.sub("\n", page).strip()
 
 
 def title_of(page):
-    found = _TITLE.search(page)
-    return " ".join(html.unescape(found[1]).split()) if found else ""
+    found = _TITLE.search(page, 0, page.rfind(">") + 1)
+    if not found:
+        return ""
+    end = _TITLE_END.search(page, found.end())
+    return " ".join(html.unescape(page[found.end() : end.start() if end else len(page)]).split())
+
+
+def hrefs(page):
+    """Targets of the anchors as they stand, by one pass: an anchor reaches to its `>`, and so does the search for the next."""
+    at, last = 0, page.rfind(">")
+    while found := _ANCHOR.search(page, at):
+        end = page.find(">", found.end()) if found.end() <= last else len(page)
+        # A value may hold the `>` that seems to end its anchor.
+        target = _HREF.search(page, found.end(), end)
+        opened = target or _OPEN_HREF.search(page, found.end(), end)
+        if opened and not target:
+            target = _HREF.match(page, opened.start())
+        if target:
+            yield "".join(group or "" for group in target.groups())
+        at = max(end, target.end() if target else end)
 
 
 def links_of(page, base):
     """Absolute targets of the links, in order, each once."""
     out = {}
-    for groups in _LINK.findall(page):
-        target = html.unescape("".join(groups)).strip()
+    for href in hrefs(page):
+        target = html.unescape(href).strip()
         try:
             out[urljoin(base, target)] = None
         except ValueError:  # not a url at all
@@ -106,13 +133,13 @@ def decoded(payload, content_type):
     found = _CHARSET.search(content_type)
     try:
         return payload.decode(found[1] if found else "utf-8")
-    except (LookupError, UnicodeDecodeError):
+    except (LookupError, UnicodeError):
         return payload.decode("utf-8", errors="replace")
 
 
 def fields(pairs):
     """application/warc-fields: a line per pair, line breaks inside values as spaces."""
-    return "".join(f"{name}: {' '.join(value.split())}\r\n" for name, value in pairs).encode()
+    return "".join(f"{name}: {' '.join(value.split())}\r\n" for name, value in pairs).encode(errors="replace")
 
 
 def derivatives(record_id, target, date, block):
@@ -120,7 +147,7 @@ def derivatives(record_id, target, date, block):
     status, pairs, payload = split_http(block)
     content_type = next((v for n, v in pairs if n.lower() == "content-type"), "")
     page = decoded(payload, content_type)
-    text = plain_text(page).encode()
+    text = plain_text(page).encode(errors="replace")
     meta_id, text_id = named("metadata", record_id), named("conversion", record_id)
     payload_digest, block_digest = digest(payload), digest(block)
     said = [

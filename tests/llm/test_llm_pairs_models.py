@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -312,6 +313,29 @@ def test_warc_derivatives_link_and_keep(spark, tmp_path):
     assert warc.report(pages.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_linear_time_and_end():
+    start = time.perf_counter()
+    for piece in ("<a ", "<", "<p ", "<title ", "</div ", "<a href=\"", "<!-- ", "<a href='x>' ", "<script "):
+        for page in (piece * (1_000_000 // len(piece)), piece * (1_000_000 // len(piece)) + ">"):
+            warc.plain_text(page), warc.title_of(page), warc.links_of(page, "http://a.b/")
+    assert time.perf_counter() - start < 30
+
+
+def test_anchors_and_titles():
+    page = "<A class=x HREF=one.html>1</a><a\nhref = 'two>2.html'>2</a><a title='>' href=no><a href=\"three\">3<abbr href=no>"
+    assert warc.links_of(page, "http://a.b/c/") == ["http://a.b/c/one.html", "http://a.b/c/two>2.html", "http://a.b/c/three"]
+    assert warc.links_of("text <a href=open.html", "http://a.b/") == ["http://a.b/open.html"]
+    assert warc.title_of("<title>a &amp;\n b</TITLE >c") == "a & b" and warc.title_of("<title x>open <b") == "open <b"
+    assert warc.title_of("<title no end") == "" and warc.plain_text("a < b <i>c</i> <p") == "a < b c <p"
+
+
+def test_charsets_that_do_not_fit():
+    for charset in ("undefined", "utf-7", "unicode_escape", "idna", "hex", "utf-16", "no-such"):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n".encode() + b"<p>+2AA- \\ud800 \xff text"
+        rows = list(warc.derivatives("<urn:x>", "http://a.b/", warc.FETCHED, block))
+        assert len(rows) == 2
+
+
 def test_other_charsets():
     block = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\n\r\n<p>é".encode("latin-1")
     meta, text = warc.derivatives("<id>", "http://a/", "d", block)
