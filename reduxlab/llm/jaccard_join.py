@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import drop_path, release_shuffles, stored
+from ..session import release_shuffles, stored
 from .components import components
 from .shingles import WORDS, shingle_sets
 from .signature_tree import links
 from .words import mixed
 
 PERCENT = 75
-#: Shingle counts are kept for so many hash buckets, in so many chunks.
-SKETCH_BITS, CHUNKS = 22, 64
+#: Shingle counts are kept for so many hash buckets, in so many chunks, each added up in so many parts.
+SKETCH_BITS, CHUNKS, SALTS = 22, 64, 8
 #: Sets and shingles compared by one task at a time.
 UNIT_SETS = 512
 UNIT_SHINGLES = 2_000_000
@@ -47,6 +47,8 @@ HEAVY_ROWS = 1000
 FEW_ROWS = 512
 #: Size of the filter that keeps documents outside all clusters from being shuffled.
 FILTER_BITS = 22
+#: Rows of tables without texts or shingles that are worth a task, and tasks that write them at least.
+PART_ROWS, LEAST_PARTS = 20_000, 8
 _CLASS = ["n_shingles", "s1", "s2"]
 
 
@@ -54,6 +56,11 @@ def _bucket(values):
     return (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _small(df, label, parts):
+    """Rows that are few next to the texts, written by few tasks."""
+    return stored(df.coalesce(parts), label)[0]
+
+
 def bucket_counts(docs, text_col, words):
     """How many sets hold a shingle of each hash bucket: per task at most 255 a bucket, added up in chunks."""
     size = (1 << SKETCH_BITS) // CHUNKS
@@ -65,7 +72,7 @@ def bucket_counts(docs, text_col, words):
                 at = _bucket(values)
                 total[at] = np.minimum(total[at], 254) + 1
         parts = [zlib.compress(total[k * size : (k + 1) * size].astype(np.uint8), 1) for k in range(CHUNKS)]
-        salt = TaskContext.get().partitionId() % CHUNKS
+        salt = TaskContext.get().partitionId() % SALTS
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([1] * CHUNKS, pa.int32()), pa.array(parts)],
             ["chunk", "salt", "width", "counts"],
@@ -85,7 +92,8 @@ def bucket_counts(docs, text_col, words):
     found = docs.select(text_col).mapInArrow(count, schema)
     found = found.groupBy("chunk", "salt").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for row in found.toLocalIterator():
+    # A chunk is small: a few tasks give them all, each in a job of its own.
+    for row in found.coalesce(4).toLocalIterator():
         counts[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     return counts
 
@@ -151,68 +159,135 @@ def _lists(arrays):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
-def _partners(rows, percent, differ=None):
+def _partners(rows, percent, differ):
     """Per row the earlier rows of its shingle that reach the threshold if this is the first one they share.
 
-    Only for shingles of at most FEW_ROWS rows. With `differ` a column that must not be equal.
+    Only for shingles of at most FEW_ROWS rows, and for rows that are not equal in the column `differ`.
     """
-    columns = ["doc", "n_shingles", "pos"] + ([differ] if differ else [])
+    columns = ["doc", "n_shingles", "pos", differ]
     ordered = Window.partitionBy("token").orderBy("n_shingles", "doc").rowsBetween(1 - FEW_ROWS, -1)
 
     def reaches(x):
         least = F.ceil(F.lit(percent) * (x["n_shingles"] + F.col("n_shingles")) / (100 + percent))
         fits = (x["n_shingles"] - x["pos"] >= least) & (F.col("n_shingles") - F.col("pos") >= least)
-        return fits & (x[differ] != F.col(differ)) if differ else fits
+        return fits & (x[differ] != F.col(differ))
 
     few = rows.filter(F.col("rows") <= FEW_ROWS)
     few = few.withColumn("earlier", F.collect_list(F.struct(*columns)).over(ordered))
     return few.select("doc", F.filter("earlier", reaches).alias("partners")).filter(F.size("partners") > 0)
 
 
-def _clusters(classes, percent):
-    """Clusters, shared shingles and crowded documents.
+class _Forest:
+    """Connected documents of one task: which shingles tie together, with loops over what is not connected yet."""
+
+    def __init__(self, percent, few):
+        self.percent, self.few = percent, few
+        self.number, self.docs, self.parent, self.crowded = {}, [], [], set()
+
+    def numbered(self, docs):
+        """A number for each document of the column."""
+        coded = docs.dictionary_encode()
+        numbers = np.zeros(len(coded.dictionary), dtype=np.int64)
+        for k, doc in enumerate(coded.dictionary.to_pylist()):
+            numbers[k] = self.number.setdefault(doc, len(self.number))
+            if numbers[k] == len(self.docs):
+                self.docs.append(doc)
+                self.parent.append(len(self.parent))
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def root(self, k):
+        parent = self.parent
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    def add(self, docs, n, pos):
+        """The rows of one shingle by size: documents that reach the threshold if it is the first one they share."""
+        percent, roots = self.percent, [self.root(k) for k in docs.tolist()]
+        many = len(docs) > self.few
+        if many:
+            self.crowded.update(docs.tolist())
+        if len(set(roots)) == 1:
+            return
+        if many:
+            # Each row joins the last one before it that can be the smaller partner of a pair, which shares its shingle
+            # at the very start of its prefix. That chain connects whatever could be linked.
+            can = pos <= n + (-2 * percent * n) // (100 + percent)
+            before = np.maximum.accumulate(np.where(can, np.arange(len(n)), -1))
+            before = np.concatenate([[-1], before[:-1]])
+            near = (before >= 0) & (100 * n[before] >= percent * n)
+            pairs = zip(np.flatnonzero(near).tolist(), before[near].tolist())
+        else:
+            room = n - pos
+            least = -(-percent * (n[:, None] + n) // (100 + percent))
+            label = np.array(roots)
+            fits = (np.minimum(room[:, None], room) >= least) & (label[:, None] != label)
+            pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(fits)))) if fits.any() else ()
+        for i, j in pairs:
+            a, b = self.root(roots[i]), self.root(roots[j])
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def edges(self, id_arrow):
+        """(a, b) from each connected document to the first of its tree, (a, null) for each in a shingle of many rows."""
+        tied = [(k, self.root(k)) for k in range(len(self.docs)) if self.parent[k] != k]
+        ends = [self.docs[k] for k, _ in tied] + [self.docs[k] for k in self.crowded]
+        others = [self.docs[r] for _, r in tied] + [None] * len(self.crowded)
+        return pa.RecordBatch.from_arrays([pa.array(ends, id_arrow), pa.array(others, id_arrow)], ["a", "b"])
+
+
+def _tied(shared, percent):
+    """Edges that connect all partners of all shingles, found by tasks that each hold whole shingles (see _Forest.edges)."""
+    id_type = shared.schema["doc"].dataType
+    id_arrow, few = to_arrow_type(id_type), FEW_ROWS
+
+    def tie(batches):
+        forest, held = _Forest(percent, few), None
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(3)] + [forest.numbered(batch.column(3))]
+            rows = [np.concatenate(pair) for pair in zip(held, rows)] if held else rows
+            starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]).tolist() if len(rows[0]) else [0]
+            for begin, end in zip(starts, starts[1:]):
+                forest.add(rows[3][begin:end], rows[1][begin:end], rows[2][begin:end])
+            held = [x[starts[-1] :] for x in rows]
+        if held and len(held[0]):
+            forest.add(held[3], held[1], held[2])
+        if forest.docs:
+            yield forest.edges(id_arrow)
+
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    ordered = shared.select("token", "n_shingles", F.col("pos").cast("long").alias("pos"), "doc")
+    return ordered.sortWithinPartitions("token", "n_shingles", "doc").mapInArrow(tie, schema)
+
+
+def _shared(classes, *others):
+    """(doc, n_shingles, others, pos, token, rows): usual shingles that two of the given prefixes hold at least."""
+    usual = classes.select("doc", "n_shingles", *others, F.posexplode("usual").alias("pos", "token"))
+    return usual.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
+
+
+def _clusters(classes, percent, parts):
+    """Clusters and crowded documents.
 
     Clusters have (node, component): classes that could be linked, directly or through others, are in one component.
     """
-    usual = classes.select("doc", "n_shingles", F.posexplode("usual").alias("pos", "token"))
-    usual = usual.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
-    usual, usual_path = stored(usual, "jaccard-shared")
+    tied, _ = stored(_tied(_shared(classes), percent), "jaccard-tied")
     release_shuffles(classes.sparkSession)
-    # One partner for each row connects nearly all that belongs together, and copies without all their pairs.
-    one = _partners(usual, percent).select(F.col("doc").alias("a"), F.element_at("partners", -1)["doc"].alias("b"))
-    # Shingles of many rows, by size: each row joins the last one before it that can be the smaller partner of a
-    # pair, which shares its shingle at the very start of its prefix. That chain connects whatever could be linked.
-    start = F.col("n_shingles") - F.ceil(F.lit(2 * percent) * F.col("n_shingles") / (100 + percent))
-    ordered = Window.partitionBy("token").orderBy("n_shingles", "doc").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(F.col("pos") <= start, F.struct("doc", "n_shingles")), ignorenulls=True).over(ordered)
-    many = usual.filter(F.col("rows") > FEW_ROWS).select("doc", "n_shingles", before.alias("before"))
-    many = many.filter(100 * F.col("before.n_shingles") >= percent * F.col("n_shingles"))
-    many = many.select(F.col("doc").alias("a"), F.col("before.doc").alias("b"))
     # Frequent shingles: the smallest document of each size class is a hub of that class and of the one below.
     heavy = classes.select(
         "doc",
         F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / percent))).cast("int").alias("class"),
         F.explode("heavy").alias("token"),
     )
-    hubs, _ = stored(heavy.groupBy("token", "class").agg(F.min("doc").alias("hub")), "shingle-hubs")
+    hubs = _small(heavy.groupBy("token", "class").agg(F.min("doc").alias("hub")), "shingle-hubs", parts)
     spokes = heavy.join(hubs, ["token", "class"]).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
     upper = hubs.select("token", (F.col("class") - 1).alias("class"), F.col("hub").alias("a"))
     between = hubs.join(upper, ["token", "class"]).select("a", F.col("hub").alias("b"))
-    edges = one.union(many).union(spokes).union(between).filter(F.col("a") != F.col("b")).distinct()
-    first, _ = stored(components(edges), "jaccard-clusters")
-    # All other partners matter only where they are of another cluster.
-    first = first.select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    labelled = usual.join(first, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    labelled, _ = stored(labelled, "jaccard-shared")
-    usual_again = labelled.drop("label")
-    drop_path(classes.sparkSession, usual_path)
-    rest = _partners(labelled, percent, "label")
-    rest = rest.select(F.col("doc").alias("a"), F.explode("partners.doc").alias("b"))
-    star = first.select(F.col("doc").alias("a"), F.col("label").alias("b"))
-    clusters, _ = stored(components(star.union(rest)), "jaccard-clusters")
+    edges = tied.filter(F.col("b").isNotNull()).union(spokes).union(between)
+    clusters = _small(components(edges), "jaccard-clusters", parts)
     # Documents whose pairs may hide behind a shingle of many rows.
-    crowded = heavy.select("doc").union(usual_again.filter(F.col("rows") > FEW_ROWS).select("doc")).distinct()
-    return clusters, usual_again, stored(crowded, "jaccard-crowded")[0]
+    crowded = heavy.select("doc").union(tied.filter(F.col("b").isNull()).select("a")).distinct()
+    return clusters, _small(crowded, "jaccard-crowded", parts)
 
 
 def _linked(units, percent, words):
@@ -246,21 +321,30 @@ def _linked(units, percent, words):
     return stored(spread.sortWithinPartitions("unit", "side", "doc").mapInArrow(compare, schema), "jaccard-links")[0]
 
 
-def _texts(docs, nodes, id_col, text_col):
-    """Nodes with their text. A filter of fixed size dismisses most other documents before the join."""
-    spark = docs.sparkSession
-    place = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).cast("int")
-    taken = nodes.select(place.alias("place")).distinct().toArrow()["place"].to_numpy()
+def _held(rows, others, columns):
+    """Rows that may have an equal one among others in the columns, by a filter of fixed size: whether they have."""
+    spark = rows.sparkSession
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS)).cast("int")
     known = np.zeros(1 << FILTER_BITS, dtype=bool)
-    known[taken] = True
+    known[others.select(place.alias("place")).distinct().coalesce(CHUNKS).toArrow()["place"].to_numpy()] = True
     shared = spark.sparkContext.broadcast(known)
 
     @F.arrow_udf(T.BooleanType())
-    def may_be_node(places: pa.Array) -> pa.Array:
+    def held(places: pa.Array) -> pa.Array:
         return pa.array(shared.value[places.to_numpy(zero_copy_only=False)])
 
+    return held(place)
+
+
+def _meet(rows, nodes):
+    """The join by document, which shuffles few other rows."""
+    return rows.filter(_held(rows, nodes, ["doc"])).join(nodes, "doc")
+
+
+def _texts(docs, nodes, id_col, text_col):
+    """Nodes with their text."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull())
-    return rows.filter(may_be_node(place)).join(nodes, "doc")
+    return _meet(rows, nodes)
 
 
 def _blocked(nodes, unit_sets):
@@ -327,7 +411,7 @@ def _possible(near, members, percent, words):
     return stored(near.filter(may_link("n1", "bitmap1", "n2", "bitmap2")).select("a", "b").distinct(), "jaccard-possible")[0]
 
 
-def _across_blocks(nodes, members, found, shared, crowded, percent, words, unit_sets):
+def _across_blocks(nodes, members, found, classes, crowded, percent, words, unit_sets):
     """Links of the clusters of several blocks.
 
     First between one document per class found so far. Then between documents of different classes: those that
@@ -340,10 +424,11 @@ def _across_blocks(nodes, members, found, shared, crowded, percent, words, unit_
     heads = _blocked(heads, unit_sets).join(one, "cluster")
     unit = F.concat_ws("|", "cluster", F.when(F.col("one"), F.lit("")).otherwise(F.col("block")))
     heads = heads.select("doc", "label", unit.alias("unit"), alone)
-    found = found.union(_linked(members.join(heads, "doc"), percent, words))
+    found = found.union(_linked(_meet(members, heads), percent, words))
     release_shuffles(nodes.sparkSession)
     labelled = _labels(nodes, found)
-    near = _partners(shared.join(labelled.select("doc", "label"), "doc"), percent, "label")
+    # Labels join whole prefixes. Partners are of one cluster, so that no others' shingles are needed.
+    near = _partners(_shared(_meet(classes, labelled.select("doc", "label")), "label"), percent, "label")
     near = near.select(F.col("doc").alias("a"), F.explode("partners.doc").alias("b")).distinct()
     near = _possible(near, members, percent, words)
     # A document with very many partners meets them in parts.
@@ -353,7 +438,7 @@ def _across_blocks(nodes, members, found, shared, crowded, percent, words, unit_
     near, _ = stored(near, "jaccard-pairs")
     sides = near.select("unit", F.lit(0).alias("side"), F.col("a").alias("doc")).distinct()
     sides = sides.union(near.select("unit", F.lit(1), "b")).join(labelled.select("doc", "label"), "doc")
-    found = found.union(_linked(members.join(sides, "doc"), percent, words))
+    found = found.union(_linked(_meet(members, sides), percent, words))
     release_shuffles(nodes.sparkSession)
     labelled = labelled.join(crowded, "doc", "left_semi")
     if labelled.isEmpty():
@@ -369,7 +454,7 @@ def _across_blocks(nodes, members, found, shared, crowded, percent, words, unit_
     both = F.posexplode(F.array("block", "block2")).alias("side", "block")
     pairs = pairs.select("cluster", F.concat_ws("|", "cluster", "block", "block2").alias("unit"), both)
     units = labelled.select("doc", "label", "cluster", "block").join(pairs, ["cluster", "block"]).drop("cluster", "block")
-    return found.union(_linked(members.join(units, "doc"), percent, words))
+    return found.union(_linked(_meet(members, units), percent, words))
 
 
 def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", unit_sets=UNIT_SETS):
@@ -377,26 +462,29 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     spark = docs.sparkSession
     level = shingle_levels(bucket_counts(docs, text_col, words))
     sets, _ = stored(prefixes(docs, level, percent, words, id_col, text_col), "jaccard-sets")
-    id_type = docs.schema[id_col].dataType
+    parts = max(LEAST_PARTS, -(-sets.count() // PART_ROWS))
     filled = sets.filter((F.col("n_shingles") > 0) & F.col("doc").isNotNull())
     heads = filled.groupBy(*_CLASS).agg(F.min("doc").alias("head"), F.count("*").alias("copies"))
-    heads, _ = stored(heads, "jaccard-classes")
-    classes = filled.join(heads, [*_CLASS]).filter(F.col("doc") == F.col("head"))
-    classes, prefix_path = stored(classes.select("doc", "n_shingles", "usual", "heavy"), "jaccard-prefixes")
+    heads = _small(heads, "jaccard-classes", parts)
+    # Copies are few next to all sets: a filter finds them, so that other prefixes are not shuffled to find their class.
+    copies = filled.select("doc", *_CLASS).join(heads.filter("copies > 1").drop("copies"), [*_CLASS]).filter(F.col("doc") != F.col("head"))
+    copies = _small(copies.distinct(), "jaccard-copies", parts)
+    may_be_copy = _held(filled, copies, ["doc", *_CLASS])
+    classes = filled.filter(may_be_copy).join(copies, ["doc", *_CLASS], "left_anti").unionByName(filled.filter(~may_be_copy))
+    classes = classes.select("doc", "n_shingles", "usual", "heavy")
     release_shuffles(spark)
-    clusters, shared, crowded = _clusters(classes, percent)
+    clusters, crowded = _clusters(classes, percent, parts)
     release_shuffles(spark)
-    drop_path(spark, prefix_path)
     # A document with several texts is one node: its sets are linked through its id.
     nodes = heads.groupBy(F.col("head").alias("doc")).agg(F.max("n_shingles").alias("n"))
     nodes = nodes.join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
-    nodes, _ = stored(nodes, "jaccard-nodes")
+    nodes = _small(nodes, "jaccard-nodes", parts)
     sizes = nodes.groupBy("cluster").agg(((F.count("*") > unit_sets) | (F.sum("n") > UNIT_SHINGLES)).alias("large"))
-    sizes, _ = stored(sizes, "jaccard-sizes")
+    sizes = _small(sizes, "jaccard-sizes", parts)
     nodes = nodes.join(sizes, "cluster")
     small = nodes.filter("not large").withColumn("block", F.lit(""))
     nodes = small.unionByName(_blocked(nodes.filter("large"), unit_sets))
-    nodes, _ = stored(nodes, "jaccard-nodes", ["large"])
+    nodes, _ = stored(nodes.coalesce(parts), "jaccard-nodes", ["large"])
     unit = F.concat_ws("|", "cluster", "block")
     members, _ = stored(_texts(docs, nodes.select("doc", "large", unit.alias("unit")), id_col, text_col), "jaccard-texts", ["large"])
     units = members.withColumns({"side": F.lit(None).cast("int"), "label": F.col("doc")})
@@ -406,9 +494,9 @@ def join(docs, percent=PERCENT, words=WORDS, id_col="doc_id", text_col="text", u
     large = nodes.filter("large").drop("large")
     if not large.isEmpty():
         members = members.filter("large").select("doc", "text")
-        found = _across_blocks(large, members, found, shared, crowded, percent, words, unit_sets)
-    same = filled.join(heads.filter("copies > 1"), [*_CLASS]).select(F.col("head").alias("a"), F.col("doc").alias("b"))
-    classes, _ = stored(components(found.union(same)), "jaccard-components")
+        found = _across_blocks(large, members, found, classes, crowded, percent, words, unit_sets)
+    same = copies.select(F.col("head").alias("a"), F.col("doc").alias("b"))
+    classes = _small(components(found.union(same)), "jaccard-components", parts)
     classes = classes.select(F.col("node").alias("doc"), "component")
     joined = sets.select("doc", *_CLASS).join(classes, "doc", "left")
     return joined.select(

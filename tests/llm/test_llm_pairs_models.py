@@ -10,8 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from reduxlab.llm import components as component_module
 from reduxlab.llm import jaccard_join, pitman_yor, signature_tree, toxicity, vector_search, warc
 
 
@@ -70,6 +72,30 @@ def test_jaccard_join_as_brute_force(spark, monkeypatch, unit_sets, heavy, few):
     assert found == brute_classes(rows)
 
 
+def test_shingles_get_their_labels_before_they_are_exploded(spark, monkeypatch):
+    plans, partners = [], jaccard_join._partners
+
+    def seen(rows, *options):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return partners(rows, *options)
+
+    monkeypatch.setattr(jaccard_join, "_partners", seen)
+    rows = list(enumerate(families(1, 6, copies=20)))
+    found = jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string"), unit_sets=3).collect()
+    assert len(found) == len(rows)
+    # The nodes of a plan come from the last one to the first: no join sees single shingles.
+    assert plans and all("Join" in plan and plan.index("Generate") < plan.index("Join") for plan in plans)
+
+
+def test_long_chains_take_few_passes(spark, monkeypatch):
+    passes, stored = [], component_module.stored
+    monkeypatch.setattr(component_module, "stored", lambda df, label: passes.append(label) or stored(df, label))
+    edges = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(4)
+    found = component_module.components(edges)
+    assert found.count() == 3001 and found.agg(F.max("component")).first()[0] == 0
+    assert len(passes) <= 1 + 3 * 4
+
+
 def test_one_of_each_class_stays(spark):
     rows = [(5, "a b c d e f", "x"), (2, "A b c d e f", "y"), (9, "other words", "z"), (None, "a b c d e f", "n"), (7, None, "e"), (8, "", "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
