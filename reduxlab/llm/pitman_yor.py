@@ -8,7 +8,8 @@ restaurant process given all other seats; large groups take their seats in leaps
 After the burn-in, the predictive probabilities of the samples are averaged.
 
 Everything about a word lies in one bucket of its hash: counts, tables and predictions. After every sweep the buckets
-send what they hold of each context to shards of contexts and get back its totals over all buckets. Documents are read once, in blocks that are coded by a
+send what they hold of each context to shards of contexts, which know the places of its hashes since the first
+seating, and get back its totals over all buckets. Documents are read once, in blocks that are coded by a
 dictionary of their own; a block sends its distinct (word, context) pairs to the buckets and gets their
 predictions back, so tokens themselves are never shuffled.
 
@@ -17,6 +18,7 @@ training; without any training token every token has the base probability of an
 """
 
 import copy
+import functools
 import pickle
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,8 @@ STRENGTH = (10.0, 10.0)
 BLOCK_TOKENS = 1_500_000
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 12
+#: Buckets are gathered and answered in so many parts, one after the other.
+PARTS = 4
 #: Hashes of the end and of the beginning of a text.
 END, BEGIN = np.uint64(1), np.uint64(0)
 
@@ -275,17 +280,16 @@ def _seated(counts, discount, opens, rng):
 
 _SCALARS = ("root_customers", "root_tables", "tokens", "known")
 _STATE = f"bucket int, state binary, sums array<binary>, {', '.join(f'{c} long' for c in _SCALARS)}, few array<long>"
+#: What no sweep changes: words, contexts and counts of the pairs, and the hashes of the contexts by shard.
+_FIXED = "fixed binary, hashes array<binary>"
 
 
-def _state_batch(bucket, seating, contexts, customers, samples, shards):
-    """One row: the seating, and per shard of contexts what this bucket holds of them; customers only as long as totals are unknown."""
+def _state_batch(bucket, seating, cuts, customers, samples):
+    """One row: the seats, and per shard of contexts what this bucket holds of them; customers only as long as totals are unknown."""
     s = seating.summary()
-    state = packed(
-        seating.word.astype(np.int32), seating.context.astype(np.int32), seating.count, seating.tables, seating.root, customers, samples
-    )
+    state = packed(seating.tables, seating.root, customers, samples)
     held = [s["tables"]] if customers is not None else [s["tables"], s["customers"]]
-    cuts = np.searchsorted(bucket_of(contexts, shards), np.arange(shards + 1))
-    sums = [packed(contexts[lo:hi], [h[lo:hi] for h in held]) if hi > lo else None for lo, hi in zip(cuts[:-1], cuts[1:])]
+    sums = [packed(*[h[lo:hi] for h in held]) if hi > lo else None for lo, hi in zip(cuts[:-1], cuts[1:])]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([bucket], pa.int32()),
@@ -298,16 +302,16 @@ def _state_batch(bucket, seating, contexts, customers, samples, shards):
     )
 
 
-def _restored(state, sums, replies):
-    """The seating of a bucket, the hashes of its contexts, their customers and tables over all buckets, and the samples."""
-    word, context, count, tables, root, customers, samples = unpacked(state)
-    contexts = np.concatenate([unpacked(held)[0] for held in sums if held])
+def _restored(fixed, state, replies):
+    """The seating of a bucket, the cuts of its contexts into shards, their customers and tables over all buckets, and the samples."""
+    word, context, count, cuts = unpacked(fixed)
+    tables, root, customers, samples = unpacked(state)
     seating = Seating.__new__(Seating)
     seating.word, seating.context, seating.count = word.astype(np.int64), context.astype(np.int64), count
-    seating.tables, seating.root, seating.words, seating.contexts = tables, root, len(root), len(contexts)
+    seating.tables, seating.root, seating.words, seating.contexts = tables, root, len(root), int(cuts[-1])
     parts = [unpacked(r["payload"]) for r in sorted(replies, key=lambda r: r["shard"])]
     totals = [np.concatenate(part) for part in zip(*parts)]
-    return seating, contexts, totals[1] if customers is None else customers, totals[0], samples
+    return seating, cuts, totals[1] if customers is None else customers, totals[0], samples
 
 
 def _totals(states):
@@ -317,93 +321,99 @@ def _totals(states):
     return Totals({**row.asDict(), "customers": [], "tables": []})
 
 
-def _with_context_totals(states):
-    """(bucket, state, sums, replies): the totals over all buckets of the contexts of each bucket, per shard in the bucket's order."""
+def _places(begun):
+    """(shard, bucket, place): where the contexts of each bucket lie among all contexts of a shard."""
 
-    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, parts = [], []
+    def placed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, hashes = [], []
         for batch in batches:
             buckets += batch.column("bucket").to_pylist()
-            parts += [unpacked(p.as_py()) for p in batch.column("payload")]
-        contexts, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        sums = [
-            np.bincount(place, weights=np.concatenate(held), minlength=len(contexts)).astype(np.int64) for held in zip(*[p[1] for p in parts])
-        ]
-        begin = 0
-        for bucket, (own, _) in zip(buckets, parts):
-            mine = place[begin : begin + len(own)]
-            begin += len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([packed(*[x[mine] for x in sums])], pa.binary())],
-                ["bucket", "shard", "payload"],
-            )
+            hashes += [unpacked(p.as_py())[0] for p in batch.column("hashes")]
+        place = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.uint32)
+        ends = np.cumsum([len(h) for h in hashes])[:-1]
+        for bucket, mine in zip(buckets, np.split(place, ends)):
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bucket], pa.int32()), pa.array([packed(mine)])], ["shard", "bucket", "place"])
+
+    sent = begun.select("bucket", F.posexplode("hashes").alias("shard", "hashes")).filter("hashes is not null")
+    return sent.groupBy("shard").applyInArrow(placed, "shard int, bucket int, place binary")
+
+
+def _with_context_totals(states, fixed, places):
+    """(bucket, fixed, state, replies): the totals over all buckets of the contexts of each bucket, per shard in the bucket's order."""
+
+    def added(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(left.column("bucket").to_pylist(), left.column("payload").to_pylist()))
+        buckets = right.column("bucket").to_pylist()
+        place = [unpacked(p)[0] for p in right.column("place").to_pylist()]
+        parts = [unpacked(held[b]) for b in buckets]
+        at = np.concatenate(place)
+        sums = [np.bincount(at, weights=np.concatenate(h)).astype(np.int64) for h in zip(*parts)]
+        replies = pa.array([packed(*[x[mine] for x in sums]) for mine in place], pa.binary())
+        return pa.table([pa.array(buckets, pa.int32()), pa.array([key[0].as_py()] * len(buckets), pa.int32()), replies], ["bucket", "shard", "payload"])
 
     sent = states.select("bucket", F.posexplode("sums").alias("shard", "payload")).filter("payload is not null")
-    replies = sent.groupBy("shard").applyInArrow(added, "bucket int, shard int, payload binary")
+    replies = sent.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(added, "bucket int, shard int, payload binary")
     replies = replies.groupBy("bucket").agg(F.collect_list(F.struct("shard", "payload")).alias("replies"))
-    return states.select("bucket", "state", "sums").join(replies, "bucket").select("bucket", "state", "sums", "replies")
+    both = fixed.select("bucket", "fixed").join(states.select("bucket", "state"), "bucket")
+    return both.join(replies, "bucket").select("bucket", "fixed", "state", "replies")
 
 
 def _begin(requests, shards):
-    """Per bucket: the requests of all blocks as one row, and the first seating."""
+    """Per bucket: the first seating from the requests of all blocks, and what no sweep changes."""
 
     def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, payloads = [], []
-        for batch in batches:
-            blocks += batch.column("block").to_pylist()
-            payloads += batch.column("payload").to_pylist()
-        order = np.argsort(np.array(blocks), kind="stable").tolist()
-        payloads, blocks = [payloads[k] for k in order], [blocks[k] for k in order]
+        payloads = [p for batch in batches for p in batch.column("payload").to_pylist()]
         _, words, _, contexts, pairs, _, counts = _merged(payloads)
-        first = _state_batch(key[0].as_py(), Seating(pairs, counts, len(words), len(contexts)), contexts, None, [], shards)
-        asked = pa.array([pickle.dumps((blocks, payloads), protocol=5)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*first.columns, asked], [*first.schema.names, "asked"])
+        seating = Seating(pairs, counts, len(words), len(contexts))
+        cuts = np.searchsorted(bucket_of(contexts, shards), np.arange(shards + 1))
+        first = _state_batch(key[0].as_py(), seating, cuts, None, [])
+        fixed = packed(seating.word.astype(np.int32), seating.context.astype(np.int32), counts, cuts)
+        hashes = [packed(contexts[lo:hi]) if hi > lo else None for lo, hi in zip(cuts[:-1], cuts[1:])]
+        more = [pa.array([fixed], pa.binary()), pa.array([hashes], pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*first.columns, *more], [*first.schema.names, "fixed", "hashes"])
 
-    return requests.select("bucket", "block", "payload").groupBy("bucket").applyInArrow(gather, _STATE + ", asked binary")
+    return requests.select("bucket", "payload").groupBy("bucket").applyInArrow(gather, f"{_STATE}, {_FIXED}")
 
 
-def _swept(states, totals, number, burn_in, seed, shards):
+def _swept(states, fixed, places, totals, number, burn_in, seed):
     def run(batches):
         for batch in batches:
             for bucket, *held in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
-                seating, contexts, customers, tables, samples = _restored(*(h.as_py() for h in held))
+                seating, cuts, customers, tables, samples = _restored(*(h.as_py() for h in held))
                 # The totals are those of the sweep before.
                 if number > burn_in:
                     samples = [*samples, (seating.tables.copy(), seating.root.copy(), tables)]
                 seating.sweep(totals.of(customers, tables), np.random.default_rng([seed, number, bucket]))
-                yield _state_batch(bucket, seating, contexts, customers, samples, shards)
+                yield _state_batch(bucket, seating, cuts, customers, samples)
 
-    return _with_context_totals(states).mapInArrow(run, _STATE)
+    return _with_context_totals(states, fixed, places).mapInArrow(run, _STATE)
 
 
-def _answers(states, asked, sample_totals):
+def _answers(last, requests, sample_totals):
     """(block, bucket, payload): log10 of the averaged predictions of the asked pairs, and training counts of the words."""
 
-    def run(batches):
-        for batch in batches:
-            for bucket, *held, request in zip(*batch.columns):
-                bucket = bucket.as_py()
-                blocks, payloads = pickle.loads(request.as_py())
-                requests, _, word, _, _, pair, _ = _merged(payloads)
-                seating, _, customers, last, samples = _restored(*(h.as_py() for h in held))
-                samples = [*samples, (seating.tables, seating.root, last)]
-                counts = np.bincount(seating.word, weights=seating.count, minlength=seating.words).astype(np.uint32)
-                average = np.zeros(len(seating.word))
-                for (tables, root, of_contexts), totals in zip(samples, sample_totals):
-                    seating.tables, seating.root = tables, root
-                    average += seating.predictive(totals.of(customers, of_contexts))
-                score = np.log10(average / len(samples))
-                at_word = at_pair = 0
-                for block, (own, _, _, place, _) in zip(blocks, requests):
-                    reply = packed(score[pair[at_pair : at_pair + len(place)]], counts[word[at_word : at_word + len(own)]])
-                    at_word, at_pair = at_word + len(own), at_pair + len(place)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([reply], pa.binary())],
-                        ["block", "bucket", "payload"],
-                    )
-
-    both = _with_context_totals(states).join(asked.select("bucket", "asked"), "bucket").select("bucket", "state", "sums", "replies", "asked")
-    return both.mapInArrow(run, "block long, bucket int, payload binary")
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["block", "bucket", "payload"])
+        blocks, payloads = left.column("block").to_pylist(), left.column("payload").to_pylist()
+        asked, _, word, _, _, pair, _ = _merged(payloads)
+        seating, _, customers, tables, samples = _restored(*(right.column(c)[0].as_py() for c in ("fixed", "state", "replies")))
+        samples = [*samples, (seating.tables, seating.root, tables)]
+        counts = np.bincount(seating.word, weights=seating.count, minlength=seating.words).astype(np.uint32)
+        average = np.zeros(len(seating.word))
+        for (seats, root, of_contexts), totals in zip(samples, sample_totals):
+            seating.tables, seating.root = seats, root
+            average += seating.predictive(totals.of(customers, of_contexts))
+        score = np.log10(average / len(samples))
+        at_word = at_pair = 0
+        replies = []
+        for own, _, _, place, _ in asked:
+            replies.append(packed(score[pair[at_pair : at_pair + len(place)]], counts[word[at_word : at_word + len(own)]]))
+            at_word, at_pair = at_word + len(own), at_pair + len(place)
+        return pa.table([pa.array(blocks, pa.int64()), pa.array([key[0].as_py()] * len(blocks), pa.int32()), pa.array(replies, pa.binary())], ["block", "bucket", "payload"])
+
+    both = requests.select("bucket", "block", "payload").groupBy("bucket").cogroup(last.groupBy("bucket"))
+    return both.applyInArrow(run, "block long, bucket int, payload binary")
 
 
 def _scored(blocks, answers, totals, id_type):
@@ -449,22 +459,44 @@ def score(docs, id_col="doc_id", text_col="text", burn_in=BURN_IN, samples=SAMPL
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = int(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
-    coded, path = stored(_blocks(docs, buckets, id_col, text_col), "lm-blocks", ["kind"])
-    begun, _ = stored(_begin(coded.filter("kind = 1"), buckets), "lm-requests")
-    drop_path(spark, f"{path}/kind=1")
-    release_shuffles(spark)
-    states, totals, sample_totals, last = begun, _totals(begun) if not begun.isEmpty() else None, [], None
+    part = F.floor(F.greatest("bucket", F.lit(0)) * PARTS / buckets).cast("int").alias("part")
+    coded, path = stored(_blocks(docs, buckets, id_col, text_col).select("*", part), "lm-blocks", ["kind", "part"])
+    # Requests are gathered by one part of the buckets after the other, so that their shuffle stays small next to the text.
+    begun, paths = [], []
+    for number in range(PARTS):
+        found, place = stored(_begin(coded.filter(f"kind = 1 and part = {number}"), buckets), "lm-begun")
+        begun.append(found)
+        paths.append(place)
+        release_shuffles(spark)
+    begun = functools.reduce(DataFrame.union, begun)
+    totals, sample_totals, last, answers = None if begun.isEmpty() else _totals(begun), [], None, None
+    if totals:
+        places, _ = stored(_places(begun), "lm-places")
+        fixed, fixed_path = stored(begun.select("bucket", "fixed"), "lm-fixed")
+        states = begun
+        release_shuffles(spark)
     for number in range(burn_in + samples if totals else 0):
-        states, seats = stored(_swept(states, totals, number, burn_in, seed, buckets), "lm-seats")
-        if last:
-            drop_path(spark, last)
+        states, seats = stored(_swept(states, fixed, places, totals, number, burn_in, seed), "lm-seats")
+        for old in [last] if last else paths:
+            drop_path(spark, old)
         last, totals = seats, _totals(states)
         release_shuffles(spark)
         if number >= burn_in:
             sample_totals.append(totals)
+    for number in range(PARTS if totals else 0):
+        mine = F.floor(F.col("bucket") * PARTS / buckets) == number
+        of_part = _with_context_totals(states, fixed, places).filter(mine)
+        found = _answers(of_part, coded.filter(f"kind = 1 and part = {number}"), sample_totals)
+        found, _ = stored(found, "lm-answers")
+        answers = answers.union(found) if answers else found
+        drop_path(spark, f"{path}/kind=1/part={number}")
+        release_shuffles(spark)
+    # Scores need the answers only.
+    for old in [fixed_path, last] if sample_totals else []:
+        drop_path(spark, old)
     if not totals:
         totals = Totals({"customers": [], "tables": [], "root_customers": 0, "root_tables": 0, "tokens": 0, "known": 0, "few": [0] * 4})
-    answers = _answers(states, begun, sample_totals)
+        answers = coded.select("block", "bucket", "payload").limit(0)
     blocks = spark.read.schema("bucket int, block long, payload binary").parquet(path + "/kind=0") if sample_totals else coded
     found = _scored(blocks, answers, totals, docs.schema[id_col].dataType)
     return found.withColumnRenamed("doc", id_col)

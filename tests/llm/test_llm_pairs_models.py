@@ -243,6 +243,23 @@ def test_predictions_of_a_context_add_up_to_one():
         assert np.allclose(chance.sum(axis=0) + new, 1)
 
 
+def test_sweeps_do_not_send_hashes_again(spark, monkeypatch):
+    sent, stored = [], pitman_yor.stored
+
+    def seen(df, label, *options):
+        rows, path = stored(df, label, *options)
+        if label == "lm-seats":
+            sent.append(rows.select(F.explode("sums").alias("held")).agg(F.sum(F.length("held"))).first()[0])
+        return rows, path
+
+    monkeypatch.setattr(pitman_yor, "stored", seen)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for i in range(100)]
+    assert pitman_yor.report(spark.createDataFrame(rows, "doc_id long, text string")).count() == 100
+    # About 30000 pairs, nearly each of a context that its bucket has once: a hash alone would take eight bytes.
+    assert sent and max(sent) < 60_000
+
+
 def test_contexts_are_whole_words(spark):
     # All first words end alike, so only the whole word tells which one follows.
     rng = random.Random(9)
