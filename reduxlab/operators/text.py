@@ -3,9 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions import folds
 from ..session import scratch_path, stored
@@ -63,22 +65,33 @@ def token_list(text_col, stop_words):
 def term_statistics(df, text_col="text", stop_words=()):
     """term, total count and number of documents, in one scan and one small shuffle.
 
-    Every row contributes its tokens and its distinct tokens, so no (document, term) pairs are
-    shuffled; both counts are added up before the exchange.
+    Tokens are counted batch by batch before they become rows, and both counts are added up
+    before the exchange.
     """
     words = df.select(token_list(text_col, stop_words).alias("words"))
-    marks = F.concat(
-        F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("uses"), F.lit(0).alias("docs"))),
-        F.transform(
-            F.array_distinct("words"),
-            lambda w: F.struct(w.alias("term"), F.lit(0).alias("uses"), F.lit(1).alias("docs")),
-        ),
-    )
-    return (
-        words.select(F.explode(marks).alias("m"))
-        .groupBy("m.term")
-        .agg(F.sum("m.uses").alias("uses"), F.sum("m.docs").alias("docs"))
-    )
+    counted = words.mapInArrow(count_terms, "term string, uses long, docs long")
+    return counted.groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
+
+
+def count_terms(batches):
+    """Batches of token lists -> (term, uses, docs) of each."""
+    for batch in batches:
+        terms, _, code, uses = counted_cells(batch.column("words"))
+        if len(terms):
+            total = np.bincount(code, weights=uses, minlength=len(terms)).astype(np.int64)
+            docs = np.bincount(code, minlength=len(terms))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(total), pa.array(docs)], ["term", "uses", "docs"])
+
+
+def counted_cells(words):
+    """Distinct terms of token lists, and the (row, term number, uses) that occur, row by row."""
+    coded = words.flatten().dictionary_encode()
+    terms = coded.dictionary
+    lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, len(terms))
+    cell, uses = np.unique(np.repeat(np.arange(len(words)), lengths) * width + codes, return_counts=True)
+    return terms, *np.divmod(cell, width), uses
 
 
 class TfIdf:
@@ -108,28 +121,80 @@ class TfIdf:
         )
 
     def _by_join(self, df, text_col, stop_words):
-        """For a vocabulary too large to broadcast: join on the term, collect by row.
+        """For a vocabulary too large to broadcast: join it to the distinct terms of every batch of rows.
 
-        Rows are numbered once and written, so equal rows stay apart and only numbers and terms are shuffled.
+        Batches are packed and written once, so equal rows stay apart. Pairs of row and term are never rows:
+        a term meets the vocabulary once per batch, and the packed batch moves once, to the terms found for it.
         """
-        rows, _ = stored(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
-        words = rows.select("_row", F.explode(token_list(text_col, stop_words)).alias("term"))
-        weight = F.struct("idx", (F.col("uses") * F.col("idf")).alias("val"))
-        weights = (
-            words.groupBy("_row", "term")
-            .agg(F.count("*").alias("uses"))
-            .join(self.table, "term")
-            .groupBy("_row")
-            .agg(F.sort_array(F.collect_list(weight)).alias("_w"))
-        )
-        raw = F.transform("_w", lambda e: e["val"])
-        length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
-        weights = weights.select(
-            "_row", F.transform("_w", lambda e: e["idx"]).alias("idx"), F.transform(raw, lambda v: v / length).alias("val")
+        others = df.drop(text_col)
+        words = df.withColumn("_words", token_list(text_col, stop_words)).drop(text_col)
+        packed, _ = stored(words.mapInArrow(pack_rows, _PACKED), "texts")
+        terms = packed.select(F.col("block").alias("of"), F.posexplode("terms").alias("code", "term"))
+        known = terms.join(self.table, "term").select("of", "code", "idx", "idf")
+        rows = packed.select("block", "n_terms", "n_rows", "others", "counts")
+        schema = StructType(others.schema.fields).add("idx", ArrayType(IntegerType())).add("val", ArrayType(DoubleType()))
+        return rows.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(weigh_block, schema)
+
+
+# A batch of rows: its distinct terms, its columns but the words, and what counts its terms.
+_PACKED = "block long, terms array<string>, n_terms int, n_rows int, others binary, counts binary"
+
+
+def _pack(batch):
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed):
+    return pa.ipc.open_stream(packed).read_all()
+
+
+def pack_rows(batches):
+    """Batches with token lists `_words` -> one row of _PACKED each.
+
+    (row, term) cells are numbered row by row; their steps and uses are small numbers, which compress well.
+    """
+    block = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        terms, row, code, uses = counted_cells(batch.column("_words"))
+        steps = np.diff(row * max(1, len(terms)) + code, prepend=0)
+        small = [pa.array(v.astype(np.min_scalar_type(v.max(initial=0)))) for v in (steps, uses)]
+        others = batch.select([c for c in batch.schema.names if c != "_words"])
+        counts = pa.RecordBatch.from_arrays(small, ["step", "uses"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
+                pa.array([len(terms)], pa.int32()),
+                pa.array([batch.num_rows], pa.int32()),
+                pa.array([_pack(others)], pa.binary()),
+                pa.array([_pack(counts)], pa.binary()),
+            ],
+            ["block", "terms", "n_terms", "n_rows", "others", "counts"],
         )
-        out = rows.drop(text_col).join(weights, "_row", "left").drop("_row")
-        none = {"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")}
-        return out.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
+        block += 1
+
+
+def weigh_block(packed: pa.Table, known: pa.Table) -> pa.Table:
+    """A packed batch and those of its terms that the vocabulary has -> its rows with idx and val."""
+    block = packed.to_pylist()[0]
+    place, idf = np.full(block["n_terms"], -1), np.zeros(block["n_terms"])
+    code = known["code"].to_numpy()
+    place[code], idf[code] = known["idx"].to_numpy(), known["idf"].to_numpy()
+    counts = _unpack(block["counts"])
+    cell = np.cumsum(counts["step"].to_numpy(), dtype=np.int64)
+    row, code = np.divmod(cell, max(1, block["n_terms"]))
+    kept = np.flatnonzero(place[code] >= 0)
+    kept = kept[np.lexsort((place[code[kept]], row[kept]))]
+    row, code = row[kept], code[kept]
+    made = _unit_rows(block["n_rows"], row, place[code], counts["uses"].to_numpy()[kept] * idf[code])
+    others = _unpack(block["others"])
+    columns = [*others.columns, made.field("idx"), made.field("val")]
+    return pa.Table.from_arrays(columns, [*others.schema.names, "idx", "val"])
 
 
 def weigh_rows(words, vocabulary, idf):
@@ -142,7 +207,11 @@ def weigh_rows(words, vocabulary, idf):
     idx = place.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
     cell, uses = np.unique(row * len(idf) + idx, return_counts=True)
     row, idx = np.divmod(cell, len(idf))
-    value = uses * idf[idx]
+    return _unit_rows(rows, row, idx, uses * idf[idx])
+
+
+def _unit_rows(rows, row, idx, value):
+    """Weights sorted by (row, idx) -> lists of every row, of unit length."""
     length = np.sqrt(np.bincount(row, weights=value * value, minlength=rows))
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
     return pa.StructArray.from_arrays(

@@ -55,6 +55,23 @@ def test_repeated_rows_stay_on_both_paths(spark):
     assert found[0] == found[1] and len(found[0]) == 7 and sum(row[0] == 1 for row in found[0]) == 3
 
 
+def test_terms_are_counted_and_joined_once_per_batch(spark, monkeypatch):
+    rows = [(i, f"one two two word{i % 3}" if i % 10 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    words = docs.select(text.token_list("text", ()).alias("words"))
+    counted = words.mapInArrow(text.count_terms, "term string, uses long, docs long").collect()
+    assert len(counted) == 5
+    expected = {"one": (270, 270), "two": (540, 270), "word0": (90, 90), "word1": (90, 90), "word2": (90, 90)}
+    found = {r["term"]: (r["uses"], r["docs"]) for r in text.term_statistics(docs).collect()}
+    assert found == expected
+    kept, keep = [], text.stored
+    monkeypatch.setattr(text, "stored", lambda *given: kept.append(keep(*given)) or kept[-1])
+    out = text.fit_tfidf(docs, min_df=1, max_features=None).transform(docs)
+    packed = kept[0][0].collect()
+    assert len(packed) == 1 and sorted(packed[0]["terms"]) == sorted(expected)
+    assert sorted(len(r["idx"]) for r in out.collect()) == [0] * 30 + [3] * 270
+
+
 def test_default_stop_words(spark):
     assert {"the", "and", "of"} <= set(text.english_stop_words())
 
