@@ -72,6 +72,25 @@ def test_terms_are_counted_and_joined_once_per_batch(spark, monkeypatch):
     assert sorted(len(r["idx"]) for r in out.collect()) == [0] * 30 + [3] * 270
 
 
+def test_copies_with_all_their_columns_travel_packed(spark, monkeypatch):
+    docs = spark.sql(
+        "SELECT id % 4 AS id, IF(id % 4 = 3, NULL, array(id % 4, NULL)) AS tags, timestamp'2020-01-01' AS at,"
+        " concat('one two two more', id % 4) AS text FROM range(0, 2000, 1, 1)"
+    )
+    kept, keep = [], text.stored
+    monkeypatch.setattr(text, "stored", lambda *given: kept.append(keep(*given)) or kept[-1])
+    model = text.fit_tfidf(docs, min_df=1, max_features=None)
+    out = model.transform(docs)
+    assert out.columns == ["id", "tags", "at", "idx", "val"] and out.schema["at"] == docs.schema["at"]
+    found = out.groupBy("id", "tags", "at", "idx").count().collect()
+    assert sorted((r["id"], r["tags"], r["idx"], r["count"]) for r in found) == [
+        (i, None if i == 3 else [i, None], [i, 4, 5], 500) for i in range(4)
+    ]
+    packed = kept[0][0].collect()
+    assert len(packed) == 1 and len(packed[0]["others"]) + len(packed[0]["counts"]) < 2000 * 6
+    assert model.transform(docs.select("text")).select("idx").distinct().count() == 4
+
+
 def test_default_stop_words(spark):
     assert {"the", "and", "of"} <= set(text.english_stop_words())
 
