@@ -80,6 +80,11 @@ def stand_in(metric, left, right):
     return out
 
 
+def compared(metric, left, right):
+    """Stand-ins for the choice of candidates, and per left row what they may be off."""
+    return stand_in(metric, left, right), rounding(metric, left, right)
+
+
 def as_stand_in(metric, distance):
     return distance * distance if metric == EUCLIDEAN else distance - 1.0 if metric == COSINE else distance
 

@@ -8,6 +8,7 @@ Three ways, chosen by counted sizes, give the same rows:
   rules out for a query are never sent to it (`cells.py`).
 """
 
+import math
 from typing import Iterator, Tuple
 
 import numpy as np
@@ -46,25 +47,39 @@ class _Best:
         self.found = np.empty(0, dtype=np.int64)
         self.label = np.empty(0, dtype=np.int32)
         self.bound = np.full(len(rows), np.inf)
+        # Candidates that are not ranked yet.
+        self.new, self.waiting = [], 0
 
-    def see(self, base):
+    def see(self, base, asking=None):
+        """Compare the queries, or those numbered in `asking`, with a slice of the base."""
         ids, labels, vectors, right = base
-        mine = self.rows.to_matrix(self.width)
+        asking = np.arange(len(self.bound)) if asking is None else asking
+        mine = self.rows.take(asking).to_matrix(self.width)
         left = distances.left_form(self.metric, mine)
-        near = distances.stand_in(self.metric, left, right)
-        slack = 2.0 * distances.rounding(self.metric, left, right)
-        limit = distances.as_stand_in(self.metric, self.bound) + slack
-        close = near <= limit[:, None]
+        near, noise = distances.compared(self.metric, left, right)
+        slack = 2.0 * noise
+        limit = distances.as_stand_in(self.metric, self.bound[asking]) + slack
+        close = near <= limit.astype(near.dtype)[:, None]
         if len(ids) > self.k and np.count_nonzero(close) > 4 * self.k * len(near):
             kth = np.partition(near, self.k - 1, axis=1)[:, self.k - 1]
-            close = near <= np.minimum(limit, kth + slack)[:, None]
-        q, b = np.nonzero(close)
+            close = near <= np.minimum(limit, kth + slack).astype(near.dtype)[:, None]
+        q, b = np.divmod(np.flatnonzero(close), len(ids))
         if not len(q):
             return
-        query = np.concatenate([self.query, q])
-        dist = np.concatenate([self.dist, distances.aligned_pairs(self.metric, mine, vectors, q, b)])
-        found = np.concatenate([self.found, ids[b]])
-        label = np.concatenate([self.label, labels[b]])
+        dist = distances.aligned_pairs(self.metric, mine, vectors, q, b)
+        self.new.append((asking[q], dist, ids[b], labels[b]))
+        self.waiting += len(q)
+        # Few candidates hardly lower the bounds, so they wait for more.
+        if self.waiting > self.k * len(self.bound) // 4:
+            self.settle()
+
+    def settle(self):
+        """Rank what was found; bounds are the k-th distances."""
+        if not self.waiting:
+            return
+        held = zip((self.query, self.dist, self.found, self.label), *self.new)
+        query, dist, found, label = (np.concatenate(parts) for parts in held)
+        self.new, self.waiting = [], 0
         order = np.lexsort((found, dist, query))
         ranked = query[order]
         place = np.arange(len(ranked)) - np.searchsorted(ranked, ranked)
@@ -79,6 +94,8 @@ class _Found:
 
     def __init__(self, ids, parts, place, k, skip_self):
         """`place` gives for every query its number among the distinct ones."""
+        for part in parts:
+            part.settle()
         sizes = [len(part.bound) for part in parts]
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         query = np.concatenate([part.query + start for part, start in zip(parts, starts)])
@@ -149,6 +166,10 @@ class _Search:
 
     def base(self, batch):
         """Slices of (ids, labels, vectors, their right form)."""
+        return (piece for _, piece in self.placed(batch))
+
+    def placed(self, batch):
+        """The same with the row numbers of each slice, which follow the batch."""
         ids, rows, width = self._read(batch)
         copy_of = first_copies(rows)
         order = np.lexsort((ids, copy_of))
@@ -159,7 +180,7 @@ class _Search:
         for at in range(0, len(kept), step):
             part = kept[at : at + step]
             vectors = rows.take(part).to_matrix(width)
-            yield ids[part], labels[part], vectors, distances.right_form(self.metric, vectors)
+            yield part, (ids[part], labels[part], vectors, distances.right_form(self.metric, vectors))
 
     def result(self, ids, parts, place):
         return _Found(ids, parts, place, self.k, self.skip_self)
@@ -176,6 +197,29 @@ class _Search:
         for block in blocks_of:
             yield self.result(*block).batch()
 
+    def stream_cells(self, base, cell, held, visits):
+        """Candidates for all held queries from base rows sorted by cell.
+
+        visits(vectors) gives the (row, cell) pairs that matter; a query is compared with the slices that hold
+        a row of such a cell.
+        """
+        (batch,) = _batches(base)
+        placed = list(self.placed(batch))
+        in_slice = np.zeros((cell.max() + 1, len(placed)), dtype=np.float32)
+        for at, (part, _) in enumerate(placed):
+            in_slice[cell[part], at] = 1.0
+        for batch in _batches(held):
+            block = self.queries(batch)
+            for part in block[1]:
+                wanted = np.zeros((len(part.bound), len(in_slice)), dtype=np.float32)
+                wanted[visits(part.rows.to_matrix(self.width))] = 1.0
+                wanted = wanted @ in_slice > 0
+                for at, (_, piece) in enumerate(placed):
+                    asking = np.flatnonzero(wanted[:, at])
+                    if len(asking):
+                        part.see(piece, asking)
+            yield self.result(*block).batch()
+
     def finished(self, query_batch, pieces):
         """Neighbours of a batch of queries in all pieces of the base."""
         ids, parts, place = self.queries(query_batch)
@@ -232,9 +276,16 @@ def nearest(queries, base, k, metric="auto", skip_self=False, sparse=False, widt
 
         return queries.mapInArrow(finish, from_arrow_schema(_FOUND))
     prunable = not sparse and metric != distances.COSINE
-    if prunable and blocks.stored_bytes(queries, columns)[1] > small_bytes:
+    query_rows, query_bytes = blocks.stored_bytes(queries, columns) if prunable else (0, 0)
+    if query_bytes > small_bytes:
         block_rows = max(1, block_bytes * base_rows // base_bytes)
-        found = cells.meet(queries, base, k + skip_self, metric, base_rows, block_rows, search.stream_base, _FOUND)
+        base_most, query_most = (
+            math.ceil(rows / blocks.parcels(size, block_bytes))
+            for rows, size in ((base_rows, base_bytes), (query_rows, query_bytes))
+        )
+        found = cells.meet(
+            queries, base, k + skip_self, metric, base_rows, block_rows, base_most, query_most, search.stream_cells, _FOUND
+        )
     else:
         found = blocks.against(base, queries, columns, search.stream_base, _FOUND, small_bytes, block_bytes)
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))

@@ -84,6 +84,24 @@ def test_small_blocks_do_not_multiply_what_is_moved(make):
     assert blocks.parcels(10 * blocks.BLOCK_BYTES, 1000) == 10 and blocks.parcels(0, 1000) == 1
 
 
+def test_queries_are_sent_once_to_a_parcel_of_many_cells(make):
+    rng = np.random.default_rng(23)
+    middles = rng.normal(scale=50, size=(4, 8))
+    x = middles[np.repeat(np.arange(4), 100)] + rng.normal(size=(400, 8))
+    df = make(x, parts=4)
+
+    def work(rows, cell, asked, visits):
+        assert len(cell) == rows.num_rows and len(set(cell)) > 1
+        sizes = [[rows.num_rows], [asked.num_rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(n) for n in sizes], schema=COUNTED)
+
+    met = cells.meet(df.select("id", "features"), df, 5, "euclidean", 400, 5, 100, 100, work, COUNTED).collect()
+    # 81 cells in parcels of up to 100 rows; a query needs the cells of its own cluster.
+    assert sum(r["queries"] for r in met) <= 3 * 400 and sum(r["base_rows"] for r in met) <= 3 * 400
+    assert max(r["base_rows"] for r in met) <= 100
+
+
+@pytest.mark.parametrize("most", [1, 7, 30, 1000])
 def test_parcels_hold_so_many_rows_at_most(most):
     rng = np.random.default_rng(24)
     rows_in = rng.integers(0, 40, size=50)
