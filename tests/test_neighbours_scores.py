@@ -4,6 +4,7 @@ import pytest
 from conftest import blobs
 from pyspark.sql import functions as F
 
+from reduxlab.functions import distances
 from reduxlab.operators import blocks, cells, geometry, layout, neighbours, scores
 
 
@@ -113,6 +114,7 @@ def test_parcels_hold_so_many_rows_at_most(most):
     assert held.max() <= most and held.sum() >= rows_in.sum()
 
 
+@pytest.mark.parametrize("scale, shift, width", [(1, 0, 6), (1e-4, 1e3, 64), (1e25, 0, 3), (1, 0, 40_000)])
 def test_manhattan_stand_ins_stay_within_their_bound(scale, shift, width):
     rng = np.random.default_rng(25)
     left, right = (rng.normal(size=(n, width)) * scale + shift for n in (70, 90))
@@ -124,6 +126,16 @@ def test_manhattan_stand_ins_stay_within_their_bound(scale, shift, width):
         assert near.dtype == np.float32
 
 
+def test_manhattan_neighbours_with_far_values_and_copies(make):
+    rng = np.random.default_rng(26)
+    base = rng.normal(size=(300, 6))
+    base[::4], base[7], base[9, 2] = base[1], 1e9, -1e30
+    df = make(base, parts=5)
+    expected = brute(base, base, 9, METRICS["manhattan"], skip_self=True)
+    for sizes in ({}, {"small_bytes": 0, "block_bytes": 2000}):
+        assert found(neighbours.nearest(df, df, 9, "manhattan", skip_self=True, **sizes)) == expected
+
+
 def test_far_cells_are_skipped():
     x, _ = blobs(seed=4, per=50, centers=8, dims=4, spread=0.2)
     pivots = x[::50]
