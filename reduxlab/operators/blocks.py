@@ -9,6 +9,7 @@ moves once for each block of the other side, so blocks are not cut finer than `p
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -43,6 +44,18 @@ def _blocks(df, count, other, mine, theirs):
     return df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).withColumn(theirs, others)
 
 
+def even_keys(spark, groups):
+    """Numbers for groups that Spark's hash deals evenly to the shuffle partitions, so that few heavy groups do not share a task."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if groups > 32 * tasks:
+        return np.arange(groups)
+    tried = spark.range(16 * tasks * (groups // tasks + 4)).select(F.pmod(F.hash("id"), F.lit(tasks)).alias("task"))
+    task = tried.toArrow()["task"].to_numpy()
+    key = np.argsort(task, kind="stable")
+    place = np.arange(len(key)) - np.searchsorted(task[key], task[key])
+    return key[np.argsort(place, kind="stable")][:groups]
+
+
 def against(streamed, held, vectors, work, arrow_schema, small_bytes=SMALL_SIDE_BYTES, block_bytes=BLOCK_BYTES):
     """Run work(batches of `streamed`, table of `held`) so that all pairs of rows meet once.
 

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import distances, folds
 from ..functions.matrices import dense
+from . import blocks
 from .sampling import subsample
 
 MAX_PIVOTS = 65_536
@@ -238,26 +239,27 @@ def meet(queries, base, k, metric, base_rows, block_rows, base_most, query_most,
 
     copies = np.maximum(1, -(-_counts(queries, needed_by, cut[2]) // query_most))
     start = np.concatenate([[0], np.cumsum(copies)])[:-1]
-    shared_copies = sc.broadcast((copies, start))
+    shared_copies = sc.broadcast((copies, start, blocks.even_keys(base.sparkSession, int(copies.sum()))))
 
     @F.arrow_udf("array<bigint>")
     def query_parcels(ids: pa.Array, features: pa.Array) -> pa.Array:
         if not len(features):
             return pa.array([], pa.list_(pa.int64()))
-        copies, start = shared_copies.value
+        copies, start, key = shared_copies.value
         row, parcel = (np.concatenate(v) for v in zip(*needed_by(dense(features))))
         mine = _spread(ids.to_numpy())[row] % copies[parcel].astype(np.uint64)
-        return _lists(len(features), row, start[parcel] + mine.astype(np.int64))
+        return _lists(len(features), row, key[start[parcel] + mine.astype(np.int64)])
 
     @F.arrow_udf("struct<cell: int, parcels: array<bigint>>")
     def base_parcels(ids: pa.Array, features: pa.Array) -> pa.Array:
         cell = np.zeros(0, dtype=np.int64)
         parcels = pa.array([], pa.list_(pa.int64()))
         if len(features):
-            (first, cuts, _), (copies, start) = shared_bounds.value[2], shared_copies.value
+            (first, cuts, _), (copies, start, key) = shared_bounds.value[2], shared_copies.value
             cell, _ = shared_tree.value.home(dense(features))
             parcel = first[cell] + (_spread(ids.to_numpy()) % cuts[cell].astype(np.uint64)).astype(np.int64)
-            parcels = _lists(len(cell), *_expanded(np.arange(len(cell)), start[parcel], copies[parcel]))
+            row, group = _expanded(np.arange(len(cell)), start[parcel], copies[parcel])
+            parcels = _lists(len(cell), row, key[group])
         return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), parcels], ["cell", "parcels"])
 
     left = base.withColumn("_at", base_parcels("id", "features"))

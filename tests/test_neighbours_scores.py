@@ -102,6 +102,15 @@ def test_queries_are_sent_once_to_a_parcel_of_many_cells(make):
     assert max(r["base_rows"] for r in met) <= 100
 
 
+@pytest.mark.parametrize("groups", [0, 1, 3, 4, 11, 1000])
+def test_groups_are_dealt_evenly(spark, groups):
+    key = blocks.even_keys(spark, groups)
+    assert len(set(key.tolist())) == groups == len(key)
+    rows = spark.createDataFrame([(int(k),) for k in key], "key long").repartition(4, "key")
+    sizes = [len(part) for part in rows.rdd.glom().collect()]
+    assert groups > 128 or max(sizes) == -(-groups // 4)
+
+
 @pytest.mark.parametrize("most", [1, 7, 30, 1000])
 def test_parcels_hold_so_many_rows_at_most(most):
     rng = np.random.default_rng(24)
